@@ -226,7 +226,7 @@ def canonical_json(fmt="format") -> Column:
 # ---------------------------------------------------------------- P7
 
 def row_to_alpaca(df: DataFrame, label_col: str, feature_cols: list[str] | None = None,
-                  instruction: str = DEFAULT_INSTRUCTION) -> DataFrame:
+                  instruction: str = DEFAULT_INSTRUCTION, keep: list[str] | None = None) -> DataFrame:
     """``input = "c1=v1 | c2=v2"``, ``output`` = stripped label.
 
     Features default to all non-label columns in order; a requested feature
@@ -240,6 +240,7 @@ def row_to_alpaca(df: DataFrame, label_col: str, feature_cols: list[str] | None
              if c in df.columns else F.lit(f"{c}=") for c in cols]
     features = F.concat_ws(" | ", *parts) if parts else F.lit("")
     return df.select(
+        *(keep or []),
         F.lit(instruction).alias("instruction"),
         features.alias("input"),
         py_strip(F.coalesce(F.col(label_col).cast("string"), F.lit(""))).alias("output"),
