@@ -92,3 +92,25 @@ def global_row_number(df: DataFrame, order: list, key: str, rn_col: str = "rn",
     sharded = with_range_shards(df, key, n_shards)
     return running_offsets(sharded, order, F.lit(1), "_rn0").withColumn(
         rn_col, F.col("_rn0") + 1).drop("_rn0", SHARD)
+
+
+def keyed_running_sum(df: DataFrame, key: str, bucket: Column, order: list,
+                      weight: Column, out_col: str) -> DataFrame:
+    """Inclusive running sum of ``weight`` per ``key`` in ``order``, split by
+    ``bucket`` (a coarse, order-compatible column such as the day).
+
+    ``sum(w) over (partition by key order by ...)`` puts a hot key in one task.
+    Here rows are partitioned by (key, bucket); per-bucket totals and their
+    prefix over buckets (one row per key and bucket) are joined back, and the
+    row-level window runs per (key, bucket).
+    """
+    d = (df.withColumn("_b", bucket).withColumn("_w", weight.cast("long"))
+         .repartition(key, "_b"))
+    tot = d.groupBy(key, "_b").agg(F.sum("_w").alias("_tot"))
+    offs = tot.select(key, "_b", (F.sum("_tot").over(
+        Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+        - F.col("_tot")).alias("_off"))
+    inner = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (d.join(offs, [key, "_b"], "left")
+            .withColumn(out_col, F.col("_off") + F.sum("_w").over(inner))
+            .drop("_b", "_w", "_off"))
