@@ -17,6 +17,10 @@ PY_SPACE_CLASS = (
     r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 PY_STRIP_RE = rf"^{PY_SPACE_CLASS}+|{PY_SPACE_CLASS}+$"
+# The same 29 characters as a literal set, for btrim (no regex).
+PY_SPACE_CHARS = "".join(chr(c) for c in (
+    [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680]
+    + list(range(0x2000, 0x200B)) + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 TOKEN_SPLIT_RE = rf"{PY_SPACE_CLASS}+"
 
 
@@ -25,8 +29,14 @@ def col_(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Python's ``str.strip()``; ``F.trim`` strips spaces only."""
-    return F.regexp_replace(col_(c), PY_STRIP_RE, "")
+    """Python's ``str.strip()``; ``F.trim`` strips spaces only.  ``btrim``
+    with the white-space set is a plain character scan, no regex."""
+    return F.btrim(col_(c), F.lit(PY_SPACE_CHARS))
+
+
+def is_ascii(c) -> Column:
+    """True when every character is one byte in UTF-8 (a length compare)."""
+    return F.length(col_(c)) == F.octet_length(col_(c))
 
 
 def is_blank(c) -> Column:

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.functions.text import col_
+from weft.functions.text import col_, is_ascii
 
 # The tool-call tag pattern (dot matches newline; first call only).
-TOOL_CALL_RE = r"(?sU)<tool_call>\s*(\{.*?\})\s*</tool_call>"
+TOOL_CALL_PATTERN = r"<tool_call>\s*(\{.*?\})\s*</tool_call>"
+TOOL_CALL_RE = "(?sU)" + TOOL_CALL_PATTERN
 
 # The always-blocked command patterns, in order (rule ids 1-7).
 HARD_BLOCKED = [
@@ -27,8 +28,11 @@ HARD_BLOCKED = [
 ]
 
 # Java flags that give Python ``re`` semantics: (?d) only \n ends a line for
-# ``.`` and ``$``; (?U) Unicode \s, \w and \b.
+# ``.`` and ``$``; (?U) Unicode \s, \w and \b.  (?U) roughly doubles the
+# cost of a match and changes nothing on ASCII input, so it is only used
+# for rows that are not ASCII (see ``py_search``).
 PY_RE_FLAGS = "(?dU)"
+PY_RE_FLAGS_ASCII = "(?d)"
 
 MODES = ("dry-run", "approve", "allow")
 TOOL_OUTPUT_CHARS = 16384
@@ -47,24 +51,47 @@ MAX_BROADCAST_RULES = 100_000
 
 # ---------------------------------------------------------------- P8
 
-def extract_tool_call(text) -> Column:
-    """``struct(call_status, cmd)``; status is ``none``, ``malformed`` or
-    ``ok``.  Only the first call counts and ``name`` is not checked.
+def _tool_payload_text(t: Column) -> Column:
+    return F.when(is_ascii(t), F.regexp_extract(t, "(?s)" + TOOL_CALL_PATTERN, 1)).otherwise(
+        F.regexp_extract(t, TOOL_CALL_RE, 1))
+
+
+def _parse_call(payload: Column) -> Column:
+    return F.from_json(F.concat(F.lit("["), payload, F.lit("]")), TOOL_CALL_SCHEMA,
+                       {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+
+
+def with_tool_call(df: DataFrame, text_col: str, status_col: str = "call_status",
+                   cmd_col: str = "cmd") -> DataFrame:
+    """Add ``call_status`` (``none``, ``malformed`` or ``ok``) and ``cmd``.
+    Only the first call counts and ``name`` is not checked.
 
     Strict parse: the payload is parsed as a one-element JSON array with
     single quotes off, so trailing text, two objects or a raw newline inside a
-    string are malformed (``from_json`` alone lets some through).
+    string are malformed (``from_json`` alone lets some through).  The steps
+    are separate projections so the regex and the JSON parse run once per row.
     """
+    d = df.withColumn("_tc_payload", _tool_payload_text(F.col(text_col)))
+    d = d.withColumn("_tc_parsed", _parse_call(F.col("_tc_payload")))
+    d = d.withColumn(cmd_col, F.when(F.size("_tc_parsed") == 1,
+                                     F.col("_tc_parsed").getItem(0)["args"]["cmd"]))
+    status = (F.when(F.col(text_col).isNull() | (F.col("_tc_payload") == ""), F.lit("none"))
+              .when(F.col(cmd_col).isNull(), F.lit("malformed"))
+              .otherwise(F.lit("ok")))
+    return d.withColumn(status_col, status).drop("_tc_payload", "_tc_parsed")
+
+
+def extract_tool_call(text) -> Column:
+    """P8 as one expression: ``struct(call_status, cmd)``.  Prefer
+    :func:`with_tool_call` on large inputs (it evaluates the parse once)."""
     t = col_(text)
-    payload = F.regexp_extract(t, TOOL_CALL_RE, 1)
-    parsed = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), TOOL_CALL_SCHEMA,
-                         {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    payload = _tool_payload_text(t)
+    parsed = _parse_call(payload)
     cmd = F.when(F.size(parsed) == 1, parsed.getItem(0)["args"]["cmd"])
     status = (F.when(t.isNull() | (payload == ""), F.lit("none"))
               .when(cmd.isNull(), F.lit("malformed"))
               .otherwise(F.lit("ok")))
-    return F.struct(status.alias("call_status"),
-                    F.when(status == "ok", cmd).alias("cmd"))
+    return F.struct(status.alias("call_status"), cmd.alias("cmd"))
 
 
 # ---------------------------------------------------------------- P9
@@ -85,13 +112,20 @@ def py_regex(pattern: str) -> str:
     return PY_RE_FLAGS + pattern
 
 
+def py_search(c: Column, pattern: str) -> Column:
+    """``re.search(pattern, c) is not None`` with Python's Unicode classes;
+    ASCII rows take the cheaper non-Unicode matcher (same answer)."""
+    return F.when(is_ascii(c), c.rlike(PY_RE_FLAGS_ASCII + pattern)).otherwise(
+        c.rlike(PY_RE_FLAGS + pattern))
+
+
 def first_match_rule(cmd, rules: list[tuple[int, str]]) -> Column:
     """F3 with a static rule list: id of the first pattern that *searches*
     true, null if none.  A CASE short-circuits like the loop's return."""
     c = col_(cmd)
     out = F.lit(None).cast("int")
     for rid, pat in reversed(rules):
-        out = F.when(c.rlike(py_regex(pat)), F.lit(rid)).otherwise(out)
+        out = F.when(py_search(c, pat), F.lit(rid)).otherwise(out)
     return out
 
 
@@ -102,7 +136,7 @@ def any_match(cmd, patterns: list[str]) -> Column:
         return F.lit(False)
     e = F.lit(False)
     for p in patterns:
-        e = e | F.coalesce(c.rlike(py_regex(p)), F.lit(False))
+        e = e | F.coalesce(py_search(c, p), F.lit(False))
     return e
 
 

@@ -18,7 +18,7 @@ from weft.operators.agent_log import (
     command_decision,
     default_block_rules,
     event_line,
-    extract_tool_call,
+    with_tool_call,
     flag_allowed,
     match_approvals,
     session_summary,
@@ -96,9 +96,8 @@ x AS (SELECT *, CASE WHEN call_status = 'ok' THEN json_extract_string(payload, '
 
 @query("tool_calls", "P8", sql=_EV_SQL + "SELECT event_id, call_status, cmd FROM x")
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = agent_events(spark, sf_dir)
-    tc = extract_tool_call("reply")
-    return ev.select("event_id", tc["call_status"].alias("call_status"), tc["cmd"].alias("cmd"))
+    ev = with_tool_call(agent_events(spark, sf_dir), "reply")
+    return ev.select("event_id", "call_status", "cmd")
 
 
 def _block_case_sql(col: str) -> str:
@@ -112,23 +111,25 @@ def _allow_sql(col: str) -> str:
 
 @query("command_policy", "F3 F4 J1 J2 P10 SRC7", sql=_EV_SQL + f""",
 pol AS (SELECT event_id, cmd, CAST({_block_case_sql('cmd')} AS INTEGER) AS block_rule,
-               {_allow_sql('cmd')} AS allowed FROM x WHERE cmd IS NOT NULL)
+               CASE WHEN cmd IS NOT NULL THEN {_allow_sql('cmd')} END AS allowed FROM x)
 SELECT event_id, cmd, block_rule, allowed,
-       CASE WHEN block_rule IS NOT NULL THEN 'blocked' WHEN allowed THEN 'auto_run' ELSE 'needs_approval' END AS decision,
-       CASE WHEN block_rule IS NOT NULL THEN 'blocked' ELSE 'skipped' END AS decision_dry_run
+       CASE WHEN cmd IS NULL THEN NULL WHEN block_rule IS NOT NULL THEN 'blocked' WHEN allowed THEN 'auto_run'
+            ELSE 'needs_approval' END AS decision,
+       CASE WHEN cmd IS NULL THEN NULL WHEN block_rule IS NOT NULL THEN 'blocked' ELSE 'skipped' END AS decision_dry_run
 FROM pol
 """)
 def command_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = agent_events(spark, sf_dir)
-    tc = extract_tool_call("reply")
-    calls = ev.select("event_id", tc["cmd"].alias("cmd")).where(F.col("cmd").isNotNull())
+    # Every event keeps its row; replies without a usable call get nulls.
+    calls = with_tool_call(agent_events(spark, sf_dir), "reply").select("event_id", "cmd")
     rules = spark.createDataFrame(default_block_rules(), "rule_id INT, pattern STRING")
     allow = spark.createDataFrame([(p,) for p in ALLOW_PATTERNS], "pattern STRING")
     out = flag_allowed(classify_commands(calls, "cmd", rules), "cmd", allow)
+    has = F.col("cmd").isNotNull()
     return out.select("event_id", "cmd", F.col("block_rule").cast("int").alias("block_rule"),
-                      "allowed",
-                      command_decision("block_rule", "allowed", MODE).alias("decision"),
-                      command_decision("block_rule", "allowed", "dry-run").alias("decision_dry_run"))
+                      F.when(has, F.col("allowed")).alias("allowed"),
+                      F.when(has, command_decision("block_rule", "allowed", MODE)).alias("decision"),
+                      F.when(has, command_decision("block_rule", "allowed", "dry-run"))
+                      .alias("decision_dry_run"))
 
 
 @query("tool_payloads", "P9", sql="""
@@ -172,12 +173,11 @@ def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _agent_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = agent_events(spark, sf_dir)
-    tc = extract_tool_call("reply")
+    ev = with_tool_call(agent_events(spark, sf_dir), "reply")
     return ev.select(
         "event_id", "ts", F.col("user_id").alias("session_id"), "kind", "k",
         F.when(F.col("kind").isin("model", "error", "blocked"), F.col("reply")).alias("text"),
-        tc["cmd"].alias("cmd"),
+        "cmd",
         F.when(F.col("kind") == "tool_result", F.concat(F.lit("out "), F.col("k").cast("string"))).alias("stdout"),
         F.when((F.col("kind") == "tool_result") & (F.pmod("k", F.lit(2)) == 1), F.lit("warn")).alias("stderr"),
         F.when(F.col("kind") == "tool_result", F.pmod("k", F.lit(3))).cast("int").alias("return_code"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.functions.text import PY_SPACE_CLASS, PY_STRIP_RE
+from weft.functions.text import PY_SPACE_CHARS, PY_SPACE_CLASS
 
 
 def sql_tokens(expr: str) -> str:
@@ -14,7 +14,8 @@ def sql_token_count(expr: str) -> str:
 
 
 def sql_strip(expr: str) -> str:
-    return f"regexp_replace({expr}, '{PY_STRIP_RE}', '', 'g')"
+    chars = "".join(f"chr({ord(c)})" if i == 0 else f" || chr({ord(c)})" for i, c in enumerate(PY_SPACE_CHARS))
+    return f"trim({expr}, {chars})"
 
 
 def sql_chatml_turn(role: str, content: str) -> str:
