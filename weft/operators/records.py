@@ -142,7 +142,10 @@ def normalize_lines(lines: DataFrame, line_col: str = "value", policy: str = "pe
                                    F.coalesce(F.array_join("_keys", ","), F.lit("")))).cast("string")))
     else:
         raise ValueError(f"unknown policy {policy}")
-    return df.withColumn("text", record_text("format", "_rec", template)).drop("_rec")
+    df = df.withColumn("text", record_text("format", "_rec", template))
+    for f in ("messages", "instruction", "input", "output", "prompt", "completion"):
+        df = df.withColumn(f, F.col("_rec")[f])
+    return df.drop("_rec")
 
 
 # ---------------------------------------------------------------- P6

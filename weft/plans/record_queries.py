@@ -156,10 +156,14 @@ def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .when(F.col("format") == "prompt_completion",
                       prompt_completion_to_text("prompt", "completion"))
                 .otherwise(F.col("text")))
-        out.append(m.select(F.lit(name).alias("src"), "rec_id", "format", text.alias("text")))
+        out.append(m.select(F.lit(name).alias("src"), "rec_id", "format", text.alias("text"),
+                            *CANONICAL))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+CANONICAL = ["messages", "instruction", "input", "output", "prompt", "completion"]
+
+
 _MAPPED_SQL = """
 WITH docs AS (
   SELECT d.doc_id AS rec_id,
@@ -187,7 +191,7 @@ m AS (
 
 @query("mapped_records", "P6 P2 P3 P4 F2", sql=_MAPPED_SQL + "SELECT * FROM m")
 def mapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mapped(spark, sf_dir)
+    return _mapped(spark, sf_dir).select("src", "rec_id", "format", "text")
 
 
 FIRST_N = 100
@@ -198,7 +202,8 @@ SELECT * FROM m WHERE src = 'documents' AND format IS NOT NULL ORDER BY rec_id L
 """)
 def mapped_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _mapped(spark, sf_dir).where(F.col("src") == "documents")
-    return limit_written(docs, FIRST_N, [F.col("rec_id")], key="rec_id")
+    return limit_written(docs, FIRST_N, [F.col("rec_id")], key="rec_id").select(
+        "src", "rec_id", "format", "text")
 
 
 # ---------------------------------------------------------------- P7

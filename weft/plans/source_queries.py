@@ -1 +1,93 @@
-"""Query bindings."""
+"""Round trips through files: tables are written with the package's sinks to
+a fresh folder under the shared checkpoint directory and read back with its
+sources.  The oracle is SQL on the source tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.operators.records import DEFAULT_INSTRUCTION
+from weft.plans.record_queries import _LINES_SQL, _MAPPED_SQL, _mapped, jsonl_lines
+from weft.plans.registry import query
+from weft.plans.tables import table
+from weft.session import scratch_dir
+from weft.sources.files import dataset_catalog, read_csv, read_jsonl, read_table
+from weft.sources.sinks import prepare_records, write_records, write_run_meta, write_text_dataset
+
+
+@query("jsonl_round_trip", "SNK1 SRC1 P1", sql=_MAPPED_SQL + """
+SELECT format, text FROM m WHERE format IS NOT NULL
+""")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_dir(spark, "records")
+    write_records(_mapped(spark, sf_dir).where(F.col("format").isNotNull()), out)
+    return read_jsonl(spark, out).select("format", "text")
+
+
+@query("csv_round_trip", "SRC2 P7", sql=f"""
+SELECT '{DEFAULT_INSTRUCTION}' AS instruction,
+       'doc_id=' || CAST(doc_id AS VARCHAR) || ' | text=' || coalesce(text, '') AS input,
+       trim(lang) AS output
+FROM documents
+""")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_dir(spark, "csv")
+    (table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+     .write.option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(out))
+    return read_csv(spark, out, "lang", "doc_id, text")
+
+
+@query("catalog_round_trip", "SRC8 SNK1", sql="""
+SELECT lang, CAST(count(*) AS BIGINT) AS lines FROM documents GROUP BY lang
+""")
+def catalog_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_dir(spark, "catalog")
+    docs = table(spark, sf_dir, "documents")
+    docs.write.partitionBy("lang").option("ignoreNullFields", False).json(out)
+    cat = dataset_catalog(spark, out, "*.json", recursive=True)
+    return (cat.withColumn("lang", F.regexp_extract("path", r"/lang=([^/]+)/", 1))
+            .groupBy("lang").agg(F.sum("lines").cast("long").alias("lines")))
+
+
+@query("table_split", "SRC3", sql="""
+SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'fr')
+""")
+def table_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_dir(spark, "table")
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "split", F.when(F.col("lang").isin("en", "fr"), "train").otherwise("test"))
+    docs.select("doc_id", "lang", "split").write.partitionBy("split").parquet(out)
+    return read_table(spark, out, "train").select("doc_id", "lang")
+
+
+def _prepare(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    base = scratch_dir(spark, "prepare")
+    raw, rec, quar, txt, runs = (f"{base}/{x}" for x in ("raw", "records", "quarantine", "text", "runs"))
+    jsonl_lines(spark, sf_dir).select("value").write.text(raw)
+    normalized = read_jsonl(spark, raw)
+    counters = prepare_records(normalized, rec, quar)
+    write_text_dataset(read_jsonl(spark, rec), txt)
+    write_run_meta(spark, runs, {"source": "tables", "policy": "per_row"}, counters)
+    return txt, runs
+
+
+@query("prepare_text", "A1 F2 SNK1 SNK2 SRC1", sql=_LINES_SQL + """
+SELECT text FROM t WHERE format IS NOT NULL
+""")
+def prepare_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    txt, _ = _prepare(spark, sf_dir)
+    return spark.read.parquet(txt)
+
+
+@query("prepare_counters", "A1 SNK3", sql=_LINES_SQL + """
+SELECT CAST(count(*) AS BIGINT) AS n_read, CAST(count(format) AS BIGINT) AS n_written,
+       CAST(count(*) - count(format) AS BIGINT) AS n_skipped FROM t
+""")
+def prepare_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, runs = _prepare(spark, sf_dir)
+    c = F.from_json("counters", "n_read BIGINT, n_written BIGINT, n_skipped BIGINT")
+    return spark.read.parquet(runs).select(c["n_read"].alias("n_read"), c["n_written"].alias("n_written"),
+                                           c["n_skipped"].alias("n_skipped"))
