@@ -41,6 +41,7 @@ def _load() -> None:
         record_queries,
         sequence_queries,
         source_queries,
+        stream_queries,
     )
 
 
