@@ -53,6 +53,8 @@ def with_range_shards(df: DataFrame, key: str, n_shards: int | None = None,
     n_shards = n_shards or default_shards(df)
     if bounds is None:
         bounds = shard_bounds(df, key, n_shards)
+    if not bounds:
+        return df.withColumn(SHARD, F.lit(0)).repartition(SHARD)
     splits = [float("-inf")] + bounds + [float("inf")]
     tmp = f"{SHARD}_key"
     keyed = df.withColumn(tmp, F.col(key).cast("double"))

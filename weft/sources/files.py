@@ -45,7 +45,12 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None,
         F.monotonically_increasing_id().alias("_row"))
 
 
-ORDER = [F.col("_file"), F.col("_block"), F.col("_row")]
+ORDER_COLS = ("_file", "_block", "_row")
+
+
+def file_order() -> list:
+    """The file-order key of :func:`read_lines` rows."""
+    return [F.col(c) for c in ORDER_COLS]
 
 
 def read_jsonl(spark: SparkSession, path: str, policy: str = "per_row",
@@ -60,7 +65,7 @@ def read_jsonl(spark: SparkSession, path: str, policy: str = "per_row",
     lines = read_lines(spark, path, glob)
     if lines.isEmpty():
         raise ValueError(f"no records in {path}")
-    out = normalize_lines(lines, "value", policy=policy, order=ORDER)
+    out = normalize_lines(lines, "value", policy=policy, order=file_order())
     return out
 
 
@@ -132,9 +137,9 @@ def read_rules(spark: SparkSession, path: str, validate: bool = True) -> DataFra
     ``rule_id`` is the 1-based position in the file.  A rule file is a small
     dimension: its size is checked and the patterns compiled on the driver."""
     lines = read_lines(spark, path)
-    kept = lines.select(py_strip("value").alias("pattern"), *ORDER).where(
+    kept = lines.select(py_strip("value").alias("pattern"), *ORDER_COLS).where(
         (F.col("pattern") != "") & ~F.col("pattern").startswith("#"))
-    rows = kept.orderBy(*ORDER).limit(MAX_RULES + 1).collect()
+    rows = kept.orderBy(*ORDER_COLS).limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules in {path}")
     if validate:
@@ -160,15 +165,22 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None,
 def dataset_catalog(spark: SparkSession, root: str, glob: str = "*.jsonl",
                     recursive: bool = False) -> DataFrame:
     """SRC8: per file ``name, path, lines, size`` sorted by name.  Blank lines
-    count; a zero-length file has 0 lines (the text source yields no row for
-    it, so counts are left-joined onto the file listing)."""
-    files = list_files(spark, root, glob, recursive)
-    counts = read_lines(spark, root, glob, recursive).groupBy(F.col("_file").alias("path")).agg(
-        F.count(F.lit(1)).alias("lines"))
-    return (files.join(counts, "path", "left")
+    count; a zero-length file has 0 lines and size 0.
+
+    The text and binaryFile sources return no row for a zero-length file, so
+    the file list comes from the scan's own file index (``inputFiles``: paths
+    only, one per file, the listing Spark makes anyway) and sizes and line
+    counts are left-joined onto it.
+    """
+    lines = read_lines(spark, root, glob, recursive)
+    paths = [re.sub(r"^file:(//)?", "", p) for p in lines.inputFiles()]
+    every = spark.createDataFrame([(p,) for p in paths], "path STRING")
+    sizes = list_files(spark, root, glob, recursive).select("path", "length")
+    counts = lines.groupBy(F.col("_file").alias("path")).agg(F.count(F.lit(1)).alias("lines"))
+    return (every.join(sizes, "path", "left").join(counts, "path", "left")
             .select(F.element_at(F.split("path", "/"), -1).alias("name"), "path",
                     F.coalesce("lines", F.lit(0)).cast("long").alias("lines"),
-                    F.col("length").alias("size"))
+                    F.coalesce("length", F.lit(0)).cast("long").alias("size"))
             .orderBy("name"))
 
 
