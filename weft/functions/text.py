@@ -21,7 +21,10 @@ PY_STRIP_RE = rf"^{PY_SPACE_CLASS}+|{PY_SPACE_CLASS}+$"
 PY_SPACE_CHARS = "".join(chr(c) for c in (
     [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680]
     + list(range(0x2000, 0x200B)) + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-TOKEN_SPLIT_RE = rf"{PY_SPACE_CLASS}+"
+# Java's Unicode White_Space plus the four separators \x1c-\x1f is exactly the
+# same 29-character set, and matches about twice as fast as the spelled-out
+# class; the SQL oracle keeps the spelled-out class (RE2 has no (?U)).
+TOKEN_SPLIT_RE = r"(?U)[\s\x1c-\x1f]+"
 
 
 def col_(c) -> Column:

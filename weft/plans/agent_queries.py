@@ -28,6 +28,8 @@ from weft.operators.ops_tables import tail_per_key
 from weft.operators.ordering import keyed_running_sum
 from weft.plans.registry import query
 from weft.plans.tables import table
+from weft.session import scratch_dir
+from weft.sources.files import read_rules
 
 # A shared SQL expression (valid in Spark SQL and DuckDB) over event_type, k.
 _Q = "chr(34)"   # double quote
@@ -122,7 +124,11 @@ def command_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every event keeps its row; replies without a usable call get nulls.
     calls = with_tool_call(agent_events(spark, sf_dir), "reply").select("event_id", "cmd")
     rules = spark.createDataFrame(default_block_rules(), "rule_id INT, pattern STRING")
-    allow = spark.createDataFrame([(p,) for p in ALLOW_PATTERNS], "pattern STRING")
+    # The allow list goes through a rule file (comments, blank lines) and SRC7.
+    path = scratch_dir(spark, "allow")
+    text = ["# allow list", ""] + [f"  {p}  " for p in ALLOW_PATTERNS]
+    spark.createDataFrame([(t,) for t in text], "value STRING").coalesce(1).write.text(path)
+    allow = read_rules(spark, path)
     out = flag_allowed(classify_commands(calls, "cmd", rules), "cmd", allow)
     has = F.col("cmd").isNotNull()
     return out.select("event_id", "cmd", F.col("block_rule").cast("int").alias("block_rule"),

@@ -99,15 +99,14 @@ SELECT doc_id,
 FROM documents
 """.replace("{tok}", __import__("weft.plans.sql_snippets", fromlist=["x"]).sql_tokens("text")))
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weft.operators.sequences import truncate_tokens
-
-    docs = table(spark, sf_dir, "documents")
-    kept = truncate_tokens("text", MAX_LEN)
+    # Split once; count, cut and pick from the same token array.
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("_t"))
+    kept = F.slice("_t", 1, MAX_LEN)
     return docs.select(
         "doc_id",
-        token_count("text").alias("n_tokens"),
+        F.size("_t").alias("n_tokens"),
         F.size(kept).alias("kept_tokens"),
-        (token_count("text") > MAX_LEN).alias("truncated"),
+        (F.size("_t") > MAX_LEN).alias("truncated"),
         F.try_element_at(kept, F.lit(-1)).alias("last_kept"),
     )
 
