@@ -250,24 +250,28 @@ def match_files(requests: DataFrame, files: DataFrame, repo: str = "repo_id",
     lower-cased name contains the lower-cased hint with every ``suffix``
     removed; with no such file, an exact name match; else null.
 
-    Requests are made distinct first; the join is an equi-join on the repo
-    with the substring test as a residual, then min_by / count per request.
+    Requests are made distinct first.  Files are inner-joined to them on the
+    repo (the substring test is the residual), so a repo holding a third of
+    all files is the streamed side and AQE can split it (or broadcast the
+    requests); ``min_by`` / counts are partial aggregates; requests without
+    any candidate come back through a left join of the (small) results.
     """
-    req = requests.select(repo, hint).distinct().withColumn(
-        "_needle", F.replace(F.lower(F.col(hint)), F.lit(suffix), F.lit("")))
+    req = requests.select(repo, hint).distinct()
+    needle = F.replace(F.lower(F.col(hint)), F.lit(suffix), F.lit(""))
     fl = files.where(F.lower(F.col(file)).endswith(suffix)).select(
         F.col(repo).alias("_repo"), F.col(file).alias("_file"), F.col(order).alias("_ord"))
-    j = req.join(fl, (req[repo] == fl["_repo"]), "left")
-    sub = F.instr(F.lower(F.col("_file")), F.col("_needle")) > 0
+    j = fl.join(req, fl["_repo"] == req[repo], "inner")
+    sub = F.instr(F.lower(F.col("_file")), needle) > 0
     exact = F.col("_file") == F.col(hint)
-    agg = j.groupBy(repo, hint).agg(
+    hits = j.where(sub | exact).groupBy(repo, hint).agg(
         F.min_by(F.when(sub, F.col("_file")), F.when(sub, F.col("_ord"))).alias("_sub_file"),
         F.count_if(sub).alias("n_matches"),
         F.max(F.when(exact, F.col("_file"))).alias("_exact"))
+    agg = req.join(hits, [repo, hint], "left")
     return agg.select(
         repo, hint,
         F.coalesce("_sub_file", "_exact").alias("file"),
-        F.col("n_matches").cast("long").alias("n_matches"),
+        F.coalesce(F.col("n_matches"), F.lit(0)).cast("long").alias("n_matches"),
         F.when(F.col("_sub_file").isNotNull(), F.lit("substring"))
          .when(F.col("_exact").isNotNull(), F.lit("exact")).alias("match_kind"))
 

@@ -284,15 +284,25 @@ def limit_written(df: DataFrame, n: int | None, order: list, key: str | None = N
                   fmt: str = "format") -> DataFrame:
     """L1: the first ``n`` *mapped* rows in ``order``; 0 / None = no limit.
 
-    Small n is a top-k (per-partition heaps, then one merge).  Large n would
-    hold n rows in one task, so it becomes a distributed global row number
-    (range shards on ``key``) and a filter.
+    ``order`` must be unique (ascending columns or expressions).  Wide rows
+    never pass through one task: for n up to TOPK_LIMIT the n-th order key
+    is found by a top-k over the key columns only (per-partition heaps of
+    keys, one small merge), and the rows are then filtered by ``key <=
+    cutoff``.  Beyond that a distributed global row number (range shards on
+    ``key``) and a filter take its place.
     """
     mapped = df.where(F.col(fmt).isNotNull())
     if not n:
         return mapped
     if n <= TOPK_LIMIT or key is None:
-        return mapped.orderBy(*order).limit(n)
+        k = F.struct(*order)
+        keys = mapped.select(k.alias("_k"))
+        cut = keys.orderBy("_k").limit(n).agg(F.max("_k").alias("m")).first()["m"]
+        if cut is None:
+            return mapped.limit(0)
+        ktype = keys.schema["_k"].dataType
+        lit = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, ktype.fields)])
+        return mapped.where(k <= lit)
     ranked = global_row_number(mapped, order, key, "_rn")
     return ranked.where(F.col("_rn") <= n).drop("_rn")
 

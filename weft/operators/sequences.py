@@ -93,19 +93,33 @@ def pack(df: DataFrame, id_col: str, len_col: str, length: int, sep: int = 1,
 def pack_texts(df: DataFrame, id_col: str, text_col: str, length: int,
                sep_token: str = "<|endoftext|>", n_shards: int | None = None) -> DataFrame:
     """W2 with the text of each pack: the pack's token slices re-joined with
-    single spaces, in sample order.  A pack holds at most ``length`` tokens, so
-    the per-pack collect is bounded."""
+    single spaces, in sample order; ``pack_id, text, n_tokens, n_docs``.
+
+    Each sample is cut into its pieces *before* the explode (one slice per
+    pack it touches), so a long sample is copied once, not once per pack.
+    A pack holds at most ``length`` tokens, so the per-pack collect is
+    bounded by ``length``.
+    """
     toks = F.concat(tokens(text_col), F.array(F.lit(sep_token)))
     base = df.select(id_col, toks.alias("_toks")).withColumn("_len", F.size("_toks"))
     sharded = with_range_shards(base, id_col, n_shards)
     offs = running_offsets(sharded, [id_col], "_len")
-    pieces = pack_pieces(offs, id_col, length).withColumn(
-        "_piece", F.slice("_toks", F.col("piece_start") + 1, F.col("piece_len")))
-    return pieces.groupBy("pack_id").agg(
+    s, n = F.col("_start"), F.col("_len")
+    first, last = F.floor(s / length), F.floor((s + n - 1) / length)
+
+    def piece(p):
+        lo = F.greatest(s, p * length)
+        hi = F.least(s + n, (p + 1) * length)
+        return F.struct(p.alias("pack_id"), F.slice("_toks", lo - s + 1, hi - lo).alias("piece"))
+
+    pieces = F.when(n > 0, F.transform(F.sequence(first, last), piece))
+    exploded = offs.select("_start", F.explode(pieces).alias("_p")).select(
+        "_start", F.col("_p.pack_id").alias("pack_id"), F.col("_p.piece").alias("piece"))
+    return exploded.groupBy("pack_id").agg(
         F.array_join(F.flatten(F.transform(
-            F.sort_array(F.collect_list(F.struct(F.col("_start"), F.col("_piece")))),
-            lambda x: x["_piece"])), " ").alias("text"),
-        F.sum("piece_len").alias("n_tokens"),
+            F.sort_array(F.collect_list(F.struct(F.col("_start"), F.col("piece")))),
+            lambda x: x["piece"])), " ").alias("text"),
+        F.sum(F.size("piece")).alias("n_tokens"),
         F.count(F.lit(1)).alias("n_docs"))
 
 

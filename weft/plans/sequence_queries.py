@@ -18,7 +18,7 @@ from weft.operators.sequences import (
     rank_shards,
 )
 from weft.plans.registry import query
-from weft.plans.sql_snippets import sql_chatml_turn, sql_hash_order, sql_token_count
+from weft.plans.sql_snippets import sql_chatml_turn, sql_hash_order, sql_token_count, sql_tokens
 from weft.plans.tables import table
 
 PACK_LEN = 512
@@ -129,6 +129,30 @@ def doc_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_docs").cast("long").alias("n_docs"))
 
 
+SEP_TOKEN = "<|endoftext|>"
+
+
+@query("doc_pack_texts", "W2 P15", sql=f"""
+WITH d AS (SELECT doc_id, list_concat({sql_tokens('text')}, ['{SEP_TOKEN}']) AS toks FROM documents),
+l AS (SELECT doc_id, toks,
+             CAST(sum(len(toks)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                  - len(toks) AS BIGINT) AS start FROM d),
+u AS (SELECT doc_id, start, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM l),
+p AS (SELECT doc_id, tok, start + i - 1 AS pos, (start + i - 1) // {PACK_LEN} AS pack_id FROM u)
+SELECT CAST(pack_id AS BIGINT) AS pack_id, string_agg(tok, ' ' ORDER BY pos) AS text,
+       CAST(count(*) AS BIGINT) AS n_tokens, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs
+FROM p GROUP BY pack_id
+""")
+def doc_pack_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.operators.sequences import pack_texts
+
+    docs = table(spark, sf_dir, "documents")
+    out = pack_texts(docs, "doc_id", "text", PACK_LEN, sep_token=SEP_TOKEN)
+    return out.select(F.col("pack_id").cast("long").alias("pack_id"), "text",
+                      F.col("n_tokens").cast("long").alias("n_tokens"),
+                      F.col("n_docs").cast("long").alias("n_docs"))
+
+
 _GROUPED = f"""
 WITH d AS (SELECT doc_id, CAST(least({_DOC_TOKENS}, {MAX_LEN}) AS INTEGER) AS len,
                   {sql_hash_order('doc_id')} AS h FROM documents),
