@@ -46,7 +46,7 @@ TOOL_CALL_SCHEMA = T.ArrayType(T.StructType([
 
 # Rule tables up to this size are compiled into one CASE expression.
 MAX_INLINE_RULES = 256
-MAX_BROADCAST_RULES = 100_000
+MAX_BROADCAST_RULES = 10_000
 
 
 # ---------------------------------------------------------------- P8

@@ -37,7 +37,7 @@ LOG_TAIL_LINES = 50
 EVENT_TAIL = 200
 
 MAX_INLINE_LADDER = 256
-MAX_BROADCAST_LADDER = 100_000
+MAX_BROADCAST_LADDER = 4096
 
 
 def tier_ladder(spark: SparkSession) -> DataFrame:
@@ -194,8 +194,10 @@ def ladder_lookup(df: DataFrame, value: str, ladder: DataFrame, lo: str = "lo",
     The ladder is a small dimension.  Up to MAX_INLINE_LADDER rungs it
     becomes a CASE (a projection, no join).  Up to MAX_BROADCAST_LADDER the
     rung intervals ``[lo, next lo)`` are broadcast and every row matches
-    exactly one -- no aggregation afterwards.  Larger ladders go through a
-    binned equi-join (rung intervals exploded over value bins).
+    exactly one -- no aggregation afterwards (each row is tested against at
+    most that many intervals).  Larger ladders go through a binned equi-join:
+    rung intervals are exploded over quantile bins of their bounds, each row
+    finds its bin by binary search and meets only the few intervals there.
     """
     v = F.col(value)
     low = v.isNull() | (v <= 0)

@@ -57,7 +57,13 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         d = spark.sparkContext.getCheckpointDir()
     if d:
         return d
-    d = fallback or tempfile.mkdtemp(prefix="weft-ckpt-")
+    if fallback is None:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, object store); "
+                               "a machine-local folder does not survive a lost executor")
+        fallback = tempfile.mkdtemp(prefix="weft-ckpt-")
+    d = fallback
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
