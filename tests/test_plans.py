@@ -52,3 +52,31 @@ def test_tail_uses_group_limit(spark):
 
     df = E.queries()["event_tail"](spark, SF)
     assert "WindowGroupLimit" in _executed(df)
+
+
+def test_collect_messages_is_one_shuffle(spark):
+    from weft.operators.records import collect_messages
+
+    df = collect_messages(spark.read.parquet(f"{SF}/conversations.parquet"))
+    plan = _executed(df)
+    lines = [ln.strip(" :+-") for ln in plan.split("\n")]
+    assert len([ln for ln in lines if ln.startswith("Exchange ")]) == 1
+
+
+def test_large_rule_table_is_broadcast(spark, monkeypatch):
+    from weft.operators import agent_log
+
+    monkeypatch.setattr(agent_log, "MAX_INLINE_RULES", 2)
+    rules = spark.createDataFrame(agent_log.default_block_rules(), "rule_id INT, pattern STRING")
+    cmds = spark.createDataFrame([("rm -rf /",), ("ls",)], "cmd STRING")
+    plan = _executed(agent_log.classify_commands(cmds, "cmd", rules))
+    assert "BroadcastNestedLoopJoin" in plan
+
+
+def test_large_ladder_is_broadcast(spark, monkeypatch):
+    from weft.operators import ops_tables
+
+    monkeypatch.setattr(ops_tables, "MAX_INLINE_LADDER", 2)
+    df = spark.createDataFrame([(1.0,), (20.0,)], "v DOUBLE")
+    plan = _executed(ops_tables.ladder_lookup(df, "v", ops_tables.tier_ladder(spark)))
+    assert "BroadcastNestedLoopJoin" in plan or "BroadcastExchange" in plan

@@ -87,8 +87,9 @@ def job_summary(log: DataFrame, job: str = "job_id", ts: str = "ts", seq: str =
     rc = exit_code(F.col("_last_line"))
     return (agg.withColumn("return_code", rc)
             .withColumn("ended_at", F.when(F.col("return_code").isNotNull(), F.col("_last_ts")))
-            .withColumn("duration_s", F.unix_seconds(F.col("ended_at").cast("timestamp"))
-                        - F.unix_seconds(F.col("started_at").cast("timestamp")))
+            # Wall-clock seconds between the two stamps, with no time-zone shift
+            # (works for TIMESTAMP and TIMESTAMP_NTZ alike).
+            .withColumn("duration_s", F.expr("timestampdiff(SECOND, started_at, ended_at)"))
             .withColumn("state", job_state(F.col("ended_at").isNull(), F.col("return_code")))
             .drop("_last_ts", "_last_line"))
 
