@@ -111,12 +111,14 @@ def test_csv_edge_cases(spark, tmp):
 
 def test_read_jsonl_and_prepare_counters(spark, tmp):
     p = f"{tmp}/in.jsonl"
-    recs = ['{"text":"a"}', "", '{"n":1}', '{"prompt":"p","completion":"c"}', "not json"]
+    recs = ['{"text":"a"}', "", '{"n":1}', '{"prompt":"p","completion":"c"}', "not json", '{"text":null}']
     with open(p, "w", encoding="utf-8") as f:
         f.write("\n".join(recs) + "\n")
     df = read_jsonl(spark, p)
     counters = prepare_records(df, f"{tmp}/out", f"{tmp}/q")
-    assert counters == {"n_read": 4, "n_written": 2, "n_skipped": 2}
+    keys = counters.pop("unmapped_keys")
+    assert counters == {"n_read": 5, "n_written": 2, "n_skipped": 3}
+    assert len(keys) == 3 and ["n"] in keys and ["text"] in keys and None in keys
     written = [json.loads(r.value) for r in spark.read.text(f"{tmp}/out").collect()]
     assert sorted(map(json.dumps, written)) == sorted(
         [json.dumps({"text": "a"}), json.dumps({"prompt": "p", "completion": "c"})])

@@ -118,7 +118,8 @@ def normalize_lines(lines: DataFrame, line_col: str = "value", policy: str = "pe
                     order: list | None = None, template: ChatTemplate = CHATML) -> DataFrame:
     """SRC1 -> P1 -> P2..P5 over JSONL lines.
 
-    Adds ``format`` and ``text``.  ``policy="per_row"``: each line is judged
+    Adds ``shape`` (the detected key shape), ``format`` (the shape when a
+    text could be rendered, else null) and ``text``.  ``policy="per_row"``: each line is judged
     alone; lines that fit no shape get ``format`` null (quarantine, F2).
     ``policy="first_record"``: the first line in ``order`` decides the shape of
     every line and a line lacking its keys fails the job, as the trainer does.
@@ -143,6 +144,11 @@ def normalize_lines(lines: DataFrame, line_col: str = "value", policy: str = "pe
     else:
         raise ValueError(f"unknown policy {policy}")
     df = df.withColumn("text", record_text("format", "_rec", template))
+    # A record whose shape fits but whose required field is null (or whose
+    # messages do not parse) renders no text: it goes to the quarantine
+    # (format null) with its detected shape kept in ``shape``.
+    df = (df.withColumnRenamed("format", "shape")
+          .withColumn("format", F.when(F.col("text").isNotNull(), F.col("shape"))))
     for f in ("messages", "instruction", "input", "output", "prompt", "completion"):
         df = df.withColumn(f, F.col("_rec")[f])
     return df.drop("_rec")

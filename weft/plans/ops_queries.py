@@ -58,6 +58,12 @@ def job_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "state")
 
 
+def _case_sql(v: str, rungs: list[tuple[float, str]]) -> str:
+    rungs = sorted(rungs)
+    whens = " ".join(f"WHEN {v} >= {t} THEN '{n}'" for t, n in reversed(rungs[1:]))
+    return f"CASE WHEN {v} IS NULL OR {v} <= 0 THEN 'cpu' {whens} ELSE '{rungs[0][1]}' END"
+
+
 # ---------------------------------------------------------------- device samples
 
 TOTAL_MB = 500.0
@@ -95,12 +101,13 @@ def device_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
                      usage_band(pct).alias("band"))
 
 
-@query("host_rollup", "A2 A3 ST4", sql=_SAMPLES_SQL + """
+@query("host_rollup", "A2 A3 J4 ST4", sql=_SAMPLES_SQL + f"""
 SELECT host, CAST(count(*) AS BIGINT) AS n, min(used_mb) AS min_value, max(used_mb) AS max_value,
        round(sum(used_mb), 2) AS sum_value,
        count(*) > 1 AND max(used_mb) - min(used_mb) > 1.0 AS heterogeneous,
        CASE WHEN count(*) > 1 THEN 'ddp' ELSE 'single' END AS strategy,
-       list_sort(list(used_mb))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS upper_median
+       list_sort(list(used_mb))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS upper_median,
+       {_case_sql('min(used_mb)', [(t[1], t[0]) for t in TIERS])} AS tier
 FROM lt GROUP BY host
 """)
 def host_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +115,11 @@ def host_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         [F.col("ts"), F.col("event_id")])
     roll = group_rollup(lt, "host", "used_mb")
     med = group_value_stats(lt, "host", "used_mb").select("host", "upper_median")
-    return roll.join(med, "host", "left").select(
+    # the tier follows the smallest device of the host
+    out = ladder_lookup(roll.join(med, "host", "left"), "min_value", tier_ladder(spark))
+    return out.select(
         "host", F.col("n").cast("long").alias("n"), "min_value", "max_value", "sum_value",
-        "heterogeneous", "strategy", "upper_median")
+        "heterogeneous", "strategy", "upper_median", "tier")
 
 
 @query("majority_devices", "F5 F7 A3", sql=_SAMPLES_SQL + f""",
@@ -131,12 +140,6 @@ def majority_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- J4
 
 
-def _case_sql(v: str, rungs: list[tuple[float, str]]) -> str:
-    rungs = sorted(rungs)
-    whens = " ".join(f"WHEN {v} >= {t} THEN '{n}'" for t, n in reversed(rungs[1:]))
-    return f"CASE WHEN {v} IS NULL OR {v} <= 0 THEN 'cpu' {whens} ELSE '{rungs[0][1]}' END"
-
-
 @query("quantity_tier", "J4", sql=f"""
 SELECT l_orderkey, l_linenumber, {_case_sql('l_quantity', [(t[1], t[0]) for t in TIERS])} AS tier FROM lineitem
 """)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.text import py_strip, split_list
+from weft.functions.time import display_time
 from weft.operators.ops_tables import first_wins, union_roots
 from weft.operators.records import normalize_lines, row_to_alpaca
 
@@ -211,7 +212,8 @@ CONFIG_FILE = "config.json"
 
 def directory_inventory(spark: SparkSession, root: str) -> DataFrame:
     """SRC10: one row per first-level directory: ``name, path,
-    has_config, has_adapter, modified`` (newest file inside, epoch seconds).
+    has_config, has_adapter, modified`` (newest file inside, epoch seconds)
+    and ``modified_display``.
     Empty directories hold no files and are not listed."""
     base = re.sub(r"^file:(//)?", "", root).rstrip("/") + "/"
     f = list_files(spark, root, recursive=True).where(F.col("path").startswith(base))
@@ -226,7 +228,8 @@ def directory_inventory(spark: SparkSession, root: str) -> DataFrame:
                                                    | F.col("_file").rlike(ADAPTER_BIN_RE))).alias("has_adapter"),
                 F.max(F.unix_timestamp("modificationTime")).alias("modified"))
             .withColumn("path", F.concat(F.lit(base), F.col("name")))
-            .select("name", "path", "has_config", "has_adapter", "modified")
+            .withColumn("modified_display", display_time("modified"))
+            .select("name", "path", "has_config", "has_adapter", "modified", "modified_display")
             .orderBy("name"))
 
 

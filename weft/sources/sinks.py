@@ -28,6 +28,12 @@ def write_text_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str
     df.select("text").write.mode(mode).format(fmt).save(path)
 
 
+def write_rank_shards(df: DataFrame, path: str, rank_col: str = "rank", mode: str = "overwrite") -> None:
+    """W5 sink: one folder per training rank (``rank=<r>``), each read by one
+    process."""
+    df.write.mode(mode).partitionBy(rank_col).parquet(path)
+
+
 def write_run_meta(spark: SparkSession, path: str, params: dict, counters: dict | None = None,
                    world_size: int = 1) -> DataFrame:
     """SNK3: one row -- resolved parameters (as JSON), world size, counters
@@ -54,6 +60,10 @@ def prepare_records(df: DataFrame, out_path: str, quarantine_path: str | None =
     mapped = limit_written(observed, limit, order or [F.col(fmt)], key=key, fmt=fmt)
     write_records(mapped, out_path, fmt)
     counters = {k: int(v) for k, v in obs.get.items()}
+    # The first three unmapped rows' keys, for the log line (3 rows, bounded).
+    if "_keys" in df.columns:
+        counters["unmapped_keys"] = [r["_keys"] for r in
+                                     df.where(F.col(fmt).isNull()).select("_keys").limit(3).collect()]
     if limit:
         counters["n_written"] = min(int(limit), counters["n_written"])
     if quarantine_path:
