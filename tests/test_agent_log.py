@@ -122,3 +122,18 @@ def test_event_line_and_summary(spark):
     assert lines == ["[model #1] hi", "[tool_call #1] $ ls", "[tool_result rc=0]\nout\n[stderr]\nerr", "■ bye"]
     s = session_summary(ev).first()
     assert (s.iterations, s.calls, s.results_ok, s.final_kind) == (1, 1, 1, "done")
+
+
+def test_blocked_is_never_auto_run(spark):
+    import random
+
+    rng = random.Random(2)
+    parts = ["rm", "-rf", "/", "ls", "mkfs.ext4", "dd", "of=/dev/sda", "reboot", "chmod", "777", "x", "|", ";"]
+    cmds = [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    rules = spark.createDataFrame(default_block_rules(), "rule_id INT, pattern STRING")
+    allow = spark.createDataFrame([(".*",)], "pattern STRING")   # everything allow-listed
+    df = spark.createDataFrame([(c,) for c in cmds], "cmd STRING")
+    out = flag_allowed(classify_commands(df, "cmd", rules), "cmd", allow).select(
+        "block_rule", command_decision("block_rule", "allowed", "allow").alias("d")).collect()
+    assert all(r.d == "blocked" for r in out if r.block_rule is not None)
+    assert all(r.d == "auto_run" for r in out if r.block_rule is None)
