@@ -20,9 +20,12 @@ def test_packing_has_no_single_partition_window_over_rows(spark):
     # the only SinglePartition exchange feeds the one-row-per-shard offsets
     single = [ln for ln in exchanges if ln.startswith("Exchange SinglePartition")]
     assert len(single) <= 1
-    # rows are shuffled once by shard and that exchange is reused for the totals
+    # turns are combined map-side per conversation and shuffled once (the
+    # exchange is reused for the totals); only one row per conversation moves
+    # to the range shards
     assert any(ln.startswith("ReusedExchange") for ln in lines)
-    assert len([ln for ln in exchanges if ln.startswith("Exchange hashpartitioning(_shard")]) == 1
+    assert len([ln for ln in exchanges if ln.startswith("Exchange hashpartitioning(conv_id")]) == 1
+    assert any("partial_sum" in ln for ln in lines)
 
 
 def test_rule_classification_is_a_projection(spark):

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from weft.functions.chat import render_chat, render_turn
 from weft.functions.text import token_count, tokens
-from weft.operators.ordering import SHARD, running_offsets, with_range_shards
+from weft.operators.ordering import (
+    SHARD,
+    default_shards,
+    running_offsets,
+    shard_bounds,
+    with_range_shards,
+)
 from weft.operators.records import collect_messages
 from weft.operators.sequences import (
     group_by_length,
@@ -30,15 +36,18 @@ def chat_packs_df(spark: SparkSession, sf_dir: str, length: int = PACK_LEN,
     """Flagship: conversations -> messages -> ChatML text -> token packs.
 
     Rendered ChatML ends every message with a newline, so the token count of a
-    conversation is the sum of its messages' counts: the per-turn counts are
-    computed map-side and only ``(shard, conv_id, n)`` is shuffled -- once.
-    A conversation with a third of all turns is never collected anywhere.
+    conversation is the sum of its messages' counts.  Per-turn counts are
+    computed where the turns are read and summed per conversation with a
+    map-side partial aggregate, so a conversation holding a third of all
+    turns leaves each map task as one row and is never gathered.  Only one
+    row per conversation then goes to the range shards for the exact,
+    shard-wise packing offsets.
     """
     turns = table(spark, sf_dir, "conversations")
     per_turn = turns.select("conv_id", token_count(render_turn("role", "text")).alias("n"))
-    sharded = with_range_shards(per_turn, "conv_id")
-    convs = sharded.groupBy(SHARD, "conv_id").agg((F.sum("n") + F.lit(sep)).alias("_len"))
-    offs = running_offsets(convs, ["conv_id"], "_len")
+    convs = per_turn.groupBy("conv_id").agg((F.sum("n") + F.lit(sep)).alias("_len"))
+    sharded = with_range_shards(convs, "conv_id", bounds=shard_bounds(turns, "conv_id", default_shards(turns)))
+    offs = running_offsets(sharded, ["conv_id"], "_len")
     return pack_summary(pack_pieces(offs, "conv_id", length), length).select(
         F.col("pack_id").cast("long").alias("pack_id"),
         F.col("n_tokens").cast("long").alias("n_tokens"),
