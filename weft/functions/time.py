@@ -1,4 +1,4 @@
-"""Display time (the dashboard's ``%Y-%m-%d %H:%M`` or ``never``)."""
+"""Display time (``%Y-%m-%d %H:%M`` in the session time zone, or ``never``)."""
 
 from __future__ import annotations
 

@@ -257,7 +257,13 @@ def match_approvals(calls: DataFrame, decisions: DataFrame, key: str = "session_
 # ---------------------------------------------------------------- P13 / A4
 
 def event_line(kind, text, cmd, stdout, stderr, return_code, iteration) -> Column:
-    """One display line per event kind."""
+    """One display line per event kind.
+
+    Fixed values, the line formats by kind: start ``▶ text``; model ``[model
+    #i] text``; tool_call ``[tool_call #i] $ cmd``; tool_result ``[tool_result
+    rc=N]`` newline stdout (newline ``[stderr]`` newline stderr); blocked
+    ``[BLOCKED] cmd (text)``; skipped ``[skipped] cmd``; done ``■ text``;
+    error ``[ERROR] text``; anything else its JSON."""
     k = col_(kind)
     it = col_(iteration).cast("string")
     s = lambda c: F.coalesce(col_(c).cast("string"), F.lit(""))

@@ -30,6 +30,11 @@ REQUIRED_KEYS = {
 }
 KNOWN_TEXT_FIELDS = ("text", "content", "body", "completion", "response", "answer")
 DEFAULT_INSTRUCTION = "Analyze this record and produce the appropriate label."
+# Instruction-record layout: headers in order, blocks joined by a blank line.
+INSTRUCTION_HEADER = "### Instruction:\n"
+INPUT_HEADER = "### Input:\n"
+RESPONSE_HEADER = "### Response:\n"
+BLOCK_SEP = "\n\n"
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()),
                         T.StructField("content", T.StringType())])
@@ -93,9 +98,9 @@ def parse_record(line) -> Column:
 def alpaca_to_text(instruction, inp, output) -> Column:
     """The Input block is dropped when input is missing, null or ''."""
     i, x, o = col_(instruction), col_(inp), col_(output)
-    with_input = F.concat(F.lit("### Instruction:\n"), i, F.lit("\n\n### Input:\n"), x,
-                          F.lit("\n\n### Response:\n"), o)
-    without = F.concat(F.lit("### Instruction:\n"), i, F.lit("\n\n### Response:\n"), o)
+    head, sep = F.lit(INSTRUCTION_HEADER), F.lit(BLOCK_SEP)
+    with_input = F.concat(head, i, sep, F.lit(INPUT_HEADER), x, sep, F.lit(RESPONSE_HEADER), o)
+    without = F.concat(head, i, sep, F.lit(RESPONSE_HEADER), o)
     return F.when(truthy_str(x), with_input).otherwise(without)
 
 
