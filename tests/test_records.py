@@ -115,11 +115,14 @@ def test_read_jsonl_and_prepare_counters(spark, tmp):
     with open(p, "w", encoding="utf-8") as f:
         f.write("\n".join(recs) + "\n")
     df = read_jsonl(spark, p)
-    counters = prepare_records(df, f"{tmp}/out", f"{tmp}/q")
+    counters = prepare_records(df, f"{tmp}/out")
     keys = counters.pop("unmapped_keys")
     assert counters == {"n_read": 5, "n_written": 2, "n_skipped": 3}
     assert len(keys) == 3 and ["n"] in keys and ["text"] in keys and None in keys
-    written = [json.loads(r.value) for r in spark.read.text(f"{tmp}/out").collect()]
+    written = [json.loads(r.value) for r in spark.read.text(f"{tmp}/out/mapped=true").collect()]
+    assert spark.read.text(f"{tmp}/out/mapped=false").count() == 3
+    limited = prepare_records(read_jsonl(spark, p), f"{tmp}/out2", limit=1, order=[F.col("_row")])
+    assert limited["n_written"] == 1 and spark.read.text(f"{tmp}/out2/mapped=true").count() == 1
     assert sorted(map(json.dumps, written)) == sorted(
         [json.dumps({"text": "a"}), json.dumps({"prompt": "p", "completion": "c"})])
 

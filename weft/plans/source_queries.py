@@ -13,7 +13,13 @@ from weft.plans.registry import query
 from weft.plans.tables import table
 from weft.session import scratch_dir
 from weft.sources.files import dataset_catalog, read_csv, read_jsonl, read_table
-from weft.sources.sinks import prepare_records, write_records, write_run_meta, write_text_dataset
+from weft.sources.sinks import (
+    RECORDS_DIR,
+    prepare_records,
+    write_records,
+    write_run_meta,
+    write_text_dataset,
+)
 
 
 @query("jsonl_round_trip", "SNK1 SRC1 P1", sql=_MAPPED_SQL + """
@@ -65,11 +71,11 @@ def table_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _prepare(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     base = scratch_dir(spark, "prepare")
-    raw, rec, quar, txt, runs = (f"{base}/{x}" for x in ("raw", "records", "quarantine", "text", "runs"))
+    raw, out, txt, runs = (f"{base}/{x}" for x in ("raw", "prepared", "text", "runs"))
     jsonl_lines(spark, sf_dir).select("value").write.text(raw)
     normalized = read_jsonl(spark, raw)
-    counters = prepare_records(normalized, rec, quar)
-    write_text_dataset(read_jsonl(spark, rec), txt)
+    counters = prepare_records(normalized, out)
+    write_text_dataset(read_jsonl(spark, f"{out}/{RECORDS_DIR}"), txt)
     write_run_meta(spark, runs, {"source": "tables", "policy": "per_row"}, counters)
     return txt, runs
 

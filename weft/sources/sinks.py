@@ -45,30 +45,45 @@ def write_run_meta(spark: SparkSession, path: str, params: dict, counters: dict
     return df
 
 
-def prepare_records(df: DataFrame, out_path: str, quarantine_path: str | None = None,
-                    limit: int | None = None, order: list | None = None, key: str | None = None,
-                    fmt: str = "format") -> dict:
-    """A1 + F2 + L1 + SNK1: write mapped records (and the quarantine) and
-    return ``n_read, n_written, n_skipped`` observed on the write itself --
-    no second pass over the input.
+RECORDS_DIR = "mapped=true"
+QUARANTINE_DIR = "mapped=false"
+
 
-    With a limit the whole input is still read (there is no early stop), so
-    ``n_skipped`` counts every unmapped row.  Raises when nothing was
-    written (the fetch tool exits 2 then).
+def prepare_records(df: DataFrame, out_path: str, limit: int | None = None,
+                    order: list | None = None, key: str | None = None,
+                    fmt: str = "format") -> dict:
+    """A1 + F2 + L1 + SNK1 in one pass: canonical records go to
+    ``<out>/mapped=true`` and the quarantine (the raw line, or the row as
+    JSON) to ``<out>/mapped=false`` -- one write partitioned by the mapped
+    flag, so the input is parsed once -- and ``n_read, n_written,
+    n_skipped`` are observed on that same write.  ``unmapped_keys`` holds the
+    keys of three quarantined rows, read back from the quarantine.
+
+    With a limit the mapped rows are cut first (L1) and the quarantine is a
+    second write; the whole input is still read (no early stop), so
+    ``n_skipped`` counts every unmapped row.  Raises when nothing was written.
     """
     observed, obs = observe_counters(df, fmt=fmt)
-    mapped = limit_written(observed, limit, order or [F.col(fmt)], key=key, fmt=fmt)
-    write_records(mapped, out_path, fmt)
+    raw = F.col("value") if "value" in df.columns else F.to_json(
+        F.struct(*[c for c in df.columns if not c.startswith("_")]), {"ignoreNullFields": "false"})
+    mapped = F.col(fmt).isNotNull()
+    if not limit:
+        (observed.select(mapped.alias("mapped"), F.when(mapped, canonical_json(fmt)).otherwise(raw).alias("value"))
+         .write.mode("overwrite").partitionBy("mapped").text(out_path))
+    else:
+        write_records(limit_written(observed, limit, order or [F.col(fmt)], key=key, fmt=fmt),
+                      f"{out_path}/{RECORDS_DIR}", fmt)
+        df.where(~mapped).select(raw.alias("value")).write.mode("overwrite").text(
+            f"{out_path}/{QUARANTINE_DIR}")
     counters = {k: int(v) for k, v in obs.get.items()}
-    # The first three unmapped rows' keys, for the log line (3 rows, bounded).
-    if "_keys" in df.columns:
-        counters["unmapped_keys"] = [r["_keys"] for r in
-                                     df.where(F.col(fmt).isNull()).select("_keys").limit(3).collect()]
     if limit:
         counters["n_written"] = min(int(limit), counters["n_written"])
-    if quarantine_path:
-        df.where(F.col(fmt).isNull()).write.mode("overwrite").option("ignoreNullFields", False) \
-            .json(quarantine_path)
+    if counters.get("n_skipped", 0):
+        sample = (df.sparkSession.read.text(f"{out_path}/{QUARANTINE_DIR}").limit(3)
+                  .select(F.json_object_keys("value").alias("k")).collect())
+        counters["unmapped_keys"] = [r["k"] for r in sample]
+    else:
+        counters["unmapped_keys"] = []
     if counters.get("n_written", 0) == 0:
         raise RuntimeError("0 records written")
     return counters
