@@ -211,26 +211,26 @@ def ladder_lookup(df: DataFrame, value: str, ladder: DataFrame, lo: str = "lo",
             e = F.when(v >= F.lit(t), F.lit(nm)).otherwise(e)
         return df.withColumn(out_col, F.when(low, F.lit(floor_name)).otherwise(e))
     iv = ladder.select(F.col(lo).cast("double").alias("_lo"), F.col(name).alias("_nm"))
-    w = Window.orderBy("_lo")  # the ladder only: bounded by its checked size
-    iv = (iv.withColumn("_hi", F.lead("_lo").over(w))
-          .withColumn("_first", F.row_number().over(w) == 1)
-          .withColumn("_lo", F.when(F.col("_first"), F.lit(float("-inf"))).otherwise(F.col("_lo")))
-          .withColumn("_hi", F.coalesce("_hi", F.lit(float("inf")))))
     n = ladder.count()
     keyed = df.withColumn("_v", v.cast("double"))
     cond = (F.col("_v") >= F.col("_lo")) & (F.col("_v") < F.col("_hi"))
     if n <= MAX_BROADCAST_LADDER:
+        w = Window.orderBy("_lo")  # the ladder only: bounded by the checked size
+        iv = (iv.withColumn("_hi", F.coalesce(F.lead("_lo").over(w), F.lit(float("inf"))))
+              .withColumn("_lo", F.when(F.row_number().over(w) == 1, F.lit(float("-inf")))
+                          .otherwise(F.col("_lo"))))
         j = keyed.join(F.broadcast(iv.select("_lo", "_hi", "_nm")), cond, "left")
     else:
+        iv = _intervals_sharded(iv)
         probs = [i / 1024 for i in range(1, 1024)]
         bounds = sorted({float(b) for b in iv.approxQuantile("_lo", probs, 1 / 4096)
-                         if b not in (float("-inf"),)})
-        splits = [float("-inf")] + [b for b in bounds if b not in (float("inf"), float("-inf"))] + [float("inf")]
+                         if b not in (float("-inf"), float("inf"))})
+        splits = [float("-inf")] + bounds + [float("inf")]
         bz = lambda i, o: Bucketizer(splits=splits, inputCol=i, outputCol=o, handleInvalid="keep")
         ivb = bz("_lo", "_blo").transform(iv)
         ivb = bz("_hi", "_bhi").transform(ivb).withColumn(
             "_bin", F.explode(F.sequence(F.col("_blo").cast("int"), F.col("_bhi").cast("int"))))
-        kb = bz("_v", "_bin").transform(keyed.fillna({"_v": 0.0}).withColumn(
+        kb = bz("_v", "_bin").transform(keyed.withColumn(
             "_v", F.coalesce(F.col("_v"), F.lit(0.0)))).withColumn("_bin", F.col("_bin").cast("int"))
         j = kb.join(ivb.select("_bin", "_lo", "_hi", "_nm"), ["_bin"], "left").where(cond | F.col("_nm").isNull()) \
             .drop("_bin")
@@ -238,6 +238,25 @@ def ladder_lookup(df: DataFrame, value: str, ladder: DataFrame, lo: str = "lo",
             .drop("_v", "_lo", "_hi", "_nm"))
 
 
+def _intervals_sharded(iv: DataFrame) -> DataFrame:
+    """``[lo, next lo)`` for a large ladder without a single-partition window:
+    ``lead`` inside range shards, the next shard's minimum at shard ends (one
+    row per shard, broadcast), ``-inf`` for the lowest rung."""
+    from weft.operators.ordering import SHARD, with_range_shards
+
+    sh = with_range_shards(iv, "_lo")
+    mins = sh.groupBy(SHARD).agg(F.min("_lo").alias("_min"))
+    ws = Window.orderBy(SHARD)  # one row per shard
+    mins = mins.select(SHARD, F.lead("_min").over(ws).alias("_next"),
+                       (F.row_number().over(ws) == 1).alias("_first_shard"), "_min")
+    w = Window.partitionBy(SHARD).orderBy("_lo")
+    out = sh.join(F.broadcast(mins), SHARD, "left").withColumn(
+        "_hi", F.coalesce(F.lead("_lo").over(w), F.col("_next"), F.lit(float("inf"))))
+    return out.withColumn("_lo", F.when(F.col("_first_shard") & (F.col("_lo") == F.col("_min")),
+                                        F.lit(float("-inf"))).otherwise(F.col("_lo"))) \
+        .select("_lo", "_hi", "_nm")
+
+
 def dedupe_ladder(ladder: DataFrame, threshold: str, order: str = "lo") -> DataFrame:
     """Keep the lowest rung per repeated threshold value (e.g. max_length)."""
     return ladder.groupBy(threshold).agg(F.min_by("name", order).alias("name")).withColumnRenamed(
