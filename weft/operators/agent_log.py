@@ -226,12 +226,14 @@ def match_approvals(calls: DataFrame, decisions: DataFrame, key: str = "session_
     """
     width = int(timeout_s) * 1_000_000
     bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(width))
+    call_cols = F.struct(*[F.col(c) for c in calls.columns])
     c = calls.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.col(call_id).alias("_id"),
                      F.lit(0).alias("_kind"), F.lit(None).cast("boolean").alias("_dec"),
-                     bucket(ts).alias("_b"))
+                     bucket(ts).alias("_b"), call_cols.alias("_call"))
     d0 = decisions.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"),
                           F.col(decision_id).alias("_id"), F.lit(1).alias("_kind"),
-                          F.col(decision_col).cast("boolean").alias("_dec"), bucket(ts).alias("_b0"))
+                          F.col(decision_col).cast("boolean").alias("_dec"), bucket(ts).alias("_b0"),
+                          F.lit(None).cast(c.schema["_call"].dataType).alias("_call"))
     d = d0.withColumn("_b", F.explode(F.array(F.col("_b0"), F.col("_b0") - 1))).drop("_b0")
     both = c.unionByName(d)
     w = (Window.partitionBy("_k", "_b")
@@ -239,19 +241,17 @@ def match_approvals(calls: DataFrame, decisions: DataFrame, key: str = "session_
          .rowsBetween(Window.unboundedPreceding, 0))
     nxt = F.min(F.when(F.col("_kind") == 1, F.struct(
         F.col("_ts").alias("t"), F.col("_id").alias("i"), F.col("_dec").alias("d")))).over(w)
+    # A call row travels with its own columns, so no join back to the calls.
     found = (both.withColumn("_n", nxt).where(F.col("_kind") == 0)
              .withColumn("_hit", F.col("_n")["t"] <= F.col("_ts") + F.expr(f"INTERVAL {int(timeout_s)} SECONDS")))
-    m = found.select(
-        F.col("_id").alias("_cid"),
+    dec = F.when(F.col("_hit"), F.col("_n")["d"])
+    return found.select(
+        "_call.*",
         F.when(F.col("_hit"), F.col("_n")["i"]).alias("decision_id"),
         F.when(F.col("_hit"), F.col("_n")["t"]).alias("decided_at"),
-        F.when(F.col("_hit"), F.col("_n")["d"]).alias("_d"))
-    m = m.select("_cid", "decision_id", "decided_at",
-                 F.coalesce(F.col("_d"), F.lit(False)).alias("approved"),
-                 F.when(F.col("decision_id").isNull(), F.lit("timed_out"))
-                 .when(F.col("_d"), F.lit("approved")).otherwise(F.lit("rejected")).alias("outcome"))
-    # Back to the calls' own columns: one row per call, joined on its id.
-    return calls.join(m, calls[call_id] == m["_cid"], "left").drop("_cid")
+        F.coalesce(dec, F.lit(False)).alias("approved"),
+        F.when(~F.coalesce(F.col("_hit"), F.lit(False)), F.lit("timed_out"))
+         .when(dec, F.lit("approved")).otherwise(F.lit("rejected")).alias("outcome"))
 
 
 # ---------------------------------------------------------------- P13 / A4
