@@ -89,3 +89,15 @@ def test_run_meta(spark, tmp):
     write_run_meta(spark, f"{tmp}/runs", {"lr": 1e-4}, {"n_written": 3}, world_size=2)
     write_run_meta(spark, f"{tmp}/runs", {"lr": 2e-4}, {"n_written": 4}, world_size=2)
     assert spark.read.parquet(f"{tmp}/runs").count() == 2
+
+
+def test_upper_median_many_distinct_values(spark):
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 == 0 else f"g{i % 7}", float(rng.randint(0, 5000))) for i in range(3001)]
+    rows += [("single", 5.0), ("pair", 1.0), ("pair", 2.0)]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE")
+    got = {r.g: (r.upper_median, r.n, r.n_within) for r in group_value_stats(df, "g", "v", n_bins=16).collect()}
+    for g in {r[0] for r in rows}:
+        vs = sorted(v for gg, v in rows if gg == g)
+        m = vs[len(vs) // 2]
+        assert got[g] == (m, len(vs), sum(1 for v in vs if abs(v - m) <= 1.0))

@@ -127,23 +127,46 @@ def keep_ids(df: DataFrame, col: str, ids) -> DataFrame:
     return df.where(F.col(col).isin(list(ids)))
 
 
+MEDIAN_BINS = 64
+
+
 def group_value_stats(df: DataFrame, group: str, value: str,
-                      tol: float = HETEROGENEITY_TOLERANCE_GB) -> DataFrame:
+                      tol: float = HETEROGENEITY_TOLERANCE_GB, n_bins: int = MEDIAN_BINS) -> DataFrame:
     """A3 and the counts F7 needs, per group: ``n``, ``upper_median``
     (``sorted(v)[n // 2]``; not ``percentile_disc(0.5)``, the lower median)
     and ``n_within`` (rows with ``|v - median| <= tol``).
 
-    Rows are first reduced to (group, value, count) -- map-side partial
-    aggregation -- so a hot group with repeated values never reaches one task
-    whole; ranks are cumulative counts over the distinct values.
+    Exact, without sorting a hot group in one task:
+    1. rows -> (group, value, count), a map-side partial aggregate;
+    2. values fall into ``n_bins`` global bins (approximate quantiles, one
+       small driver round trip); per (group, bin) counts and their running
+       sum over at most ``n_bins`` rows per group find the bin that holds
+       rank ``n // 2 + 1`` and the rank left inside it;
+    3. only the distinct values of that one bin are ranked per group.
     """
-    hist = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    hist = (hist.withColumn("_cum", F.sum("_c").over(w))
-            .withColumn("n", F.sum("_c").over(Window.partitionBy(group))))
+    from weft.operators.ordering import shard_bounds
+
+    hist = (df.where(F.col(value).isNotNull()).groupBy(group, value)
+            .agg(F.count(F.lit(1)).alias("_c")))
+    bounds = shard_bounds(hist, value, n_bins)
+    if bounds:
+        splits = [float("-inf")] + bounds + [float("inf")]
+        hist = Bucketizer(splits=splits, inputCol="_vd", outputCol="_bin", handleInvalid="keep") \
+            .transform(hist.withColumn("_vd", F.col(value).cast("double"))).drop("_vd")
+    else:
+        hist = hist.withColumn("_bin", F.lit(0.0))
+    bins = hist.groupBy(group, "_bin").agg(F.sum("_c").alias("_bc"))
+    wb = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = (bins.withColumn("_cum", F.sum("_bc").over(wb))
+            .withColumn("n", F.sum("_bc").over(Window.partitionBy(group))))
     target = F.floor(F.col("n") / 2) + 1
-    med = hist.where((F.col("_cum") >= target) & (F.col("_cum") - F.col("_c") < target)).select(
-        group, F.col(value).alias("upper_median"), "n")
+    tb = bins.where((F.col("_cum") >= target) & (F.col("_cum") - F.col("_bc") < target)).select(
+        group, "_bin", "n", (target - (F.col("_cum") - F.col("_bc"))).alias("_r"))
+    cand = hist.join(tb, [group, "_bin"])
+    wv = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    med = (cand.withColumn("_cum2", F.sum("_c").over(wv))
+           .where((F.col("_cum2") >= F.col("_r")) & (F.col("_cum2") - F.col("_c") < F.col("_r")))
+           .select(group, F.col(value).alias("upper_median"), "n"))
     within = (hist.join(med.select(group, "upper_median"), group)
               .where(F.abs(F.col(value) - F.col("upper_median")) <= tol)
               .groupBy(group).agg(F.sum("_c").alias("n_within")))
