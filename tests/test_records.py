@@ -132,3 +132,16 @@ def test_read_jsonl_empty_raises(spark, tmp):
     open(p, "w").close()
     with pytest.raises(ValueError):
         read_jsonl(spark, p)
+
+
+def test_write_jsonl_keeps_nulls_and_non_ascii(spark, tmp):
+    from weft.functions.text import split_list
+    from weft.sources.sinks import write_jsonl
+
+    write_jsonl(spark.createDataFrame([(None, "é")], "a STRING, b STRING"), f"{tmp}/j")
+    import glob
+
+    text = "".join(open(f, encoding="utf-8").read() for f in glob.glob(f"{tmp}/j/*.json"))
+    assert text.strip() == '{"a":null,"b":"é"}'
+    df = spark.createDataFrame([(" a, ,b ,",)], "s STRING")
+    assert df.select(split_list("s").alias("x")).first().x == ["a", "b"]

@@ -96,3 +96,15 @@ def test_approvals_stream(spark, tmp):
     bd = spark.createDataFrame(decs, ds).withColumnRenamed("decision_id", "event_id")
     batch = {r.event_id: (r.decision_id, r.outcome) for r in match_approvals(bc, bd, timeout_s=300).collect()}
     assert batch == {k: got[k] for k in (1, 2, 3)}
+
+
+def test_job_status_per_tick(spark, tmp):
+    from weft.streaming.streams import job_status
+
+    _write_lines(f"{tmp}/logs/0.json", [json.dumps({"job_id": "j", "seq": i, "line": f"l{i}"}) for i in range(3)])
+    _write_lines(f"{tmp}/logs/1.json", [json.dumps({"job_id": "j", "seq": 3, "line": "[exit 0]"})])
+    q, out = run_to_table(job_status(stream_log(spark, f"{tmp}/logs", max_files_per_trigger=1)), spark,
+                          "st", "update", checkpoint=f"{tmp}/ck")
+    q.awaitTermination()
+    snaps = spark.read.parquet(out).orderBy("batch").collect()
+    assert [(r.n_lines, r.last_line) for r in snaps] == [(3, "l2"), (4, "[exit 0]")]

@@ -77,11 +77,15 @@ LOG_SCHEMA = T.StructType([
 ])
 
 
-def stream_log(spark: SparkSession, log_dir: str) -> DataFrame:
+def stream_log(spark: SparkSession, log_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """SRC5: log records ``{job_id, seq, line}`` from *rolled* files (the
     file source reads a file once; it does not follow appends).  The offsets
-    in the checkpoint are each consumer's cursor: it sees only new lines."""
-    return spark.readStream.schema(LOG_SCHEMA).json(log_dir)
+    in the checkpoint are each consumer's cursor: it sees only new lines.
+    ``max_files_per_trigger`` paces the consumer (the rate limit)."""
+    r = spark.readStream.schema(LOG_SCHEMA)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.json(log_dir)
 
 
 TAIL_SCHEMA = "job_id STRING, seq LONG, line STRING, pos INT"
