@@ -89,26 +89,50 @@ def stream_device_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 APPROVAL_WINDOW_S = 86400
-
-
-@query("stream_approvals", "ST3 J3")
+WATERMARK_DELAY = "1 hour"
+
+
+@query("stream_approvals", "ST3 J3", sql=f"""
+WITH e AS (SELECT event_id, ts, user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+p AS (SELECT * FROM e WHERE event_type = 'purchase'),
+c AS (SELECT * FROM e WHERE event_type = 'click'),
+j AS (SELECT p.event_id, p.user_id, p.ts, c.event_id AS decision_id, c.ts AS decided_at, (c.k % 2 = 0) AS d,
+             row_number() OVER (PARTITION BY p.event_id ORDER BY c.ts, c.event_id) AS rn
+      FROM p LEFT JOIN c ON c.user_id = p.user_id AND c.ts >= p.ts
+                        AND c.ts <= p.ts + INTERVAL {APPROVAL_WINDOW_S} SECOND)
+SELECT event_id, user_id, ts, decision_id, decided_at, coalesce(d, false) AS approved,
+       CASE WHEN decision_id IS NULL THEN 'timed_out' WHEN d THEN 'approved' ELSE 'rejected' END AS outcome
+FROM j WHERE rn = 1
+""")
 def stream_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows-only check: calls within the last time-out + delay of the stream
-    stay pending in state until later data moves the watermark."""
+    """Calls and decisions as two streams.  After the table's rows, one
+    end-of-input marker per stream (session -1, stamped past the last event
+    by more than time-out + delay, computed in Spark from the table) moves
+    the watermark so every real call is emitted; the marker is dropped."""
     base = scratch_dir(spark, "st3")
     ev = table(spark, sf_dir, "events").withColumn(
         "k", F.get_json_object("props", "$.k").cast("int"))
-    ev.where(F.col("event_type") == "purchase").select(
+    calls = ev.where(F.col("event_type") == "purchase").select(
         F.col("user_id").alias("session_id"), F.col("event_id").alias("call_id"),
-        F.col("ts").cast("timestamp").alias("ts")).write.parquet(f"{base}/calls")
-    ev.where(F.col("event_type") == "click").select(
+        F.col("ts").cast("timestamp").alias("ts"))
+    decs = ev.where(F.col("event_type") == "click").select(
         F.col("user_id").alias("session_id"), F.col("event_id").alias("decision_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        (F.pmod("k", F.lit(2)) == 0).alias("decision")).write.parquet(f"{base}/decisions")
-    calls = spark.readStream.schema("session_id BIGINT, call_id BIGINT, ts TIMESTAMP").parquet(f"{base}/calls")
-    decs = spark.readStream.schema(
+        F.col("ts").cast("timestamp").alias("ts"), (F.pmod("k", F.lit(2)) == 0).alias("decision"))
+    calls.write.parquet(f"{base}/calls")
+    decs.write.parquet(f"{base}/decisions")
+    end = ev.agg((F.max(F.col("ts").cast("timestamp"))
+                  + F.expr(f"INTERVAL {3 * APPROVAL_WINDOW_S} SECONDS")).alias("ts"))
+    end.select(F.lit(-1).cast("long").alias("session_id"), F.lit(-1).cast("long").alias("call_id"), "ts") \
+        .write.mode("append").parquet(f"{base}/calls")
+    end.select(F.lit(-1).cast("long").alias("session_id"), F.lit(-1).cast("long").alias("decision_id"), "ts",
+               F.lit(False).alias("decision")).write.mode("append").parquet(f"{base}/decisions")
+    cs = spark.readStream.schema("session_id BIGINT, call_id BIGINT, ts TIMESTAMP").parquet(f"{base}/calls")
+    ds = spark.readStream.schema(
         "session_id BIGINT, decision_id BIGINT, ts TIMESTAMP, decision BOOLEAN").parquet(f"{base}/decisions")
-    out_df = approvals_stream(calls, decs, timeout_s=APPROVAL_WINDOW_S, delay="1 hour")
+    out_df = approvals_stream(cs, ds, timeout_s=APPROVAL_WINDOW_S, delay=WATERMARK_DELAY)
     q, out = run_to_table(out_df, spark, "st3", "append", checkpoint=f"{base}/ckpt")
     q.awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    res = spark.read.parquet(out).where(F.col("session_id") >= 0)
+    return res.select(F.col("call_id").alias("event_id"), F.col("session_id").alias("user_id"),
+                      F.col("ts").cast("timestamp_ntz").alias("ts"), "decision_id",
+                      F.col("decided_at").cast("timestamp_ntz").alias("decided_at"), "approved", "outcome")
