@@ -17,29 +17,38 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   app_name: str = "weft") -> SparkSession:
     """A session configured the way the operators expect.
 
-    On a cluster the master and most sizes come from spark-submit; here we only
-    fill in what is unset. ``spark.ui.enabled`` stays off: no web server.
+    On a cluster the master and the sizes come from spark-submit; a setting
+    already present there (or in spark-defaults) is never overridden -- only
+    unset ones are filled in.  ``spark.ui.enabled`` stays off: no web server.
     """
-    builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
+    from pyspark import SparkConf, SparkContext
+
+    if os.environ.get("PYSPARK_GATEWAY_PORT"):
+        # Launched by spark-submit: attach to its JVM so SparkConf sees --conf.
+        SparkContext._ensure_initialized()
+    present = SparkConf()  # spark-submit / spark-defaults values (empty in plain python)
     cpus = os.cpu_count() or 8
-    builder = (
-        builder
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+    defaults = {
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": str(shuffle_partitions or cpus),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Streaming state off the JVM heap, checkpointed as change logs.
-        .config("spark.sql.streaming.stateStore.providerClass",
-                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-        .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("WEFT_DRIVER_MEMORY", "16g"))
-    )
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.driver.memory": os.environ.get("WEFT_DRIVER_MEMORY", "16g"),
+    }
+    builder = SparkSession.builder.appName(app_name)
+    if master and not present.contains("spark.master"):
+        builder = builder.master(master)
+    for k, v in defaults.items():
+        if not present.contains(k):
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
