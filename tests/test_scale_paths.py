@@ -94,9 +94,10 @@ def test_run_meta(spark, tmp):
 def test_upper_median_many_distinct_values(spark):
     rng = random.Random(4)
     rows = [("hot" if i % 3 == 0 else f"g{i % 7}", float(rng.randint(0, 5000))) for i in range(3001)]
-    rows += [("single", 5.0), ("pair", 1.0), ("pair", 2.0)]
+    rows += [("single", 5.0), ("pair", 1.0), ("pair", 2.0), ("neg", -3.0), ("neg", 0.0), ("neg", -0.5),
+             ("neg", 7.0)]
     df = spark.createDataFrame(rows, "g STRING, v DOUBLE")
-    got = {r.g: (r.upper_median, r.n, r.n_within) for r in group_value_stats(df, "g", "v", n_bins=16).collect()}
+    got = {r.g: (r.upper_median, r.n, r.n_within) for r in group_value_stats(df, "g", "v", per_octave=2).collect()}
     for g in {r[0] for r in rows}:
         vs = sorted(v for gg, v in rows if gg == g)
         m = vs[len(vs) // 2]

@@ -127,34 +127,36 @@ def keep_ids(df: DataFrame, col: str, ids) -> DataFrame:
     return df.where(F.col(col).isin(list(ids)))
 
 
-MEDIAN_BINS = 64
+BINS_PER_OCTAVE = 16
+
+
+def log_bin(c: Column, per_octave: int = BINS_PER_OCTAVE) -> Column:
+    """An order-preserving coarse bin of a number without a pass over the
+    data: ``per_octave`` bins per power of two, mirrored for negatives, 0 on
+    its own.  (``log2`` is monotone, so ``floor(log2(v) * k)`` never reorders.)"""
+    v = c.cast("double")
+    pos = F.lit(10_000) + F.floor(F.log2(v) * per_octave)
+    neg = -(F.lit(10_000) + F.floor(F.log2(-v) * per_octave))
+    return F.when(v > 0, pos).when(v < 0, neg).otherwise(F.lit(0)).cast("long")
 
 
 def group_value_stats(df: DataFrame, group: str, value: str,
-                      tol: float = HETEROGENEITY_TOLERANCE_GB, n_bins: int = MEDIAN_BINS) -> DataFrame:
+                      tol: float = HETEROGENEITY_TOLERANCE_GB,
+                      per_octave: int = BINS_PER_OCTAVE) -> DataFrame:
     """A3 and the counts F7 needs, per group: ``n``, ``upper_median``
     (``sorted(v)[n // 2]``; not ``percentile_disc(0.5)``, the lower median)
     and ``n_within`` (rows with ``|v - median| <= tol``).
 
     Exact, without sorting a hot group in one task:
     1. rows -> (group, value, count), a map-side partial aggregate;
-    2. values fall into ``n_bins`` global bins (approximate quantiles, one
-       small driver round trip); per (group, bin) counts and their running
-       sum over at most ``n_bins`` rows per group find the bin that holds
-       rank ``n // 2 + 1`` and the rank left inside it;
+    2. values fall into order-preserving log bins (:func:`log_bin`); per
+       (group, bin) counts and their running sum over a group's few bins
+       find the bin that holds rank ``n // 2 + 1`` and the rank left in it;
     3. only the distinct values of that one bin are ranked per group.
     """
-    from weft.operators.ordering import shard_bounds
-
     hist = (df.where(F.col(value).isNotNull()).groupBy(group, value)
-            .agg(F.count(F.lit(1)).alias("_c")))
-    bounds = shard_bounds(hist, value, n_bins)
-    if bounds:
-        splits = [float("-inf")] + bounds + [float("inf")]
-        hist = Bucketizer(splits=splits, inputCol="_vd", outputCol="_bin", handleInvalid="keep") \
-            .transform(hist.withColumn("_vd", F.col(value).cast("double"))).drop("_vd")
-    else:
-        hist = hist.withColumn("_bin", F.lit(0.0))
+            .agg(F.count(F.lit(1)).alias("_c"))
+            .withColumn("_bin", log_bin(F.col(value), per_octave)))
     bins = hist.groupBy(group, "_bin").agg(F.sum("_c").alias("_bc"))
     wb = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = (bins.withColumn("_cum", F.sum("_bc").over(wb))
