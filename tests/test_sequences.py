@@ -94,3 +94,30 @@ def test_rank_shards_snake(spark):
     r = rank_shards(group_by_length(d, "id", "len", 8, 10, n_shards=4), 4)
     tot = [x["s"] for x in r.groupBy("rank").agg(F.sum("len").alias("s")).collect()]
     assert len(tot) == 4 and max(tot) - min(tot) < 0.05 * sum(tot)
+
+
+def test_pack_property_hypothesis(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.integers(min_value=0, max_value=1500), min_size=1, max_size=40),
+           st.sampled_from([7, 64, 512]), st.sampled_from([0, 1]))
+    def check(lengths, L, sep):
+        df = spark.createDataFrame([(i * 3 + 1, n) for i, n in enumerate(lengths)], "id LONG, n INT")
+        got = sorted(tuple(r) for r in pack(df, "id", "n", L, sep=sep, n_shards=3).collect())
+        assert got == brute_pack(lengths, L, sep)
+        assert sum(t for _, t, _ in got) == sum(lengths) + sep * len(lengths)
+        assert all(t <= L for _, t, _ in got)
+
+    check()
+
+
+def test_write_rank_shards(spark, tmp):
+    from weft.sources.sinks import write_rank_shards
+
+    d = spark.createDataFrame([(i, i % 3) for i in range(9)], "id LONG, rank INT")
+    write_rank_shards(d, f"{tmp}/ranks")
+    import os
+
+    assert sorted(x for x in os.listdir(f"{tmp}/ranks") if x.startswith("rank=")) == ["rank=0", "rank=1", "rank=2"]
