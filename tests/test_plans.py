@@ -83,3 +83,13 @@ def test_large_ladder_is_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(1.0,), (20.0,)], "v DOUBLE")
     plan = _executed(ops_tables.ladder_lookup(df, "v", ops_tables.tier_ladder(spark)))
     assert "BroadcastNestedLoopJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_doc_packing_scans_and_tokenizes_once(spark):
+    import __spark_entry__ as E
+
+    for name in ("doc_packs", "hash_order_batches"):
+        plan = _executed(E.queries()[name](spark, SF))
+        lines = [ln.strip(" :+-") for ln in plan.split("\n")]
+        assert len([ln for ln in lines if ln.startswith("FileScan")]) == 1, name
+        assert any(ln.startswith("ReusedExchange") for ln in lines), name

@@ -73,9 +73,17 @@ def running_offsets(sharded: DataFrame, order: list, weight: str | Column,
     """
     w = weight if isinstance(weight, Column) else F.col(weight)
     rows = sharded.withColumn("_w", w.cast("long"))
-    totals = rows.groupBy(SHARD).agg(F.sum("_w").alias("_tot"))
+    # The totals read the same columns as the main branch (the shard's last
+    # row, ``_last``, keeps column pruning from narrowing their side), so both
+    # sides plan the identical shard exchange and Spark reuses it: one scan,
+    # one shuffle.
+    names = [o for o in order if isinstance(o, str)]
+    cols = names + [c for c in sharded.columns if c not in names]
+    totals = rows.groupBy(SHARD).agg(F.sum("_w").alias("_tot"),
+                                     F.max(F.struct(*cols)).alias("_last"))
     # One row per shard: a single-partition window here is bounded by n_shards.
-    offsets = totals.select(
+    # (every listed shard has a last row; the filter keeps ``_last`` in the plan)
+    offsets = totals.where(F.col("_last").isNotNull()).select(
         SHARD,
         (F.sum("_tot").over(Window.orderBy(SHARD).rowsBetween(Window.unboundedPreceding, 0))
          - F.col("_tot")).alias("_off"),
