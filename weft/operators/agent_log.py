@@ -222,27 +222,54 @@ def match_approvals(calls: DataFrame, decisions: DataFrame, key: str = "session_
     holding a third of all rows is still split into buckets of bounded time.
 
     Output: the call columns plus ``decision_id``, ``decided_at``,
-    ``approved`` and ``outcome`` (approved / rejected / timed_out).
+    ``approved`` and ``outcome`` (approved / rejected / timed_out).  When
+    calls and decisions are rows of one table, :func:`match_approvals_in`
+    reads it once.
     """
     width = int(timeout_s) * 1_000_000
-    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(width))
     call_cols = F.struct(*[F.col(c) for c in calls.columns])
     c = calls.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.col(call_id).alias("_id"),
                      F.lit(0).alias("_kind"), F.lit(None).cast("boolean").alias("_dec"),
-                     bucket(ts).alias("_b"), call_cols.alias("_call"))
-    d0 = decisions.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"),
-                          F.col(decision_id).alias("_id"), F.lit(1).alias("_kind"),
-                          F.col(decision_col).cast("boolean").alias("_dec"), bucket(ts).alias("_b0"),
-                          F.lit(None).cast(c.schema["_call"].dataType).alias("_call"))
-    d = d0.withColumn("_b", F.explode(F.array(F.col("_b0"), F.col("_b0") - 1))).drop("_b0")
-    both = c.unionByName(d)
+                     call_cols.alias("_call"))
+    d = decisions.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"),
+                         F.col(decision_id).alias("_id"), F.lit(1).alias("_kind"),
+                         F.col(decision_col).cast("boolean").alias("_dec"),
+                         F.lit(None).cast(c.schema["_call"].dataType).alias("_call"))
+    return _first_decision(c.unionByName(d), width, timeout_s)
+
+
+def match_approvals_in(events: DataFrame, is_call: Column, is_decision: Column,
+                       decision: Column, key: str = "session_id", ts: str = "ts",
+                       id_col: str = "event_id", call_cols: list[str] | None = None,
+                       timeout_s: int = APPROVAL_TIMEOUT_S) -> DataFrame:
+    """J3 over one event table holding both calls (``is_call``) and
+    decisions (``is_decision``): one scan, one shuffle.  Output columns are
+    ``call_cols`` (default: key, ts, id) of each call plus the decision
+    columns of :func:`match_approvals`."""
+    width = int(timeout_s) * 1_000_000
+    call_cols = call_cols or [id_col, key, ts]
+    kind = F.when(is_call, F.lit(0)).when(is_decision, F.lit(1))
+    both = events.where(is_call | is_decision).select(
+        F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.col(id_col).alias("_id"),
+        kind.alias("_kind"),
+        F.when(kind == 1, decision.cast("boolean")).alias("_dec"),
+        F.when(kind == 0, F.struct(*[F.col(c) for c in call_cols])).alias("_call"))
+    return _first_decision(both, width, timeout_s)
+
+
+def _first_decision(both: DataFrame, width: int, timeout_s: int) -> DataFrame:
+    """Shared core: rows ``_k, _ts, _id, _kind (0 call / 1 decision), _dec,
+    _call``; decisions go to their own and the previous time bucket."""
+    b = F.floor(F.unix_micros(F.col("_ts").cast("timestamp")) / F.lit(width))
+    buckets = F.when(F.col("_kind") == 1, F.array(b, b - 1)).otherwise(F.array(b))
+    rows = both.withColumn("_b", F.explode(buckets))
     w = (Window.partitionBy("_k", "_b")
          .orderBy(F.col("_ts").desc(), F.col("_kind").desc(), F.col("_id").desc())
          .rowsBetween(Window.unboundedPreceding, 0))
     nxt = F.min(F.when(F.col("_kind") == 1, F.struct(
         F.col("_ts").alias("t"), F.col("_id").alias("i"), F.col("_dec").alias("d")))).over(w)
     # A call row travels with its own columns, so no join back to the calls.
-    found = (both.withColumn("_n", nxt).where(F.col("_kind") == 0)
+    found = (rows.withColumn("_n", nxt).where(F.col("_kind") == 0)
              .withColumn("_hit", F.col("_n")["t"] <= F.col("_ts") + F.expr(f"INTERVAL {int(timeout_s)} SECONDS")))
     dec = F.when(F.col("_hit"), F.col("_n")["d"])
     return found.select(

@@ -20,7 +20,7 @@ from weft.operators.agent_log import (
     event_line,
     with_tool_call,
     flag_allowed,
-    match_approvals,
+    match_approvals_in,
     session_summary,
     tool_payload,
 )
@@ -170,12 +170,12 @@ SELECT event_id, user_id, ts, decision_id, decided_at, coalesce(d, false) AS app
 FROM j WHERE rn = 1
 """)
 def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").withColumn(
-        "k", F.get_json_object("props", "$.k").cast("int"))
-    calls = ev.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
-    decs = ev.where(F.col("event_type") == "click").select(
-        "event_id", "user_id", "ts", (F.pmod("k", F.lit(2)) == 0).alias("decision"))
-    return match_approvals(calls, decs, key="user_id", timeout_s=APPROVAL_TIMEOUT_S)
+    # Calls (purchase) and decisions (click) are rows of one table: one scan.
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return match_approvals_in(ev, F.col("event_type") == "purchase", F.col("event_type") == "click",
+                              F.pmod(k, F.lit(2)) == 0, key="user_id",
+                              call_cols=["event_id", "user_id", "ts"], timeout_s=APPROVAL_TIMEOUT_S)
 
 
 def _agent_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
