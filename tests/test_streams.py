@@ -103,6 +103,9 @@ def test_job_status_per_tick(spark, tmp):
 
     _write_lines(f"{tmp}/logs/0.json", [json.dumps({"job_id": "j", "seq": i, "line": f"l{i}"}) for i in range(3)])
     _write_lines(f"{tmp}/logs/1.json", [json.dumps({"job_id": "j", "seq": 3, "line": "[exit 0]"})])
+    # the file source takes files in modification-time order
+    os.utime(f"{tmp}/logs/0.json", (1_700_000_000, 1_700_000_000))
+    os.utime(f"{tmp}/logs/1.json", (1_700_000_100, 1_700_000_100))
     q, out = run_to_table(job_status(stream_log(spark, f"{tmp}/logs", max_files_per_trigger=1)), spark,
                           "st", "update", checkpoint=f"{tmp}/ck")
     q.awaitTermination()
