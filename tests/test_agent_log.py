@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from weft.operators.agent_log import (
     classify_commands,
     command_decision,

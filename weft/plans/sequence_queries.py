@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from weft.functions.chat import render_chat, render_turn
 from weft.functions.text import token_count, tokens
 from weft.operators.ordering import (
-    SHARD,
     default_shards,
     running_offsets,
     shard_bounds,

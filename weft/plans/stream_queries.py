@@ -7,13 +7,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.plans.ops_queries import LINE_SQL, _SAMPLES_SQL, TOTAL_MB
+from weft.plans.ops_queries import LINE_SQL, _SAMPLES_SQL
 from weft.plans.record_queries import _LINES_SQL, jsonl_lines
 from weft.plans.registry import query
 from weft.plans.tables import table
 from weft.session import scratch_dir
 from weft.streaming.streams import (
-    LOG_SCHEMA,
     approvals_stream,
     landing_to_prepared,
     latest_samples,
