@@ -49,7 +49,7 @@ def test_alpaca_missing_input_key(spark):
 
 
 def test_blank_lines_dropped(spark):
-    lines = ["", "   ", "\t", " ", "\x1c", '{"text":"t"}']
+    lines = ["", "   ", "\t", "\u00a0", "\u3000 \u2003", "\x1c", '{"text":"t"}']
     df = spark.createDataFrame([(l,) for l in lines], "value STRING")
     out = normalize_lines(df).collect()
     assert [(r.format, r.text) for r in out] == [("text", "t")]
