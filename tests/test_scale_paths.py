@@ -48,6 +48,8 @@ def test_approvals_hot_session_matches_pairs(spark):
     c = spark.createDataFrame([(i, s, ts) for i, s, ts, _ in calls], "event_id LONG, session_id LONG, ts TIMESTAMP")
     d = spark.createDataFrame(decs, "event_id LONG, session_id LONG, ts TIMESTAMP, decision BOOLEAN")
     got = {r.event_id: r.decision_id for r in match_approvals(c, d, timeout_s=300).collect()}
+    finer = {r.event_id: r.decision_id for r in match_approvals(c, d, timeout_s=300, splits=4).collect()}
+    assert finer == got
     for i, s, ts, _ in calls:
         cands = [(dts, j) for j, ds, dts, _ in decs
                  if ds == s and ts <= dts <= ts + dt.timedelta(seconds=300)]

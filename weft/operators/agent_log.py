@@ -211,7 +211,7 @@ def command_decision(block_rule, allowed, mode) -> Column:
 def match_approvals(calls: DataFrame, decisions: DataFrame, key: str = "session_id",
                     ts: str = "ts", call_id: str = "event_id", decision_id: str = "event_id",
                     decision_col: str = "decision",
-                    timeout_s: int = APPROVAL_TIMEOUT_S) -> DataFrame:
+                    timeout_s: int = APPROVAL_TIMEOUT_S, splits: int = 1) -> DataFrame:
     """Each pending call gets the first decision for the same key with
     ``call.ts <= decision.ts <= call.ts + timeout``; none -> denied.
 
@@ -220,13 +220,15 @@ def match_approvals(calls: DataFrame, decisions: DataFrame, key: str = "session_
     hands each call the earliest later decision.  A decision is copied into
     its own and the previous bucket, which is all a call can reach, so a key
     holding a third of all rows is still split into buckets of bounded time.
+    ``splits`` > 1 narrows the buckets to ``timeout / splits`` (each decision
+    is then copied into ``splits + 1`` buckets) for keys that are hot even
+    within one time-out.
 
     Output: the call columns plus ``decision_id``, ``decided_at``,
     ``approved`` and ``outcome`` (approved / rejected / timed_out).  When
     calls and decisions are rows of one table, :func:`match_approvals_in`
     reads it once.
     """
-    width = int(timeout_s) * 1_000_000
     call_cols = F.struct(*[F.col(c) for c in calls.columns])
     c = calls.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.col(call_id).alias("_id"),
                      F.lit(0).alias("_kind"), F.lit(None).cast("boolean").alias("_dec"),
@@ -235,18 +237,17 @@ def match_approvals(calls: DataFrame, decisions: DataFrame, key: str = "session_
                          F.col(decision_id).alias("_id"), F.lit(1).alias("_kind"),
                          F.col(decision_col).cast("boolean").alias("_dec"),
                          F.lit(None).cast(c.schema["_call"].dataType).alias("_call"))
-    return _first_decision(c.unionByName(d), width, timeout_s)
+    return _first_decision(c.unionByName(d), timeout_s, splits)
 
 
 def match_approvals_in(events: DataFrame, is_call: Column, is_decision: Column,
                        decision: Column, key: str = "session_id", ts: str = "ts",
                        id_col: str = "event_id", call_cols: list[str] | None = None,
-                       timeout_s: int = APPROVAL_TIMEOUT_S) -> DataFrame:
+                       timeout_s: int = APPROVAL_TIMEOUT_S, splits: int = 1) -> DataFrame:
     """J3 over one event table holding both calls (``is_call``) and
     decisions (``is_decision``): one scan, one shuffle.  Output columns are
     ``call_cols`` (default: key, ts, id) of each call plus the decision
     columns of :func:`match_approvals`."""
-    width = int(timeout_s) * 1_000_000
     call_cols = call_cols or [id_col, key, ts]
     kind = F.when(is_call, F.lit(0)).when(is_decision, F.lit(1))
     both = events.where(is_call | is_decision).select(
@@ -254,14 +255,18 @@ def match_approvals_in(events: DataFrame, is_call: Column, is_decision: Column,
         kind.alias("_kind"),
         F.when(kind == 1, decision.cast("boolean")).alias("_dec"),
         F.when(kind == 0, F.struct(*[F.col(c) for c in call_cols])).alias("_call"))
-    return _first_decision(both, width, timeout_s)
+    return _first_decision(both, timeout_s, splits)
 
 
-def _first_decision(both: DataFrame, width: int, timeout_s: int) -> DataFrame:
+def _first_decision(both: DataFrame, timeout_s: int, splits: int = 1) -> DataFrame:
     """Shared core: rows ``_k, _ts, _id, _kind (0 call / 1 decision), _dec,
-    _call``; decisions go to their own and the previous time bucket."""
+    _call``.  Buckets are ``timeout / splits`` wide; a decision goes to its
+    own bucket and the ``splits`` before it, which covers every call that can
+    reach it."""
+    splits = max(1, int(splits))
+    width = max(1, int(timeout_s) * 1_000_000 // splits)
     b = F.floor(F.unix_micros(F.col("_ts").cast("timestamp")) / F.lit(width))
-    buckets = F.when(F.col("_kind") == 1, F.array(b, b - 1)).otherwise(F.array(b))
+    buckets = F.when(F.col("_kind") == 1, F.array(*[b - i for i in range(splits + 1)])).otherwise(F.array(b))
     rows = both.withColumn("_b", F.explode(buckets))
     w = (Window.partitionBy("_k", "_b")
          .orderBy(F.col("_ts").desc(), F.col("_kind").desc(), F.col("_id").desc())
