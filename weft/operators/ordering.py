@@ -50,6 +50,12 @@ def with_range_shards(df: DataFrame, key: str, n_shards: int | None = None,
     One shuffle.  Later ``groupBy(_shard, ...)`` and
     ``Window.partitionBy(_shard)`` reuse this partitioning without another.
     """
+    from pyspark.sql import types as T
+
+    dtype = df.schema[key].dataType
+    if not isinstance(dtype, T.NumericType):
+        raise TypeError(f"range shards need a numeric order key; {key} is {dtype.simpleString()} "
+                        "(hash or rank it first, e.g. sequences.hash_order_key)")
     n_shards = n_shards or default_shards(df)
     if bounds is None:
         bounds = shard_bounds(df, key, n_shards)
