@@ -145,3 +145,13 @@ def test_write_jsonl_keeps_nulls_and_non_ascii(spark, tmp):
     assert text.strip() == '{"a":null,"b":"é"}'
     df = spark.createDataFrame([(" a, ,b ,",)], "s STRING")
     assert df.select(split_list("s").alias("x")).first().x == ["a", "b"]
+
+
+def test_split_mapped_and_truncate(spark):
+    from weft.operators.records import split_mapped
+    from weft.operators.sequences import truncate_tokens
+
+    df = spark.createDataFrame([("text", "a b c d"), (None, "x")], "format STRING, text STRING")
+    mapped, quarantine = split_mapped(df)
+    assert mapped.count() == 1 and quarantine.count() == 1
+    assert mapped.select(truncate_tokens("text", 2).alias("t")).first().t == ["a", "b"]

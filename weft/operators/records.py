@@ -12,7 +12,7 @@ Record shapes (fixed values, in detection order):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -333,9 +333,3 @@ def collect_messages(turns: DataFrame, conv_col: str = "conv_id", order_col: str
     return turns.groupBy(conv_col).agg(
         F.transform(msgs, lambda m: F.struct(m["role"].alias("role"),
                                              m["content"].alias("content"))).alias("messages"))
-
-
-def first_in_order(df: DataFrame, key: str, order: list) -> DataFrame:
-    """Row number 1 per key in ``order`` (helper for per-key 'first')."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
