@@ -205,6 +205,7 @@ def artifact_inventory(spark: SparkSession, roots: list[tuple[str, str]], glob:
         .drop("priority")
 
 
+# The file names that mark an adapter run and a model folder.
 ADAPTER_FILE = "adapter_model.safetensors"
 ADAPTER_BIN_RE = r"^adapter_.*\.bin$"
 CONFIG_FILE = "config.json"
