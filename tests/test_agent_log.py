@@ -173,3 +173,35 @@ def test_tool_call_matches_python_on_random_replies(spark):
             assert g == want, r
 
     check()
+
+
+def test_block_rules_match_python_re_on_random_commands(spark):
+    import os
+    import re
+
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    from weft.operators.agent_log import HARD_BLOCKED
+
+    parts = ["rm", " ", "-rf", "-r", "-f", "/", "/etc", "\n", "\r", "\t", " ", " ", "mkfs", ".ext4",
+             "dd", "if=a", "of=/dev/sda", "reboot", "halt", "chmod", "-R", "777", "0777", ":(){ :|:& };:",
+             ">", "/dev/sdb", "x", "é", "_"]
+
+    def py_rule(cmd):
+        for i, p in enumerate(HARD_BLOCKED):
+            if re.search(p, cmd):
+                return i + 1
+        return None
+
+    rules = spark.createDataFrame(default_block_rules(), "rule_id INT, pattern STRING")
+
+    @settings(max_examples=int(os.environ.get("WEFT_EXAMPLES", "5")), deadline=None,
+              suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.lists(st.sampled_from(parts), max_size=8).map("".join), min_size=1, max_size=80))
+    def check(cmds):
+        df = spark.createDataFrame([(i, c) for i, c in enumerate(cmds)], "i INT, cmd STRING")
+        got = [r.block_rule for r in classify_commands(df, "cmd", rules).orderBy("i").collect()]
+        assert got == [py_rule(c) for c in cmds]
+
+    check()
