@@ -215,15 +215,22 @@ def to_record(df: DataFrame, text_field: str | None = None) -> DataFrame:
         is_list = F.col("messages").isNotNull()
         fmt = F.when(is_list, F.lit("chat")).otherwise(fmt)
         messages = F.when(is_list, F.col("messages").cast(T.ArrayType(MESSAGE)))
-    f = F.col("format")
-    return (df.withColumn("format", fmt)
-            .withColumn("messages", F.when(f == "chat", messages))
-            .withColumn("instruction", F.when(f == "alpaca", instruction))
-            .withColumn("input", F.when(f == "alpaca", inp))
-            .withColumn("output", F.when(f == "alpaca", output))
-            .withColumn("prompt", F.when(f == "prompt_completion", prompt))
-            .withColumn("completion", F.when(f == "prompt_completion", completion))
-            .withColumn("text", F.when(f == "text", text)))
+    # One projection: every canonical field is computed from the *input*
+    # columns (sequential withColumn calls would let an overwritten field,
+    # e.g. ``completion``, feed a later one, e.g. ``text``).
+    f = F.col("_fmt")
+    canon = {
+        "messages": F.when(f == "chat", messages),
+        "instruction": F.when(f == "alpaca", instruction),
+        "input": F.when(f == "alpaca", inp),
+        "output": F.when(f == "alpaca", output),
+        "prompt": F.when(f == "prompt_completion", prompt),
+        "completion": F.when(f == "prompt_completion", completion),
+        "text": F.when(f == "text", text),
+    }
+    keep = [F.col(c) for c in df.columns if c not in canon and c != "format"]
+    return (df.withColumn("_fmt", fmt)
+            .select(*keep, f.alias("format"), *[e.alias(n) for n, e in canon.items()]))
 
 
 def canonical_json(fmt="format") -> Column:
