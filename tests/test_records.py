@@ -207,3 +207,62 @@ def test_to_record_matches_reference_on_random_tables(spark):
                 assert g.format is None
 
     check()
+
+
+def _normalize_reference(rec):
+    """Shape detection and text rendering on a parsed dict, as specified;
+    returns (format, text), or (None, None) where the spec would print None
+    or raise (those rows are quarantined here)."""
+    keys = rec.keys()
+    if "messages" in keys:
+        fmt = "chat"
+    elif "instruction" in keys and "output" in keys:
+        fmt = "alpaca"
+    elif "prompt" in keys and "completion" in keys:
+        fmt = "prompt_completion"
+    elif "text" in keys:
+        fmt = "text"
+    else:
+        return (None, None)
+    if fmt == "chat":
+        msgs = rec["messages"]
+        return (fmt, "".join(f"<|im_start|>{m['role']}\n{m['content']}<|im_end|>\n" for m in msgs))
+    if fmt == "alpaca":
+        i, x, o = rec["instruction"], rec.get("input", ""), rec["output"]
+        if i is None or o is None:
+            return (None, None)
+        if x:
+            return (fmt, f"### Instruction:\n{i}\n\n### Input:\n{x}\n\n### Response:\n{o}")
+        return (fmt, f"### Instruction:\n{i}\n\n### Response:\n{o}")
+    if fmt == "prompt_completion":
+        p, c = rec["prompt"], rec["completion"]
+        if p is None or c is None:
+            return (None, None)
+        return (fmt, f"{p}{c}")
+    t = rec["text"]
+    return (fmt, t) if t is not None else (None, None)
+
+
+def test_normalize_matches_reference_on_random_records(spark):
+    import os
+
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    keys = ["instruction", "input", "output", "prompt", "completion", "text", "other"]
+    value = st.sampled_from([None, "", "a", "b c", "é"])
+    message = st.fixed_dictionaries({"role": st.sampled_from(["user", "assistant"]),
+                                     "content": st.sampled_from(["", "hi", "x y"])})
+    record = st.dictionaries(st.sampled_from(keys), value, max_size=5).flatmap(
+        lambda d: st.one_of(st.just(d), st.lists(message, max_size=3).map(lambda m: {**d, "messages": m})))
+
+    @settings(max_examples=int(os.environ.get("WEFT_EXAMPLES", "6")), deadline=None,
+              suppress_health_check=list(HealthCheck))
+    @given(st.lists(record, min_size=1, max_size=40))
+    def check(recs):
+        lines = [json.dumps(r, ensure_ascii=False) for r in recs]
+        df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i INT, value STRING")
+        got = [(r.format, r.text) for r in normalize_lines(df).orderBy("i").collect()]
+        assert got == [_normalize_reference(r) for r in recs]
+
+    check()
