@@ -266,3 +266,36 @@ def test_normalize_matches_reference_on_random_records(spark):
         assert got == [_normalize_reference(r) for r in recs]
 
     check()
+
+
+def test_csv_rows_match_python_csv_on_random_files(spark, tmp):
+    import csv
+    import io
+    import os
+
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    field = st.lists(st.sampled_from(["a", "b", " ", ",", '"', "\n", "é", "x y"]), max_size=6).map("".join)
+    counter = iter(range(10**6))
+
+    @settings(max_examples=int(os.environ.get("WEFT_EXAMPLES", "5")), deadline=None,
+              suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.tuples(field, field, field), min_size=1, max_size=15))
+    def check(rows):
+        path = f"{tmp}/r{next(counter)}.csv"
+        buf = io.StringIO()
+        w = csv.writer(buf, lineterminator="\n")
+        w.writerow(["f1", "f2", "lab"])
+        w.writerows(rows)
+        with open(path, "w", encoding="utf-8", newline="") as f:
+            f.write(buf.getvalue())
+        want = []
+        with open(path, encoding="utf-8", newline="") as f:
+            for row in csv.DictReader(f):
+                want.append((" | ".join(f"{c}={row.get(c, '')}" for c in ["f1", "f2"]),
+                             str(row.get("lab", "")).strip()))
+        got = [(r.input, r.output) for r in read_csv(spark, path, "lab").collect()]
+        assert got == want
+
+    check()
