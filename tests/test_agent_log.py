@@ -205,3 +205,29 @@ def test_block_rules_match_python_re_on_random_commands(spark):
         assert got == [py_rule(c) for c in cmds]
 
     check()
+
+
+def test_tool_payload_matches_python_on_random_outputs(spark):
+    import os
+
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    chunk = st.sampled_from(["", "a", "é", "😀", "\n", "x" * 5000, "ü" * 7000])
+    text = st.lists(chunk, max_size=6).map("".join)
+
+    def ref(out, err, rc):
+        out, err = out[:16384], err[:16384]
+        payload = (out or "") + (("\n[stderr]\n" + err) if err else "")
+        return payload[:8000] or f"[exit {rc}]"
+
+    @settings(max_examples=int(os.environ.get("WEFT_EXAMPLES", "5")), deadline=None,
+              suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.tuples(text, text, st.integers(-2, 130)), min_size=1, max_size=10))
+    def check(rows):
+        df = spark.createDataFrame([(i, o, e, rc) for i, (o, e, rc) in enumerate(rows)],
+                                   "i INT, o STRING, e STRING, rc INT")
+        got = [r.p for r in df.select("i", tool_payload("o", "e", "rc").alias("p")).orderBy("i").collect()]
+        assert got == [ref(o, e, rc) for o, e, rc in rows]
+
+    check()
