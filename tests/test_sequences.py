@@ -121,3 +121,21 @@ def test_write_rank_shards(spark, tmp):
     import os
 
     assert sorted(x for x in os.listdir(f"{tmp}/ranks") if x.startswith("rank=")) == ["rank=0", "rank=1", "rank=2"]
+
+
+def test_group_by_length_matches_brute_force(spark):
+    import hashlib
+
+    rng = random.Random(13)
+    rows = [(i * 7 + 3, rng.randint(1, 600)) for i in range(257)]
+    B, M = 4, 3
+    h = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) for i, _ in rows}
+    order = sorted(rows, key=lambda r: (h[r[0]], r[0]))
+    want = {}
+    for mb in range(0, len(order), B * M):
+        chunk = sorted(order[mb:mb + B * M], key=lambda r: (-r[1], h[r[0]], r[0]))
+        for j, (i, _) in enumerate(chunk):
+            want[i] = (mb // (B * M)) * M + j // B
+    df = spark.createDataFrame(rows, "id LONG, len INT")
+    got = {r.id: r.batch_id for r in group_by_length(df, "id", "len", B, M, n_shards=5).collect()}
+    assert got == want
