@@ -231,3 +231,41 @@ def test_tool_payload_matches_python_on_random_outputs(spark):
         assert got == [ref(o, e, rc) for o, e, rc in rows]
 
     check()
+
+
+def test_event_lines_match_display_rules(spark):
+    import json
+    import random
+
+    rng = random.Random(3)
+    kinds = ["start", "model", "tool_call", "tool_result", "blocked", "skipped", "done", "error", "odd"]
+    vals = [None, "", "x", "é y"]
+    rows = [(i, rng.choice(kinds), rng.choice(vals), rng.choice(vals), rng.choice(vals), rng.choice(vals),
+             rng.choice([None, 0, 2]), rng.randint(0, 6)) for i in range(150)]
+
+    def ref(kind, text, cmd, out, err, rc, it):
+        s = lambda v: "" if v is None else str(v)
+        if kind == "start":
+            return f"▶ {s(text)}"
+        if kind == "model":
+            return f"[model #{it}] {s(text)}"
+        if kind == "tool_call":
+            return f"[tool_call #{it}] $ {s(cmd)}"
+        if kind == "tool_result":
+            return f"[tool_result rc={s(rc)}]\n{s(out)}" + (f"\n[stderr]\n{err}" if err else "")
+        if kind == "blocked":
+            return f"[BLOCKED] {s(cmd)} ({s(text)})"
+        if kind == "skipped":
+            return f"[skipped] {s(cmd)}"
+        if kind == "done":
+            return f"■ {s(text)}"
+        if kind == "error":
+            return f"[ERROR] {s(text)}"
+        return json.dumps({"kind": kind, **({"text": text} if text is not None else {})},
+                          ensure_ascii=False, separators=(",", ":"))
+
+    df = spark.createDataFrame(rows, "i INT, kind STRING, text STRING, cmd STRING, stdout STRING, "
+                                     "stderr STRING, return_code INT, iteration INT")
+    got = [r.l for r in df.orderBy("i").select(event_line(
+        "kind", "text", "cmd", "stdout", "stderr", "return_code", "iteration").alias("l")).collect()]
+    assert got == [ref(*r[1:]) for r in rows]
