@@ -58,3 +58,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = remove_repeats(docs, length=50, normalise=True)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_katz_backoff")
+def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.katz import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
