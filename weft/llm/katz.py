@@ -39,7 +39,6 @@ from weft.llm.words import ASCII_LOWER, column_words, mix
 
 K = 5
 END = np.uint64(0xE17D)
-START = np.uint64(0x57A27)
 TRAIN, HELD = "_train", "held_out"
 ADDED = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -137,7 +136,7 @@ def _counts(answer: dict, t: _Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
     for b, x in answer.items():
         k = order[bounds[b]:bounds[b + 1]]
         c[k] = C.unpack(x["counts"], np.int64)
-        ids[k] = C.unpack(x["ranks"], np.uint64) * np.uint64(n) + np.uint64(b)
+        ids[k] = C.unpack(x["ranks"], np.uint64) * np.uint64(n) + np.uint64(b + 1)
     return c, ids
 
 
@@ -191,7 +190,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unigrams = Unigrams(total, types, [0, *n_r])
     uni = uni.where("chunk_id IS NOT NULL").drop("stats")
     hot = max(total // (4 * n), 1)
-    start_id = int(np.iinfo(np.uint32).max)
+    start_id = 0  # words count from 1
 
     def pairs_of(t: _Tokens, answer: dict) -> _Pairs:
         c, ids = _counts(answer, t, n)
@@ -211,7 +210,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        "words": [C.pack(_narrow(p.ids[p.word[k]]))],
                        "word_counts": [C.pack(p.counts[p.word[k]])],
                        "trained": [C.pack(p.trained[k])],
-                       "wide": [bool(p.ids.max() > start_id)]}
+                       "wide": [bool(p.ids.max() > np.iinfo(np.uint32).max)]}
 
     def count_pairs(b: int, parts: pa.Table) -> Iterator[dict]:
         cols = {c: parts.column(c).to_pylist() for c in parts.column_names}

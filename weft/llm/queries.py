@@ -66,3 +66,31 @@ def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op4_token_files")
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import token_files
+    from weft.session import scratch_dir
+
+    path = scratch_dir(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_file())
+    return token_files.crc_of_ids(token_files.read(spark, path))
+
+
+@query("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import bpe
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, tokenizer_file()).drop("text")
+    both = bpe.decode(ids, tokenizer_file())
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
