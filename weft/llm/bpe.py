@@ -36,7 +36,7 @@ from weft.llm.words import ranges, slices, text_buffer, words
 
 LONG = 256
 #: Distinct words whose ids a Python worker keeps at a time.
-CACHE_WORDS = 1 << 21
+CACHE_WORDS = 1 << 20
 NONE = np.int64(1) << np.int64(40)
 
 
@@ -290,7 +290,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_to_ids = _encoder(spec.value)
         for batch in batches:
-            for s in slices(batch, text_col, 2 << 20):
+            for s in slices(batch, text_col, 1 << 20):
                 ids, offsets = words_to_ids.encode(s.column(text_col))
                 col = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), col], [*keep, out])
@@ -314,9 +314,9 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
             lo = 0
             col = batch.column(ids_col)
             n_ids = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False))
-            while lo < batch.num_rows:  # about a million ids at a time
+            while lo < batch.num_rows:  # about half a million ids at a time
                 base = n_ids[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(n_ids, base + (1 << 20), side="right")))
+                hi = max(lo + 1, int(np.searchsorted(n_ids, base + (1 << 19), side="right")))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), _join(part.column(ids_col), data, begin, size, model.size)],

@@ -94,3 +94,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_mix")
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = mix(docs, weights=[3, 1, 2], share=1.5, cap=2.0)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op7_prob_min_hash")
+def op7_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.neardup import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumnRenamed("id", "doc_id")

@@ -43,6 +43,8 @@ INDEX = np.dtype([("at", "<u8"), ("least", "<u4"), ("width", "u1"), ("exception"
 BLOCK = 1024
 PERCENTILE = 95
 SEGMENT_IDS = 1 << 20
+#: Up to so many segments their offsets (16 bytes each) are broadcast.
+BROADCAST_SEGMENTS = 1 << 20
 SEGMENTS = "segment long, doc_ids array<long>, lengths array<long>, n_tokens long, bytes binary"
 
 
@@ -240,6 +242,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(SEGMENTS).parquet(path)
     # one number a segment (a million ids): running totals over the segments
     totals = _offsets(files.select("segment", "n_tokens"))
+    if files.count() <= BROADCAST_SEGMENTS:  # else a shuffle join
+        totals = F.broadcast(totals)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
