@@ -111,3 +111,22 @@ def op7_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.withColumnRenamed("id", "doc_id")
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = language.train(docs, learn=fold != 2)
+    blind = docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "text")
+    return language.predict(blind, model)
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.train(docs)).drop("text")
