@@ -14,11 +14,15 @@ of the weights (plain Jaccard where all weights are equal).  ``BANDS`` bands of
 (1 - 0.8^6)^32 = 6e-5), their exact J_P decides, and linked texts form classes.
 
 No bucket is expanded into pairs.  Identical texts are one representative.  In a
-bucket, members are compared with one centre; then, while members of different
-classes remain untested, with a few more centres of the largest class and of the
-others.  A centre has met every member of another class and leaves, so in the
-end any two members of a bucket either are in one class or have been compared:
-nothing is capped, and a large group of copies costs about its size.
+bucket, members are first compared with one centre.  What then still holds
+several classes is searched by signatures: every member outside the largest class
+names its most similar members of other classes (a few in the first search, all
+whose estimate is not clearly below the bound in the last), and the exact
+similarity of the named pairs decides.  Buckets too large for one task are
+settled by rounds of further centres instead, each of which meets every member
+of another class and then leaves.  Either way any two members of a bucket end in
+one class or have been compared: nothing is capped, and a large group of copies
+costs about its size.
 
 Cases: a text without words (null, empty) is a class of its own, however often
 it occurs; a text of one to four words is one shingle; rows with equal ids count
@@ -40,7 +44,12 @@ from weft.session import scratch_dir
 WORDS = 5
 BANDS, ROWS = 32, 6
 SIMILARITY = 0.8
-#: Centres of a bucket in one round, of the largest class and of the others.
+#: A pair is dropped without an exact comparison if its estimate is lower by
+#: this much: five standard errors of BANDS * ROWS registers.
+MARGIN = 0.15
+#: Members a bucket may have to be searched in one task.
+LOCAL = 4096
+#: Centres of a larger bucket in one round, of the largest class and of the others.
 CENTRES = 8
 _TIME, _REGISTER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -204,45 +213,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 bands = band_hashes(sig, BANDS, ROWS).view(np.int64).reshape(-1)
                 some = np.bincount(row, minlength=s.num_rows) > 0
                 col = pa.FixedSizeListArray.from_arrays(pa.array(bands), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([s.column("id"), s.column("f1"), s.column("f2"), pa.array(some), col],
-                                                 ["id", "f1", "f2", "some", "bands"])
+                short = [r.tobytes() for r in (sig & np.uint64(255)).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([s.column("id"), s.column("f1"), s.column("f2"), pa.array(some), col,
+                                                  pa.array(short, pa.binary())],
+                                                 ["id", "f1", "f2", "some", "bands", "sig"])
 
     prints = base.select("id", F.xxhash64("text").alias("f1"), F.xxhash64(F.lit(1), F.reverse("text")).alias("f2"), "text")
-    signed = _stored(prints.mapInArrow(sign, "id long, f1 long, f2 long, some boolean, bands array<long>"), "signed")
+    signed = _stored(prints.mapInArrow(
+        sign, "id long, f1 long, f2 long, some boolean, bands array<long>, sig binary"), "signed")
 
     # identical texts: one representative, its smallest id
-    texts = signed.where("some").groupBy("f1", "f2").agg(F.min(F.struct("id", "bands")).alias("r"))
-    texts = _stored(texts.select("f1", "f2", F.col("r.id").alias("rep"), F.col("r.bands").alias("bands")), "texts")
+    texts = signed.where("some").groupBy("f1", "f2").agg(F.min(F.struct("id", "bands", "sig")).alias("r"))
+    texts = _stored(texts.select("f1", "f2", F.col("r.id").alias("rep"), "r.bands", "r.sig"), "texts")
     members = texts.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1")
     members = _stored(members.join(sizes, "bucket"), "members")
-    involved = _stored(base.join(members.select("id").distinct(), "id", "left_semi")
-                       .groupBy("id").agg(F.min("text").alias("text")), "texts-of-candidates")
-
-    labels = members.select("id").distinct().select("id", F.col("id").alias("label"))
-    first = True
-    while not members.isEmpty():
-        tagged = members.join(labels, "id")
-        if first:  # one centre a bucket
-            centres = tagged.groupBy("bucket").agg(F.min("id").alias("centre"))
-            centres = centres.withColumn("centre_label", F.col("centre"))
-        else:
-            tagged = _unsettled(tagged)
-            w = Window.partitionBy("bucket", "main").orderBy("id")
-            centres = (tagged.withColumn("k", F.row_number().over(w)).where(F.col("k") <= CENTRES)
-                       .select("bucket", F.col("id").alias("centre"), F.col("label").alias("centre_label")))
+    found = members.select("id").distinct()
+    signatures = _stored(texts.select(F.col("rep").alias("id"), "sig").join(found, "id", "left_semi"), "signatures")
+    labels = signatures.select("id", F.col("id").alias("label"))
+
+    def link(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        links = _stored(_verify(pairs, base, similarity), "links")
+        between = (links.join(labels.select(F.col("id").alias("x"), F.col("label").alias("u")), "x")
+                   .join(labels.select(F.col("id").alias("y"), F.col("label").alias("v")), "y")
+                   .select("u", "v").where("u != v").distinct())
+        moved = components(between).select(F.col("id").alias("label"), F.col("label").alias("to"))
+        return _stored(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")),
+                       "labels")
+
+    # every member meets the centre of its bucket
+    stars = members.where("id != centre").select(F.col("centre").alias("x"), F.col("id").alias("y")).distinct()
+    labels = link(_likely(stars, signatures, similarity - MARGIN), labels)
+    left = members.where("id != centre AND n > 2").select("bucket", "id", "n")
+    small = left.where(F.col("n") <= LOCAL).select("bucket", "id")
+    for partners in (2, LOCAL):
+        labels = link(_search(_unsettled(small.join(labels, "id")), signatures, similarity - MARGIN, partners), labels)
+    left = left.where(F.col("n") > LOCAL).select("bucket", "id")
+    while not left.isEmpty():
+        tagged = _unsettled(left.join(labels, "id"))
+        w = Window.partitionBy("bucket", "main").orderBy("id")
+        centres = (tagged.withColumn("k", F.row_number().over(w)).where(F.col("k") <= CENTRES)
+                   .select("bucket", F.col("id").alias("centre"), F.col("label").alias("centre_label")))
         pairs = (tagged.join(centres, "bucket").where("label != centre_label")
                  .select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y")).distinct())
-        links = _stored(_verify(pairs, involved, similarity), "links")
-        between = (links.join(labels.withColumnsRenamed({"id": "x", "label": "u"}), "x")
-                   .join(labels.withColumnsRenamed({"id": "y", "label": "v"}), "y").select("u", "v").distinct())
-        moved = components(between).select(F.col("id").alias("label"), F.col("label").alias("to"))
-        labels = _stored(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")),
-                         "labels")
+        labels = link(_likely(pairs, signatures, similarity - MARGIN), labels)
         rest = tagged.select("bucket", "id").join(
             centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
-        members = _stored(_unsettled(rest.join(labels, "id")).select("bucket", "id"), "members")
-        first = False
+        left = _stored(rest, "members")
 
     classes = texts.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("id"), "left") \
         .select("f1", "f2", F.coalesce("label", "rep").alias("class_id"))
@@ -259,7 +276,60 @@ def _unsettled(tagged: DataFrame) -> DataFrame:
     return tagged.join(per, "bucket").select("bucket", "id", "label", (F.col("label") == F.col("largest")).alias("main"))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _likely(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
+    """Pairs whose signatures do not rule the similarity out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    for c in ("sx", "sy"))
+            yield batch.select(["x", "y"]).filter(pa.array((a == b).mean(axis=1) >= least))
+
+    both = (pairs.join(signatures.select(F.col("id").alias("y"), F.col("sig").alias("sy")), "y")
+            .join(signatures.select(F.col("id").alias("x"), F.col("sig").alias("sx")), "x"))
+    return both.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
+
+
+def _search(tagged: DataFrame, signatures: DataFrame, least: float, partners: int) -> DataFrame:
+    """Likely pairs of different classes in buckets of at most LOCAL members:
+    each member outside the largest class names up to ``partners`` others.
+
+    Buckets are bundled by hash to spare a group each; a bundle holds a few
+    thousand rows beside its largest bucket.
+    """
+    spark = tagged.sparkSession
+    tagged = _stored(tagged.join(signatures, "id"), "unsettled")
+    bundles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tagged.count() // LOCAL)
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        ids, label = table.column("id").to_numpy()[order], table.column("label").to_numpy()[order]
+        minor = ~table.column("main").to_numpy().astype(bool)[order]
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+        bounds = np.append(np.flatnonzero(np.diff(bucket[order], prepend=bucket[order][0] - 1)), len(ids))
+        xs, ys = [], []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            mine = np.flatnonzero(minor[lo:hi])
+            step = max(1, (1 << 24) // ((hi - lo) * sig.shape[1]))
+            for k in range(0, len(mine), step):
+                rows = mine[k:k + step]
+                like = (sig[lo:hi][rows][:, None, :] == sig[lo:hi][None]).mean(axis=2)
+                like[label[lo:hi][rows][:, None] == label[lo:hi][None]] = -1
+                if partners < hi - lo:
+                    cut = np.partition(like, -partners, axis=1)[:, -partners]
+                    like[like < cut[:, None]] = -1
+                a, b = np.nonzero(like >= least)
+                a = rows[a]
+                xs.append(np.minimum(ids[lo + a], ids[lo + b]))
+                ys.append(np.maximum(ids[lo + a], ids[lo + b]))
+        empty = np.zeros(0, np.int64)
+        return pa.table({"x": np.concatenate([empty, *xs]), "y": np.concatenate([empty, *ys])})
+
+    return (tagged.withColumn("bundle", F.pmod(F.xxhash64("bucket"), F.lit(bundles)))
+            .groupBy("bundle").applyInArrow(run, "x long, y long").distinct())
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose exact similarity reaches the bound.  The second join's key may
     be a hot centre: Spark splits its partition (sort-merge, skew join)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +338,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                 good = similarities(s.column("tx"), s.column("ty")) >= similarity
                 yield s.select(["x", "y"]).filter(pa.array(good))
 
-    full = (pairs.join(texts.withColumnsRenamed({"id": "y", "text": "ty"}), "y")
-            .join(texts.withColumnsRenamed({"id": "x", "text": "tx"}), "x"))
+    pairs = _stored(pairs, "pairs")
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    texts = docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts = _stored(texts, "texts-of-pairs")
+    full = (pairs.join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y")
+            .join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x"))
     return full.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
 
 
