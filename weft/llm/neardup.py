@@ -16,13 +16,13 @@ of the weights (plain Jaccard where all weights are equal).  ``BANDS`` bands of
 No bucket is expanded into pairs.  Identical texts are one representative.  In a
 bucket, members are first compared with one centre.  What then still holds
 several classes is searched by signatures: every member outside the largest class
-names its most similar members of other classes (a few in the first search, all
-whose estimate is not clearly below the bound in the last), and the exact
-similarity of the named pairs decides.  Buckets too large for one task are
-settled by rounds of further centres instead, each of which meets every member
-of another class and then leaves.  Either way any two members of a bucket end in
-one class or have been compared: nothing is capped, and a large group of copies
-costs about its size.
+names its most similar members of other classes (two in the first search, in the
+last ``NAMED`` and beyond them everyone whose estimate is at most a standard error
+below the bound), and the exact similarity of the named pairs decides.  A link can
+stay unseen there only if its estimate is too low by more than a standard error
+while in every bucket the two share ``NAMED`` others look more alike and turn out
+not to be.  Buckets too large for one task are settled by rounds of further
+centres, each of which meets every member of another class and then leaves.
 
 Cases: a text without words (null, empty) is a class of its own, however often
 it occurs; a text of one to four words is one shingle; rows with equal ids count
@@ -47,6 +47,9 @@ SIMILARITY = 0.8
 #: A pair is dropped without an exact comparison if its estimate is lower by
 #: this much: five standard errors of BANDS * ROWS registers.
 MARGIN = 0.15
+#: Most similar members named in the last search, whatever their estimate, and
+#: how far below the bound an estimate is always named (one standard error).
+NAMED, NEAR = 8, 0.03
 #: Members a bucket may have to be searched in one task.
 LOCAL = 4096
 #: Centres of a larger bucket in one round, of the largest class and of the others.
@@ -231,9 +234,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = members.select("id").distinct()
     signatures = _stored(texts.select(F.col("rep").alias("id"), "sig").join(found, "id", "left_semi"), "signatures")
     labels = signatures.select("id", F.col("id").alias("label"))
+    # texts of candidates, moved once
+    candidates = _stored(base.hint("merge").join(found, "id", "left_semi").groupBy("id")
+                         .agg(F.min("text").alias("text")), "candidates")
 
     def link(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        links = _stored(_verify(pairs, base, similarity), "links")
+        links = _stored(_verify(pairs, candidates, similarity), "links")
         between = (links.join(labels.select(F.col("id").alias("x"), F.col("label").alias("u")), "x")
                    .join(labels.select(F.col("id").alias("y"), F.col("label").alias("v")), "y")
                    .select("u", "v").where("u != v").distinct())
@@ -246,8 +252,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = link(_likely(stars, signatures, similarity - MARGIN), labels)
     left = members.where("id != centre AND n > 2").select("bucket", "id", "n")
     small = left.where(F.col("n") <= LOCAL).select("bucket", "id")
-    for partners in (2, LOCAL):
-        labels = link(_search(_unsettled(small.join(labels, "id")), signatures, similarity - MARGIN, partners), labels)
+    for partners, always in ((2, 1.0), (NAMED, similarity - NEAR)):
+        labels = link(_search(_unsettled(small.join(labels, "id")), signatures, similarity - MARGIN, partners,
+                              always), labels)
     left = left.where(F.col("n") > LOCAL).select("bucket", "id")
     while not left.isEmpty():
         tagged = _unsettled(left.join(labels, "id"))
@@ -289,9 +296,11 @@ def _likely(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
     return both.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
 
 
-def _search(tagged: DataFrame, signatures: DataFrame, least: float, partners: int) -> DataFrame:
+def _search(tagged: DataFrame, signatures: DataFrame, least: float, partners: int,
+            always: float) -> DataFrame:
     """Likely pairs of different classes in buckets of at most LOCAL members:
-    each member outside the largest class names up to ``partners`` others.
+    each member outside the largest class names its best ``partners`` and all whose
+    estimate is ``always`` or more.
 
     Buckets are bundled by hash to spare a group each; a bundle holds a few
     thousand rows beside its largest bucket.
@@ -317,7 +326,7 @@ def _search(tagged: DataFrame, signatures: DataFrame, least: float, partners: in
                 like[label[lo:hi][rows][:, None] == label[lo:hi][None]] = -1
                 if partners < hi - lo:
                     cut = np.partition(like, -partners, axis=1)[:, -partners]
-                    like[like < cut[:, None]] = -1
+                    like[like < np.minimum(cut, always)[:, None]] = -1
                 a, b = np.nonzero(like >= least)
                 a = rows[a]
                 xs.append(np.minimum(ids[lo + a], ids[lo + b]))
@@ -329,7 +338,7 @@ def _search(tagged: DataFrame, signatures: DataFrame, least: float, partners: in
             .groupBy("bundle").applyInArrow(run, "x long, y long").distinct())
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose exact similarity reaches the bound.  The second join's key may
     be a hot centre: Spark splits its partition (sort-merge, skew join)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,11 +348,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
                 yield s.select(["x", "y"]).filter(pa.array(good))
 
     pairs = _stored(pairs, "pairs")
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    texts = docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = _stored(texts, "texts-of-pairs")
-    full = (pairs.join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y")
-            .join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x"))
+    full = (pairs.hint("merge").join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y")
+            .hint("merge").join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x"))
     return full.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
 
 

@@ -130,3 +130,30 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, quality.train(docs)).drop("text")
+
+
+@query("op2_voronoi_top_k", sql="""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+      FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+""")
+def op2_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import knn
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(knn.valid("embedding"))
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(1024.0) * x.cast("double")).cast("long"))
+    return knn.top_k(rows.select("vec_id", whole.alias("vec")), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op5_vp_trees")
+def op5_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import vptree
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = vptree.build_index(rows)
+    return vptree.search(index, rows.where(F.col("vec_id") % 100 == 0), k=10)
