@@ -128,7 +128,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     rows = _rows(vectors, id_col, vec_col)
     shards = max(1, -(-rows.count() // SHARD_ROWS))
 
-    def build(key, table: pa.Table) -> pa.Table:
+    def build(key, table):
         ids = table.column("id").to_numpy()
         by = np.argsort(ids, kind="stable")
         ids, x = ids[by], matrix(table.column("v"))[by]
@@ -155,8 +155,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, factor: float = FA
     q = stored(_rows(queries, id_col, vec_col).withColumn("dim", F.size("v")), "vp-queries")
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
     trees = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    last = index.agg(F.max("shard")).first()[0]
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last or 0).cast("long")))
     asked = (q.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(blocks)).cast("int"))
-             .join(index.select("shard", "dim"), "dim"))  # one row a shard
+             .withColumn("shard", everywhere))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
