@@ -7,13 +7,19 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """What ``--py-files`` does, for sessions started without it: zip the
-    package once per application and let Spark hand it to every executor."""
+    package once per application and let Spark hand it to every executor.
+
+    Rows here are texts of kilobytes, so unless the session says otherwise an
+    Arrow batch gets fewer of them than Spark's default."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -186,8 +186,9 @@ def window_starts(doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     return ranges(doc[:-1], counts), counts
 
 
-def slices(batch: pa.RecordBatch | pa.Table, text: str, max_bytes: int = 4 << 20):
-    """Consecutive slices of about ``max_bytes`` of text each (one row at least)."""
+def slices(batch: pa.RecordBatch | pa.Table, text: str, max_bytes: int = 4 << 20, max_rows: int = 4096):
+    """Consecutive slices of at most ``max_rows`` rows and about ``max_bytes`` of
+    text each (one row at least)."""
     n = batch.num_rows
     if not n:
         return
@@ -197,6 +198,6 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str, max_bytes: int = 4 << 20
     lo = 0
     while lo < n:
         base = size[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(size, base + max_bytes, side="right")))
+        hi = max(lo + 1, min(lo + max_rows, int(np.searchsorted(size, base + max_bytes, side="right"))))
         yield batch.slice(lo, hi - lo)
         lo = hi
