@@ -24,7 +24,7 @@ from weft.session import scratch_dir
 
 #: Text bytes of one chunk (a chunk holds one row at least).  It bounds the
 #: memory of a Python task: about ten times this.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 _ZSTD = pa.Codec("zstd", compression_level=1)
 

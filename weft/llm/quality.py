@@ -30,7 +30,7 @@ from weft.llm.words import column_words, mix, slices, text_buffer
 ABSTAIN, BAD, GOOD = 0, 1, 2
 LABELLERS = ("symbols", "capitals", "shouting", "tables", "repeated_words", "vocabulary", "sentences", "plain_bytes")
 BUCKETS = 1 << 10
-SAMPLE = 20_000
+SAMPLE = 8_000
 THRESHOLD = 0.5
 
 UPPER, LOWER, DIGIT, SYMBOL, HIGH = 1, 2, 4, 8, 16
