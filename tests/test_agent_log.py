@@ -233,39 +233,36 @@ def test_tool_payload_matches_python_on_random_outputs(spark):
     check()
 
 
-def test_event_lines_match_display_rules(spark):
-    import json
-    import random
-
-    rng = random.Random(3)
-    kinds = ["start", "model", "tool_call", "tool_result", "blocked", "skipped", "done", "error", "odd"]
-    vals = [None, "", "x", "é y"]
-    rows = [(i, rng.choice(kinds), rng.choice(vals), rng.choice(vals), rng.choice(vals), rng.choice(vals),
-             rng.choice([None, 0, 2]), rng.randint(0, 6)) for i in range(150)]
-
-    def ref(kind, text, cmd, out, err, rc, it):
-        s = lambda v: "" if v is None else str(v)
-        if kind == "start":
-            return f"▶ {s(text)}"
-        if kind == "model":
-            return f"[model #{it}] {s(text)}"
-        if kind == "tool_call":
-            return f"[tool_call #{it}] $ {s(cmd)}"
-        if kind == "tool_result":
-            return f"[tool_result rc={s(rc)}]\n{s(out)}" + (f"\n[stderr]\n{err}" if err else "")
-        if kind == "blocked":
-            return f"[BLOCKED] {s(cmd)} ({s(text)})"
-        if kind == "skipped":
-            return f"[skipped] {s(cmd)}"
-        if kind == "done":
-            return f"■ {s(text)}"
-        if kind == "error":
-            return f"[ERROR] {s(text)}"
-        return json.dumps({"kind": kind, **({"text": text} if text is not None else {})},
-                          ensure_ascii=False, separators=(",", ":"))
-
-    df = spark.createDataFrame(rows, "i INT, kind STRING, text STRING, cmd STRING, stdout STRING, "
-                                     "stderr STRING, return_code INT, iteration INT")
+def test_event_lines_by_kind(spark):
+    """Hand-written (event, line) pairs; an unknown kind keeps all its fields."""
+    rows = [(1, "start", "go", None, None, None, None, 0, "▶ go"),
+            (2, "tool_call", None, "ls", None, None, None, 2, "[tool_call #2] $ ls"),
+            (3, "tool_result", None, "ls", "a", "", 0, 2, "[tool_result rc=0]\na"),
+            (4, "done", "é", None, None, None, None, 3, "■ é"),
+            (5, "odd", "t", "ls", None, None, 1, 3, '{"kind":"odd","text":"t","cmd":"ls","return_code":1,"iteration":3}')]
+    df = spark.createDataFrame([r[:-1] for r in rows], "i INT, kind STRING, text STRING, cmd STRING, stdout STRING, "
+                                                       "stderr STRING, return_code INT, iteration INT")
     got = [r.l for r in df.orderBy("i").select(event_line(
         "kind", "text", "cmd", "stdout", "stderr", "return_code", "iteration").alias("l")).collect()]
-    assert got == [ref(*r[1:]) for r in rows]
+    assert got == [r[-1] for r in rows]
+
+
+def test_null_sessions_approve_nothing(spark):
+    from datetime import datetime, timedelta
+
+    from weft.operators.agent_log import match_approvals
+
+    t = datetime(2024, 1, 1)
+    calls = spark.createDataFrame([(1, None, t), (2, "a", t)], "event_id long, session_id string, ts timestamp")
+    yes = spark.createDataFrame([(3, None, t + timedelta(seconds=1), True), (4, "a", t + timedelta(seconds=1), True)],
+                                "event_id long, session_id string, ts timestamp, decision boolean")
+    got = {r["event_id"]: r["outcome"] for r in match_approvals(calls, yes).collect()}
+    assert got == {1: "timed_out", 2: "approved"}
+
+
+def test_messages_are_mapped_by_name(spark):
+    from weft.operators.records import canonical_json, to_record
+
+    df = spark.sql("SELECT array(named_struct('content', 'hello', 'name', 'n', 'role', 'user')) AS messages")
+    line = to_record(df).select(canonical_json().alias("l")).first()["l"]
+    assert line == '{"messages":[{"role":"user","content":"hello","name":"n"}]}'

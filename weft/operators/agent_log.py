@@ -267,6 +267,8 @@ def _first_decision(both: DataFrame, timeout_s: int, splits: int = 1) -> DataFra
     width = max(1, int(timeout_s) * 1_000_000 // splits)
     b = F.floor(F.unix_micros(F.col("_ts").cast("timestamp")) / F.lit(width))
     buckets = F.when(F.col("_kind") == 1, F.array(*[b - i for i in range(splits + 1)])).otherwise(F.array(b))
+    # a null key matches nothing: such rows are spread by their id
+    buckets = F.when(F.col("_k").isNull(), F.array(F.xxhash64("_id"))).otherwise(buckets)
     rows = both.withColumn("_b", F.explode(buckets))
     w = (Window.partitionBy("_k", "_b")
          .orderBy(F.col("_ts").desc(), F.col("_kind").desc(), F.col("_id").desc())
@@ -275,7 +277,7 @@ def _first_decision(both: DataFrame, timeout_s: int, splits: int = 1) -> DataFra
         F.col("_ts").alias("t"), F.col("_id").alias("i"), F.col("_dec").alias("d")))).over(w)
     # A call row travels with its own columns, so no join back to the calls.
     found = (rows.withColumn("_n", nxt).where(F.col("_kind") == 0)
-             .withColumn("_hit", F.col("_n")["t"] <= F.col("_ts") + F.expr(f"INTERVAL {int(timeout_s)} SECONDS")))
+             .withColumn("_hit", F.col("_k").isNotNull() & (F.col("_n")["t"] <= F.col("_ts") + F.expr(f"INTERVAL {int(timeout_s)} SECONDS"))))
     dec = F.when(F.col("_hit"), F.col("_n")["d"])
     return found.select(
         "_call.*",
@@ -310,7 +312,10 @@ def event_line(kind, text, cmd, stdout, stderr, return_code, iteration) -> Colum
             .when(k == "skipped", F.concat(F.lit("[skipped] "), s(cmd)))
             .when(k == "done", F.concat(F.lit("■ "), s(text)))
             .when(k == "error", F.concat(F.lit("[ERROR] "), s(text)))
-            .otherwise(F.to_json(F.struct(k.alias("kind"), col_(text).alias("text")))))
+            .otherwise(F.to_json(F.struct(
+                k.alias("kind"), col_(text).alias("text"), col_(cmd).alias("cmd"), col_(stdout).alias("stdout"),
+                col_(stderr).alias("stderr"), col_(return_code).alias("return_code"),
+                col_(iteration).alias("iteration")))))
 
 
 MAX_ITERS = 6

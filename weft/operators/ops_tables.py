@@ -100,7 +100,7 @@ def usage_pct(used, total) -> Column:
     """100 * used / total to one place; 0 when total is 0."""
     t = col_(total)
     return F.when((t == 0) | t.isNull(), F.lit(0.0)).otherwise(
-        F.round(F.lit(100.0) * col_(used) / t, 1))
+        F.bround(F.lit(100.0) * col_(used) / t, 1))
 
 
 def usage_band(pct) -> Column:

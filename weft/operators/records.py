@@ -173,6 +173,19 @@ def _truthy(c: Column, dtype: T.DataType) -> Column:
     return c.isNotNull()
 
 
+def _messages(element: T.DataType) -> Column:
+    """The list with role and content first, by field name; further fields
+    (name, tool calls, ...) are kept as they are."""
+    if not isinstance(element, T.StructType):
+        return F.col("messages").cast(T.ArrayType(MESSAGE))
+    names = element.fieldNames()
+    known = [f.name for f in MESSAGE.fields]
+    more = [n for n in names if n not in known]
+    return F.transform("messages", lambda m: F.struct(
+        *[(m[n] if n in names else F.lit(None)).cast("string").alias(n) for n in known],
+        *[m[n].alias(n) for n in more]))
+
+
 def to_record(df: DataFrame, text_field: str | None = None) -> DataFrame:
     """Map a typed table's columns onto one record shape per row.
 
@@ -214,7 +227,7 @@ def to_record(df: DataFrame, text_field: str | None = None) -> DataFrame:
     if "messages" in cols and isinstance(types["messages"], T.ArrayType):
         is_list = F.col("messages").isNotNull()
         fmt = F.when(is_list, F.lit("chat")).otherwise(fmt)
-        messages = F.when(is_list, F.col("messages").cast(T.ArrayType(MESSAGE)))
+        messages = F.when(is_list, _messages(types["messages"].elementType))
     # One projection: every canonical field is computed from the *input*
     # columns (sequential withColumn calls would let an overwritten field,
     # e.g. ``completion``, feed a later one, e.g. ``text``).
@@ -320,7 +333,9 @@ def limit_written(df: DataFrame, n: int | None, order: list, key: str | None = N
             return mapped.limit(0)
         ktype = keys.schema["_k"].dataType
         lit = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, ktype.fields)])
-        return mapped.where(k <= lit)
+        # exactly n: rows that tie with the last key fill up what is missing
+        below = mapped.where(k < lit)
+        return below.unionByName(mapped.where(k == lit).limit(max(0, n - below.count())))
     ranked = global_row_number(mapped, order, key, "_rn")
     return ranked.where(F.col("_rn") <= n).drop("_rn")
 

@@ -88,9 +88,9 @@ lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host, device_ind
 
 @query("device_latest", "ST4 P12", sql=_SAMPLES_SQL + """
 SELECT host, device_index, event_id, used_mb,
-       CASE WHEN total_mb = 0 THEN 0.0 ELSE round(100.0 * used_mb / total_mb, 1) END AS pct,
-       CASE WHEN round(100.0 * used_mb / total_mb, 1) >= 90 THEN 'crit'
-            WHEN round(100.0 * used_mb / total_mb, 1) >= 70 THEN 'warn' ELSE 'ok' END AS band
+       CASE WHEN total_mb = 0 THEN 0.0 ELSE round_even(100.0 * used_mb / total_mb, 1) END AS pct,
+       CASE WHEN round_even(100.0 * used_mb / total_mb, 1) >= 90 THEN 'crit'
+            WHEN round_even(100.0 * used_mb / total_mb, 1) >= 70 THEN 'warn' ELSE 'ok' END AS band
 FROM lt
 """)
 def device_latest(spark: SparkSession, sf_dir: str) -> DataFrame:

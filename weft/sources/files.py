@@ -120,7 +120,7 @@ def read_device_samples(spark: SparkSession, path: str, form: str = "inventory")
         mem = F.get(F.col("p"), 2).try_cast("double")
         return df.where((n >= 3) & idx.isNotNull() & mem.isNotNull()).select(
             "host", "ts", idx.alias("index"), F.get(F.col("p"), 1).alias("name"),
-            F.round(mem / 1024.0, 2).alias("vram_gb"),
+            F.bround(mem / 1024.0, 2).alias("vram_gb"),
             F.get(F.col("p"), 3).alias("driver"), F.get(F.col("p"), 4).alias("compute_cap"))
     if form == "usage":
         used = F.get(F.col("p"), 2).try_cast("double")
@@ -198,7 +198,7 @@ def artifact_inventory(spark: SparkSession, roots: list[tuple[str, str]], glob:
             F.when(F.col("path").startswith(base), F.substring("path", len(base) + 1, 1 << 30))
              .otherwise(F.element_at(F.split("path", "/"), -1)).alias("rel_path"),
             F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("name"),
-            F.round(F.col("length") / float(1024 ** 3), 2).alias("size_gb"))))
+            F.bround(F.col("length") / float(1024 ** 3), 2).alias("size_gb"))))
     u = union_roots(listings)
     return first_wins(u, "abs_path", [F.col("priority"), F.col("rel_path")]).select(
         "name", "rel_path", "abs_path", "source", "size_gb", "priority").orderBy("priority", "rel_path") \
