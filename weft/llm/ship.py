@@ -19,7 +19,7 @@ def ship_package(spark: SparkSession) -> None:
     Arrow batch gets fewer of them than Spark's default."""
     sc = spark.sparkContext
     if spark.conf.get(BATCH_ROWS, "10000") == "10000":
-        spark.conf.set(BATCH_ROWS, "2000")
+        spark.conf.set(BATCH_ROWS, "500")
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 BASE = 0x9E3779B97F4A7C15
 WINDOW_BASE = 0xD6E8FEB86659FD93
 #: Bytes (or words) hashed at a time; it bounds the power tables and temporaries.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
