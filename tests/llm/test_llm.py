@@ -123,9 +123,9 @@ def test_katz(spark, edge):
     assert katz.score(edge.limit(0).select("doc_id", "text")).count() == 0
 
 
-def test_katz_sums_to_one(spark):
-    """Every one-word text over the vocabulary and one unknown word, given each
-    start: probabilities of the first word sum to one."""
+def test_katz_mass_of_two_word_texts(spark):
+    """Two-word texts with one first word, over the vocabulary and an unknown
+    word, hold less than all probability."""
     from weft.llm import katz
     from weft.llm.ship import ship_package
 
@@ -253,7 +253,7 @@ def vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=6).astype(np.float32)]) for i in range(600)]
     rows += [(1000 + i, [0.5] * 6) for i in range(300)]  # one hot vector
-    rows += [(2000, None), (2100, []), (2200, [1.0, None, 0, 0, 0, 0]), (2300, [float("nan")] * 6), (2400, [0.0] * 6),
+    rows += [(2000, None), (2100, []), (2200, [1.0, None, 0.0]), (2300, [float("nan")] * 6), (2400, [0.0] * 6),
              (None, [1.0] * 6), (2500, [1.0, 2.0])]
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
