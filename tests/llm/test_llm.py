@@ -193,6 +193,69 @@ def test_near_duplicates(spark, edge):
     assert N.near_duplicates(edge.limit(0)).count() == 0
 
 
+def _lookalikes(n, seed):
+    """Texts around the bound, some with repeated words."""
+    rng = np.random.default_rng(seed)
+    base = [f"t{x}" for x in rng.integers(0, 90, 70)] + ["a b c d e f"] * 4
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(int(rng.integers(0, 5))):
+            w[int(rng.integers(70))] = f"z{i}"
+        out.append(" ".join(w + ["a b c d e f"] * int(rng.integers(0, 4)) * (i % 2)))
+    return out
+
+
+def _classes(texts, similarity):
+    import pyarrow as pa
+    from weft.llm import neardup as N
+
+    label = np.arange(len(texts))
+    for i in range(len(texts)):
+        like = N.similarities(pa.array([texts[i]] * len(texts)), pa.array(texts)) >= similarity - N.ROUNDING
+        for x in np.unique(label[like]):
+            label[label == x] = label[i]
+    return {frozenset(np.flatnonzero(label == x).tolist()) for x in np.unique(label)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_settling_finds_the_classes_of_all_pairs(seed):
+    import pyarrow as pa
+    from weft.llm import neardup as N
+
+    texts = _lookalikes(60, seed)
+    sets = N._Sets(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))
+    label = np.arange(60)
+    for i, j in N._links(sets, np.arange(60), label, label > 0, 0.8):
+        label[label == label[i]] = label[j]
+    assert {frozenset(np.flatnonzero(label == x).tolist()) for x in np.unique(label)} == _classes(texts, 0.8)
+
+
+def test_exact_similarity_of_uneven_texts():
+    import pyarrow as pa
+    from weft.llm import neardup as N
+
+    texts = _lookalikes(30, 9)
+    h = [dict(zip(*np.unique(np.array(t.split()), return_counts=True), strict=True)) for t in texts]
+    keys = sorted(set().union(*h))
+    w = np.array([[x.get(k, 0) for k in keys] for x in h])
+    row, column = np.nonzero(w)
+    out = N._exact(0, np.arange(30), w.sum(axis=1), np.searchsorted(row, np.arange(31)), column, w[row, column])
+    assert out == pytest.approx([N.probability_jaccard(h[0], x) for x in h])
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    from weft.llm import neardup as N
+
+    texts = list(dict.fromkeys(_lookalikes(60, 3)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(N, "LOCAL", 8)
+    groups = {}
+    for r in N.near_duplicates(docs).collect():
+        groups.setdefault(r["class_id"], set()).add(r["id"])
+    assert set(map(frozenset, groups.values())) == _classes(texts, 0.8)
+
+
 def test_components_of_a_chain(spark):
     from weft.llm.neardup import components
 

@@ -14,15 +14,13 @@ of the weights (plain Jaccard where all weights are equal).  ``BANDS`` bands of
 (1 - 0.8^6)^32 = 6e-5), their exact J_P decides, and linked texts form classes.
 
 No bucket is expanded into pairs.  Identical texts are one representative.  In a
-bucket, members are first compared with one centre.  What then still holds
-several classes is searched by signatures: every member outside the largest class
-names its most similar members of other classes (two in the first search, in the
-last ``NAMED`` and beyond them everyone whose estimate is at most a standard error
-below the bound), and the exact similarity of the named pairs decides.  A link can
-stay unseen there only if its estimate is too low by more than a standard error
-while in every bucket the two share ``NAMED`` others look more alike and turn out
-not to be.  Buckets too large for one task are settled by rounds of further
-centres, each of which meets every member of another class and then leaves.
+bucket, members are first compared with one centre.  Buckets that then still hold
+several classes are settled inside tasks: the members' shingles become a matrix,
+products of it give the shared weight of every member outside the largest class
+and every other member, and pairs whose shared weight allows the bound get their
+exact J_P.  Only links that merge classes leave the task.  No estimate and no limit
+on partners takes part in this.  A bucket too large for one task is cut into
+blocks, and every two blocks meet in a task of their own.
 
 Cases: a text without words (null, empty) is a class of its own, however often
 it occurs; a text of one to four words is one shingle; rows with equal ids count
@@ -35,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.words import column_words, mix, slices, window_hashes, window_starts
+from weft.llm.words import column_words, mix, ranges, slices, window_hashes, window_starts
 from weft.session import scratch_dir
 
 WORDS = 5
@@ -47,13 +45,13 @@ SIMILARITY = 0.8
 #: A pair is dropped without an exact comparison if its estimate is lower by
 #: this much: five standard errors of BANDS * ROWS registers.
 MARGIN = 0.15
-#: Most similar members named in the last search, whatever their estimate, and
-#: how far below the bound an estimate is always named (one standard error).
-NAMED, NEAR = 8, 0.03
-#: Members a bucket may have to be searched in one task.
-LOCAL = 4096
-#: Centres of a larger bucket in one round, of the largest class and of the others.
-CENTRES = 8
+#: Members, and bytes of their texts, that a bucket may have to be settled in one
+#: task; larger ones are cut into blocks of half that.
+LOCAL, LOCAL_BYTES = 4096, 32 << 20
+#: Sums of fractions that make exactly the bound may come out this much lower.
+ROUNDING = 1e-9
+#: Shingles (columns) of one matrix product.
+COLUMNS = 2048
 _TIME, _REGISTER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -218,17 +216,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 col = pa.FixedSizeListArray.from_arrays(pa.array(bands), BANDS).cast(pa.list_(pa.int64()))
                 short = [r.tobytes() for r in (sig & np.uint64(255)).astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays([s.column("id"), s.column("f1"), s.column("f2"), pa.array(some), col,
-                                                  pa.array(short, pa.binary())],
-                                                 ["id", "f1", "f2", "some", "bands", "sig"])
+                                                  pa.array(short, pa.binary()),
+                                                  pa.compute.binary_length(s.column("text")).cast(pa.int64())],
+                                                 ["id", "f1", "f2", "some", "bands", "sig", "size"])
 
     prints = base.select("id", F.xxhash64("text").alias("f1"), F.xxhash64(F.lit(1), F.reverse("text")).alias("f2"), "text")
     signed = _stored(prints.mapInArrow(
-        sign, "id long, f1 long, f2 long, some boolean, bands array<long>, sig binary"), "signed")
+        sign, "id long, f1 long, f2 long, some boolean, bands array<long>, sig binary, size long"), "signed")
 
     # identical texts: one representative, its smallest id
-    texts = signed.where("some").groupBy("f1", "f2").agg(F.min(F.struct("id", "bands", "sig")).alias("r"))
-    texts = _stored(texts.select("f1", "f2", F.col("r.id").alias("rep"), "r.bands", "r.sig"), "texts")
-    members = texts.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
+    texts = signed.where("some").groupBy("f1", "f2").agg(F.min(F.struct("id", "bands", "sig", "size")).alias("r"))
+    texts = _stored(texts.select("f1", "f2", F.col("r.id").alias("rep"), "r.bands", "r.sig", "r.size"), "texts")
+    members = texts.select(F.col("rep").alias("id"), "size", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1")
     members = _stored(members.join(sizes, "bucket"), "members")
     found = members.select("id").distinct()
@@ -238,8 +237,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = _stored(base.hint("merge").join(found, "id", "left_semi").groupBy("id")
                          .agg(F.min("text").alias("text")), "candidates")
 
-    def link(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        links = _stored(_verify(pairs, candidates, similarity), "links")
+    def merge(links: DataFrame, labels: DataFrame) -> DataFrame:
+        links = _stored(links, "links")
         between = (links.join(labels.select(F.col("id").alias("x"), F.col("label").alias("u")), "x")
                    .join(labels.select(F.col("id").alias("y"), F.col("label").alias("v")), "y")
                    .select("u", "v").where("u != v").distinct())
@@ -249,24 +248,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # every member meets the centre of its bucket
     stars = members.where("id != centre").select(F.col("centre").alias("x"), F.col("id").alias("y")).distinct()
-    labels = link(_likely(stars, signatures, similarity - MARGIN), labels)
-    left = members.where("id != centre AND n > 2").select("bucket", "id", "n")
-    small = left.where(F.col("n") <= LOCAL).select("bucket", "id")
-    for partners, always in ((2, 1.0), (NAMED, similarity - NEAR)):
-        labels = link(_search(_unsettled(small.join(labels, "id")), signatures, similarity - MARGIN, partners,
-                              always), labels)
-    left = left.where(F.col("n") > LOCAL).select("bucket", "id")
-    while not left.isEmpty():
-        tagged = _unsettled(left.join(labels, "id"))
-        w = Window.partitionBy("bucket", "main").orderBy("id")
-        centres = (tagged.withColumn("k", F.row_number().over(w)).where(F.col("k") <= CENTRES)
-                   .select("bucket", F.col("id").alias("centre"), F.col("label").alias("centre_label")))
-        pairs = (tagged.join(centres, "bucket").where("label != centre_label")
-                 .select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y")).distinct())
-        labels = link(_likely(pairs, signatures, similarity - MARGIN), labels)
-        rest = tagged.select("bucket", "id").join(
-            centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
-        left = _stored(rest, "members")
+    labels = merge(_verify(_likely(stars, signatures, similarity - MARGIN), candidates, similarity), labels)
+    left = members.where("id != centre AND n > 2").select("bucket", "id", "size")
+    labels = merge(_settle(_unsettled(left.join(labels, "id")), candidates, similarity), labels)
 
     classes = texts.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("id"), "left") \
         .select("f1", "f2", F.coalesce("label", "rep").alias("class_id"))
@@ -276,11 +260,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _unsettled(tagged: DataFrame) -> DataFrame:
-    """Members of buckets that hold several classes; ``main`` marks the largest."""
-    per = tagged.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    per = per.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("classes"))
-    per = per.where("classes > 1").select("bucket", F.col("m.label").alias("largest"))
-    return tagged.join(per, "bucket").select("bucket", "id", "label", (F.col("label") == F.col("largest")).alias("main"))
+    """(part, id, size, label, main): members of buckets that hold several classes;
+    ``main`` marks the largest class.  A bucket is one part, or every two of its
+    blocks are."""
+    per = tagged.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    per = per.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("classes"),
+                                    F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = F.when((F.col("n") <= LOCAL) & (F.col("bytes") <= LOCAL_BYTES), 1).otherwise(
+        F.greatest(F.ceil(F.col("n") * 2 / LOCAL), F.ceil(F.col("bytes") * 2 / LOCAL_BYTES)))
+    per = per.where("classes > 1").select("bucket", F.col("m.label").alias("largest"), blocks.cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
+                        lambda k: F.xxhash64("bucket", F.least(F.col("own"), k), F.greatest(F.col("own"), k)))
+    return (tagged.join(per, "bucket").withColumn("own", own)
+            .select(F.explode(meets).alias("part"), "id", "size", "label",
+                    (F.col("label") == F.col("largest")).alias("main")))
 
 
 def _likely(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
@@ -296,55 +290,152 @@ def _likely(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
     return both.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
 
 
-def _search(tagged: DataFrame, signatures: DataFrame, least: float, partners: int,
-            always: float) -> DataFrame:
-    """Likely pairs of different classes in buckets of at most LOCAL members:
-    each member outside the largest class names its best ``partners`` and all whose
-    estimate is ``always`` or more.
+def _settle(tagged: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between different classes of a part, by exact similarity: enough of
+    them to merge what belongs together.
 
-    Buckets are bundled by hash to spare a group each; a bundle holds a few
-    thousand rows beside its largest bucket.
+    Parts are bundled by hash to spare a group each; a bundle holds some 16 MB of
+    texts beside its largest part.
     """
     spark = tagged.sparkSession
-    tagged = _stored(tagged.join(signatures, "id"), "unsettled")
-    bundles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tagged.count() // LOCAL)
+    tagged = _stored(tagged, "unsettled")
+    total = tagged.agg(F.sum("size")).first()[0] or 0
+    bundles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (LOCAL_BYTES // 2))
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket").to_numpy()
-        order = np.argsort(bucket, kind="stable")
-        ids, label = table.column("id").to_numpy()[order], table.column("label").to_numpy()[order]
-        minor = ~table.column("main").to_numpy().astype(bool)[order]
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-        bounds = np.append(np.flatnonzero(np.diff(bucket[order], prepend=bucket[order][0] - 1)), len(ids))
+        part = table.column("part").to_numpy()
+        order = np.argsort(part, kind="stable")
+        ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
+        minor = ~table.column("main").to_numpy().astype(bool)
+        _, one, which = np.unique(ids, return_index=True, return_inverse=True)
+        sets = _Sets(pa.RecordBatch.from_arrays([table.column("text").combine_chunks().take(pa.array(one))], ["text"]))
+        bounds = np.append(np.flatnonzero(np.diff(part[order], prepend=part[order][0] - 1)), len(ids))
         xs, ys = [], []
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            mine = np.flatnonzero(minor[lo:hi])
-            step = max(1, (1 << 24) // ((hi - lo) * sig.shape[1]))
-            for k in range(0, len(mine), step):
-                rows = mine[k:k + step]
-                like = (sig[lo:hi][rows][:, None, :] == sig[lo:hi][None]).mean(axis=2)
-                like[label[lo:hi][rows][:, None] == label[lo:hi][None]] = -1
-                if partners < hi - lo:
-                    cut = np.partition(like, -partners, axis=1)[:, -partners]
-                    like[like < np.minimum(cut, always)[:, None]] = -1
-                a, b = np.nonzero(like >= least)
-                a = rows[a]
-                xs.append(np.minimum(ids[lo + a], ids[lo + b]))
-                ys.append(np.maximum(ids[lo + a], ids[lo + b]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"x": np.concatenate([empty, *xs]), "y": np.concatenate([empty, *ys])})
-
-    return (tagged.withColumn("bundle", F.pmod(F.xxhash64("bucket"), F.lit(bundles)))
+            k = order[lo:hi]
+            for a, b in _links(sets, which[k], label[k], minor[k], similarity):
+                xs.append(ids[k[a]])
+                ys.append(ids[k[b]])
+        return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
+
+    return (tagged.withColumn("bundle", F.pmod(F.xxhash64("part"), F.lit(bundles))).drop("size")
+            .hint("merge").join(texts, "id")
             .groupBy("bundle").applyInArrow(run, "x long, y long").distinct())
 
 
+class _Sets:
+    """Shingles of some texts, those of text i at ``bounds[i]:bounds[i + 1]``."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        rows, hashes, weights, n = [], [], [], 0
+        for s in slices(batch, "text", 1 << 20):
+            row, h, weight = shingles(s.column("text"))
+            rows.append(row + n)
+            hashes.append(h)
+            weights.append(weight.astype(np.int32))
+            n += s.num_rows
+        row = np.concatenate(rows)
+        self.hash, self.weight = np.concatenate(hashes), np.concatenate(weights)
+        self.bounds = np.searchsorted(row, np.arange(n + 1))
+        self.total = np.bincount(row, weights=self.weight, minlength=n)
+        self.even = np.bincount(row, weights=self.weight > 1, minlength=n) == 0
+
+
+def _links(sets: _Sets, which: np.ndarray, label: np.ndarray, minor: np.ndarray,
+           similarity: float) -> Iterator[tuple[int, int]]:
+    """Similar pairs of different classes among the texts ``which``, each of them
+    merging two classes.
+
+    No term of J_P exceeds the smaller share that its element has of either text,
+    so both texts must have ``similarity`` of their weight in shared elements.  Nor
+    does the term of d exceed max(a_d, b_d) / sum over e of max(a_e, b_e): with n
+    shared elements of weight A in one text and B in the other, and with all weights
+    1 or more, J_P is at most (A + B - n) / (weight of both texts - n).  Where all
+    weights are equal that is J_P itself.
+    """
+    mine = np.flatnonzero(minor)
+    counts = sets.bounds[which + 1] - sets.bounds[which]
+    at = ranges(sets.bounds[which], counts)
+    row = np.repeat(np.arange(len(which)), counts)
+    _, column, often = np.unique(sets.hash[at], return_inverse=True, return_counts=True)
+    shared = (often > 1)[column]  # elements of one text alone add nothing
+    row, column, weight = row[shared], (np.cumsum(often > 1) - 1)[column[shared]], sets.weight[at][shared]
+    own = (np.searchsorted(row, np.arange(len(which) + 1)), column, weight)
+    order = np.argsort(column, kind="stable")
+    row, column, weight = row[order], column[order], weight[order]
+    of_x = np.zeros((len(mine), len(which)), np.float32)  # weight of x in elements of both
+    all_even = sets.even[which].all()
+    of_y, number = (of_x, of_x) if all_even else (np.zeros_like(of_x), np.zeros_like(of_x))
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [k, k + COLUMNS])
+        w = np.zeros((len(which), min(COLUMNS, int(column[hi - 1]) + 1 - k)), np.float32)
+        w[row[lo:hi], column[lo:hi] - k] = weight[lo:hi]
+        has = (w > 0).astype(np.float32)
+        of_x += w[mine] @ has.T
+        if not all_even:
+            of_y += has[mine] @ w.T
+            number += has[mine] @ has.T
+    total = sets.total[which]
+    likely = ((of_x >= (similarity - ROUNDING) * total[mine][:, None])
+              & (of_y >= (similarity - ROUNDING) * total[None]) & (label[mine][:, None] != label[None]))
+    a, b = np.nonzero(likely)
+    even = sets.even[which[mine[a]]] & sets.even[which[b]]
+    x, y, n = (v[a, b].astype(np.float64) for v in (of_x, of_y, number))
+    value = (x + y - n) / (total[mine[a]] + total[b] - n)
+    good = value >= similarity - ROUNDING
+    a, b, even = mine[a[good]], b[good], even[good]
+    label = label.copy()
+    bounds = np.append(np.flatnonzero(np.diff(a, prepend=-1)), len(a))
+    for sure in (True, False):
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            i = a[lo]
+            other = b[lo:hi][(even[lo:hi] == sure) & (label[b[lo:hi]] != label[i])]
+            if sure:  # one of each class is enough
+                other = other[np.unique(label[other], return_index=True)[1]]
+            else:
+                other = other[_exact(i, other, total, *own) >= similarity - ROUNDING]
+            for j in other:
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    yield i, j
+
+
+def _exact(i: int, others: np.ndarray, total: np.ndarray, bounds: np.ndarray, column: np.ndarray,
+           weight: np.ndarray) -> np.ndarray:
+    """J_P of row i and others.  In the order of ``_jp`` elements of one text alone
+    come first or last, so their sums are what the shared ones leave."""
+    mine = slice(bounds[i], bounds[i + 1])
+    place = np.full(int(column.max(initial=-1)) + 1, -1)
+    place[column[mine]] = np.arange(mine.stop - mine.start)
+    out = np.zeros(len(others))
+    step = max(1, (1 << 19) // max(1, mine.stop - mine.start))
+    for lo in range(0, len(others), step):
+        rows = others[lo:lo + step]
+        counts = bounds[rows + 1] - bounds[rows]
+        at = ranges(bounds[rows], counts)
+        c = place[column[at]]
+        y = np.zeros((len(rows), mine.stop - mine.start))
+        y[np.repeat(np.arange(len(rows)), counts)[c >= 0], c[c >= 0]] = weight[at][c >= 0]
+        x = np.where(y > 0, weight[mine].astype(np.float64), 0.0)
+        order = np.argsort(np.divide(y, x, out=np.zeros_like(y), where=y > 0), axis=1)
+        x, y = (np.take_along_axis(v, order, axis=1) for v in (x, y))
+        before = (total[i] - x.sum(axis=1))[:, None] + np.cumsum(x, axis=1)
+        behind = total[rows][:, None] - np.cumsum(y, axis=1)
+        both = y > 0
+        behind, before = behind[both] / y[both], before[both] / x[both]
+        term = np.zeros(y.shape)
+        term[both] = 1.0 / (before + behind)
+        out[lo:lo + step] = term.sum(axis=1)
+    return out
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose exact similarity reaches the bound.  The second join's key may
     be a hot centre: Spark splits its partition (sort-merge, skew join)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch, "ty", 1 << 20):
-                good = similarities(s.column("tx"), s.column("ty")) >= similarity
+                good = similarities(s.column("tx"), s.column("ty")) >= similarity - ROUNDING
                 yield s.select(["x", "y"]).filter(pa.array(good))
 
     pairs = _stored(pairs, "pairs")
