@@ -12,6 +12,7 @@ step reads written tables or recomputes from them.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +41,15 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(_ZSTD.decompress(b[8:], n, asbytes=True) if n else b"", dtype=dtype)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker, reused by later
+    stages, keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def n_buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -105,6 +115,7 @@ def map_chunks(chunks: DataFrame, fn: Callable[[int, pa.Table], Iterator[dict]],
             for cid, blob in zip(batch.column("chunk_id").to_pylist(), batch.column("blob"), strict=True):
                 for out in fn(cid, from_blob(blob.as_buffer())):
                     yield _batch(out, arrow)
+                release()
 
     arrow = _arrow_schema(chunks.sparkSession, schema)
     return chunks.select("chunk_id", "blob").mapInArrow(run, schema)
@@ -114,6 +125,7 @@ def reduce_buckets(parts: DataFrame, fn: Callable[[int, pa.Table], Iterator[dict
     """``fn(bucket, all its rows)``: one bounded group per bucket."""
     def run(key, table):
         out = [_batch(x, arrow) for x in fn(key[0].as_py(), table)]
+        release()
         return pa.Table.from_batches(out, arrow)
 
     arrow = _arrow_schema(parts.sparkSession, schema)
@@ -149,6 +161,7 @@ def join_chunks(chunks: DataFrame, answers: list[DataFrame],
         out = []
         for x in fn(cid, from_blob(left.column("blob")[0].as_buffer()), *got):
             out.append(_batch(x, arrow) if isinstance(x, dict) else x)
+        release()
         return pa.concat_tables([o if isinstance(o, pa.Table) else pa.Table.from_batches([o]) for o in out]) \
             .cast(arrow) if out else pa.Table.from_batches([], arrow)
 

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.chunks import release
 from weft.llm.words import column_words, mix, ranges, slices, window_hashes, window_starts
 from weft.session import scratch_dir
 
@@ -219,6 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                                   pa.array(short, pa.binary()),
                                                   pa.compute.binary_length(s.column("text")).cast(pa.int64())],
                                                  ["id", "f1", "f2", "some", "bands", "sig", "size"])
+            release()
 
     prints = base.select("id", F.xxhash64("text").alias("f1"), F.xxhash64(F.lit(1), F.reverse("text")).alias("f2"), "text")
     signed = _stored(prints.mapInArrow(
@@ -316,6 +318,8 @@ def _settle(tagged: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             for a, b in _links(sets, which[k], label[k], minor[k], similarity):
                 xs.append(ids[k[a]])
                 ys.append(ids[k[b]])
+        del sets
+        release()
         return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
     return (tagged.withColumn("bundle", F.pmod(F.xxhash64("part"), F.lit(bundles))).drop("size")
@@ -437,6 +441,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             for s in slices(batch, "ty", 1 << 20):
                 good = similarities(s.column("tx"), s.column("ty")) >= similarity - ROUNDING
                 yield s.select(["x", "y"]).filter(pa.array(good))
+            release()
 
     pairs = _stored(pairs, "pairs")
     full = (pairs.hint("merge").join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y")

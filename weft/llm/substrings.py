@@ -83,7 +83,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    "ids": [C.pack(w.ids[used])], "counts": [C.pack(counts.astype(np.uint32))]}
 
     def judge(b: int, parts: pa.Table) -> Iterator[dict]:
-        hashes = [np.frombuffer(x, np.uint64) for x in parts.column("hash").to_pylist()]
+        hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in parts.column("hash")]
         ids = [np.repeat(C.unpack(i, np.int64), C.unpack(c, np.uint32)) for i, c in
                zip(parts.column("ids").to_pylist(), parts.column("counts").to_pylist(), strict=True)]
         h, d = np.concatenate(hashes), np.concatenate(ids)
