@@ -311,6 +311,22 @@ def test_quality(spark, edge):
     assert quality.classify(edge.limit(0), quality.train(edge.limit(0))).count() == 0
 
 
+def test_quality_sample_is_bounded_and_of_distinct_texts(spark, monkeypatch):
+    from weft.llm import quality
+    from weft.llm.ship import ship_package
+
+    ship_package(spark)
+    texts = [f"Text {i}, of some plain words." if i % 2 else f"#x{i} @@ || {i} $$ %%" for i in range(300)]
+    blank = [" " * i for i in range(200)]
+    sizes, fit = [], quality.logistic
+    monkeypatch.setattr(quality, "logistic", lambda x, q: sizes.append(len(x)) or fit(x, q))
+    for hot in (texts[0], texts[1], texts[2], texts[3]):
+        docs = spark.createDataFrame([(t,) for t in texts + [hot] * 150 + blank], "text string").repartition(5)
+        quality.train(docs, sample=100)
+        quality.train(docs, sample=1000)
+    assert sizes == [100, 300] * 4
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(2)

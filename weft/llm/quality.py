@@ -8,8 +8,9 @@ logistic regression over hashed features (word shapes, character classes, repeat
 scorer, not the votes, decides, so it also judges texts on which all abstain.
 
 The vote patterns are counted over all texts (at most 3^8 rows).  The scorer is
-fitted on at most ``SAMPLE`` texts (the smallest of a hash); every text is scored
-whole.  No human labels are used.
+fitted on the ``SAMPLE`` distinct texts with the smallest hashes (all, if there are
+fewer), each once however often it occurs; every text is scored whole.  No human
+labels are used.
 
 Cases: a text without words (null or empty) has score 0 and is rejected; an
 empty table gives an empty result; equal texts get equal scores.
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.llm.neardup import _stored
 from weft.llm.words import column_words, mix, slices, text_buffer
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
@@ -189,48 +191,68 @@ def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 1e-3, rounds: int = 30
     return b
 
 
+def _smallest(distinct: DataFrame, sample: int) -> tuple[int, int] | None:
+    """The ``sample``-th smallest (f1, f2), or the largest if there are fewer.
+    Counts of ``f1`` by its upper 16 bits (65,536 at most) bound what is sorted."""
+    upper = F.shiftright("f1", 48)
+    counts = sorted(distinct.groupBy(upper.alias("u")).count().collect())
+    if not counts:
+        return None
+    total = np.cumsum([n for _, n in counts])
+    edge = counts[min(int(np.searchsorted(total, sample)), len(counts) - 1)][0]
+    rows = distinct.where(upper <= edge).orderBy("f1", "f2").limit(sample).collect()
+    return rows[-1]["f1"], rows[-1]["f2"]
+
+
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Two bounded results reach the driver: counts of vote patterns, and sums
-    over at most ``sample`` texts, taken by a hash of the text (equal texts once)."""
+    """Bounded results reach the driver: counts of vote patterns and of hash
+    ranges, and the hashes and features of at most ``sample`` texts: those with the
+    smallest 128-bit hashes among the distinct texts with words (equal texts once)."""
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
         for batch in batches:
             for s in slices(batch, "text", 1 << 20):
                 stats = statistics(s.column("text"))
-                codes, counts = np.unique(code(votes(stats))[stats["words"] > 0], return_counts=True)
-                for c, k in zip(codes.tolist(), counts.tolist(), strict=True):
-                    seen[c] = seen.get(c, 0) + k
-        yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(seen), pa.int64()),
-                                          "n": pa.array(list(seen.values()), pa.int64())})
-
-    texts = docs.select(F.col(text_col).alias("text"))
-    rows = texts.mapInArrow(look, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+                yield pa.RecordBatch.from_arrays([s.column("f1"), s.column("f2"), pa.array(code(votes(stats)))],
+                                                 ["f1", "f2", "pattern"]).filter(pa.array(stats["words"] > 0))
+
+    texts = docs.select(F.xxhash64(F.lit(9), text_col).alias("f1"),
+                        F.xxhash64(F.lit(1), F.reverse(text_col)).alias("f2"), F.col(text_col).alias("text"))
+    looked = _stored(texts.mapInArrow(look, "f1 long, f2 long, pattern long"), "looked")
+    rows = looked.groupBy("pattern").agg(F.count("*").alias("n")).collect()
     rows.sort()
     width = len(LABELLERS)
     codes = np.array([r[0] for r in rows], dtype=np.int64)
     patterns = (codes[:, None] // 3 ** np.arange(width)) % 3
     counts = np.array([r[1] for r in rows], dtype=np.float64)
-    if not len(rows):
+    last = _smallest(looked.select("f1", "f2").distinct(), sample)
+    if last is None:
         return Model({}, np.zeros(BUCKETS + 1))
     _, _, q = estimate(patterns, counts)
     posterior = dict(zip(codes.tolist(), q.tolist(), strict=True))
-    share = min(1.0, sample / counts.sum())
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # at most ``sample``
         for batch in batches:
             for s in slices(batch, "text", 1 << 20):
+                fresh = []
+                for k in zip(s.column("f1").to_pylist(), s.column("f2").to_pylist(), strict=True):
+                    fresh.append(k not in seen)
+                    seen.add(k)
+                s = s.filter(pa.array(fresh, pa.bool_()))
                 stats = statistics(s.column("text"))
                 x = features(s.column("text"), stats)
                 for r, c in enumerate(code(votes(stats)).tolist()):
                     if stats["words"][r]:
                         at = np.flatnonzero(x[r])
                         yield pa.RecordBatch.from_pydict({
+                            "f1": s.column("f1").slice(r, 1), "f2": s.column("f2").slice(r, 1),
                             "pattern": pa.array([c], pa.int64()), "at": pa.array([at.astype(np.uint16).tobytes()]),
                             "x": pa.array([x[r][at].tobytes()])})
 
-    unit = F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = texts.where(unit < share)
-    got = picked.mapInArrow(collect, "pattern long, at binary, x binary").collect()
+    picked = texts.where((F.col("f1") < last[0]) | ((F.col("f1") == last[0]) & (F.col("f2") <= last[1])))
+    picked = picked.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    got = picked.mapInArrow(collect, "f1 long, f2 long, pattern long, at binary, x binary") \
+        .groupBy("f1", "f2").agg(F.first(F.struct("pattern", "at", "x")).alias("r")).select("r.*").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
     x = np.zeros((len(got), BUCKETS), np.float32)
     for i, r in enumerate(got):
