@@ -193,6 +193,26 @@ def test_near_duplicates(spark, edge):
     assert N.near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_shared_and_null_ids(spark):
+    from weft.llm import neardup as N
+    from weft.llm.ship import ship_package
+
+    ship_package(spark)
+    a, b, c, e = (" ".join(f"{k}{i}" for i in range(60)) for k in "abce")
+    near = lambda t: t + " end"
+    rows = [(1, a, 0), (1, a, 0), (1, a, 1), (2, near(a), 0),  # a repeated row, and a near copy
+            (3, b, 0), (3, c, 0), (4, near(b), 0), (5, near(c), 0), (0, c, 0),  # one id, two texts
+            (None, e, 0), (7, e, 0), (8, near(e), 0),  # a copy with a null id
+            (None, "only null", 0), (None, "only null", 0), (None, None, 0), (9, "", 0), (9, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    got = Counter(tuple(r) for r in N.near_duplicates(docs).collect())
+    assert got == Counter({(1, 1): 3, (2, 1): 1, (3, 3): 1, (4, 3): 1, (3, 0): 1, (5, 0): 1, (0, 0): 1, (None, 7): 1,
+                           (7, 7): 1, (8, 7): 1, (None, None): 3, (9, 9): 2})
+    kept = Counter(tuple(r) for r in N.deduplicate(docs).collect())
+    assert kept == Counter([(1, a, 0), (3, b, 0), (0, c, 0), (7, e, 0), (None, "only null", 0), (None, None, 0),
+                            (9, "", 0), (9, "", 0)])
+
+
 def _lookalikes(n, seed):
     """Texts around the bound, some with repeated words."""
     rng = np.random.default_rng(seed)

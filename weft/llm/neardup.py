@@ -23,8 +23,9 @@ on partners takes part in this.  A bucket too large for one task is cut into
 blocks, and every two blocks meet in a task of their own.
 
 Cases: a text without words (null, empty) is a class of its own, however often
-it occurs; a text of one to four words is one shingle; rows with equal ids count
-as separate rows of one id; the class id is the smallest id of the class.
+it occurs; a text of one to four words is one shingle; texts, not ids, are compared,
+so ids may be shared or null; the class id is the smallest id of the class, null ids
+aside.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.chunks import release
@@ -203,7 +204,19 @@ def _rooted(parent: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     similarity: float = SIMILARITY) -> DataFrame:
     """(id, class_id): the class of every row's text."""
-    spark = docs.sparkSession
+    signed, classes = _classes(docs, id_col, text_col, similarity)
+    with_words = signed.where("some").select("id", "f1", "f2").join(classes, ["f1", "f2"]).select("id", "class_id")
+    without = signed.where("NOT some").select("id", F.col("id").alias("class_id"))
+    return with_words.unionByName(without)
+
+
+def _prints(text: str) -> list[Column]:
+    return [F.xxhash64(text).alias("f1"), F.xxhash64(F.lit(1), F.reverse(text)).alias("f2")]
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Signed rows, and (f1, f2, class_id, first) of every text with words; ``first``
+    marks the one text of the class with the smallest id (then hashes)."""
     m = BANDS * ROWS
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
@@ -222,22 +235,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                                  ["id", "f1", "f2", "some", "bands", "sig", "size"])
             release()
 
-    prints = base.select("id", F.xxhash64("text").alias("f1"), F.xxhash64(F.lit(1), F.reverse("text")).alias("f2"), "text")
+    prints = base.select("id", *_prints("text"), "text")
     signed = _stored(prints.mapInArrow(
         sign, "id long, f1 long, f2 long, some boolean, bands array<long>, sig binary, size long"), "signed")
 
-    # identical texts: one representative, its smallest id
-    texts = signed.where("some").groupBy("f1", "f2").agg(F.min(F.struct("id", "bands", "sig", "size")).alias("r"))
-    texts = _stored(texts.select("f1", "f2", F.col("r.id").alias("rep"), "r.bands", "r.sig", "r.size"), "texts")
+    # identical texts: one representative, numbered once (what is written stays)
+    texts = signed.where("some").groupBy("f1", "f2").agg(F.min("id").alias("id"),
+                                                         F.first(F.struct("bands", "sig", "size")).alias("r"))
+    texts = _stored(texts.sortWithinPartitions("f1", "f2").select(
+        "f1", "f2", "id", F.monotonically_increasing_id().alias("rep"), "r.bands", "r.sig", "r.size"), "texts")
     members = texts.select(F.col("rep").alias("id"), "size", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1")
     members = _stored(members.join(sizes, "bucket"), "members")
     found = members.select("id").distinct()
     signatures = _stored(texts.select(F.col("rep").alias("id"), "sig").join(found, "id", "left_semi"), "signatures")
     labels = signatures.select("id", F.col("id").alias("label"))
-    # texts of candidates, moved once
-    candidates = _stored(base.hint("merge").join(found, "id", "left_semi").groupBy("id")
-                         .agg(F.min("text").alias("text")), "candidates")
+    # texts of candidates, moved once, copies met in a task as one
+    wanted = texts.select("f1", "f2", F.col("rep").alias("id")).join(found, "id", "left_semi")
+    candidates = _stored(prints.groupBy("f1", "f2").agg(F.first("text").alias("text")).hint("merge")
+                         .join(wanted, ["f1", "f2"]).select("id", "text"), "candidates")
 
     def merge(links: DataFrame, labels: DataFrame) -> DataFrame:
         links = _stored(links, "links")
@@ -254,11 +270,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = members.where("id != centre AND n > 2").select("bucket", "id", "size")
     labels = merge(_settle(_unsettled(left.join(labels, "id")), candidates, similarity), labels)
 
-    classes = texts.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("id"), "left") \
-        .select("f1", "f2", F.coalesce("label", "rep").alias("class_id"))
-    with_words = signed.where("some").select("id", "f1", "f2").join(classes, ["f1", "f2"]).select("id", "class_id")
-    without = signed.where("NOT some").select("id", F.col("id").alias("class_id"))
-    return with_words.unionByName(without)
+    tagged = _stored(texts.select("f1", "f2", "id", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+                     .select("f1", "f2", "id", F.coalesce("label", "rep").alias("label")), "tagged")
+    per = tagged.groupBy("label").agg(F.min("id").alias("class_id"), F.min(
+        F.struct(F.col("id").isNull().alias("none"), "id", "f1", "f2")).alias("r"))
+    return signed, tagged.join(per, "label").select(
+        "f1", "f2", "class_id", ((F.col("f1") == F.col("r.f1")) & (F.col("f2") == F.col("r.f2"))).alias("first"))
 
 
 def _unsettled(tagged: DataFrame) -> DataFrame:
@@ -450,10 +467,17 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of its smallest id (of rows with
-    that id and a text, one).  Texts without words all stay."""
-    classes = near_duplicates(docs, id_col, text_col)
-    keep = classes.where("id = class_id").select(F.col("id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).cast("long") == F.col("_keep"), "left_semi")
-    nulls = docs.where(F.col(id_col).isNull())
-    return kept.unionByName(nulls)
+    """``docs`` with one row of each class: that of its smallest id, of several rows
+    with that id the text of the smallest hash and the smallest row; null ids come
+    last.  Texts without words all stay."""
+    _, classes = _classes(docs, id_col, text_col, SIMILARITY)
+    some = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    row, i = F.struct(*(F.col(c) for c in docs.columns)), F.col(id_col).cast("long")
+    best = F.min(F.struct("none", "i", "row")).getField("row")
+    if "map<" in docs.schema.simpleString():  # maps have no order
+        best = F.min_by("row", F.struct("none", "i", F.to_json("row")))
+    # copies met in a task leave it as one
+    rows = docs.where(some).select(*_prints(text_col), i.isNull().alias("none"), i.alias("i"), row.alias("row")) \
+        .groupBy("f1", "f2").agg(best.alias("row"))
+    kept = rows.join(classes.where("first").select("f1", "f2"), ["f1", "f2"], "left_semi").select("row.*")
+    return kept.unionByName(docs.where(~some))
