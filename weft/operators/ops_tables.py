@@ -215,7 +215,8 @@ def _ladder_rows(ladder: DataFrame, lo: str, name: str, limit: int):
 def ladder_lookup(df: DataFrame, value: str, ladder: DataFrame, lo: str = "lo",
                   name: str = "name", out_col: str = "tier", floor_name: str = "cpu") -> DataFrame:
     """The highest rung whose threshold is <= value; below the first
-    threshold the first rung; null or <= 0 gives ``floor_name``.
+    threshold the first rung; null or <= 0 gives ``floor_name``; infinity and
+    NaN the last rung.  Every size of ladder gives the same rows.
 
     The ladder is a small dimension.  Up to MAX_INLINE_LADDER rungs it
     becomes a CASE (a projection, no join).  Up to MAX_BROADCAST_LADDER the
@@ -238,10 +239,10 @@ def ladder_lookup(df: DataFrame, value: str, ladder: DataFrame, lo: str = "lo",
     iv = ladder.select(F.col(lo).cast("double").alias("_lo"), F.col(name).alias("_nm"))
     n = ladder.count()
     keyed = df.withColumn("_v", v.cast("double"))
-    cond = (F.col("_v") >= F.col("_lo")) & (F.col("_v") < F.col("_hi"))
+    cond = (F.col("_v") >= F.col("_lo")) & (F.col("_hi").isNull() | (F.col("_v") < F.col("_hi")))
     if n <= MAX_BROADCAST_LADDER:
         w = Window.orderBy("_lo")  # the ladder only: bounded by the checked size
-        iv = (iv.withColumn("_hi", F.coalesce(F.lead("_lo").over(w), F.lit(float("inf"))))
+        iv = (iv.withColumn("_hi", F.lead("_lo").over(w))  # null: open
               .withColumn("_lo", F.when(F.row_number().over(w) == 1, F.lit(float("-inf")))
                           .otherwise(F.col("_lo"))))
         j = keyed.join(F.broadcast(iv.select("_lo", "_hi", "_nm")), cond, "left")
@@ -253,12 +254,13 @@ def ladder_lookup(df: DataFrame, value: str, ladder: DataFrame, lo: str = "lo",
         splits = [float("-inf")] + bounds + [float("inf")]
         bz = lambda i, o: Bucketizer(splits=splits, inputCol=i, outputCol=o, handleInvalid="keep")
         ivb = bz("_lo", "_blo").transform(iv)
-        ivb = bz("_hi", "_bhi").transform(ivb).withColumn(
+        ivb = ivb.withColumn("_end", F.coalesce("_hi", F.lit(float("inf"))))
+        ivb = bz("_end", "_bhi").transform(ivb).withColumn(
             "_bin", F.explode(F.sequence(F.col("_blo").cast("int"), F.col("_bhi").cast("int"))))
-        kb = bz("_v", "_bin").transform(keyed.withColumn(
-            "_v", F.coalesce(F.col("_v"), F.lit(0.0)))).withColumn("_bin", F.col("_bin").cast("int"))
-        j = kb.join(ivb.select("_bin", "_lo", "_hi", "_nm"), ["_bin"], "left").where(cond | F.col("_nm").isNull()) \
-            .drop("_bin")
+        at = F.when(F.isnan("_v"), F.lit(float("inf"))).otherwise(F.coalesce("_v", F.lit(0.0)))
+        kb = bz("_at", "_vbin").transform(keyed.withColumn("_at", at)).withColumn("_vbin", F.col("_vbin").cast("int"))
+        j = kb.join(ivb.select("_bin", "_lo", "_hi", "_nm"), (F.col("_vbin") == F.col("_bin")) & cond, "left") \
+            .drop("_at", "_vbin", "_bin")
     return (j.withColumn(out_col, F.when(low, F.lit(floor_name)).otherwise(F.col("_nm")))
             .drop("_v", "_lo", "_hi", "_nm"))
 
@@ -266,7 +268,7 @@ def ladder_lookup(df: DataFrame, value: str, ladder: DataFrame, lo: str = "lo",
 def _intervals_sharded(iv: DataFrame) -> DataFrame:
     """``[lo, next lo)`` for a large ladder without a single-partition window:
     ``lead`` inside range shards, the next shard's minimum at shard ends (one
-    row per shard, broadcast), ``-inf`` for the lowest rung."""
+    row per shard, broadcast), ``-inf`` for the lowest rung, null above the highest."""
     from weft.operators.ordering import SHARD, with_range_shards
 
     sh = with_range_shards(iv, "_lo")
@@ -276,7 +278,7 @@ def _intervals_sharded(iv: DataFrame) -> DataFrame:
                        (F.row_number().over(ws) == 1).alias("_first_shard"), "_min")
     w = Window.partitionBy(SHARD).orderBy("_lo")
     out = sh.join(F.broadcast(mins), SHARD, "left").withColumn(
-        "_hi", F.coalesce(F.lead("_lo").over(w), F.col("_next"), F.lit(float("inf"))))
+        "_hi", F.coalesce(F.lead("_lo").over(w), F.col("_next")))
     return out.withColumn("_lo", F.when(F.col("_first_shard") & (F.col("_lo") == F.col("_min")),
                                         F.lit(float("-inf"))).otherwise(F.col("_lo"))) \
         .select("_lo", "_hi", "_nm")
