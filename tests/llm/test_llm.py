@@ -431,3 +431,53 @@ def test_pipeline_stages(spark):
     assert out.count() == mixed.count()
     assert [n for n, _ in P.STAGES] == ["quality_classifier", "near_duplicates", "substring_dedup", "mix_sources", "bpe"]
     assert json.dumps(P.ORACLE_SQL) == "null" and hashlib.sha256(b"").hexdigest()
+
+
+def thue_morse():
+    """Two words with equal polynomial hashes modulo 2^64, whatever the base."""
+    t = "a"
+    for _ in range(11):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_unicode_texts_equal_the_library(spark, tmp):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from weft.llm import bpe, token_files
+    from weft.llm.ship import ship_package
+
+    ship_package(spark)
+    rng = random.Random(7)
+    pool = [*"abEΣς'.,!1éé日 \t<>|", "'s", "\x85", "\xa0", "࢏", "Ᲊ", "֌", "İ", "‿", "<|endoftext|>", "\U0001f600"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(20))) for _ in range(2500)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x3000), rng.randrange(0xD800), 0x10000 + rng.randrange(0x20000)]))
+                      for _ in range(8)) for _ in range(3000)]
+    texts += ["x " + w for w in thue_morse()]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tk = Tokenizer.from_file(path)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = {d: tk.encode(t, add_special_tokens=False).ids for d, t in enumerate(texts)}
+    out = {r["doc_id"]: r for r in bpe.decode(bpe.encode(docs, path), path).collect()}
+    assert [d for d in want if out[d]["ids"] != want[d]] == []
+    assert [d for d in want if out[d]["decoded"] != tk.decode(want[d], skip_special_tokens=False)] == []
+    token_files.write(docs, tmp + "/u", path)
+    back = {r["doc_id"]: r["ids"] for r in token_files.read(spark, tmp + "/u").collect()}
+    assert [d for d in want if back[d] != want[d] + [2]] == []
+
+
+def test_words_are_not_confused(spark):
+    from weft.llm import katz
+    from weft.llm.ship import ship_package
+    from weft.llm.substrings import remove_repeats
+
+    ship_package(spark)
+    a, b = thue_morse()
+    frame = " ".join(f"f{i}" for i in range(49))
+    docs = spark.createDataFrame([(1, f"{frame} {a}"), (2, f"{frame} {b}"), (3, f"{frame} {a}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in remove_repeats(docs, length=50).collect()} == {1: 0, 2: 0, 3: 50}
+    out = katz.score(docs, train=F.col("doc_id") == 1, held_out=F.col("doc_id") == 2).collect()
+    assert {r["doc_id"]: r["n_known"] for r in out} == {1: 51, 2: 50, 3: 51}

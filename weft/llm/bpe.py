@@ -22,21 +22,23 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
-from weft.llm.words import ranges, slices, text_buffer, words
+from weft.llm.words import ranges, slices, text_buffer, word_pieces
 
 LONG = 256
-#: Distinct words whose ids a Python worker keeps at a time.
-CACHE_WORDS = 1 << 20
+#: Distinct words, and their bytes, whose ids a Python worker keeps at a time.
+CACHE_WORDS = 1 << 19
+CACHE_BYTES = 1 << 25
 NONE = np.int64(1) << np.int64(40)
 
 
@@ -69,8 +71,11 @@ class Bpe:
         self.symbol = np.array([vocab.get(s, -1) for s in symbols], dtype=np.int64)
         self.last = np.array([vocab.get(s + self.suffix, -1) for s in symbols], dtype=np.int64)
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        # the library's \s is the Unicode property
-        self.pattern = regex.compile(split.replace(r"[^\s", r"[^\p{White_Space}"))
+        self.pattern = regex.compile(split, regex.ASCII)
+        self.byte_of = {c: b for b, c in enumerate(symbols)}
+        # the library's normaliser and splitter: their Unicode tables are of its version
+        rules = Tokenizer.from_str(json.dumps(spec))
+        self.normalise, self.split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         text = [""] * self.size
         for t, i in (*vocab.items(), *self.special.items()):
@@ -85,11 +90,11 @@ class Bpe:
         for part in parts:
             if part in self.special:
                 out.append(self.special[part])
+            elif part.isascii():
+                out.extend(x.encode() for x in self.pattern.findall(part.lower()))
             elif part:
-                s = part if part.isascii() else unicodedata.normalize("NFC", part)
-                # character by character: no context rule for the final sigma
-                s = s.lower() if "Σ" not in s else "".join(c.lower() for c in s)
-                out.extend(x.encode() for x in self.pattern.findall(s))
+                pieces = self.split(self.normalise(part))
+                out.extend(bytes(map(self.byte_of.__getitem__, x)) for x, _ in pieces)
         return out
 
     # -- merging ----------------------------------------------------------
@@ -217,48 +222,49 @@ class Bpe:
 
 
 class WordIds:
-    """Ids of the words of texts; each distinct word is encoded once while the
-    cache (of at most ``CACHE_WORDS`` words) holds it."""
+    """Ids of the pieces of texts; each distinct piece is encoded once while the
+    cache (of at most ``CACHE_WORDS`` pieces and ``CACHE_BYTES`` bytes) holds it.
 
-    def __init__(self, encode_words):
-        self.encode_words = encode_words
+    Pieces are told apart by their bytes, never by a hash.  ``cut`` gives the pieces
+    of a buffer as a binary array and the first piece of each row.
+    """
+
+    def __init__(self, encode_words, cut=word_pieces):
+        self.encode_words, self.cut = encode_words, cut
         self._reset()
 
     def _reset(self) -> None:
-        self.hash = np.zeros(0, np.uint64)
+        self.number: dict[bytes, int] = {}
+        self.size = 0
         self.at = np.zeros(0, np.int64)
         self.n = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, row offsets)."""
-        data, offsets = text_buffer(col)
-        w = words(data, offsets)
-        if len(self.hash) > CACHE_WORDS:
+        pieces, doc = self.cut(*text_buffer(col))
+        if not len(pieces):
+            return np.zeros(0, np.int32), np.zeros(len(doc), np.int64)
+        if len(self.number) > CACHE_WORDS or self.size > CACHE_BYTES:
             self._reset()
-        h, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        k = np.searchsorted(self.hash, h)
-        known = np.zeros(len(h), dtype=bool)
-        inside = k < len(self.hash)
-        known[inside] = self.hash[k[inside]] == h[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = data.tobytes()
-            s, e = w.start[first[new]].tolist(), w.end[first[new]].tolist()
-            got, n = self.encode_words([raw[a:b].decode() for a, b in zip(s, e, strict=True)])
-            at = len(self.ids) + np.cumsum(n) - n
-            self.ids = np.concatenate([self.ids, got.astype(np.int32)])
-            order = np.argsort(np.concatenate([self.hash, h[new]]), kind="stable")
-            self.at = np.concatenate([self.at, at])[order]
-            self.n = np.concatenate([self.n, n])[order]
-            self.hash = np.concatenate([self.hash, h[new]])[order]
-            k = np.searchsorted(self.hash, h)
-        if not len(h):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        coded = pieces.dictionary_encode()
+        which = coded.indices.to_numpy()
+        distinct = coded.dictionary.to_pylist()
+        k = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(k < 0)
+        if len(unknown):
+            new = [distinct[i] for i in unknown.tolist()]
+            got, n = self.encode_words([x.decode() for x in new])
+            k[unknown] = np.arange(len(self.number), len(self.number) + len(new))
+            self.number.update(zip(new, k[unknown].tolist(), strict=True))
+            self.size += sum(map(len, new))
+            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
+            self.n = np.concatenate([self.n, n])
+            self.ids = np.concatenate([self.ids, np.asarray(got).astype(np.int32)])
         n = self.n[k][which]
         out = self.ids[ranges(self.at[k][which], n)]
         ends = np.concatenate([[0], np.cumsum(n)])
-        return out, ends[w.doc]
+        return out, ends[doc]
 
 
 def read_spec(path: str) -> str:

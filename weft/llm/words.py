@@ -2,10 +2,12 @@
 
 A word is a maximal run of bytes other than ``\\x20 \\x09-\\x0D`` -- on UTF-8
 that is exactly ``[^\\x20\\x09-\\x0D]+``.  Words are hashed straight from the
-Arrow buffer: polynomial prefix sums modulo 2^64 give the hash of any span as
-one subtraction and one multiplication by an inverse power, so no Python object
-is made per word.  The same trick over word hashes gives the Rabin-Karp hash of
-every fixed-length window.
+Arrow buffer: polynomial prefix sums modulo two primes below 2^31, with fixed random
+bases, give the hash of any span as one subtraction and one multiplication by an
+inverse power for each prime, so no Python object is made per word.  (Modulo a power
+of two some words agree for every base; modulo a prime two different words of n
+letters agree for at most n of its bases.)  The same trick over word hashes gives the
+Rabin-Karp hash of every fixed-length window.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BASE = 0x9E3779B97F4A7C15
-WINDOW_BASE = 0xD6E8FEB86659FD93
+#: (prime, base for bytes, base for words).
+FIELDS = ((2147483647, 1526217869, 1189704413), (2147483629, 1910353871, 762391867))
+LENGTH_STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes (or words) hashed at a time; it bounds the power tables and temporaries.
 PIECE = 1 << 18
 
@@ -27,23 +30,44 @@ IDENTITY = np.arange(256, dtype=np.uint64) + np.uint64(1)
 ASCII_LOWER = IDENTITY.copy()
 ASCII_LOWER[65:91] += np.uint64(32)
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n (odd bases are invertible)."""
-    have = _tables.get(base)
+def _powers(prime: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i modulo ``prime`` for i < n."""
+    have = _tables.get((prime, base))
     if have is None or len(have[0]) < n:
         size = max(n, PIECE + 1)
         out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            t = np.full(size, b, dtype=np.uint64)
-            t[0] = 1
-            out.append(np.multiply.accumulate(t))
-        have = _tables[base] = (out[0], out[1])
+        for b in (base, pow(base, -1, prime)):
+            t = np.ones(size, dtype=np.uint64)
+            done = 1
+            while done < size:  # t[done + i] = t[i] * b^done
+                more = min(done, size - done)
+                t[done:done + more] = t[:more] * np.uint64(pow(b, done, prime)) % np.uint64(prime)
+                done += more
+            out.append(t)
+        have = _tables[prime, base] = (out[0], out[1])
     return have
 
 
+def _span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, for_words: bool) -> np.ndarray:
+    """62-bit hashes of ``values[start[i]:end[i]]``, at most PIECE values or so.
+
+    Sums of PIECE products do not overflow: bytes times 31 bits, or reduced products.
+    """
+    out = np.zeros(len(start), dtype=np.uint64)
+    for prime, byte_base, word_base in FIELDS:
+        p = np.uint64(prime)
+        power, inverse = _powers(prime, word_base if for_words else byte_base, len(values) + 1)
+        prefix = np.zeros(len(values) + 1, dtype=np.uint64)
+        terms = (values % p) * power[:len(values)] % p if for_words else values * power[:len(values)]
+        np.cumsum(terms, out=prefix[1:])
+        h = (prefix[end] - prefix[start]) % p * inverse[start] % p
+        out = (out << np.uint64(31)) | h
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every bit depends on every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -128,11 +152,8 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IDENTITY) -
         last = word.copy()
         last[:-1] &= ~word[1:] | edge[1:-1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        power, inverse = _powers(BASE, len(b) + 1)
-        prefix = np.zeros(len(b) + 1, dtype=np.uint64)
-        np.cumsum(table[b] * power[:len(b)], out=prefix[1:])
-        h = (prefix[e] - prefix[s]) * inverse[s]
-        h += (e - s).astype(np.uint64) * np.uint64(WINDOW_BASE)
+        h = _span_hashes(table[b], s, e, False)
+        h += (e - s).astype(np.uint64) * LENGTH_STEP
         starts.append(s + pos)
         ends.append(e + pos)
         hashes.append(mix(h))
@@ -145,6 +166,25 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IDENTITY) -
     return Words(start, end, h, np.searchsorted(start, offsets, side="left"))
 
 
+def word_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(all words as a binary array, first word of each row)."""
+    word = ~SPACE[data]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    cut = offsets[:-1][offsets[:-1] < len(data)]
+    first[cut] = word[cut]  # a text's first byte starts a word
+    at = np.flatnonzero(first)
+    ends = np.append(np.cumsum(word)[at] - 1, np.count_nonzero(word))
+    return binary_array(data[word], ends), np.searchsorted(at, offsets, side="left")
+
+
+def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The binary values ``data[offsets[i]:offsets[i + 1]]``, without a copy."""
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(offsets) - 1,
+        [None, pa.py_buffer(np.ascontiguousarray(offsets, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def column_words(col: pa.Array, table: np.ndarray = IDENTITY) -> Words:
     return words(*text_buffer(col), table)
 
@@ -159,10 +199,8 @@ def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
     for lo in range(0, n, PIECE):
         hi = min(lo + PIECE, n)
         part = h[lo:hi + length - 1]
-        power, inverse = _powers(WINDOW_BASE, len(part) + 1)
-        prefix = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(part * power[:len(part)], out=prefix[1:])
-        out[lo:hi] = mix((prefix[length:] - prefix[:-length]) * inverse[:hi - lo])
+        at = np.arange(hi - lo)
+        out[lo:hi] = mix(_span_hashes(part, at, at + length, True))
     return out
 
 
