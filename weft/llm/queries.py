@@ -68,10 +68,10 @@ def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op4_token_files")
@@ -157,3 +157,31 @@ def op5_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     index = vptree.build_index(rows)
     return vptree.search(index, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+@query("op11_importance_resampling")
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.resampling import resample
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = resample(docs, table(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42, keep=["doc_id"])
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import sequence_packing, token_files
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = sequence_packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), length=2048, end_id=1)
+    return token_files.crc_of_ids(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
+                                                 "offset")
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm import spelling
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = spelling.vocabulary(docs, damage=31, min_length=7, min_count=2)
+    return spelling.group_variants(words, ratio=10)
