@@ -157,115 +157,108 @@ def test_split_mapped_and_truncate(spark):
     assert mapped.select(truncate_tokens("text", 2).alias("t")).first().t == ["a", "b"]
 
 
-def _to_record_reference(row, text_field=None):
-    """The alias mapping as specified, on a plain dict."""
-    known = ("text", "content", "body", "completion", "response", "answer")
-    if "messages" in row and isinstance(row["messages"], list):
-        return ("chat",)
-    if "instruction" in row and ("output" in row or "response" in row):
-        return ("alpaca", row["instruction"], row.get("input", ""),
-                row.get("output") or row.get("response", ""))
-    if "prompt" in row and ("completion" in row or "response" in row):
-        return ("prompt_completion", row["prompt"], row.get("completion") or row.get("response", ""))
-    if text_field and text_field in row and row[text_field]:
-        return ("text", str(row[text_field]))
-    for cand in known:
-        if cand in row and row[cand]:
-            return ("text", str(row[cand]))
-    return (None,)
-
-
-def test_to_record_matches_reference_on_random_tables(spark):
-    import os
-
-    from hypothesis import HealthCheck, given, settings
-    from hypothesis import strategies as st
-
-    names = ["instruction", "input", "output", "response", "prompt", "completion", "text", "content",
-             "body", "answer", "other"]
-    vals = st.sampled_from([None, "", "v", "w w"])
-
-    @settings(max_examples=int(os.environ.get("WEFT_EXAMPLES", "6")), deadline=None,
-              suppress_health_check=list(HealthCheck))
-    @given(st.lists(st.sampled_from(names), min_size=1, max_size=6, unique=True),
-           st.lists(st.lists(vals, min_size=11, max_size=11), min_size=1, max_size=20),
-           st.sampled_from([None, "other", "body"]))
-    def check(cols, rows, text_field):
-        data = [dict(zip(cols, r)) for r in rows]
-        schema = ", ".join(f"`{c}` STRING" for c in cols)
-        df = spark.createDataFrame([tuple(d[c] for c in cols) for d in data], schema)
-        got = to_record(df.withColumn("_i", F.monotonically_increasing_id()), text_field).orderBy("_i").collect()
-        for g, d in zip(got, data):
-            want = _to_record_reference(d, text_field)
-            if want[0] == "alpaca":
-                assert (g.format, g.instruction, g.input, g.output) == want
-            elif want[0] == "prompt_completion":
-                assert (g.format, g.prompt, g.completion) == want
-            elif want[0] == "text":
-                assert (g.format, g.text) == want
-            else:
-                assert g.format is None
-
-    check()
-
-
-def _normalize_reference(rec):
-    """Shape detection and text rendering on a parsed dict, as specified;
-    returns (format, text), or (None, None) where the spec would print None
-    or raise (those rows are quarantined here)."""
-    keys = rec.keys()
-    if "messages" in keys:
-        fmt = "chat"
-    elif "instruction" in keys and "output" in keys:
-        fmt = "alpaca"
-    elif "prompt" in keys and "completion" in keys:
-        fmt = "prompt_completion"
-    elif "text" in keys:
-        fmt = "text"
-    else:
-        return (None, None)
-    if fmt == "chat":
-        msgs = rec["messages"]
-        return (fmt, "".join(f"<|im_start|>{m['role']}\n{m['content']}<|im_end|>\n" for m in msgs))
-    if fmt == "alpaca":
-        i, x, o = rec["instruction"], rec.get("input", ""), rec["output"]
-        if i is None or o is None:
-            return (None, None)
-        if x:
-            return (fmt, f"### Instruction:\n{i}\n\n### Input:\n{x}\n\n### Response:\n{o}")
-        return (fmt, f"### Instruction:\n{i}\n\n### Response:\n{o}")
-    if fmt == "prompt_completion":
-        p, c = rec["prompt"], rec["completion"]
-        if p is None or c is None:
-            return (None, None)
-        return (fmt, f"{p}{c}")
-    t = rec["text"]
-    return (fmt, t) if t is not None else (None, None)
-
-
-def test_normalize_matches_reference_on_random_records(spark):
-    import os
-
-    from hypothesis import HealthCheck, given, settings
-    from hypothesis import strategies as st
-
-    keys = ["instruction", "input", "output", "prompt", "completion", "text", "other"]
-    value = st.sampled_from([None, "", "a", "b c", "é"])
-    message = st.fixed_dictionaries({"role": st.sampled_from(["user", "assistant"]),
-                                     "content": st.sampled_from(["", "hi", "x y"])})
-    record = st.dictionaries(st.sampled_from(keys), value, max_size=5).flatmap(
-        lambda d: st.one_of(st.just(d), st.lists(message, max_size=3).map(lambda m: {**d, "messages": m})))
-
-    @settings(max_examples=int(os.environ.get("WEFT_EXAMPLES", "6")), deadline=None,
-              suppress_health_check=list(HealthCheck))
-    @given(st.lists(record, min_size=1, max_size=40))
-    def check(recs):
-        lines = [json.dumps(r, ensure_ascii=False) for r in recs]
-        df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i INT, value STRING")
-        got = [(r.format, r.text) for r in normalize_lines(df).orderBy("i").collect()]
-        assert got == [_normalize_reference(r) for r in recs]
-
-    check()
+T, F_ = True, False
+
+
+@pytest.mark.parametrize("schema,text_field,rows", [
+    # (row, format and mapped values)
+    ("instruction STRING, input STRING, output STRING", None, [
+        (("do", "x", "done"), ("alpaca", "do", "x", "done")),
+        (("do", None, ""), ("alpaca", "do", None, "")),
+        ((None, "", None), ("alpaca", None, "", ""))]),
+    ("instruction STRING, output STRING, response STRING, text STRING", None, [
+        (("do", "", "r", "t"), ("alpaca", "do", "", "r")),
+        (("do", "o", "r", "t"), ("alpaca", "do", "", "o")),
+        (("do", None, None, "t"), ("alpaca", "do", "", None))]),
+    ("prompt STRING, response STRING", None, [
+        (("p", "r"), ("prompt_completion", "p", "r")), ((None, ""), ("prompt_completion", None, ""))]),
+    ("prompt STRING, completion STRING, response STRING", None, [
+        (("p", "c", "r"), ("prompt_completion", "p", "c")), (("p", "", "r"), ("prompt_completion", "p", "r"))]),
+    ("prompt STRING, instruction STRING, body STRING, answer STRING", None, [
+        (("p", "i", "b", "a"), ("text", "b")), (("p", "i", "", "a"), ("text", "a")), (("p", "i", None, ""), (None,))]),
+    ("note STRING, text STRING, content STRING", "note", [
+        (("n", "t", "c"), ("text", "n")), (("", "t", "c"), ("text", "t")), ((None, "", "c"), ("text", "c"))]),
+    ("text BOOLEAN, content DOUBLE, answer INT", None, [
+        ((T, 1.5, 3), ("text", "True")), ((F_, 1.5, 3), ("text", "1.5")), ((None, 0.0, 3), ("text", "3")),
+        ((F_, 0.0, 0), (None,))]),
+])
+def test_to_record_rows(spark, schema, text_field, rows):
+    df = spark.createDataFrame([r for r, _ in rows], schema)
+    fields = {"alpaca": ("instruction", "input", "output"), "prompt_completion": ("prompt", "completion"), "text": ("text",),
+              None: ()}
+    out = to_record(df.withColumn("_i", F.monotonically_increasing_id()), text_field).orderBy("_i").collect()
+    assert [(r.format, *(r[c] for c in fields[r.format])) for r in out] == [w for _, w in rows]
+
+
+NO_INPUT = "### Instruction:\ndo\n\n### Response:\nit"
+
+
+@pytest.mark.parametrize("line,want", [
+    ('{"text": "é"}', ("text", "é")),
+    ('  {"text": ""}\t', ("text", "")),
+    ('{"text": null}', (None, None)),
+    ('{"text": true}', ("text", "True")),
+    ('{"text": 12}', ("text", "12")),
+    ('{"text": "a", "other": {"k": [1, 2]}}', ("text", "a")),
+    ('{"instruction": "do", "output": "it"}', ("alpaca", NO_INPUT)),
+    ('{"instruction": "do", "input": null, "output": "it", "text": "no"}', ("alpaca", NO_INPUT)),
+    ('{"instruction": "do", "input": "with", "output": "it"}',
+     ("alpaca", "### Instruction:\ndo\n\n### Input:\nwith\n\n### Response:\nit")),
+    ('{"instruction": "do", "output": null}', (None, None)),
+    ('{"instruction": "do", "text": "t"}', ("text", "t")),
+    ('{"prompt": "p", "completion": "c"}', ("prompt_completion", "pc")),
+    ('{"prompt": "p", "completion": null}', (None, None)),
+    ('{"messages": [], "text": "t"}', ("chat", "")),
+    ('{"messages": "no list", "text": "t"}', (None, None)),
+    ('{"messages": [{"content": "hi", "role": "user", "name": "n"}]}', ("chat", "<|im_start|>user\nhi<|im_end|>\n")),
+    ('{"n": 1}', (None, None)),
+    ('[{"text": "a"}]', (None, None)),
+    ('"text"', (None, None)),
+    ('null', (None, None)),
+    # not one strict JSON object
+    ('{"text":"a"} garbage', (None, None)),
+    ("{'text':'b'}", (None, None)),
+    ('{"text":"a"}{"text":"z"}', (None, None)),
+    ('{"text":"a"},{"text":"z"}', (None, None)),
+    ('{"text":"a"},null', (None, None)),
+    ('{"text":"a"}],[{"text":"z"}', (None, None)),
+    ('{"text":"a"}],1] ', (None, None)),
+    ('{"text":"a"} // c', (None, None)),
+    ('{"text": NaN}', (None, None)),
+    ('{"text": "a', (None, None)),
+])
+def test_normalize_line(spark, line, want):
+    r = normalize_lines(spark.createDataFrame([(line,)], "value STRING")).first()
+    assert (r.format, r.text) == want
+
+
+def test_whole_values_reach_the_canonical_lines_and_the_quarantine(spark, tmp):
+    lines = ['{"messages":[{"role":"tool","content":"x","tool_calls":[{"id":7,"f":{"a":[1.5,null,true]}}]}],"n":1}',
+             '{"instruction":"do","output":"it","extra":2}', '{"prompt":1,"completion":false}', '{"keep":"me","n":[1]}']
+    with open(f"{tmp}/in.jsonl", "w", encoding="utf-8") as f:
+        f.write("\n".join(lines))
+    counters = prepare_records(read_jsonl(spark, f"{tmp}/in.jsonl"), f"{tmp}/out")
+    assert counters["unmapped_keys"] == [["keep", "n"]]
+    got = sorted((json.loads(r.value) for r in spark.read.text(f"{tmp}/out/mapped=true").collect()), key=str)
+    assert got == sorted([{"messages": json.loads(lines[0])["messages"]}, {"instruction": "do", "input": "", "output": "it"},
+                          {"prompt": 1, "completion": False}], key=str)
+    assert [r.value for r in spark.read.text(f"{tmp}/out/mapped=false").collect()] == [lines[3]]
+    rows = spark.createDataFrame([("keep me", 1, {"k": 1}, ["a"], None), ("p", 2, None, None, "t")],
+                                 "prompt STRING, n INT, m MAP<STRING, INT>, messages ARRAY<STRING>, text STRING")
+    rows = to_record(rows.withColumn("messages", F.lit(None).cast("string")))
+    counters = prepare_records(rows, f"{tmp}/typed")
+    assert [json.loads(r.value) for r in spark.read.text(f"{tmp}/typed/mapped=false").collect()] == [
+        {"prompt": "keep me", "n": 1, "m": {"k": 1}, "messages": None, "text": None}]
+    assert sorted(counters["unmapped_keys"][0]) == ["m", "messages", "n", "prompt", "text"]
+    with pytest.raises(ValueError, match="order"):
+        prepare_records(rows, f"{tmp}/typed", limit=1)
+
+
+def test_blank_only_file_has_no_records(spark, tmp):
+    with open(f"{tmp}/blank.jsonl", "w", encoding="utf-8") as f:
+        f.write("\n  \n\t\n")
+    with pytest.raises(ValueError, match="no records"):
+        read_jsonl(spark, f"{tmp}/blank.jsonl")
 
 
 def test_csv_rows_match_python_csv_on_random_files(spark, tmp):

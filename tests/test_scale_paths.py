@@ -16,13 +16,16 @@ from weft.sources.files import read_table
 from weft.sources.sinks import write_run_meta
 
 
-def test_limit_written_distributed_path(spark, monkeypatch):
-    monkeypatch.setattr(records, "TOPK_LIMIT", 1)
-    df = spark.createDataFrame([(i, None if i % 3 == 0 else "text") for i in range(50)],
-                               "i LONG, format STRING")
-    got = [r.i for r in limit_written(df, 10, [F.col("i")], key="i").orderBy("i").collect()]
-    want = [i for i in range(50) if i % 3][:10]
-    assert got == want
+def test_limit_written_keys_of_any_type_and_ties(spark):
+    rows = [(f"k{i % 50:03d}" if i % 7 else None, i % 3, "text" if i % 5 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k STRING, v INT, format STRING").repartition(6)
+    mapped = sorted([r[:2] for r in rows if r[2]], key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    for n in (1, 100, 1700, 2400, 5000):
+        got = limit_written(df, n, [F.col("k"), F.col("v")]).collect()
+        assert sorted(((r.k, r.v) for r in got), key=lambda r: (r[0] is not None, r[0] or "", r[1])) == mapped[:n]
+    # ties on the order are taken by the rest of the row, whatever the partitions
+    cut = [sorted(map(tuple, limit_written(d, 1000, [F.col("k")]).collect()), key=str) for d in (df, df.coalesce(1))]
+    assert cut[0] == cut[1] and len(cut[0]) == 1000
 
 
 def test_keyed_running_sum_with_hot_key(spark):

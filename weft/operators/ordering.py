@@ -24,6 +24,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.session import scratch_dir
+
 SHARD = "_shard"
 
 
@@ -110,6 +112,33 @@ def global_row_number(df: DataFrame, order: list, key: str, rn_col: str = "rn",
         rn_col, F.col("_rn0") + 1).drop("_rn0", SHARD)
 
 
+def nth_key(keys: DataFrame, n: int) -> tuple[tuple, int, object] | None:
+    """The ``n``-th row (from 1) of ``keys`` sorted by all its columns ascending, how many
+    rows are smaller, and the schema; None if there are fewer than ``n`` rows.
+
+    Keys are range-partitioned, sorted and written with their place (partition and
+    row in it); one count a partition and one row come to the driver.
+    """
+    spark, names = keys.sparkSession, keys.columns
+    parts = default_shards(keys)
+    path = scratch_dir(spark, "keys")
+    (keys.repartitionByRange(parts, *names).sortWithinPartitions(*names)
+     .withColumn("_place", F.monotonically_increasing_id()).write.parquet(path))
+    placed = spark.read.parquet(path)
+    sizes = placed.groupBy(F.shiftright("_place", 33).alias("p")).count().orderBy("p").collect()
+    before = 0
+    for p, size in sizes:
+        if before + size >= n:
+            at = (p << 33) + n - before - 1
+            row = placed.where(F.col("_place") == at).select(*names).first()
+            schema = placed.select(*names).schema
+            k = F.struct(*names)
+            lit = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields, strict=True)])
+            return tuple(row), placed.where(k < lit).count(), schema
+        before += size
+    return None
+
+
 def keyed_running_sum(df: DataFrame, key: str, bucket: Column, order: list,
                       weight: Column, out_col: str) -> DataFrame:
     """Inclusive running sum of ``weight`` per ``key`` in ``order``, split by

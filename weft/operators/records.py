@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from weft.functions.chat import CHATML, ChatTemplate, render_chat
 from weft.functions.text import col_, is_blank, py_strip, truthy_str
-from weft.operators.ordering import global_row_number
+from weft.operators.ordering import nth_key
 
 # Fixed values.
 FORMATS = ("chat", "alpaca", "prompt_completion", "text")
@@ -38,15 +38,8 @@ BLOCK_SEP = "\n\n"
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()),
                         T.StructField("content", T.StringType())])
-RECORD_SCHEMA = T.StructType([
-    T.StructField("messages", T.ArrayType(MESSAGE)),
-    T.StructField("instruction", T.StringType()),
-    T.StructField("input", T.StringType()),
-    T.StructField("output", T.StringType()),
-    T.StructField("prompt", T.StringType()),
-    T.StructField("completion", T.StringType()),
-    T.StructField("text", T.StringType()),
-])
+#: The whole source record as VARIANT, carried to the canonical line and the quarantine.
+SOURCE = "source_record"
 
 
 # ---------------------------------------------------------------- F1
@@ -76,21 +69,82 @@ def detect_format(keys) -> Column:
             .when(has("text"), "text"))
 
 
-def fits_format(keys, fmt) -> Column:
-    """Does a record with ``keys`` carry the keys ``fmt`` reads?"""
-    k = col_(keys)
-    has = lambda name: F.coalesce(F.array_contains(k, F.lit(name)), F.lit(False))
-    f = col_(fmt) if not isinstance(fmt, str) else F.lit(fmt)
-    return (F.when(f == "chat", has("messages"))
-            .when(f == "alpaca", has("instruction") & has("output"))
-            .when(f == "prompt_completion", has("prompt") & has("completion"))
-            .when(f == "text", has("text"))
-            .otherwise(F.lit(False)))
+def sealed_json(line) -> Column:
+    """The line inside ``[[line], seal]`` as VARIANT (null if that is not JSON).
+
+    Spark's JSON parsers stop behind the first value, so text after it would go
+    unnoticed.  Here a line that closes the inner list itself must also hold the
+    seal, a hash of the whole line; single quotes, comments and control
+    characters in strings are errors anyway."""
+    s = py_strip(line)
+    return F.try_parse_json(F.concat(F.lit("[["), s, F.lit("],"), F.xxhash64(s).cast("string"), F.lit("]")))
+
+
+def open_sealed(line, sealed) -> Column:
+    """SRC1's strict parse: the record as VARIANT, null unless the line is exactly
+    one JSON object (duplicate keys, NaN and records over Spark's VARIANT size
+    limit count as malformed)."""
+    v = col_(sealed)
+    whole = F.try_variant_get(v, "$[1]", "bigint") == F.xxhash64(py_strip(line))
+    single = F.try_variant_get(v, "$[0][1]", "variant").isNull()
+    rec = F.try_variant_get(v, "$[0][0]", "variant")
+    is_object = F.schema_of_variant(rec).startswith("OBJECT")
+    return F.when(whole & single & is_object, rec)
+
+
+def has_key(record, name: str) -> Column:
+    """Key presence, whatever the value (a JSON null is a VARIANT null, not SQL NULL)."""
+    return F.try_variant_get(col_(record), f"$.{name}", "variant").isNotNull()
+
+
+def record_format(record) -> Column:
+    """P1 on a VARIANT record: the ordered key-presence test."""
+    out = F.lit(None).cast("string")
+    for fmt in reversed(FORMATS):
+        out = F.when(record_fits(record, fmt), F.lit(fmt)).otherwise(out)
+    return out
+
+
+def record_fits(record, fmt: str) -> Column:
+    ok = F.lit(True)
+    for name in REQUIRED_KEYS[fmt]:
+        ok = ok & has_key(record, name)
+    return ok
+
+
+def record_field(record, name: str) -> Column:
+    """The string form of a field: strings as they are, true / false as ``True`` /
+    ``False``, numbers in shortest form, lists and objects as JSON, null as null."""
+    v = F.try_variant_get(col_(record), f"$.{name}", "variant")
+    s = F.try_variant_get(v, "$", "string")
+    return F.when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(s)).otherwise(s)
+
 
+def record_messages(record) -> Column:
+    """Role and content of a chat record's turns (null if ``messages`` is no list)."""
+    turns = F.try_variant_get(col_(record), "$.messages", "array<variant>")
+    return F.transform(turns, lambda m: F.struct(
+        F.try_variant_get(m, "$.role", "string").alias("role"),
+        F.try_variant_get(m, "$.content", "string").alias("content")))
 
-def parse_record(line) -> Column:
-    """Parse one JSON line into the superset record struct."""
-    return F.from_json(py_strip(line), RECORD_SCHEMA)
+
+def record_json(fmt, record) -> Column:
+    """The canonical JSONL line of a VARIANT record: its shape's keys with their whole
+    values (all keys of messages, numbers as numbers); a missing ``input`` is ``""``.
+    VARIANT orders the keys of an object by name."""
+    f, r = col_(fmt), col_(record)
+
+    def line(*names: str) -> Column:
+        parts: list[Column] = []
+        for i, n in enumerate(names):
+            value = F.to_json(F.try_variant_get(r, f"$.{n}", "variant"))
+            parts += [F.lit(("{" if i == 0 else ",") + f'"{n}":'), F.coalesce(value, F.lit('""'))]
+        return F.concat(*parts, F.lit("}"))
+
+    return (F.when(f == "chat", line("messages"))
+            .when(f == "alpaca", line("instruction", "input", "output"))
+            .when(f == "prompt_completion", line("prompt", "completion"))
+            .when(f == "text", line("text")))
 
 
 # ---------------------------------------------------------------- P2-P5
@@ -109,54 +163,52 @@ def prompt_completion_to_text(prompt, completion) -> Column:
     return F.concat(col_(prompt), col_(completion))
 
 
-def record_text(fmt, rec, template: ChatTemplate = CHATML) -> Column:
-    """P2-P5 by format.  Null required fields give null (quarantine), not the
-    string ``None``."""
-    f, r = col_(fmt), col_(rec)
-    return (F.when(f == "chat", render_chat(r["messages"], template))
-            .when(f == "alpaca", alpaca_to_text(r["instruction"], r["input"], r["output"]))
-            .when(f == "prompt_completion", prompt_completion_to_text(r["prompt"], r["completion"]))
-            .when(f == "text", r["text"]))
-
-
 def normalize_lines(lines: DataFrame, line_col: str = "value", policy: str = "per_row",
                     order: list | None = None, template: ChatTemplate = CHATML) -> DataFrame:
     """SRC1 -> P1 -> P2..P5 over JSONL lines.
 
     Adds ``shape`` (the detected key shape), ``format`` (the shape when a
-    text could be rendered, else null) and ``text``.  ``policy="per_row"``: each line is judged
-    alone; lines that fit no shape get ``format`` null (quarantine, F2).
+    text could be rendered, else null), ``text``, the shape's fields and
+    ``source_record``, the whole record as VARIANT.  The parse is strict: a line
+    that is not exactly one JSON object has no record.  ``policy="per_row"``: each
+    line is judged alone; lines that fit no shape get ``format`` null (quarantine, F2).
     ``policy="first_record"``: the first line in ``order`` decides the shape of
     every line and a line lacking its keys fails the job, as the trainer does.
     """
-    df = drop_blank(lines, line_col).withColumn("_keys", json_keys(line_col))
-    df = df.withColumn("_rec", parse_record(line_col))
+    df = drop_blank(lines, line_col).withColumn("_sealed", sealed_json(line_col))
+    df = df.withColumn(SOURCE, open_sealed(line_col, "_sealed")).drop("_sealed")
     if policy == "per_row":
-        df = df.withColumn("format", detect_format("_keys"))
+        df = df.withColumn("format", record_format(SOURCE))
     elif policy == "first_record":
         if not order:
             raise ValueError("policy='first_record' needs an explicit order")
-        first = (df.select(F.min_by(detect_format("_keys"), F.struct(*order)).alias("f"),
+        first = (df.select(F.min_by(record_format(SOURCE), F.struct(*order)).alias("f"),
                            F.count(F.lit(1)).alias("n")).first())
         if first is None or first["n"] == 0:
             raise ValueError("no records")
         if first["f"] is None:
             raise ValueError("unrecognized record shape in the first record")
         fmt0 = first["f"]
-        df = df.withColumn("format", F.when(fits_format("_keys", fmt0), F.lit(fmt0)).otherwise(
+        fits = F.coalesce(record_fits(SOURCE, fmt0), F.lit(False))
+        df = df.withColumn("format", F.when(fits, F.lit(fmt0)).otherwise(
             F.raise_error(F.concat(F.lit(f"record lacks the keys of format {fmt0}: "),
-                                   F.coalesce(F.array_join("_keys", ","), F.lit("")))).cast("string")))
+                                   F.coalesce(F.array_join(json_keys(line_col), ","), F.lit("")))).cast("string")))
     else:
         raise ValueError(f"unknown policy {policy}")
-    df = df.withColumn("text", record_text("format", "_rec", template))
+    f = F.col("format")
+    fields = {"messages": F.when(f == "chat", record_messages(SOURCE)),
+              **{n: record_field(SOURCE, n) for n in ("instruction", "input", "output", "prompt", "completion")}}
+    df = df.withColumns({**fields, "_text": F.when(f == "text", record_field(SOURCE, "text"))})
+    text = (F.when(f == "chat", render_chat(F.col("messages"), template))
+            .when(f == "alpaca", alpaca_to_text("instruction", "input", "output"))
+            .when(f == "prompt_completion", prompt_completion_to_text("prompt", "completion"))
+            .when(f == "text", F.col("_text")))
+    df = df.withColumn("text", text).drop("_text")
     # A record whose shape fits but whose required field is null (or whose
     # messages do not parse) renders no text: it goes to the quarantine
     # (format null) with its detected shape kept in ``shape``.
-    df = (df.withColumnRenamed("format", "shape")
-          .withColumn("format", F.when(F.col("text").isNotNull(), F.col("shape"))))
-    for f in ("messages", "instruction", "input", "output", "prompt", "completion"):
-        df = df.withColumn(f, F.col("_rec")[f])
-    return df.drop("_rec")
+    return (df.withColumnRenamed("format", "shape")
+            .withColumn("format", F.when(F.col("text").isNotNull(), F.col("shape"))))
 
 
 # ---------------------------------------------------------------- P6
@@ -173,6 +225,26 @@ def _truthy(c: Column, dtype: T.DataType) -> Column:
     return c.isNotNull()
 
 
+def _py_str(c: Column, dtype: T.DataType) -> Column:
+    """``str()`` of a value: booleans are ``True`` and ``False``."""
+    return F.initcap(c.cast("string")) if isinstance(dtype, T.BooleanType) else c.cast("string")
+
+
+def _in_variant(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.MapType):
+        return isinstance(dtype.keyType, T.StringType) and _in_variant(dtype.valueType)
+    if isinstance(dtype, T.ArrayType):
+        return _in_variant(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(_in_variant(f.dataType) for f in dtype.fields)
+    return not isinstance(dtype, (T.DayTimeIntervalType, T.YearMonthIntervalType, T.CalendarIntervalType))
+
+
+def _for_variant(c: Column, dtype: T.DataType) -> Column:
+    """Types that VARIANT cannot hold (intervals, maps with other keys) go as strings."""
+    return c if _in_variant(dtype) else c.cast("string")
+
+
 def _messages(element: T.DataType) -> Column:
     """The list with role and content first, by field name; further fields
     (name, tool calls, ...) are kept as they are."""
@@ -191,12 +263,13 @@ def to_record(df: DataFrame, text_field: str | None = None) -> DataFrame:
 
     Key presence in a typed table is a property of the schema, so branches
     (b) and (c) resolve at plan time; list-ness and truthiness are per row.
-    Adds ``format`` (null = unmapped) and the canonical fields ``messages,
-    instruction, input, output, prompt, completion, text``.
+    Adds ``format`` (null = unmapped), the canonical fields ``messages,
+    instruction, input, output, prompt, completion, text`` and ``source_record``, the
+    row as it came (VARIANT; built only where it is used, i.e. for the quarantine).
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
+    types = {f.name: f.dataType for f in df.schema.fields if f.name != SOURCE}
     cols = set(types)
-    s = lambda c: F.col(c).cast("string")
+    s = lambda c: _py_str(F.col(c), types[c])
     fmt = F.lit(None).cast("string")
     text = F.lit(None).cast("string")
     # (e) then (d): built from the lowest precedence up.
@@ -241,14 +314,15 @@ def to_record(df: DataFrame, text_field: str | None = None) -> DataFrame:
         "completion": F.when(f == "prompt_completion", completion),
         "text": F.when(f == "text", text),
     }
-    keep = [F.col(c) for c in df.columns if c not in canon and c != "format"]
+    keep = [F.col(c) for c in df.columns if c not in canon and c not in ("format", SOURCE)]
+    row = F.to_variant_object(F.struct(*[_for_variant(F.col(c), t).alias(c) for c, t in types.items()]))
     return (df.withColumn("_fmt", fmt)
-            .select(*keep, f.alias("format"), *[e.alias(n) for n, e in canon.items()]))
+            .select(*keep, f.alias("format"), *[e.alias(n) for n, e in canon.items()], row.alias(SOURCE)))
 
 
 def canonical_json(fmt="format") -> Column:
-    """The JSONL line of a mapped record: only its shape's keys, nulls kept,
-    non-ASCII kept."""
+    """The JSONL line of a mapped row of a typed table: only its shape's keys, nulls
+    kept, non-ASCII kept."""
     f = col_(fmt)
     opts = {"ignoreNullFields": "false"}
     return (F.when(f == "chat", F.to_json(F.struct("messages"), opts))
@@ -308,36 +382,35 @@ def prep_counters(df: DataFrame, fmt: str = "format") -> DataFrame:
     )
 
 
-TOPK_LIMIT = 100_000
-
-
-def limit_written(df: DataFrame, n: int | None, order: list, key: str | None = None,
-                  fmt: str = "format") -> DataFrame:
+def limit_written(df: DataFrame, n: int | None, order: list, fmt: str = "format") -> DataFrame:
     """L1: the first ``n`` *mapped* rows in ``order``; 0 / None = no limit.
 
-    ``order`` must be unique (ascending columns or expressions).  Wide rows
-    never pass through one task: for n up to TOPK_LIMIT the n-th order key
-    is found by a top-k over the key columns only (per-partition heaps of
-    keys, one small merge), and the rows are then filtered by ``key <=
-    cutoff``.  Beyond that a distributed global row number (range shards on
-    ``key``) and a filter take its place.
+    ``order`` is any list of sortable expressions, ascending; rows that tie on it are taken by
+    a hash of the whole row, so only rows that agree in everything are interchangeable.
+    One path for every ``n`` and key type: the n-th key is found by a distributed sort of the
+    keys alone (:func:`ordering.nth_key`), and the wide rows are then only filtered by it.
     """
     mapped = df.where(F.col(fmt).isNotNull())
     if not n:
         return mapped
-    if n <= TOPK_LIMIT or key is None:
-        k = F.struct(*order)
-        keys = mapped.select(k.alias("_k"))
-        cut = keys.orderBy("_k").limit(n).agg(F.max("_k").alias("m")).first()["m"]
-        if cut is None:
-            return mapped.limit(0)
-        ktype = keys.schema["_k"].dataType
-        lit = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, ktype.fields)])
-        # exactly n: rows that tie with the last key fill up what is missing
-        below = mapped.where(k < lit)
-        return below.unionByName(mapped.where(k == lit).limit(max(0, n - below.count())))
-    ranked = global_row_number(mapped, order, key, "_rn")
-    return ranked.where(F.col("_rn") <= n).drop("_rn")
+    row = F.xxhash64(*[_hashable(F.col(c), t.dataType) for c, t in zip(mapped.columns, mapped.schema, strict=True)])
+    key = F.struct(*[c.alias(f"k{i}") if isinstance(c, Column) else F.col(c).alias(f"k{i}") for i, c in enumerate(order)],
+                   row.alias("row"))
+    cut = nth_key(mapped.select(key.alias("k")).select("k.*"), int(n))
+    if cut is None:
+        return mapped
+    last, before, schema = cut
+    lit = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(last, schema.fields, strict=True)])
+    # equal rows that end the cut: as many of them as are missing
+    return mapped.where(key < lit).unionByName(mapped.where(key == lit).limit(int(n) - before))
+
+
+def _hashable(c: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.VariantType):
+        return F.to_json(c)
+    if "map<" in dtype.simpleString() or "variant" in dtype.simpleString():
+        return F.to_json(F.struct(c))
+    return c
 
 
 # ---------------------------------------------------------------- A6

@@ -8,9 +8,12 @@ work grows with the tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions.chat import render_chat
 from weft.operators.records import (
     alpaca_to_text,
     collect_messages,
@@ -114,13 +117,43 @@ def jsonl_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      "n_written", "n_skipped")
 
 
-@query("jsonl_first_record", "P1 P2 SRC1", sql=_LINES_SQL + """
-SELECT rec_id, format, text FROM t WHERE src = 'part'
+SHAPED = ("documents", "part", "benchmark", "conversations")
+
+
+@query("jsonl_first_record", "P1 P2 P3 P4 P5 SRC1", sql=_LINES_SQL + f"""
+SELECT src, rec_id, format, text FROM t WHERE src IN {SHAPED}
 """)
 def jsonl_first_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = jsonl_lines(spark, sf_dir).where(F.col("src") == "part")
-    out = normalize_lines(lines, policy="first_record", order=[F.col("rec_id")])
-    return out.select("rec_id", "format", "text")
+    """Each source of one shape as a file of its own, read whole."""
+    lines = jsonl_lines(spark, sf_dir)
+    out = [normalize_lines(lines.where(F.col("src") == src), policy="first_record", order=[F.col("rec_id")])
+           .select("src", "rec_id", "format", "text") for src in SHAPED]
+    return reduce(DataFrame.unionByName, out)
+
+
+# Documents as JSONL lines, some of them not one strict JSON object.
+_STRICT_SQL = """CASE doc_id % 8
+  WHEN 1 THEN {line} || ' garbage'
+  WHEN 2 THEN '{{' || chr(39) || 'text' || chr(39) || ':' || chr(39) || 'b' || chr(39) || '}}'
+  WHEN 3 THEN {line} || '{{' || chr(34) || 'text' || chr(34) || ':1}}'
+  WHEN 4 THEN {line} || '],[' || {line}
+  WHEN 5 THEN chr(9) || {line} || '  '
+  WHEN 6 THEN '[' || {line} || ']'
+  ELSE {line} END"""
+
+
+@query("jsonl_strict", "SRC1 F1 F2 P1", sql=f"""
+WITH l AS (SELECT doc_id, CAST(json_object('text', text, 'id', doc_id) AS VARCHAR) AS line FROM documents),
+v AS (SELECT doc_id, {_STRICT_SQL.format(line='line')} AS value FROM l),
+j AS (SELECT *, CASE WHEN doc_id % 8 IN (0, 5, 7) THEN value END AS good FROM v)
+SELECT doc_id, CASE WHEN good IS NOT NULL THEN 'text' END AS format, good ->> '$.text' AS text,
+       CASE WHEN good IS NULL THEN md5(value) END AS quarantined FROM j
+""")
+def jsonl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.to_json(F.struct("text", F.col("doc_id").alias("id"))).alias("line"))
+    out = normalize_lines(docs.select("doc_id", F.expr(_STRICT_SQL.format(line="line")).alias("value")))
+    return out.select("doc_id", "format", "text", F.when(F.col("format").isNull(), F.md5("value")).alias("quarantined"))
 
 
 # ---------------------------------------------------------------- P6
@@ -198,14 +231,40 @@ FIRST_N = 100
 
 
 @query("mapped_first_n", "L1 F2 P6", sql=_MAPPED_SQL + f"""
-SELECT * FROM m WHERE src = 'documents' AND format IS NOT NULL ORDER BY rec_id LIMIT {FIRST_N}
+SELECT * FROM m WHERE format IS NOT NULL ORDER BY src, rec_id LIMIT {FIRST_N}
 """)
 def mapped_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _mapped(spark, sf_dir).where(F.col("src") == "documents")
-    return limit_written(docs, FIRST_N, [F.col("rec_id")], key="rec_id").select(
+    return limit_written(_mapped(spark, sf_dir), FIRST_N, [F.col("src"), F.col("rec_id")]).select(
         "src", "rec_id", "format", "text")
 
 
+@query("mapped_text_field", "P6 P2 P4", sql="""
+WITH p AS (SELECT page_id, url, html, page_id % 3 = 0 AS flag FROM pages),
+c AS (SELECT conv_id, count(*) AS n, list({'role': role, 'content': text} ORDER BY turn) AS m FROM conversations GROUP BY conv_id)
+SELECT 'pages' AS src, page_id AS rec_id, 'text' AS format,
+       CASE WHEN coalesce(url, '') <> '' THEN url WHEN flag THEN 'True' ELSE html END AS text FROM p
+UNION ALL
+SELECT 'conversations', conv_id, CASE WHEN n % 2 = 0 THEN 'chat' WHEN n > 1 THEN 'text' END,
+       CASE WHEN n % 2 = 0 THEN array_to_string(list_transform(m, lambda x: '<|im_start|>' || coalesce(x.role, '') || chr(10)
+              || coalesce(x.content, '') || '<|im_end|>' || chr(10)), '')
+            WHEN n > 1 THEN 'True' END FROM c
+""")
+def mapped_text_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chat and text-field branches: rows with a list of messages or none, a
+    named text field, a boolean field."""
+    pages = to_record(table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("rec_id"), "url", (F.pmod("page_id", F.lit(3)) == 0).alias("text"),
+        F.col("html").alias("content")), text_field="url")
+    chats = collect_messages(table(spark, sf_dir, "conversations"))
+    n = F.size("messages")
+    chats = to_record(chats.select(F.col("conv_id").alias("rec_id"),
+                                   F.when(n % 2 == 0, F.col("messages")).alias("messages"), (n > 1).alias("answer")))
+    both = [df.select(F.lit(src).alias("src"), "rec_id", "format",
+                      F.when(F.col("format") == "chat", render_chat(F.col("messages"))).otherwise(F.col("text")).alias("text"))
+            for src, df in (("pages", pages), ("conversations", chats))]
+    return both[0].unionByName(both[1])
+
+
 # ---------------------------------------------------------------- P7
 
 @query("csv_alpaca", "P7", sql="""

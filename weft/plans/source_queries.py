@@ -7,13 +7,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators.records import DEFAULT_INSTRUCTION
-from weft.plans.record_queries import _LINES_SQL, _MAPPED_SQL, _mapped, jsonl_lines
+from weft.operators.records import DEFAULT_INSTRUCTION, to_record
+from weft.plans.record_queries import _LINES_SQL, _MAPPED_SQL, _alias_tables, _mapped, jsonl_lines
 from weft.plans.registry import query
 from weft.plans.tables import table
 from weft.session import scratch_dir
 from weft.sources.files import dataset_catalog, read_csv, read_jsonl, read_table
 from weft.sources.sinks import (
+    QUARANTINE_DIR,
     RECORDS_DIR,
     prepare_records,
     write_records,
@@ -97,3 +98,39 @@ def prepare_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.from_json("counters", "n_read BIGINT, n_written BIGINT, n_skipped BIGINT")
     return spark.read.parquet(runs).select(c["n_read"].alias("n_read"), c["n_written"].alias("n_written"),
                                            c["n_skipped"].alias("n_skipped"))
+
+
+@query("chat_extra_keys", "SRC1 P6 SNK1", sql="""
+SELECT conv_id, turn, role, text AS content, CAST(length(text) AS BIGINT) AS n_chars, turn % 2 = 0 AS even FROM conversations
+""")
+def chat_extra_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with more keys than role and content keep them, nested ones too, from JSONL
+    through preparation to the canonical JSONL."""
+    base = scratch_dir(spark, "chat")
+    turns = table(spark, sf_dir, "conversations")
+    message = F.struct("turn", "role", F.col("text").alias("content"), F.struct(
+        "conv_id", F.length("text").alias("n_chars"), (F.col("turn") % 2 == 0).alias("even")).alias("meta"))
+    lines = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("messages"))
+    lines.select(F.to_json(F.struct("messages"), {"ignoreNullFields": "false"}).alias("value")).write.text(f"{base}/in")
+    prepare_records(read_jsonl(spark, f"{base}/in"), f"{base}/out")
+    back = spark.read.schema("""messages ARRAY<STRUCT<role STRING, content STRING, turn BIGINT,
+        meta: STRUCT<conv_id BIGINT, n_chars BIGINT, even BOOLEAN>>>""").json(f"{base}/out/{RECORDS_DIR}")
+    return back.select(F.explode("messages").alias("m")).select("m.meta.conv_id", "m.turn", "m.role", "m.content",
+                                                                 "m.meta.n_chars", "m.meta.even")
+
+
+@query("quarantine_rows", "F2 A1 P6", sql=_MAPPED_SQL + """
+SELECT d.doc_id AS rec_id, d.lang AS messages,
+       CASE WHEN d.doc_id % 4 = 0 THEN NULL WHEN d.doc_id % 4 = 1 THEN '' ELSE d.text END AS text,
+       d.text AS prompt, CAST(d.n_chars AS DOUBLE) / 2 AS half
+FROM documents d JOIN m ON m.src = 'documents' AND m.rec_id = d.doc_id WHERE m.format IS NULL
+""")
+def quarantine_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that map to no shape come back from the quarantine with the values they had."""
+    docs, _, _ = _alias_tables(spark, sf_dir)
+    more = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("rec_id"), F.col("text").alias("prompt"), (F.col("n_chars") / 2).alias("half"))
+    out = scratch_dir(spark, "quarantine")
+    prepare_records(to_record(docs.join(more, "rec_id")), out)
+    return spark.read.schema("rec_id BIGINT, messages STRING, text STRING, prompt STRING, half DOUBLE").json(
+        f"{out}/{QUARANTINE_DIR}")

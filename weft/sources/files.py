@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weft.functions.text import py_strip, split_list
 from weft.functions.time import display_time
 from weft.operators.ops_tables import first_wins, union_roots
-from weft.operators.records import normalize_lines, row_to_alpaca
+from weft.operators.records import drop_blank, normalize_lines, row_to_alpaca
 
 MAX_RULES = 10_000
 
@@ -61,10 +61,10 @@ def read_jsonl(spark: SparkSession, path: str, policy: str = "per_row",
     ``per_row``: unparseable or unmapped lines keep ``format`` null (the
     quarantine); ``first_record``: the first line decides the shape, a line
     that does not fit it -- or does not parse -- fails the job.  Zero records
-    raise, as does an empty input.
+    raise: an empty input, or one of blank lines only.
     """
     lines = read_lines(spark, path, glob)
-    if lines.isEmpty():
+    if drop_blank(lines).isEmpty():
         raise ValueError(f"no records in {path}")
     out = normalize_lines(lines, "value", policy=policy, order=file_order())
     return out

@@ -10,7 +10,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators.records import canonical_json, limit_written, observe_counters
+from weft.operators.records import SOURCE, canonical_json, limit_written, observe_counters, record_json
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -50,29 +50,34 @@ QUARANTINE_DIR = "mapped=false"
 
 
 def prepare_records(df: DataFrame, out_path: str, limit: int | None = None,
-                    order: list | None = None, key: str | None = None,
-                    fmt: str = "format") -> dict:
+                    order: list | None = None, fmt: str = "format") -> dict:
     """A1 + F2 + L1 + SNK1 in one pass: canonical records go to
-    ``<out>/mapped=true`` and the quarantine (the raw line, or the row as
-    JSON) to ``<out>/mapped=false`` -- one write partitioned by the mapped
-    flag, so the input is parsed once -- and ``n_read, n_written,
-    n_skipped`` are observed on that same write.  ``unmapped_keys`` holds the
-    keys of three quarantined rows, read back from the quarantine.
-
-    With a limit the mapped rows are cut first (L1) and the quarantine is a
-    second write; the whole input is still read (no early stop), so
+    ``<out>/mapped=true`` and the quarantine to ``<out>/mapped=false`` -- one write
+    partitioned by the mapped flag, so the input is parsed once -- and ``n_read,
+    n_written, n_skipped`` are observed on that same write.
+
+    Both are lossless: a JSONL record keeps the whole values of its shape's keys, the
+    quarantine holds the raw line, or the typed row as it was before the mapping.
+    ``unmapped_keys`` holds the source's keys of three quarantined rows.
+
+    With a limit (which needs an ``order``) the mapped rows are cut first (L1) and the
+    quarantine is a second write; the whole input is still read (no early stop), so
     ``n_skipped`` counts every unmapped row.  Raises when nothing was written.
     """
+    if limit and not order:
+        raise ValueError("a limit needs an order")
     observed, obs = observe_counters(df, fmt=fmt)
-    raw = F.col("value") if "value" in df.columns else F.to_json(
-        F.struct(*[c for c in df.columns if not c.startswith("_")]), {"ignoreNullFields": "false"})
+    from_lines = "value" in df.columns
+    line = record_json(fmt, SOURCE) if from_lines and SOURCE in df.columns else canonical_json(fmt)
+    raw = F.col("value") if from_lines else F.to_json(SOURCE) if SOURCE in df.columns else F.to_json(
+        F.struct(*df.columns), {"ignoreNullFields": "false"})
     mapped = F.col(fmt).isNotNull()
     if not limit:
-        (observed.select(mapped.alias("mapped"), F.when(mapped, canonical_json(fmt)).otherwise(raw).alias("value"))
+        (observed.select(mapped.alias("mapped"), F.when(mapped, line).otherwise(raw).alias("value"))
          .write.mode("overwrite").partitionBy("mapped").text(out_path))
     else:
-        write_records(limit_written(observed, limit, order or [F.col(fmt)], key=key, fmt=fmt),
-                      f"{out_path}/{RECORDS_DIR}", fmt)
+        cut = limit_written(observed, limit, order, fmt=fmt)
+        cut.select(line.alias("value")).write.mode("overwrite").text(f"{out_path}/{RECORDS_DIR}")
         df.where(~mapped).select(raw.alias("value")).write.mode("overwrite").text(
             f"{out_path}/{QUARANTINE_DIR}")
     counters = {k: int(v) for k, v in obs.get.items()}

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weft.operators.agent_log import APPROVAL_TIMEOUT_S
 from weft.operators.ops_tables import LOG_RING_LINES, usage_band, usage_pct
-from weft.operators.records import canonical_json, normalize_lines
+from weft.operators.records import SOURCE, normalize_lines, record_json
 from weft.session import scratch_dir
 
 
@@ -56,7 +56,7 @@ def landing_to_prepared(spark: SparkSession, landing_dir: str, out_dir: str,
         batch.persist()
         try:
             (batch.where(F.col("format").isNotNull())
-             .select("format", "text", canonical_json().alias("record"))
+             .select("format", "text", record_json("format", SOURCE).alias("record"))
              .write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}"))
             (batch.where(F.col("format").isNull()).select("value")
              .write.mode("overwrite").parquet(f"{quarantine_dir}/batch={batch_id}"))
