@@ -24,10 +24,10 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -38,7 +38,7 @@ from weft.llm.words import ranges, slices, text_buffer, word_pieces
 LONG = 256
 #: Distinct words, and their bytes, whose ids a Python worker keeps at a time.
 CACHE_WORDS = 1 << 19
-CACHE_BYTES = 1 << 25
+CACHE_BYTES = 1 << 26
 NONE = np.int64(1) << np.int64(40)
 
 
@@ -223,7 +223,8 @@ class Bpe:
 
 class WordIds:
     """Ids of the pieces of texts; each distinct piece is encoded once while the
-    cache (of at most ``CACHE_WORDS`` pieces and ``CACHE_BYTES`` bytes) holds it.
+    cache (of at most ``CACHE_WORDS`` pieces and ``CACHE_BYTES`` bytes) holds it.  A full
+    cache keeps the pieces that were met again since they came.
 
     Pieces are told apart by their bytes, never by a hash.  ``cut`` gives the pieces
     of a buffer as a binary array and the first piece of each row.
@@ -231,35 +232,43 @@ class WordIds:
 
     def __init__(self, encode_words, cut=word_pieces):
         self.encode_words, self.cut = encode_words, cut
-        self._reset()
-
-    def _reset(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.size = 0
+        self.known = pa.array([], pa.large_binary())
         self.at = np.zeros(0, np.int64)
         self.n = np.zeros(0, np.int64)
+        self.met = np.zeros(0, bool)
         self.ids = np.zeros(0, np.int32)
 
+    def _thin(self) -> None:
+        keep = np.flatnonzero(self.met)
+        size = pc.binary_length(self.known).to_numpy()
+        if 2 * len(keep) > CACHE_WORDS or 2 * int(size[keep].sum()) > CACHE_BYTES:
+            keep = keep[:0]
+        self.known = self.known.take(pa.array(keep))
+        self.ids = self.ids[ranges(self.at[keep], self.n[keep])]
+        self.n = self.n[keep]
+        self.at = np.cumsum(self.n) - self.n
+        self.met = np.zeros(len(keep), bool)
+
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, row offsets)."""
         pieces, doc = self.cut(*text_buffer(col))
         if not len(pieces):
             return np.zeros(0, np.int32), np.zeros(len(doc), np.int64)
-        if len(self.number) > CACHE_WORDS or self.size > CACHE_BYTES:
-            self._reset()
+        if len(self.known) > CACHE_WORDS or self.known.nbytes > CACHE_BYTES:
+            self._thin()
         coded = pieces.dictionary_encode()
         which = coded.indices.to_numpy()
-        distinct = coded.dictionary.to_pylist()
-        k = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
+        k = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known), -1).to_numpy().astype(np.int64)
         unknown = np.flatnonzero(k < 0)
+        self.met[k[k >= 0]] = True
         if len(unknown):
-            new = [distinct[i] for i in unknown.tolist()]
-            got, n = self.encode_words([x.decode() for x in new])
-            k[unknown] = np.arange(len(self.number), len(self.number) + len(new))
-            self.number.update(zip(new, k[unknown].tolist(), strict=True))
-            self.size += sum(map(len, new))
+            new = coded.dictionary.take(pa.array(unknown))
+            got, n = self.encode_words(new.cast(pa.large_string()).to_pylist())
+            k[unknown] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known = pa.concat_arrays([self.known, new])
             self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
             self.n = np.concatenate([self.n, n])
+            self.met = np.concatenate([self.met, np.zeros(len(new), bool)])
             self.ids = np.concatenate([self.ids, np.asarray(got).astype(np.int32)])
         n = self.n[k][which]
         out = self.ids[ranges(self.at[k][which], n)]
@@ -296,7 +305,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_to_ids = _encoder(spec.value)
         for batch in batches:
-            for s in slices(batch, text_col, 1 << 20):
+            for s in slices(batch, text_col, 2 << 20):
                 ids, offsets = words_to_ids.encode(s.column(text_col))
                 col = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), col], [*keep, out])

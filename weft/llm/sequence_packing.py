@@ -19,6 +19,8 @@ result; only the id and text columns are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,10 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from weft.llm.bpe import WordIds, read_spec
 from weft.llm.token_files import library_words
-from weft.llm.words import SPACE, binary_array, slices
+from weft.llm.words import SPACE, binary_array, ranges, slices
 
 LENGTH = 2048
 END_ID = 1
@@ -40,16 +43,24 @@ MAX_OPEN = 4096
 #: Ids a task holds back before it gives rows out.
 OUT_IDS = 1 << 19
 
+#: Marks in front of which a word may be cut (fixed values).
+STOPS = ",.;:!?"
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[ord(c) for c in STOPS]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _LAST_OF_TWO = np.zeros(256, dtype=bool)  # C2 85, C2 A0: white space of two bytes
 _LAST_OF_TWO[[0x85, 0xA0]] = True
 
 
 def spaced_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """(pieces as a binary array, first piece of each row): texts cut in front of
-    each run of ASCII white space that does not continue other white space.
+    each run of ASCII white space that does not continue other white space, and between
+    a letter a-z and one of ``STOPS``.
 
     No match of the byte-level split pattern crosses such a cut: its alternatives
-    reach from white space into a word, never back.
+    reach from white space into a word, never back, and one that holds a letter ends with
+    letters.
     """
     space = SPACE[data]
     first = space.copy()
@@ -62,8 +73,11 @@ def spaced_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.n
     general = (b3 == 0xE2) & (((b2 == 0x80) & ((b1 <= 0x8A) | (b1 == 0xA8) | (b1 == 0xA9) | (b1 == 0xAF)))
                               | ((b2 == 0x81) & (b1 == 0x9F)))
     other = ((b3 == 0xE1) & (b2 == 0x9A) & (b1 == 0x80)) | ((b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80))
-    start = np.union1d(at[~(two | ((b1 >= 0x80) & (general | other)))], offsets[:-1])
-    start = start[start < len(data)]
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[at[~(two | ((b1 >= 0x80) & (general | other)))]] = True
+    cut[offsets[:-1]] = True
+    cut[1:-1] |= _LETTER[data[:-1]] & _STOP[data[1:]]
+    start = np.flatnonzero(cut[:-1])
     return binary_array(data, np.append(start, len(data))), np.searchsorted(start, offsets, side="left")
 
 
@@ -166,9 +180,51 @@ class Packer:
                     cut, room = Window(), 1 << max(rest.bit_length() - 1, 0)
 
 
+def library_pieces(spec: str, group: int = 512):
+    """``encode_words`` of pieces by the tokenizers library.
+
+    Pieces that start with white space and end without are encoded end to end: the split
+    pattern parts them again, and the ids' byte lengths tell where each piece ends.  The
+    rest, and what may touch a special token, goes through :func:`library_words`.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    t = Tokenizer.from_str(spec)
+    t.no_truncation()
+    t.no_padding()
+    vocabulary = t.get_vocab(with_added_tokens=False)
+    size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+    for token, i in vocabulary.items():
+        size[i] = len(token)  # one symbol a byte
+    starts = {a.content[0] for a in t.get_added_tokens_decoder().values()}
+    apart = library_words(spec)
+
+    def encode_pieces(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [x[0] in " \t\n\v\f\r" and not x[-1].isspace() and not any(c in x for c in starts) for x in batch]
+        run = [x for x, p in zip(batch, plain, strict=True) if p]
+        texts = ["".join(run[i:i + group]) for i in range(0, len(run), group)]
+        ids = np.array([i for e in t.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], dtype=np.int64)
+        ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in run], dtype=np.int64)
+        stop = np.searchsorted(np.cumsum(size[ids]), ends) + 1
+        if all(plain):
+            return ids, np.diff(stop, prepend=0)
+        rest = [x for x, p in zip(batch, plain, strict=True) if not p]
+        more, number = apart(rest)
+        n = np.empty(len(batch), dtype=np.int64)
+        where = np.array(plain)
+        n[where], n[~where] = np.diff(stop, prepend=0), number
+        first = np.empty(len(batch), dtype=np.int64)
+        first[where] = stop - n[where]
+        first[~where] = len(ids) + np.cumsum(number) - number
+        return np.concatenate([ids, np.asarray(more, dtype=np.int64)])[ranges(first, n)], n
+
+    return encode_pieces
+
+
 @lru_cache(maxsize=4)
 def _library(spec: str) -> WordIds:
-    return WordIds(library_words(spec), spaced_pieces)
+    if any(set(t["content"]) & {*STOPS, *" \t\n\v\f\r"} for t in json.loads(spec).get("added_tokens", [])):
+        raise ValueError("a special token holds a character at which texts are cut")
+    return WordIds(library_pieces(spec), spaced_pieces)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -211,7 +267,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         for batch in batches:
             kind = batch.column("id").type
-            for s in slices(batch, "text", 1 << 20):
+            for s in slices(batch, "text", 2 << 20):
                 ids, offsets = library.encode(s.column("text"))
                 bounds = offsets.tolist()
                 for key, a, b in zip(s.column("id").to_pylist(), bounds[:-1], bounds[1:], strict=True):

@@ -210,7 +210,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
                 ["segment", "doc_ids", "lengths", "n_tokens", "bytes"])
 
         for batch in batches:
-            for s in slices(batch, "t", 1 << 20):
+            for s in slices(batch, "t", 2 << 20):
                 ids, offsets = library.encode(s.column("t"))
                 n = np.diff(offsets)
                 # the end id behind every document
