@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from weft.operators.agent_log import APPROVAL_TIMEOUT_S
 from weft.operators.ops_tables import LOG_RING_LINES, usage_band, usage_pct
@@ -89,39 +90,100 @@ def stream_log(spark: SparkSession, log_dir: str, max_files_per_trigger: int | N
 
 
 TAIL_SCHEMA = "job_id STRING, seq LONG, line STRING, pos INT"
-TAIL_STATE = "seqs ARRAY<LONG>, lines ARRAY<STRING>"
-
-
-def _keep_tail(n: int):
-    def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs: list[int] = []
-        lines: list[str] = []
-        if state.exists:
-            seqs, lines = list(state.get[0]), list(state.get[1])
-        for pdf in pdfs:
-            seqs.extend(int(s) for s in pdf["seq"].tolist())
-            lines.extend(pdf["line"].tolist())
-            if len(seqs) > 4 * n:   # keep memory bounded inside a long batch
-                order = sorted(range(len(seqs)), key=seqs.__getitem__)[-n:]
-                seqs, lines = [seqs[i] for i in order], [lines[i] for i in order]
-        order = sorted(range(len(seqs)), key=seqs.__getitem__)[-n:]
-        seqs, lines = [seqs[i] for i in order], [lines[i] for i in order]
-        state.update((seqs, lines))
-        m = len(seqs)
-        yield pd.DataFrame({"job_id": [key[0]] * m, "seq": seqs, "line": lines,
-                            "pos": list(range(m, 0, -1))})
-    return fn
-
-
-def log_tail(logs: DataFrame, n: int = LOG_RING_LINES) -> DataFrame:
+#: Salts of a job's second cut; rows a task holds before it hands cut rows on.
+TAIL_SALTS = 16
+CUT_ROWS = 1 << 17
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def last_per_job(rows: pa.Table, n: int) -> pa.Table:
+    """The ``n`` rows of the largest (seq, line) of every job, newest first."""
+    rows = rows.sort_by([("job_id", "ascending"), ("seq", "descending"), ("line", "descending")]).combine_chunks()
+    job = rows.column("job_id")
+    if rows.num_rows < 2:
+        return rows
+    code = job.combine_chunks().dictionary_encode(null_encoding="encode") if isinstance(job, pa.ChunkedArray) \
+        else job.dictionary_encode(null_encoding="encode")
+    code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
+    code = code.indices.to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    rank = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+    return rows.filter(pa.array(rank < n))
+
+
+def _cut(n: int):
+    """An Arrow stage that hands on at most ``n`` rows a job (and flush) of its task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, limit = 0, CUT_ROWS
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= limit:
+                cut = last_per_job(pa.Table.from_batches(held), n)
+                if cut.num_rows > limit // 2:  # many jobs: cutting here saves little
+                    yield from cut.to_batches()
+                    held, size = [], 0
+                else:
+                    held, size = cut.to_batches(), cut.num_rows
+        if held:
+            yield from last_per_job(pa.Table.from_batches(held), n).to_batches()
+    return run
+
+
+class TailProcessor(StatefulProcessor):
+    """A job's last ``n`` lines as list state, oldest first; idle jobs expire after ``ttl_ms``."""
+
+    def __init__(self, n: int, ttl_ms: int | None):
+        self.n, self.ttl_ms = n, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tail = handle.getListState("tail", "seq LONG, line STRING", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        lines = [tuple(r) for r in self.tail.get()]
+        for pdf in rows:
+            lines.extend(zip(pdf["seq"].tolist(), pdf["line"].tolist(), strict=True))
+            if len(lines) > 4 * self.n:
+                lines = self._last(lines)
+        lines = self._last(lines)
+        self.tail.put(lines)
+        yield pd.DataFrame({"job_id": key[0], "seq": [s for s, _ in lines], "line": [x for _, x in lines],
+                            "pos": range(len(lines), 0, -1)}, index=range(len(lines)))
+
+    def _last(self, lines: list[tuple]) -> list[tuple]:
+        return sorted(lines, key=lambda r: (r[0], r[1] is not None, r[1] or ""))[-self.n:]
+
+    def close(self) -> None:
+        pass
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Queries with ``transformWithState`` need this state store."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key, "") != ROCKSDB:
+        spark.conf.set(key, ROCKSDB)
+
+
+def log_tail(logs: DataFrame, n: int = LOG_RING_LINES, salts: int = TAIL_SALTS, ttl_ms: int | None = None) -> DataFrame:
     """ST2: the last ``n`` lines per job as bounded per-key state (at most n
     lines per job, never the whole log).  Update mode: each trigger emits the
     current tail of the jobs that received lines.  ``pos`` 1 is the newest.
 
+    Three levels, so that no task receives a hot job's whole batch: where lines are read, at
+    most n a job leave a task; these meet in ``salts`` parts a job, which leave n each; the
+    job's state merges those.  With ``ttl_ms`` the state of a job that gets no lines for so long
+    is dropped (its next line starts a new tail).
+
     Unlike a ring compared by length, new lines keep arriving after the tail
     is full: the cursor is the source offset, not a list length."""
-    return logs.groupBy("job_id").applyInPandasWithState(
-        _keep_tail(n), TAIL_SCHEMA, TAIL_STATE, "update", GroupStateTimeout.NoTimeout)
+    use_rocksdb(logs.sparkSession)
+    rows = logs.select("job_id", "seq", "line")
+    parts = int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = rows.mapInArrow(_cut(n), rows.schema)
+    cut = cut.repartition(parts, "job_id", F.pmod(F.xxhash64("seq", "line"), F.lit(salts))).mapInArrow(_cut(n), rows.schema)
+    return cut.groupBy("job_id").transformWithStateInPandas(
+        TailProcessor(n, ttl_ms), TAIL_SCHEMA, "Update", "ProcessingTime" if ttl_ms else "None")
 
 
 def job_status(logs: DataFrame) -> DataFrame:
@@ -133,36 +195,92 @@ def job_status(logs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- ST3
 
+class ApprovalProcessor(StatefulProcessor):
+    """The calls of one (key, time bucket) and the decisions that can reach them.
+
+    Rows wait in list state; a timer at the end of the bucket's reach hands every call its
+    earliest decision.  No pair is ever made: one sweep over the bucket's rows in time order.
+    """
+
+    def __init__(self, width_us: int, timeout_us: int):
+        self.width_us, self.timeout_us = width_us, timeout_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "is_call BOOLEAN, id LONG, us LONG, decision BOOLEAN")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            decision = [None if x is None or x != x else bool(x) for x in pdf["decision"].tolist()]
+            self.rows.appendList(list(zip(pdf["is_call"].tolist(), pdf["id"].tolist(), pdf["us"].tolist(), decision,
+                                          strict=True)))
+        # a call of this bucket is decided until timeout after the bucket's end
+        end_us = (int(key[1]) + 1) * self.width_us + self.timeout_us
+        self.handle.registerTimer(-(-end_us // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # latest first; at equal times decisions before calls, smaller ids last
+        rows = sorted(self.rows.get(), key=lambda r: (r[2], not r[0], r[1]), reverse=True)
+        out, following = [], None
+        for is_call, number, us, decision in rows:
+            if not is_call:
+                following = (number, us, decision)
+                continue
+            hit = following if key[0] is not None and following and following[1] <= us + self.timeout_us else None
+            out.append((key[0], number, us, *(hit or (None, None, None))))
+        self.rows.clear()
+        cols = ["key", "call_id", "us", "decision_id", "decided_us", "decision"]
+        pdf = pd.DataFrame(out, columns=cols)
+        yield pdf.astype({"decision_id": "Int64", "decided_us": "Int64", "decision": "boolean"})
+
+    def close(self) -> None:
+        pass
+
+
 def approvals_stream(calls: DataFrame, decisions: DataFrame, key: str = "session_id",
-                     timeout_s: int = APPROVAL_TIMEOUT_S, delay: str = "10 minutes") -> DataFrame:
-    """ST3: pending calls and decisions as two streams.
+                     timeout_s: int = APPROVAL_TIMEOUT_S, delay: str = "10 minutes", splits: int = 1) -> DataFrame:
+    """ST3: pending calls and decisions as two streams; each call gets its earliest decision with
+    ``call.ts <= d.ts <= call.ts + timeout`` (ties: the smaller id).
 
-    Left outer interval join (same key, ``call.ts <= d.ts <= call.ts +
-    timeout``) with watermarks on both sides, then the first decision per
-    call.  A call without a decision is emitted as ``timed_out`` only once
-    the watermark has passed ``ts + timeout``; state older than that is
-    dropped, so state is bounded by the time-out and the delay.
+    Both streams are dealt by (key, bucket of time-out / ``splits``), a decision to its own
+    bucket and the ``splits`` before it, so state is linear in the rows -- one row a call,
+    ``splits`` + 1 a decision -- and a hot session is many groups.  A bucket is settled by an
+    event-time timer once the watermark (of both streams) has passed all that can reach it,
+    and its state is dropped.  A call without a decision, or of a null session, is
+    ``timed_out``; a null decision counts as rejected.
 
     ``calls``: key, ``call_id``, ``ts``; ``decisions``: key, ``decision_id``,
-    ``ts``, ``decision``.
+    ``ts``, ``decision``.  Rows with a null ``ts`` take no part.
     """
-    c = calls.select(F.col(key).alias("c_key"), "call_id", F.col("ts").alias("c_ts")) \
-        .withWatermark("c_ts", delay)
-    d = decisions.select(F.col(key).alias("d_key"), "decision_id", F.col("ts").alias("d_ts"),
-                         F.col("decision").cast("boolean").alias("decision")) \
-        .withWatermark("d_ts", delay)
-    cond = (F.col("c_key") == F.col("d_key")) & (F.col("d_ts") >= F.col("c_ts")) & (
-        F.col("d_ts") <= F.col("c_ts") + F.expr(f"INTERVAL {int(timeout_s)} SECONDS"))
-    j = c.join(d, cond, "leftOuter")
-    first = F.min(F.when(F.col("decision_id").isNotNull(), F.struct(
-        F.col("d_ts").alias("t"), F.col("decision_id").alias("i"), F.col("decision").alias("d"))))
-    agg = j.groupBy("c_key", "call_id", "c_ts").agg(first.alias("_f"))
-    return agg.select(
-        F.col("c_key").alias(key), "call_id", F.col("c_ts").alias("ts"),
-        F.col("_f")["i"].alias("decision_id"), F.col("_f")["t"].alias("decided_at"),
-        F.coalesce(F.col("_f")["d"], F.lit(False)).alias("approved"),
-        F.when(F.col("_f").isNull(), F.lit("timed_out"))
-         .when(F.col("_f")["d"], F.lit("approved")).otherwise(F.lit("rejected")).alias("outcome"))
+    use_rocksdb(calls.sparkSession)
+    splits = max(1, int(splits))
+    timeout_us = int(timeout_s) * 1_000_000
+    width = max(1, timeout_us // splits)
+    key_type = calls.schema[key].dataType
+    c = calls.withWatermark("ts", delay).where(F.col("ts").isNotNull()).select(
+        F.col(key).alias("key"), F.lit(True).alias("is_call"), F.col("call_id").cast("long").alias("id"), "ts",
+        F.lit(None).cast("boolean").alias("decision"))
+    d = decisions.withWatermark("ts", delay).where(F.col("ts").isNotNull() & F.col(key).isNotNull()).select(
+        F.col(key).cast(key_type).alias("key"), F.lit(False).alias("is_call"),
+        F.col("decision_id").cast("long").alias("id"), "ts",
+        F.coalesce(F.col("decision").cast("boolean"), F.lit(False)).alias("decision"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = F.floor(us / F.lit(width)).cast("long")
+    rows = c.unionByName(d).withColumn("us", us).withColumn(
+        "bucket", F.explode(F.when(F.col("is_call"), F.array(own)).otherwise(F.array(*[own - i for i in range(splits + 1)]))))
+    # null sessions match nothing and are spread by their ids
+    rows = rows.withColumn("spread", F.when(F.col("key").isNull(), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(0))
+    schema = T.StructType([T.StructField("key", key_type), *T._parse_datatype_string(
+        "call_id LONG, us LONG, decision_id LONG, decided_us LONG, decision BOOLEAN").fields])
+    out = rows.groupBy("key", "bucket", "spread").transformWithStateInPandas(
+        ApprovalProcessor(width, timeout_us), schema, "Append", "EventTime")
+    found = F.col("decision_id").isNotNull()
+    return out.select(
+        F.col("key").alias(key), "call_id", F.timestamp_micros("us").alias("ts"), "decision_id",
+        F.timestamp_micros("decided_us").alias("decided_at"), F.coalesce("decision", F.lit(False)).alias("approved"),
+        F.when(~found, F.lit("timed_out")).when(F.col("decision"), F.lit("approved"))
+         .otherwise(F.lit("rejected")).alias("outcome"))
 
 
 # ---------------------------------------------------------------- ST4
