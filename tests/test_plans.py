@@ -66,23 +66,39 @@ def test_collect_messages_is_one_shuffle(spark):
     assert len([ln for ln in lines if ln.startswith("Exchange ")]) == 1
 
 
-def test_large_rule_table_is_broadcast(spark, monkeypatch):
+def test_many_rules_meet_commands_by_index(spark, monkeypatch):
     from weft.operators import agent_log
 
     monkeypatch.setattr(agent_log, "MAX_INLINE_RULES", 2)
     rules = spark.createDataFrame(agent_log.default_block_rules(), "rule_id INT, pattern STRING")
     cmds = spark.createDataFrame([("rm -rf /",), ("ls",)], "cmd STRING")
     plan = _executed(agent_log.classify_commands(cmds, "cmd", rules))
-    assert "BroadcastNestedLoopJoin" in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_large_ladder_is_broadcast(spark, monkeypatch):
+def test_ladders_of_every_size_have_no_nested_loop(spark, monkeypatch):
     from weft.operators import ops_tables
 
-    monkeypatch.setattr(ops_tables, "MAX_INLINE_LADDER", 2)
     df = spark.createDataFrame([(1.0,), (20.0,)], "v DOUBLE")
-    plan = _executed(ops_tables.ladder_lookup(df, "v", ops_tables.tier_ladder(spark)))
-    assert "BroadcastNestedLoopJoin" in plan or "BroadcastExchange" in plan
+    ladder = spark.range(5000).selectExpr("CAST(id AS DOUBLE) AS lo", "CAST(id AS STRING) AS name")
+    plan = _executed(ops_tables.ladder_lookup(df, "v", ladder))
+    assert "Join" not in plan and "Exchange" not in plan
+    monkeypatch.setattr(ops_tables, "MAX_SEARCHED_LADDER", 2)
+    plan = _executed(ops_tables.ladder_lookup(df, "v", ladder))
+    assert "Join" not in plan
+
+
+def test_tail_of_a_hot_key_is_a_tree_of_two_limits(spark):
+    from pyspark.sql import functions as F
+
+    from weft.operators.ops_tables import tail_per_key
+
+    df = spark.range(0, 10000, numPartitions=50).select(F.when(F.col("id") >= 0, "hot").otherwise("x").alias("k"), "id")
+    out = tail_per_key(df, "k", [F.col("id").desc()], 5, salts=4)
+    plan = _executed(out)
+    lines = [ln.strip(" :+-") for ln in plan.split("\n")]
+    assert len([ln for ln in lines if ln.startswith("Window ")]) == 2 and plan.count("WindowGroupLimit") >= 3
+    assert sorted(r.id for r in out.collect()) == list(range(9995, 10000))
 
 
 def test_doc_packing_scans_and_tokenizes_once(spark):

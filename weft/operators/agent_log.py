@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions.text import col_, is_ascii
+from weft.operators.rules import java_pattern, required_literal
+from weft.operators.substring_index import candidates
 
 # The tool-call tag pattern (dot matches newline; first call only).
 TOOL_CALL_PATTERN = r"<tool_call>\s*(\{.*?\})\s*</tool_call>"
@@ -44,9 +46,8 @@ TOOL_CALL_SCHEMA = T.ArrayType(T.StructType([
     T.StructField("args", T.StructType([T.StructField("cmd", T.StringType())])),
 ]))
 
-# Rule tables up to this size are compiled into one CASE expression.
+# Rules of one CASE expression.
 MAX_INLINE_RULES = 256
-MAX_BROADCAST_RULES = 10_000
 
 
 # ---------------------------------------------------------------- P8
@@ -124,7 +125,7 @@ def first_match_rule(cmd, rules: list[tuple[int, str]]) -> Column:
     true, null if none.  A CASE short-circuits like the loop's return."""
     c = col_(cmd)
     out = F.lit(None).cast("int")
-    for rid, pat in reversed(rules):
+    for rid, pat in reversed(list(rules)):
         out = F.when(py_search(c, pat), F.lit(rid)).otherwise(out)
     return out
 
@@ -144,51 +145,61 @@ def default_block_rules() -> list[tuple[int, str]]:
     return [(i + 1, p) for i, p in enumerate(HARD_BLOCKED)]
 
 
-def _rules_list(rules: DataFrame, id_col: str, pattern_col: str,
-                limit: int) -> list[tuple[int, str]] | None:
-    small = rules.select(id_col, pattern_col).limit(limit + 1).collect()
-    if len(small) > limit:
-        return None
-    return sorted((int(r[0]), str(r[1])) for r in small)
+def _rules_list(rules: DataFrame, id_col: str, pattern_col: str) -> list[tuple]:
+    """Rules are configuration: read whole, first by id."""
+    rows = rules.select(id_col, pattern_col).where(F.col(pattern_col).isNotNull()).collect()
+    return sorted(((r[0], java_pattern(str(r[1])), str(r[1])) for r in rows), key=lambda r: (r[0], r[2]))
 
 
 def classify_commands(df: DataFrame, cmd_col: str, rules: DataFrame, id_col: str = "rule_id",
                       pattern_col: str = "pattern", out_col: str = "block_rule") -> DataFrame:
-    """First matching rule (lowest ``rule_id``) for every command.
-
-    A rule table is a small dimension.  Up to MAX_INLINE_RULES rules become one
-    CASE expression (no join, no shuffle).  Larger tables, up to a checked
-    MAX_BROADCAST_RULES, are broadcast and joined against the *distinct*
-    commands (broadcast nested loop), then joined back on the command.
-    """
-    inline = _rules_list(rules, id_col, pattern_col, MAX_INLINE_RULES)
-    if inline is not None:
-        return df.withColumn(out_col, first_match_rule(cmd_col, inline))
-    n = rules.count()
-    if n > MAX_BROADCAST_RULES:
-        raise ValueError(f"rule table of {n} rows is not a rule table")
-    r = rules.select(F.col(id_col).alias("_rid"),
-                     F.concat(F.lit(PY_RE_FLAGS), F.col(pattern_col)).alias("_pat"))
+    """First matching rule (lowest ``rule_id``) for every command; ``out_col`` has the
+    type of ``id_col``.  Any number of rules.
+
+    Up to MAX_INLINE_RULES rules are one CASE expression (no join, no shuffle).  More are
+    looked up (same rows): each *distinct* command meets the rules whose rarest required
+    gram it holds (:mod:`substring_index`) and is matched against those alone; rules without
+    a required string are CASE expressions of MAX_INLINE_RULES rules over the distinct commands."""
+    kind = rules.schema[id_col].dataType
+    found = _rules_list(rules, id_col, pattern_col)
+    if len(found) <= MAX_INLINE_RULES:
+        return df.withColumn(out_col, first_match_rule(cmd_col, [r[:2] for r in found]).cast(kind))
     cmds = df.select(F.col(cmd_col).alias("_cmd")).where("_cmd IS NOT NULL").distinct()
-    hits = (cmds.join(F.broadcast(r), F.expr("_cmd RLIKE _pat"), "left")
-            .groupBy("_cmd").agg(F.min("_rid").alias(out_col)))
-    return df.join(hits, df[cmd_col] == hits["_cmd"], "left").drop("_cmd")
+    hits = (_indexed_matches(cmds, found).groupBy("_cmd").agg(F.min("_rid").alias("_rid"))
+            .select("_cmd", F.col("_rid").cast(kind).alias(out_col)))
+    return df.drop(out_col).join(hits, F.col(cmd_col) == F.col("_cmd"), "left").drop("_cmd")
+
+
+def _indexed_matches(cmds: DataFrame, rules: list[tuple]) -> DataFrame:
+    """(_cmd, _rid) of matching rules, the first at least, of distinct commands."""
+    spark = cmds.sparkSession
+    literal = [(int(i), java, required_literal(p)) for i, java, p in rules]
+    keyed = [r for r in literal if r[2]]
+    free = [r[:2] for r in literal if not r[2]]
+    out = cmds.select("_cmd", F.lit(None).cast("long").alias("_rid")).limit(0)
+    if keyed:
+        needles = spark.createDataFrame(keyed, "_rid LONG, _pat STRING, _lit STRING")
+        pairs = candidates(cmds, needles, "_cmd", "_lit", []).where(F.col("_cmd").contains(F.col("_lit")))
+        # equal patterns one after the other: each is compiled once a run, not once a row
+        pairs = pairs.sortWithinPartitions("_pat")
+        hit = F.when(is_ascii("_cmd"), F.rlike("_cmd", F.concat(F.lit(PY_RE_FLAGS_ASCII), F.col("_pat")))) \
+            .otherwise(F.rlike("_cmd", F.concat(F.lit(PY_RE_FLAGS), F.col("_pat"))))
+        out = out.unionByName(pairs.where(hit).select("_cmd", "_rid"))
+    for lo in range(0, len(free), MAX_INLINE_RULES):
+        block = first_match_rule("_cmd", free[lo:lo + MAX_INLINE_RULES])
+        out = out.unionByName(cmds.select("_cmd", block.cast("long").alias("_rid")).where("_rid IS NOT NULL"))
+    return out
 
 
 def flag_allowed(df: DataFrame, cmd_col: str, allow: DataFrame, pattern_col: str = "pattern",
                  out_col: str = "allowed") -> DataFrame:
-    """Allow-list flag; same size policy as :func:`classify_commands`."""
-    with_id = allow.select(F.lit(0).alias("_id"), pattern_col)
-    inline = _rules_list(with_id, "_id", pattern_col, MAX_INLINE_RULES)
-    if inline is not None:
-        return df.withColumn(out_col, any_match(cmd_col, [p for _, p in inline]))
-    n = allow.count()
-    if n > MAX_BROADCAST_RULES:
-        raise ValueError(f"allow table of {n} rows is not a rule table")
-    r = allow.select(F.concat(F.lit(PY_RE_FLAGS), F.col(pattern_col)).alias("_pat"))
+    """Allow-list flag, by the same means as :func:`classify_commands`."""
+    found = _rules_list(allow.select(F.lit(0).alias("_id"), pattern_col), "_id", pattern_col)
+    if len(found) <= MAX_INLINE_RULES:
+        return df.withColumn(out_col, any_match(cmd_col, [r[1] for r in found]))
     cmds = df.select(F.col(cmd_col).alias("_cmd")).where("_cmd IS NOT NULL").distinct()
-    ok = cmds.join(F.broadcast(r), F.expr("_cmd RLIKE _pat"), "left_semi").withColumn("_ok", F.lit(True))
-    return (df.join(ok, df[cmd_col] == ok["_cmd"], "left")
+    ok = _indexed_matches(cmds, found).select("_cmd").distinct().withColumn("_ok", F.lit(True))
+    return (df.join(ok, F.col(cmd_col) == F.col("_cmd"), "left")
             .withColumn(out_col, F.coalesce("_ok", F.lit(False))).drop("_cmd", "_ok"))
 
 

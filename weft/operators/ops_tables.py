@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import col_
+from weft.operators.substring_index import candidates
+from weft.session import scratch_dir
 
 # ---------------------------------------------------------------- fixed values
 
@@ -36,8 +38,7 @@ LOG_RING_LINES = 4000
 LOG_TAIL_LINES = 50
 EVENT_TAIL = 200
 
-MAX_INLINE_LADDER = 256
-MAX_BROADCAST_LADDER = 4096
+MAX_SEARCHED_LADDER = 1 << 13
 
 
 def tier_ladder(spark: SparkSession) -> DataFrame:
@@ -46,15 +47,23 @@ def tier_ladder(spark: SparkSession) -> DataFrame:
 
 # ---------------------------------------------------------------- W1
 
+TAIL_SALTS = 32
+
+
 def tail_per_key(df: DataFrame, key: str, order_desc: list, n: int,
-                 pos_col: str = "pos") -> DataFrame:
+                 pos_col: str = "pos", salts: int = TAIL_SALTS) -> DataFrame:
     """The last ``n`` rows per key (``order_desc`` puts the newest first).
 
-    ``row_number() <= n`` lets Spark plan a per-partition group limit before
-    the shuffle, so a hot key ships at most n rows per map task.
+    A tree of two limits: rows of a key meet by the task that read them, modulo ``salts``, and
+    leave n a salt; these meet by key.  Before each shuffle ``row_number() <= n`` lets Spark
+    keep n rows a group and task (window group limit), so a hot key sends one task n x
+    ``salts`` rows, however many tasks read it.
     """
+    salted = df.withColumn("_salt", F.spark_partition_id() % F.lit(salts))
+    first = Window.partitionBy(key, "_salt").orderBy(*order_desc)
+    cut = salted.withColumn(pos_col, F.row_number().over(first)).where(F.col(pos_col) <= n).drop("_salt", pos_col)
     w = Window.partitionBy(key).orderBy(*order_desc)
-    return df.withColumn(pos_col, F.row_number().over(w)).where(F.col(pos_col) <= n)
+    return cut.withColumn(pos_col, F.row_number().over(w)).where(F.col(pos_col) <= n)
 
 
 # ---------------------------------------------------------------- P11 / P14 / A5
@@ -128,16 +137,32 @@ def keep_ids(df: DataFrame, col: str, ids) -> DataFrame:
 
 
 BINS_PER_OCTAVE = 16
+#: Parts of a value range in one narrowing step; distinct values a group may rank in one task.
+NARROW_PARTS = 256
+RANKED_VALUES = 1 << 14
 
 
 def log_bin(c: Column, per_octave: int = BINS_PER_OCTAVE) -> Column:
     """An order-preserving coarse bin of a number without a pass over the
     data: ``per_octave`` bins per power of two, mirrored for negatives, 0 on
-    its own.  (``log2`` is monotone, so ``floor(log2(v) * k)`` never reorders.)"""
+    its own; infinities and NaN (last) have bins of their own.  (``log2`` is
+    monotone, so ``floor(log2(v) * k)`` never reorders.)"""
     v = c.cast("double")
-    pos = F.lit(10_000) + F.floor(F.log2(v) * per_octave)
-    neg = -(F.lit(10_000) + F.floor(F.log2(-v) * per_octave))
-    return F.when(v > 0, pos).when(v < 0, neg).otherwise(F.lit(0)).cast("long")
+    zero = F.lit(1100 * per_octave)  # more than the smallest double is below 1
+    pos = zero + F.floor(F.log2(v) * per_octave)
+    neg = -(zero + F.floor(F.log2(-v) * per_octave))
+    return (F.when(F.isnan(v), F.lit(1 << 41)).when(v == float("inf"), F.lit(1 << 40)).when(v == -float("inf"), F.lit(-1 << 40))
+            .when(v > 0, pos).when(v < 0, neg).otherwise(F.lit(0)).cast("long"))
+
+
+def _bin_of_rank(binned: DataFrame, group: str, rank: str) -> DataFrame:
+    """The bin of each group that holds its rank: ``group, _bin, _lo, _hi`` (its least and
+    greatest value), ``_d`` (distinct values) and ``_r``, the rank left inside it.
+    ``binned`` has one row a (group, bin) with ``_bc`` (rows) and the group's ``rank``."""
+    w = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    cum = binned.withColumn("_cum", F.sum("_bc").over(w))
+    return (cum.where((F.col("_cum") >= F.col(rank)) & (F.col("_cum") - F.col("_bc") < F.col(rank)))
+            .withColumn("_left", F.col(rank) - (F.col("_cum") - F.col("_bc"))))
 
 
 def group_value_stats(df: DataFrame, group: str, value: str,
@@ -145,26 +170,43 @@ def group_value_stats(df: DataFrame, group: str, value: str,
                       per_octave: int = BINS_PER_OCTAVE) -> DataFrame:
     """A3 and the counts F7 needs, per group: ``n``, ``upper_median``
     (``sorted(v)[n // 2]``; not ``percentile_disc(0.5)``, the lower median)
-    and ``n_within`` (rows with ``|v - median| <= tol``).
+    and ``n_within`` (rows with ``|v - median| <= tol``).  NaN sorts last, as in Spark.
 
-    Exact, without sorting a hot group in one task:
-    1. rows -> (group, value, count), a map-side partial aggregate;
+    Exact selection, without sorting a hot group in one task:
+    1. rows -> (group, value, count), a map-side partial aggregate, written once;
     2. values fall into order-preserving log bins (:func:`log_bin`); per
        (group, bin) counts and their running sum over a group's few bins
        find the bin that holds rank ``n // 2 + 1`` and the rank left in it;
-    3. only the distinct values of that one bin are ranked per group.
+    3. while some group's bin holds more than RANKED_VALUES distinct values, the bin's value
+       range is cut into NARROW_PARTS equal parts and the part that holds the rank is found
+       the same way (counts only; linear cuts never reorder values);
+    4. the few distinct values left are ranked per group.
     """
-    hist = (df.where(F.col(value).isNotNull()).groupBy(group, value)
-            .agg(F.count(F.lit(1)).alias("_c"))
-            .withColumn("_bin", log_bin(F.col(value), per_octave)))
-    bins = hist.groupBy(group, "_bin").agg(F.sum("_c").alias("_bc"))
-    wb = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = (bins.withColumn("_cum", F.sum("_bc").over(wb))
-            .withColumn("n", F.sum("_bc").over(Window.partitionBy(group))))
-    target = F.floor(F.col("n") / 2) + 1
-    tb = bins.where((F.col("_cum") >= target) & (F.col("_cum") - F.col("_bc") < target)).select(
-        group, "_bin", "n", (target - (F.col("_cum") - F.col("_bc"))).alias("_r"))
-    cand = hist.join(tb, [group, "_bin"])
+    spark = df.sparkSession
+    path = scratch_dir(spark, "values")
+    (df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
+     .withColumn("_bin", log_bin(F.col(value), per_octave)).write.parquet(path))
+    hist = spark.read.parquet(path)
+
+    def counted(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+        return rows.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bc"), F.min(value).alias("_lo"),
+                                               F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_d"), *more)
+
+    bins = counted(hist, [group]).withColumn("n", F.sum("_bc").over(Window.partitionBy(group)))
+    bins = bins.withColumn("_r", F.floor(F.col("n") / 2) + 1)
+    left = _stored(_bin_of_rank(bins, group, "_r").select(group, "n", F.col("_left").alias("_r"), "_lo", "_hi", "_d"))
+    while (left.agg(F.max("_d")).first()[0] or 0) > RANKED_VALUES:
+        small = left.where(F.col("_d") <= RANKED_VALUES)
+        wide = left.where(F.col("_d") > RANKED_VALUES)
+        inside = hist.select(group, value, "_c").join(wide, group).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
+        lo, v = F.col("_lo").cast("double"), F.col(value).cast("double")
+        # halves first: the difference of two finite numbers may overflow
+        part = F.floor((v / 2 - lo / 2) / (F.col("_hi").cast("double") / 2 - lo / 2) * NARROW_PARTS)
+        inside = inside.withColumn("_bin", F.least(part, F.lit(NARROW_PARTS - 1))).drop("_lo", "_hi", "_d")
+        parts = counted(inside, [group, "n", "_r"])
+        narrowed = _bin_of_rank(parts, group, "_r").select(group, "n", F.col("_left").alias("_r"), "_lo", "_hi", "_d")
+        left = _stored(small.unionByName(narrowed))
+    cand = hist.select(group, value, "_c").join(left, group).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
     wv = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     med = (cand.withColumn("_cum2", F.sum("_c").over(wv))
            .where((F.col("_cum2") >= F.col("_r")) & (F.col("_cum2") - F.col("_c") < F.col("_r")))
@@ -175,6 +217,13 @@ def group_value_stats(df: DataFrame, group: str, value: str,
     return med.join(within, group, "left").withColumn("n_within", F.coalesce("n_within", F.lit(0)))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back: lineage is cut there."""
+    path = scratch_dir(df.sparkSession, "ranks")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def majority_subset(df: DataFrame, group: str, value: str,
                     tol: float = HETEROGENEITY_TOLERANCE_GB, only_if_many: bool = True) -> DataFrame:
     """keep rows within ``tol`` of their group's upper median; groups of
@@ -198,90 +247,86 @@ def group_rollup(df: DataFrame, group: str, value: str,
         F.count(F.lit(1)).alias("n"),
         F.min(value).alias("min_value"),
         F.max(value).alias("max_value"),
-        F.round(F.sum(value), 2).alias("sum_value"),
+        F.bround(F.sum(value), 2).alias("sum_value"),
     ).withColumn("heterogeneous", (F.col("n") > 1) & ((F.col("max_value") - F.col("min_value")) > tol)) \
      .withColumn("strategy", F.when(F.col("n") > 1, F.lit("ddp")).otherwise(F.lit("single")))
 
 
 # ---------------------------------------------------------------- J4
 
-def _ladder_rows(ladder: DataFrame, lo: str, name: str, limit: int):
-    rows = ladder.select(lo, name).limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return sorted(((float(r[0]), r[1]) for r in rows), key=lambda x: x[0])
-
-
 def ladder_lookup(df: DataFrame, value: str, ladder: DataFrame, lo: str = "lo",
                   name: str = "name", out_col: str = "tier", floor_name: str = "cpu") -> DataFrame:
     """The highest rung whose threshold is <= value; below the first
     threshold the first rung; null or <= 0 gives ``floor_name``; infinity and
-    NaN the last rung.  Every size of ladder gives the same rows.
-
-    The ladder is a small dimension.  Up to MAX_INLINE_LADDER rungs it
-    becomes a CASE (a projection, no join).  Up to MAX_BROADCAST_LADDER the
-    rung intervals ``[lo, next lo)`` are broadcast and every row matches
-    exactly one -- no aggregation afterwards (each row is tested against at
-    most that many intervals).  Larger ladders go through a binned equi-join:
-    rung intervals are exploded over quantile bins of their bounds, each row
-    finds its bin by binary search and meets only the few intervals there.
+    NaN the last rung; without rungs every row gets ``floor_name``.
+
+    A ladder is a dimension table.  Up to MAX_SEARCHED_LADDER rungs its thresholds go to the tasks
+    as one sorted array, and each row finds its rung by binary search: a projection, no join
+    and no shuffle of the rows (plan test).  Longer ladders, which no task should hold whole, are
+    merged by range (:func:`_merge_ladder`).  Both give the same rows (test).
+    Thresholds that are null or NaN are no rungs; of equal thresholds the last by name counts.
     """
+    rungs = ladder.select(F.col(lo).cast("double").alias("_lo"), F.col(name).alias("_nm")).where(
+        F.col("_lo").isNotNull() & ~F.isnan("_lo")).groupBy("_lo").agg(F.max("_nm").alias("_nm"))
+    some = rungs.limit(MAX_SEARCHED_LADDER + 1).collect()
+    if not some:
+        return df.withColumn(out_col, F.lit(floor_name))
     v = F.col(value)
     low = v.isNull() | (v <= 0)
-    rungs = _ladder_rows(ladder, lo, name, MAX_INLINE_LADDER)
-    if rungs is not None:
-        if not rungs:
-            return df.withColumn(out_col, F.lit(floor_name))
-        e = F.lit(rungs[0][1])
-        for t, nm in rungs[1:]:
-            e = F.when(v >= F.lit(t), F.lit(nm)).otherwise(e)
-        return df.withColumn(out_col, F.when(low, F.lit(floor_name)).otherwise(e))
-    iv = ladder.select(F.col(lo).cast("double").alias("_lo"), F.col(name).alias("_nm"))
-    n = ladder.count()
-    keyed = df.withColumn("_v", v.cast("double"))
-    cond = (F.col("_v") >= F.col("_lo")) & (F.col("_hi").isNull() | (F.col("_v") < F.col("_hi")))
-    if n <= MAX_BROADCAST_LADDER:
-        w = Window.orderBy("_lo")  # the ladder only: bounded by the checked size
-        iv = (iv.withColumn("_hi", F.lead("_lo").over(w))  # null: open
-              .withColumn("_lo", F.when(F.row_number().over(w) == 1, F.lit(float("-inf")))
-                          .otherwise(F.col("_lo"))))
-        j = keyed.join(F.broadcast(iv.select("_lo", "_hi", "_nm")), cond, "left")
-    else:
-        iv = _intervals_sharded(iv)
-        probs = [i / 1024 for i in range(1, 1024)]
-        bounds = sorted({float(b) for b in iv.approxQuantile("_lo", probs, 1 / 4096)
-                         if b not in (float("-inf"), float("inf"))})
-        splits = [float("-inf")] + bounds + [float("inf")]
-        bz = lambda i, o: Bucketizer(splits=splits, inputCol=i, outputCol=o, handleInvalid="keep")
-        ivb = bz("_lo", "_blo").transform(iv)
-        ivb = ivb.withColumn("_end", F.coalesce("_hi", F.lit(float("inf"))))
-        ivb = bz("_end", "_bhi").transform(ivb).withColumn(
-            "_bin", F.explode(F.sequence(F.col("_blo").cast("int"), F.col("_bhi").cast("int"))))
-        at = F.when(F.isnan("_v"), F.lit(float("inf"))).otherwise(F.coalesce("_v", F.lit(0.0)))
-        kb = bz("_at", "_vbin").transform(keyed.withColumn("_at", at)).withColumn("_vbin", F.col("_vbin").cast("int"))
-        j = kb.join(ivb.select("_bin", "_lo", "_hi", "_nm"), (F.col("_vbin") == F.col("_bin")) & cond, "left") \
-            .drop("_at", "_vbin", "_bin")
-    return (j.withColumn(out_col, F.when(low, F.lit(floor_name)).otherwise(F.col("_nm")))
-            .drop("_v", "_lo", "_hi", "_nm"))
-
-
-def _intervals_sharded(iv: DataFrame) -> DataFrame:
-    """``[lo, next lo)`` for a large ladder without a single-partition window:
-    ``lead`` inside range shards, the next shard's minimum at shard ends (one
-    row per shard, broadcast), ``-inf`` for the lowest rung, null above the highest."""
-    from weft.operators.ordering import SHARD, with_range_shards
-
-    sh = with_range_shards(iv, "_lo")
-    mins = sh.groupBy(SHARD).agg(F.min("_lo").alias("_min"))
-    ws = Window.orderBy(SHARD)  # one row per shard
-    mins = mins.select(SHARD, F.lead("_min").over(ws).alias("_next"),
-                       (F.row_number().over(ws) == 1).alias("_first_shard"), "_min")
-    w = Window.partitionBy(SHARD).orderBy("_lo")
-    out = sh.join(F.broadcast(mins), SHARD, "left").withColumn(
-        "_hi", F.coalesce(F.lead("_lo").over(w), F.col("_next")))
-    return out.withColumn("_lo", F.when(F.col("_first_shard") & (F.col("_lo") == F.col("_min")),
-                                        F.lit(float("-inf"))).otherwise(F.col("_lo"))) \
-        .select("_lo", "_hi", "_nm")
+    if len(some) > MAX_SEARCHED_LADDER:
+        return _merge_ladder(df, value, rungs, out_col, floor_name)
+    some.sort()
+    if len(some) == 1:
+        return df.withColumn(out_col, F.when(low, F.lit(floor_name)).otherwise(F.lit(some[0][1])))
+    # intervals start at every rung but the first, which also takes what lies below it
+    starts = [r[0] for r in some[1:]]
+    splits = [float("-inf"), *(x for x in starts if abs(x) != float("inf")), float("inf")]
+    names = F.lit([r[1] for r in some])
+    at = Bucketizer(splits=splits, inputCol="_v", outputCol="_at", handleInvalid="keep")
+    found = at.transform(df.withColumn("_v", F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0))))
+    tier = F.when(low, F.lit(floor_name)).when(v.cast("double") >= some[-1][0], F.lit(some[-1][1])) \
+        .otherwise(F.get(names, F.col("_at").cast("int")))
+    return found.withColumn(out_col, tier).drop("_v", "_at")
+
+
+def _merge_ladder(df: DataFrame, value: str, rungs: DataFrame, out_col: str, floor_name: str,
+                  rows_per_task: int = 1 << 20) -> DataFrame:
+    """The as-of merge: rows and rungs are dealt by range of value and sorted together, and the
+    last rung is carried forward.  Range bounds are rungs, so a range starts with its own first
+    rung and needs nothing from the range before.  A range with many rows (one value
+    may hold a third of them) is dealt over several tasks, its rungs copied to each."""
+    spark = df.sparkSession
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted({b for b in rungs.approxQuantile("_lo", [i / shards for i in range(1, shards)], 0.25 / shards)
+                     if abs(b) != float("inf")})
+    v = F.col(value).cast("double")
+    low = v.isNull() | (v <= 0)
+    # Bucketizer searches half-open ranges; NaN counts as infinity
+    ranged = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="_lo", outputCol="_shard",
+                        handleInvalid="keep") if bounds else None
+
+    def dealt(x: DataFrame) -> DataFrame:
+        x = ranged.transform(x) if ranged else x.withColumn("_shard", F.lit(0))
+        return x.withColumn("_shard", F.col("_shard").cast("int"))
+
+    at = F.when(F.isnan(v), F.lit(float("inf"))).otherwise(v)
+    rows = dealt(df.select(F.struct(*df.columns).alias("_row"), F.when(low, F.lit(None)).otherwise(at).alias("_lo"))
+                 .where(F.col("_lo").isNotNull()))
+    sizes = rows.groupBy("_shard").count().collect()  # one number a range
+    copies = F.lit(1)
+    for shard, n in sizes:
+        if n > rows_per_task:
+            copies = F.when(F.col("_shard") == shard, F.lit(-(-n // rows_per_task))).otherwise(copies)
+    rows = rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), copies).cast("int"))
+    steps = dealt(rungs).withColumn("_part", F.explode(F.sequence(F.lit(0), copies - 1)))
+    first = rungs.agg(F.min_by("_nm", "_lo")).first()[0]
+    both = rows.withColumn("_nm", F.lit(None).cast("string")).unionByName(
+        steps.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
+    w = Window.partitionBy("_shard", "_part").orderBy("_lo", F.col("_row").isNotNull()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    merged = both.withColumn("_tier", F.last("_nm", ignorenulls=True).over(w)).where(F.col("_row").isNotNull())
+    merged = merged.select("_row.*", F.coalesce("_tier", F.lit(first)).alias(out_col))
+    return merged.unionByName(df.where(low).withColumn(out_col, F.lit(floor_name)))
 
 
 def dedupe_ladder(ladder: DataFrame, threshold: str, order: str = "lo") -> DataFrame:
@@ -299,25 +344,20 @@ def match_files(requests: DataFrame, files: DataFrame, repo: str = "repo_id",
     lower-cased name contains the lower-cased hint with every ``suffix``
     removed; with no such file, an exact name match; else null.
 
-    Requests are made distinct first.  Files are inner-joined to them on the
-    repo (the substring test is the residual), so a repo holding a third of
-    all files is the streamed side and AQE can split it (or broadcast the
-    requests); ``min_by`` / counts are partial aggregates; requests without
-    any candidate come back through a left join of the (small) results.
+    Requests are made distinct first.  A hint meets the files of its repo that hold
+    its rarest gram (:mod:`substring_index`) and no others, so the pairs tested are few beside
+    files x hints, whatever the repo's size; the exact name match is an equi-join.
     """
-    req = requests.select(repo, hint).distinct()
-    needle = F.replace(F.lower(F.col(hint)), F.lit(suffix), F.lit(""))
+    req = requests.select(repo, hint).distinct().withColumn(
+        "_needle", F.replace(F.lower(F.col(hint)), F.lit(suffix), F.lit("")))
     fl = files.where(F.lower(F.col(file)).endswith(suffix)).select(
-        F.col(repo).alias("_repo"), F.col(file).alias("_file"), F.col(order).alias("_ord"))
-    j = fl.join(req, fl["_repo"] == req[repo], "inner")
-    sub = F.instr(F.lower(F.col("_file")), needle) > 0
-    exact = F.col("_file") == F.col(hint)
-    hits = j.where(sub | exact).groupBy(repo, hint).agg(
-        F.min_by(F.when(sub, F.col("_file")), F.when(sub, F.col("_ord"))).alias("_sub_file"),
-        F.count_if(sub).alias("n_matches"),
-        F.max(F.when(exact, F.col("_file"))).alias("_exact"))
-    agg = req.join(hits, [repo, hint], "left")
-    return agg.select(
+        repo, F.col(file).alias("_file"), F.lower(F.col(file)).alias("_low"), F.col(order).alias("_ord"))
+    hits = (hint_candidates(req, fl, repo).where(F.col("_low").contains(F.col("_needle")))
+            .groupBy(repo, "_needle").agg(F.min_by("_file", "_ord").alias("_sub_file"),
+                                          F.count(F.lit(1)).alias("n_matches")))
+    same = fl.select(repo, F.col("_file").alias(hint)).distinct().withColumn("_exact", F.col(hint))
+    found = req.join(hits, [repo, "_needle"], "left").join(same, [repo, hint], "left")
+    return found.select(
         repo, hint,
         F.coalesce("_sub_file", "_exact").alias("file"),
         F.coalesce(F.col("n_matches"), F.lit(0)).cast("long").alias("n_matches"),
@@ -325,6 +365,13 @@ def match_files(requests: DataFrame, files: DataFrame, repo: str = "repo_id",
          .when(F.col("_exact").isNotNull(), F.lit("exact")).alias("match_kind"))
 
 
+def hint_candidates(requests: DataFrame, files: DataFrame, repo: str) -> DataFrame:
+    """The (file, needle) pairs that J5 tests: ``files`` (repo, _low, ..) that hold the rarest gram
+    of a ``_needle`` of their repo."""
+    needles = requests.where(F.col(repo).isNotNull()).select(repo, "_needle").distinct()
+    return candidates(files, needles, "_low", "_needle", [repo])
+
+
 # ---------------------------------------------------------------- U1 / W4 / L2
 
 def union_roots(listings: list[tuple[str, DataFrame]]) -> DataFrame:

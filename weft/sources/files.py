@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from weft.functions.text import py_strip, split_list
 from weft.functions.time import display_time
 from weft.operators.ops_tables import first_wins, union_roots
+from weft.operators.rules import check_pattern
 from weft.operators.records import drop_blank, normalize_lines, row_to_alpaca
 
-MAX_RULES = 10_000
-
 
 def _path_str(c) -> F.Column:
     """File URIs from different sources as plain paths (``file:`` dropped)."""
@@ -135,17 +134,16 @@ def read_device_samples(spark: SparkSession, path: str, form: str = "inventory")
 
 def read_rules(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
     """SRC7: one regex per line; stripped; blank and ``#`` lines skipped.
-    ``rule_id`` is the 1-based position in the file.  A rule file is a small
-    dimension: its size is checked and the patterns compiled on the driver."""
+    ``rule_id`` is the 1-based position in the file.  Rules are configuration: the file is
+    read whole on the driver, and every pattern is checked there, for Python and for Spark's
+    matcher, so that a bad one fails here and not in a job."""
     lines = read_lines(spark, path)
     kept = lines.select(py_strip("value").alias("pattern"), *ORDER_COLS).where(
         (F.col("pattern") != "") & ~F.col("pattern").startswith("#"))
-    rows = kept.orderBy(*ORDER_COLS).limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules in {path}")
+    rows = kept.orderBy(*ORDER_COLS).select("pattern").collect()
     if validate:
         for r in rows:
-            re.compile(r["pattern"])
+            check_pattern(spark, r["pattern"])
     return spark.createDataFrame([(i + 1, r["pattern"]) for i, r in enumerate(rows)],
                                  "rule_id INT, pattern STRING")
 
