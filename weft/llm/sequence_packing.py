@@ -20,7 +20,6 @@ result; only the id and text columns are read, so other columns cannot clash.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,11 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
 
 from weft.llm.bpe import WordIds, read_spec
-from weft.llm.token_files import library_words
-from weft.llm.words import SPACE, binary_array, ranges, slices
+from weft.llm.token_files import byte_lengths, encode_runs, interleave, library_tokenizer, marked_words
+from weft.llm.words import SPACE, binary_array, slices
 
 LENGTH = 2048
 END_ID = 1
@@ -180,42 +178,25 @@ class Packer:
                     cut, room = Window(), 1 << max(rest.bit_length() - 1, 0)
 
 
-def library_pieces(spec: str, group: int = 512):
+def library_pieces(spec: str):
     """``encode_words`` of pieces by the tokenizers library.
 
     Pieces that start with white space and end without are encoded end to end: the split
     pattern parts them again, and the ids' byte lengths tell where each piece ends.  The
-    rest, and what may touch a special token, goes through :func:`library_words`.
+    rest, and what may touch a special token, goes through :func:`marked_words`.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    t = Tokenizer.from_str(spec)
-    t.no_truncation()
-    t.no_padding()
-    vocabulary = t.get_vocab(with_added_tokens=False)
-    size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
-    for token, i in vocabulary.items():
-        size[i] = len(token)  # one symbol a byte
+    t = library_tokenizer(spec)
+    size = byte_lengths(t)
     starts = {a.content[0] for a in t.get_added_tokens_decoder().values()}
-    apart = library_words(spec)
+    marked = marked_words(spec)
 
     def encode_pieces(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [x[0] in " \t\n\v\f\r" and not x[-1].isspace() and not any(c in x for c in starts) for x in batch]
-        run = [x for x, p in zip(batch, plain, strict=True) if p]
-        texts = ["".join(run[i:i + group]) for i in range(0, len(run), group)]
-        ids = np.array([i for e in t.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], dtype=np.int64)
-        ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in run], dtype=np.int64)
-        stop = np.searchsorted(np.cumsum(size[ids]), ends) + 1
-        if all(plain):
-            return ids, np.diff(stop, prepend=0)
-        rest = [x for x, p in zip(batch, plain, strict=True) if not p]
-        more, number = apart(rest)
-        n = np.empty(len(batch), dtype=np.int64)
-        where = np.array(plain)
-        n[where], n[~where] = np.diff(stop, prepend=0), number
-        first = np.empty(len(batch), dtype=np.int64)
-        first[where] = stop - n[where]
-        first[~where] = len(ids) + np.cumsum(number) - number
-        return np.concatenate([ids, np.asarray(more, dtype=np.int64)])[ranges(first, n)], n
+        plain = np.array([x[0] in " \t\n\v\f\r" and not x[-1].isspace() and not any(c in x for c in starts)
+                          for x in batch], dtype=bool)
+        got = encode_runs(t, size, [x for x, p in zip(batch, plain, strict=True) if p], "") if plain.any() else None
+        if got is None:
+            return marked(batch)
+        return got if plain.all() else interleave(plain, got, marked([x for x, p in zip(batch, plain, strict=True) if not p]))
 
     return encode_pieces
 

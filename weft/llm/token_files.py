@@ -23,6 +23,8 @@ is bounded by ``SEGMENT_IDS`` (a longer document is a segment of its own).
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,9 +35,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from weft.llm.bpe import WordIds, read_spec
-from weft.llm.words import slices
+from weft.llm.words import ranges, slices
 
 MAGIC = b"PFOR1\0\0\0"
 HEAD = struct.Struct("<8sQQQ")
@@ -130,21 +133,58 @@ def decode_segment(data: bytes, first_block: int = 0, last_block: int | None = N
     return flat
 
 
-def library_words(spec: str, group: int = 512):
-    """``encode_words`` by the tokenizers library.
+def byte_lengths(t: Tokenizer, suffix: str = "") -> np.ndarray:
+    """Bytes that each id of a byte-level vocabulary stands for (one symbol a byte)."""
+    vocabulary = t.get_vocab(with_added_tokens=False)
+    size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+    for token, i in vocabulary.items():
+        size[i] = len(token.removesuffix(suffix) if suffix else token)
+    return size
+
+
+def encode_runs(t: Tokenizer, size: np.ndarray, pieces: list[str], between: str,
+                group: int = 512) -> tuple[np.ndarray, np.ndarray] | None:
+    """(ids, number of ids of each piece) of pieces encoded ``group`` at a time, ``between`` them
+    a string that yields no id; the ids' byte lengths tell where a piece ends.  None if they do
+    not add up."""
+    texts = [between.join(pieces[i:i + group]) for i in range(0, len(pieces), group)]
+    ids = np.array([i for e in t.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], dtype=np.int64)
+    ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in pieces], dtype=np.int64)
+    total = np.cumsum(size[ids])
+    if not len(total) or not len(ends) or total[-1] != ends[-1]:
+        return (ids, np.zeros(0, np.int64)) if not len(ends) else None
+    stop = np.searchsorted(total, ends)
+    if (total[stop] != ends).any():
+        return None
+    return ids, np.diff(stop + 1, prepend=0)
+
+
+def interleave(first: np.ndarray, a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, numbers) of a list whose entries ``first`` come from ``a``, the others from ``b``."""
+    n = np.empty(len(first), dtype=np.int64)
+    at = np.empty(len(first), dtype=np.int64)
+    n[first], n[~first] = a[1], b[1]
+    at[first] = np.cumsum(a[1]) - a[1]
+    at[~first] = len(a[0]) + np.cumsum(b[1]) - b[1]
+    return np.concatenate([a[0], b[0]]).astype(np.int64)[ranges(at, n)], n
+
+
+def library_tokenizer(spec: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    t = Tokenizer.from_str(spec)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def marked_words(spec: str, group: int = 512):
+    """``encode_words`` by the tokenizers library, for any file.
 
     Words are joined by a special token of the file, whose id marks the ends
     (the library cuts texts there before anything else); words that could hold
     the start of a special token, or all without such a token, go one by one.
     """
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_str(spec)
-    t.no_truncation()
-    t.no_padding()
+    t = library_tokenizer(spec)
     added = list(t.get_added_tokens_decoder().items())
     mark = next(((i, a.content) for i, a in added
                  if a.special and not (a.lstrip or a.rstrip or a.single_word or a.normalized)), None)
@@ -154,24 +194,42 @@ def library_words(spec: str, group: int = 512):
         return [e.ids for e in t.encode_batch_fast(batch, add_special_tokens=False)]
 
     def encode_words(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        alone = {i for i, w in enumerate(batch) if mark is None or any(c in w for c in starts)}
-        together = [w for i, w in enumerate(batch) if i not in alone] if alone else batch
-        ids, n = [], []
-        if together:
-            texts = [mark[1].join(together[i:i + group]) for i in range(0, len(together), group)]
-            flat = np.array([x for row in encode(texts) for x in (*row, mark[0])], dtype=np.int64)
-            ends = np.flatnonzero(flat == mark[0])
-            n = np.diff(ends, prepend=-1) - 1
-            ids = flat[flat != mark[0]]
-        if not alone:
-            return ids, n
-        rows: list = [None] * len(batch)
-        where = sorted(alone)
-        for i, row in zip(where, encode([batch[i] for i in where]), strict=True):
-            rows[i] = np.array(row, dtype=np.int64)
-        cut = iter(np.split(ids, np.cumsum(n)[:-1]) if len(together) else [])
-        rows = [next(cut) if r is None else r for r in rows]
-        return np.concatenate(rows), np.array([len(r) for r in rows], dtype=np.int64)
+        together = np.array([mark is not None and not any(c in w for c in starts) for w in batch], dtype=bool)
+        run = [w for w, x in zip(batch, together, strict=True) if x]
+        texts = [mark[1].join(run[i:i + group]) for i in range(0, len(run), group)]
+        flat = np.array([x for row in encode(texts) for x in (*row, mark[0])], dtype=np.int64)
+        ends = np.flatnonzero(flat == mark[0]) if run else np.zeros(0, np.int64)
+        many = (flat[flat != mark[0]] if run else flat, np.diff(ends, prepend=-1) - 1)
+        rows = encode([w for w, x in zip(batch, together, strict=True) if not x])
+        single = (np.array([i for r in rows for i in r], dtype=np.int64), np.array([len(r) for r in rows], dtype=np.int64))
+        return interleave(together, many, single)
+
+    return encode_words
+
+
+def library_words(spec: str):
+    """``encode_words`` by the tokenizers library, for words without white space.
+
+    A file of byte-level symbols whose rules drop white space (it has an end-of-word suffix) takes words
+    of Latin-1 letters joined by spaces: normalising and lower-casing leave their byte lengths, so
+    the ids' lengths give the ends (checked every time).  Other words, and other files, go through
+    :func:`marked_words`.
+    """
+    marked = marked_words(spec)
+    suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+    if not suffix:
+        return marked
+    t = library_tokenizer(spec)
+    size = byte_lengths(t, suffix)
+    starts = {a.content[0] for a in t.get_added_tokens_decoder().values()}
+    other = ("\x85", "\xa0", *starts)  # white space inside a word, special tokens
+
+    def encode_words(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.array([(w.isascii() or max(w) <= "\xff") and not any(c in w for c in other) for w in batch], dtype=bool)
+        got = encode_runs(t, size, [w for w, x in zip(batch, plain, strict=True) if x], " ") if plain.any() else None
+        if got is None:
+            return marked(batch)
+        return got if plain.all() else interleave(plain, got, marked([w for w, x in zip(batch, plain, strict=True) if not x]))
 
     return encode_words
 
