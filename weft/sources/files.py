@@ -2,8 +2,7 @@
 sample files (SRC6), rule files (SRC7), dataset catalog (SRC8), artifact
 inventory (SRC9), directory inventory (SRC10).
 
-Listings use the ``binaryFile`` source with the ``content`` column never
-selected, so only file metadata is read.
+Listings are made by tasks and read file metadata only (``listing.py``).
 """
 
 from __future__ import annotations
@@ -15,9 +14,12 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import py_strip, split_list
 from weft.functions.time import display_time
-from weft.operators.ops_tables import first_wins, union_roots
-from weft.operators.rules import check_pattern
+from weft.operators.ops_tables import first_wins
 from weft.operators.records import drop_blank, normalize_lines, row_to_alpaca
+from weft.operators.rules import check_pattern
+from weft.sources.csv_records import read_csv_records
+from weft.sources.listing import listing
+from weft.sources.sinks import prepare_records
 
 
 def _path_str(c) -> F.Column:
@@ -70,23 +72,41 @@ def read_jsonl(spark: SparkSession, path: str, policy: str = "per_row",
 
 
 def read_csv(spark: SparkSession, path: str, label_col: str, feature_cols: str | list | None = None,
-             delimiter: str = ",", instruction: str | None = None, multiline: bool = True) -> DataFrame:
+             delimiter: str = ",", instruction: str | None = None, multiline: bool | str = True,
+             keep_order: bool = False) -> DataFrame:
     """SRC2 + P7: header CSV to instruction records.
 
     Every value is a string (no schema inference); quoted fields may hold
-    the delimiter, doubled quotes and newlines.  ``multiline=True`` makes
-    each file one split: pass False for big files known to have no
-    embedded newlines.  A label not in the header raises.
+    the delimiter, doubled quotes and newlines.  A label not in the header raises.
+    ``multiline=True``: many tasks a file (:mod:`csv_records`); ``"whole"``: Spark's own reader,
+    one task a file, which also takes quotes inside unquoted fields; ``False``: one record a
+    line.  ``keep_order`` (with True) adds ``_file, _block, _row``, the order of the records.
     """
-    df = (spark.read.option("header", True).option("sep", delimiter)
-          .option("multiLine", multiline).option("quote", '"').option("escape", '"')
-          .option("inferSchema", False).csv(path))
-    if label_col not in df.columns:
-        raise ValueError(f"label column {label_col!r} not in {df.columns}")
+    if keep_order and multiline is not True:
+        raise ValueError("keep_order needs multiline=True")
+    if multiline is True:
+        df = read_csv_records(spark, path, delimiter, keep_order)
+    else:
+        df = (spark.read.option("header", True).option("sep", delimiter)
+              .option("multiLine", multiline == "whole").option("quote", '"').option("escape", '"')
+              .option("inferSchema", False).csv(path))
+    order = list(ORDER_COLS) if keep_order else []
+    columns = [c for c in df.columns if c not in order]
+    if label_col not in columns:
+        raise ValueError(f"label column {label_col!r} not in {columns}")
     if isinstance(feature_cols, str):
         feature_cols = [c.strip() for c in feature_cols.split(",") if c.strip()]
     kw = {} if instruction is None else {"instruction": instruction}
-    return row_to_alpaca(df, label_col, feature_cols or None, **kw)
+    return row_to_alpaca(df, label_col, feature_cols or [c for c in columns if c != label_col], keep=order, **kw)
+
+
+def prepare_csv(spark: SparkSession, path: str, out_path: str, label_col: str, feature_cols: str | list | None = None,
+                delimiter: str = ",", instruction: str | None = None, limit: int | None = None) -> dict:
+    """SRC2 + P7 + L1 + SNK1 + A1: CSV files to canonical JSONL under ``out_path``, the first ``limit``
+    records in file order (0 / None: all); returns the counters."""
+    rows = read_csv(spark, path, label_col, feature_cols, delimiter, instruction, keep_order=bool(limit))
+    rows = rows.withColumn("format", F.lit("alpaca"))
+    return prepare_records(rows, out_path, limit, order=file_order() if limit else None)
 
 
 def read_table(spark: SparkSession, root: str, split: str = "train", fmt: str = "parquet") -> DataFrame:
@@ -150,54 +170,44 @@ def read_rules(spark: SparkSession, path: str, validate: bool = True) -> DataFra
 
 # ---------------------------------------------------------------- SRC8-SRC10
 
-def list_files(spark: SparkSession, root: str, glob: str | None = None,
+def list_files(spark: SparkSession, roots: str | list[tuple[str, str]], glob: str = "*",
                recursive: bool = False) -> DataFrame:
-    """``path, length, modificationTime`` of every file; content is not read."""
-    r = spark.read.format("binaryFile")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    if recursive:
-        r = r.option("recursiveFileLookup", True)
-    return r.load(root).select(_path_str("path").alias("path"), "length", "modificationTime")
+    """Files and directories under the roots, metadata only (:mod:`listing`): ``source, priority,
+    root, path, rel_path, name, is_dir, length, modified``.  Absent roots list nothing."""
+    return listing(spark, [("", roots)] if isinstance(roots, str) else roots, glob, recursive)
 
 
 def dataset_catalog(spark: SparkSession, root: str, glob: str = "*.jsonl",
                     recursive: bool = False) -> DataFrame:
     """SRC8: per file ``name, path, lines, size`` sorted by name.  Blank lines
-    count; a zero-length file has 0 lines and size 0.
+    count; a zero-length file has 0 lines and size 0.  Files that Spark's readers take for
+    hidden (``_x``, ``.x``) are left out; an absent root gives no rows.
 
-    The text and binaryFile sources return no row for a zero-length file, so
-    the file list comes from the scan's own file index (``inputFiles``: paths
-    only, one per file, the listing Spark makes anyway) and sizes and line
-    counts are left-joined onto it.
+    The listing comes from tasks (metadata only), line counts from the text source, joined on
+    the path.
     """
-    lines = read_lines(spark, root, glob, recursive)
-    paths = [re.sub(r"^file:(//)?", "", p) for p in lines.inputFiles()]
-    every = spark.createDataFrame([(p,) for p in paths], "path STRING")
-    sizes = list_files(spark, root, glob, recursive).select("path", "length")
-    counts = lines.groupBy(F.col("_file").alias("path")).agg(F.count(F.lit(1)).alias("lines"))
-    return (every.join(sizes, "path", "left").join(counts, "path", "left")
-            .select(F.element_at(F.split("path", "/"), -1).alias("name"), "path",
-                    F.coalesce("lines", F.lit(0)).cast("long").alias("lines"),
-                    F.coalesce("length", F.lit(0)).cast("long").alias("size"))
-            .orderBy("name"))
+    files = list_files(spark, root, glob, recursive).where(~F.col("is_dir") & ~F.col("name").rlike("^[_.]"))
+    out = files.select("name", "path", F.col("length").alias("size"))
+    if out.where("size > 0").isEmpty():
+        counts = spark.createDataFrame([], "path STRING, lines BIGINT")
+    else:
+        lines = read_lines(spark, root, glob, recursive)
+        where = F.url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B")))
+        counts = lines.groupBy(where.alias("path")).agg(F.count(F.lit(1)).alias("lines"))
+    return (out.join(counts, "path", "left")
+            .select("name", "path", F.coalesce("lines", F.lit(0)).cast("long").alias("lines"), "size")
+            .orderBy("name", "path"))
 
 
 def artifact_inventory(spark: SparkSession, roots: list[tuple[str, str]], glob: str = "*.gguf") -> DataFrame:
     """SRC9: recursive ``glob`` under ordered roots -> ``name`` (no suffix),
     ``rel_path``, ``abs_path``, ``source`` (root label), ``size_gb`` (2
-    places); the first root wins when two roots list the same path (U1, W4)."""
-    listings = []
-    for label, root in roots:
-        base = re.sub(r"^file:(//)?", "", root).rstrip("/") + "/"
-        f = list_files(spark, root, glob, recursive=True)
-        listings.append((label, f.select(
-            F.col("path").alias("abs_path"),
-            F.when(F.col("path").startswith(base), F.substring("path", len(base) + 1, 1 << 30))
-             .otherwise(F.element_at(F.split("path", "/"), -1)).alias("rel_path"),
-            F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("name"),
-            F.bround(F.col("length") / float(1024 ** 3), 2).alias("size_gb"))))
-    u = union_roots(listings)
+    places); the first root wins when two roots list the same path (U1, W4).  Absent
+    roots list nothing."""
+    f = list_files(spark, roots, glob, recursive=True).where(~F.col("is_dir"))
+    u = f.select(F.col("path").alias("abs_path"), "rel_path", "source", "priority",
+                 F.regexp_replace("name", r"\.[^.]*$", "").alias("name"),
+                 F.bround(F.col("length") / float(1024 ** 3), 2).alias("size_gb"))
     return first_wins(u, "abs_path", [F.col("priority"), F.col("rel_path")]).select(
         "name", "rel_path", "abs_path", "source", "size_gb", "priority").orderBy("priority", "rel_path") \
         .drop("priority")
@@ -211,21 +221,20 @@ CONFIG_FILE = "config.json"
 
 def directory_inventory(spark: SparkSession, root: str) -> DataFrame:
     """SRC10: one row per first-level directory: ``name, path,
-    has_config, has_adapter, modified`` (newest file inside, epoch seconds)
-    and ``modified_display``.
-    Empty directories hold no files and are not listed."""
+    has_config, has_adapter, modified`` (the newest entry inside, or the directory itself if it
+    is empty; epoch seconds) and ``modified_display``.  An absent root gives no rows."""
     base = re.sub(r"^file:(//)?", "", root).rstrip("/") + "/"
-    f = list_files(spark, root, recursive=True).where(F.col("path").startswith(base))
-    rel = F.substring("path", len(base) + 1, 1 << 30)
-    parts = F.split(rel, "/")
-    return (f.select(F.get(parts, 0).alias("name"), F.size(parts).alias("_depth"),
-                     F.element_at(parts, -1).alias("_file"), "modificationTime")
-            .where(F.col("_depth") >= 2)
-            .groupBy("name").agg(
-                F.bool_or((F.col("_depth") == 2) & (F.col("_file") == CONFIG_FILE)).alias("has_config"),
-                F.bool_or((F.col("_depth") == 2) & ((F.col("_file") == ADAPTER_FILE)
-                                                   | F.col("_file").rlike(ADAPTER_BIN_RE))).alias("has_adapter"),
-                F.max(F.unix_timestamp("modificationTime")).alias("modified"))
+    f = list_files(spark, root, recursive=True)
+    parts = F.split("rel_path", "/")
+    top = F.size("parts") == 1
+    file_in_top = ~F.col("is_dir") & (F.size("parts") == 2)
+    inside = F.max(F.when(~F.col("is_dir"), F.unix_timestamp("modified")))
+    return (f.withColumn("parts", parts).where(F.col("is_dir") | (F.size("parts") > 1))
+            .groupBy(F.get("parts", 0).alias("name")).agg(
+                F.coalesce(F.bool_or(file_in_top & (F.get("parts", 1) == CONFIG_FILE)), F.lit(False)).alias("has_config"),
+                F.coalesce(F.bool_or(file_in_top & ((F.get("parts", 1) == ADAPTER_FILE)
+                                                    | F.get("parts", 1).rlike(ADAPTER_BIN_RE))), F.lit(False)).alias("has_adapter"),
+                F.coalesce(inside, F.max(F.when(top, F.unix_timestamp("modified")))).alias("modified"))
             .withColumn("path", F.concat(F.lit(base), F.col("name")))
             .withColumn("modified_display", display_time("modified"))
             .select("name", "path", "has_config", "has_adapter", "modified", "modified_display")
@@ -233,6 +242,6 @@ def directory_inventory(spark: SparkSession, root: str) -> DataFrame:
 
 
 __all__ = [
-    "read_lines", "read_jsonl", "read_csv", "read_table", "read_device_samples", "read_rules",
+    "read_lines", "read_jsonl", "read_csv", "prepare_csv", "read_table", "read_device_samples", "read_rules",
     "list_files", "dataset_catalog", "artifact_inventory", "directory_inventory", "split_list",
 ]

@@ -8,11 +8,13 @@ and stops -- the batch-equivalent mode the tests use.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from weft.operators.agent_log import APPROVAL_TIMEOUT_S
 from weft.operators.ops_tables import LOG_RING_LINES, usage_band, usage_pct
-from weft.operators.records import SOURCE, normalize_lines, record_json
+from weft.operators.records import SOURCE, normalize_lines, observe_counters, record_json
 from weft.session import scratch_dir
 
 
@@ -43,32 +45,49 @@ def stream_landing(spark: SparkSession, landing_dir: str, glob: str = "*.jsonl",
 
 def landing_to_prepared(spark: SparkSession, landing_dir: str, out_dir: str,
                         quarantine_dir: str, checkpoint: str | None = None,
-                        trigger: str | None = "available_now", glob: str = "*.jsonl") -> StreamingQuery:
+                        trigger: str | None = "available_now", glob: str = "*.jsonl",
+                        max_files_per_trigger: int | None = None) -> StreamingQuery:
     """ST1: uploads become canonical records; misfits go to quarantine.
 
     Per-row shape detection (the stream has no "first record").  Each
     micro-batch is written under ``batch=<id>`` with overwrite, so a
-    replayed batch replaces its own output instead of duplicating it.
+    replayed batch replaces its own output instead of duplicating it.  Its counters (A1) are
+    observed on the write of the records and stored the same way, one row a batch, under
+    ``<out_dir>/_counters`` (:func:`stream_counters`).
+
+    The checkpoint belongs to the output: by default it is ``<out_dir>/_checkpoint``, so a
+    restart with the same folders goes on where it stopped.
     """
-    lines = stream_landing(spark, landing_dir, glob)
-    norm = normalize_lines(lines, "value", policy="per_row")
+    norm = normalize_lines(stream_landing(spark, landing_dir, glob, max_files_per_trigger), "value", policy="per_row")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            (batch.where(F.col("format").isNotNull())
+            observed, seen = observe_counters(batch, f"prepared-{batch_id}")
+            (observed.where(F.col("format").isNotNull())
              .select("format", "text", record_json("format", SOURCE).alias("record"))
              .write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}"))
             (batch.where(F.col("format").isNull()).select("value")
              .write.mode("overwrite").parquet(f"{quarantine_dir}/batch={batch_id}"))
+            counters = batch.sparkSession.createDataFrame(
+                [tuple(int(seen.get[c]) for c in COUNTERS)], ", ".join(f"{c} BIGINT" for c in COUNTERS))
+            counters.write.mode("overwrite").parquet(f"{out_dir}/_counters/batch={batch_id}")
         finally:
             batch.unpersist()
 
-    ck = checkpoint or scratch_dir(spark, "st1-ckpt")
-    w = norm.writeStream.foreachBatch(write).option("checkpointLocation", ck)
+    w = norm.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or f"{out_dir}/_checkpoint")
     return _trigger(w, trigger).start()
 
 
+COUNTERS = ("n_read", "n_written", "n_skipped")
+
+
+def stream_counters(spark: SparkSession, out_dir: str) -> DataFrame:
+    """A1 of a stream: its counters by micro-batch (``batch``, ``n_read, n_written, n_skipped``)."""
+    schema = ", ".join(f"{c} BIGINT" for c in (*COUNTERS, "batch"))
+    return spark.read.schema(schema).parquet(f"{out_dir}/_counters").select("batch", *COUNTERS)
+
+
 # ---------------------------------------------------------------- SRC5 / ST2
 
 LOG_SCHEMA = T.StructType([
@@ -309,3 +328,7 @@ def run_to_table(df: DataFrame, spark: SparkSession, name: str, output_mode: str
     w = df.writeStream.outputMode(output_mode).foreachBatch(write).option("checkpointLocation", ck)
     q = _trigger(w, trigger).start()
     return q, out
+
+
+# tasks get this module's functions with the plan and need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
