@@ -121,6 +121,10 @@ def test_katz(spark, edge):
     assert got == want
     assert all(r["score"] <= 1e-9 for r in out)
     assert katz.score(edge.limit(0).select("doc_id", "text")).count() == 0
+    clash = edge.select("doc_id", "text").withColumns({c: F.lit("u") for c in ("_train", "_held", "score", "n_known", "chunk_id")})
+    again = katz.score(clash)
+    assert again.where("_train = 'u' AND _held = 'u' AND chunk_id = 'u'").count() == len(EDGE) and again.columns.count("score") == 1
+    assert sorted((str(r["doc_id"]), r["n_known"]) for r in again.collect()) == sorted((w[0], w[2]) for w in want)
 
 
 def test_katz_mass_of_two_word_texts(spark):
@@ -481,3 +485,107 @@ def test_words_are_not_confused(spark):
     assert {r["doc_id"]: r["n_removed"] for r in remove_repeats(docs, length=50).collect()} == {1: 0, 2: 0, 3: 50}
     out = katz.score(docs, train=F.col("doc_id") == 1, held_out=F.col("doc_id") == 2).collect()
     assert {r["doc_id"]: r["n_known"] for r in out} == {1: 51, 2: 50, 3: 51}
+
+
+def test_language_sample_is_bounded_and_of_distinct_rows(spark, monkeypatch):
+    from weft.llm import language
+    from weft.llm.ship import ship_package
+
+    ship_package(spark)
+    rows = [(i, f"some words number {i} of plain text {'abc'[i % 3]}{i}", "en" if i % 2 else "fr") for i in range(400)]
+    sizes, fit = [], language.fit
+    monkeypatch.setattr(language, "fit", lambda names, labels, bits: sizes.append(len(bits)) or fit(names, labels, bits))
+    for hot in range(6):
+        docs = spark.createDataFrame(rows + [rows[hot]] * 3000, "doc_id long, text string, lang string").repartition(4)
+        model = language.train(docs.withColumn("score", F.lit("x")), sample=100)
+        language.train(docs, sample=10_000)
+    assert sizes == [100, 400] * 6
+    out = language.predict(docs.withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit("x")), model)
+    assert out.columns.count("lang_pred") == 1 and dict(out.dtypes)["score"] == "double"
+
+
+def test_mix_of_small_sources_and_copies(spark):
+    from weft.llm.mixing import mix
+    from weft.llm.ship import ship_package
+
+    ship_package(spark)
+    rows = [(0, "a b c", "tiny"), (1, "x", "one")]
+    rows += [(10 + i, " ".join(["w"] * (1 + i * 7 % 90)), "small") for i in range(12)]
+    rows += [(100 + i, " ".join(["w"] * (1 + i * 31 % 700)), "big") for i in range(900)] + [(9000, " ".join(["v"] * 30000), "big")]
+    rows += [(5000 + i, None, None) for i in range(3)] + [(7000 + i, "n n n n n", None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.withColumns({c: F.lit(c) for c in ("_order", "order", "_source", "end", "number", "shard", "row", "block", "name")})
+    out = mix(docs, [3, 1, 2], share=1.5, cap=2.0)
+    assert out.columns == [*docs.columns, "size", "source_size", "target", "taken", "copies"]
+    assert out.where("_order = '_order' AND row = 'row' AND end = 'end' AND shard = 'shard'").count() == len(rows)
+    pdf = out.toPandas()
+    assert (pdf.taken <= 2 * pdf["size"]).all() and (pdf.copies <= 2).all() and (pdf.copies >= 0).all()
+    for _, g in pdf.groupby(pdf.source.fillna("~")):
+        target, largest = g.target.iloc[0], g["size"].max()
+        assert abs(g.taken.sum() - target) <= max(1.0, 0.05 * target)
+        assert abs((g.copies * g["size"]).sum() - target) <= max(1.0, 0.05 * target) + largest
+    assert pdf[pdf.source == "tiny"].taken.sum() >= 3
+
+
+@pytest.mark.parametrize("which", ["knn", "vptree"])
+def test_search_with_repeated_rows_and_clashing_columns(spark, which, monkeypatch):
+    from weft.llm import knn, vptree
+    from weft.llm.ship import ship_package
+
+    ship_package(spark)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=5).astype(np.float32)]) for i in range(250)]
+    rows += [rows[100]] * 20 + [rows[0]] * 3 + [rows[7]] * 4 + [(200, [9.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns(
+        {c: F.lit("u") for c in ("id", "v", "q", "dim", "cell", "rank", "score", "query_id")}).repartition(4)
+    ask = F.col("vec_id") % 100 == 0
+    if which == "knn":
+        ints = df.select("vec_id", knn.whole("embedding", 1024.0).alias("vec"), "id", "q", "rank", "score")
+        got = knn.top_k(ints, ask, k=10, pivots=6).collect()
+        data = [(r["vec_id"], np.array(r["vec"])) for r in ints.collect()]
+    else:
+        monkeypatch.setattr(vptree, "SHARD_ROWS", 100)
+        got = vptree.search(vptree.build_index(df), df.where(ask), 10, 1.0).collect()
+        data = [(i, np.array(np.float32(x), dtype=float)) for i, x in rows]
+    for q in (0, 100, 200):
+        v = min((tuple(x) for i, x in data if i == q))
+        if which == "knn":
+            want = sorted((-int(np.array(v) @ x), i) for i, x in data if i != q)[:10]
+            mine = sorted((-r["score"], r["vec_id"]) for r in got if r["query_id"] == q)
+            assert mine == want
+        else:
+            want = sorted(float(np.sqrt(((np.array(v) - x) ** 2).sum())) for i, x in data if i != q)[:10]
+            assert [r["score"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == pytest.approx(want)
+        assert sorted(r["rank"] for r in got if r["query_id"] == q) == list(range(1, 11))
+
+
+def test_top_k_of_huge_components(spark):
+    from weft.llm import knn
+    from weft.llm.ship import ship_package
+
+    ship_package(spark)
+    rows = [(0, [1.0, 2.0]), (1, [3e16, 0.0]), (2, [1e12, -1e12]), (3, [5e11, 1.0]), (4, [-1e12, 0.0]), (100, [1e12, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = df.select("vec_id", knn.whole("embedding", 1024.0).alias("vec"))
+    assert [r["vec_id"] for r in ints.where("vec IS NULL").collect()] == [1]
+    got = [(r["vec_id"], r["score"]) for r in knn.top_k(ints, F.col("vec_id") == 100, k=10).orderBy("rank").collect()]
+    top = 2 ** 63 - 1
+    assert got == [(2, top), (3, top), (0, 1024 * 1024 * 10 ** 12), (4, -top)]
+
+
+def test_pipeline_of_odd_tables(spark, tmp, monkeypatch):
+    """Nulls in any column, repeated rows, further columns, nothing left, nothing at all."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = docs.withColumns({c: F.when(F.col("doc_id") % 7 != i, F.col(c)) for i, c in enumerate(docs.columns) if c != "doc_id"})
+    odd = odd.unionByName(docs.limit(5)).unionByName(docs.limit(5)).withColumns({c: F.lit("u") for c in ("size", "keep", "ids", "id")})
+    odd = odd.withColumn("doc_id", F.when(F.col("doc_id") % 11 != 3, F.col("doc_id")))
+    for name, table in (("odd", odd), ("bad", odd.withColumn("text", F.lit(None).cast("string"))), ("none", odd.limit(0))):
+        table.write.parquet(f"{tmp}/{name}/documents.parquet")
+        out = P.run(spark, f"{tmp}/{name}")
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        rows = out.collect()
+        assert (len(rows) > 10) if name == "odd" else rows == []
+        kept = Counter(r["doc_id"] for r in rows if r["doc_id"] is not None)
+        assert all(n <= 2 for n in kept.values())

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from weft.llm.words import ranges, slices, text_buffer, word_pieces
+from weft.llm.words import ranges, slices, text_buffer, value_hashes, word_pieces
 
 LONG = 256
 #: Distinct words, and their bytes, whose ids a Python worker keeps at a time.
@@ -226,13 +226,16 @@ class WordIds:
     cache (of at most ``CACHE_WORDS`` pieces and ``CACHE_BYTES`` bytes) holds it.  A full
     cache keeps the pieces that were met again since they came.
 
-    Pieces are told apart by their bytes, never by a hash.  ``cut`` gives the pieces
-    of a buffer as a binary array and the first piece of each row.
+    Pieces are found by a hash and told apart by their bytes: one whose hash is that of
+    another piece in the cache is not kept.  ``cut`` gives the pieces of a buffer as
+    a binary array and the first piece of each row.
     """
 
     def __init__(self, encode_words, cut=word_pieces):
         self.encode_words, self.cut = encode_words, cut
         self.known = pa.array([], pa.large_binary())
+        self.hash = np.zeros(0, np.uint64)  # ascending, and the place in ``known`` of each
+        self.place = np.zeros(0, np.int64)
         self.at = np.zeros(0, np.int64)
         self.n = np.zeros(0, np.int64)
         self.met = np.zeros(0, bool)
@@ -244,11 +247,29 @@ class WordIds:
         if 2 * len(keep) > CACHE_WORDS or 2 * int(size[keep].sum()) > CACHE_BYTES:
             keep = keep[:0]
         self.known = self.known.take(pa.array(keep))
+        self._index()
         self.ids = self.ids[ranges(self.at[keep], self.n[keep])]
         self.n = self.n[keep]
         self.at = np.cumsum(self.n) - self.n
         self.met = np.zeros(len(keep), bool)
 
+    def _index(self) -> None:
+        h = value_hashes(self.known)
+        self.place = np.argsort(h, kind="stable")
+        self.hash = h[self.place]
+
+    def _find(self, distinct: pa.Array, h: np.ndarray) -> np.ndarray:
+        """Place of each value in the cache; -1 if it is not there, -2 if another one has its hash."""
+        if not len(self.hash):
+            return np.full(len(h), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        same = np.flatnonzero(self.hash[at] == h)
+        k = np.full(len(h), -1, dtype=np.int64)
+        place = self.place[at[same]]
+        equal = pc.equal(self.known.take(pa.array(place)), distinct.take(pa.array(same))).to_numpy(zero_copy_only=False)
+        k[same] = np.where(equal, place, -2)
+        return k
+
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, row offsets)."""
         pieces, doc = self.cut(*text_buffer(col))
@@ -258,13 +279,22 @@ class WordIds:
             self._thin()
         coded = pieces.dictionary_encode()
         which = coded.indices.to_numpy()
-        k = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known), -1).to_numpy().astype(np.int64)
-        unknown = np.flatnonzero(k < 0)
+        h = value_hashes(coded.dictionary)
+        k = self._find(coded.dictionary, h)
         self.met[k[k >= 0]] = True
+        unknown = np.flatnonzero(k < 0)
         if len(unknown):
             new = coded.dictionary.take(pa.array(unknown))
             got, n = self.encode_words(new.cast(pa.large_string()).to_pylist())
+            clash = k[unknown] == -2
             k[unknown] = np.arange(len(self.known), len(self.known) + len(new))
+            # pieces of one hash: the first is found from now on
+            by = np.argsort(h[unknown], kind="stable")
+            by = by[~clash[by]]
+            by = by[np.concatenate([[True], h[unknown][by][1:] != h[unknown][by][:-1]])] if len(by) else by
+            where = np.searchsorted(self.hash, h[unknown][by])
+            self.hash = np.insert(self.hash, where, h[unknown][by])
+            self.place = np.insert(self.place, where, k[unknown][by])
             self.known = pa.concat_arrays([self.known, new])
             self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
             self.n = np.concatenate([self.n, n])

@@ -39,7 +39,7 @@ from weft.llm.words import ASCII_LOWER, column_words, mix
 
 K = 5
 END = np.uint64(0xE17D)
-TRAIN, HELD = "_train", "held_out"
+HELD = "held_out"
 ADDED = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -77,10 +77,10 @@ class _Tokens:
     """Token stream of a chunk: distinct hashes and each token's number among
     them; every row ends with END.  START is number ``start``."""
 
-    def __init__(self, rows: pa.Table, text: str):
+    def __init__(self, rows: pa.Table, text: str, flag: str):
         w = column_words(rows.column(text), ASCII_LOWER)
         n = len(w.counts)
-        self.train = rows.column(TRAIN).to_numpy().astype(bool)
+        self.train = rows.column(flag).to_numpy().astype(bool)
         self.counts = w.counts + 1
         self.doc = np.repeat(np.arange(n), self.counts)
         h = np.empty(len(w.hash) + n, dtype=np.uint64)
@@ -153,12 +153,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % 10
     train = F.coalesce(fold != 0, F.lit(False)) if train is None else train
     held_out = F.coalesce(fold == 0, F.lit(False)) if held_out is None else held_out
-    docs = docs.withColumns({TRAIN: train, "_held": held_out}).drop(*ADDED).withColumnRenamed("_held", HELD)
+    # whether a row is learned from travels under a name that no other column has
+    flag = next(x for x in (f"_train{'_' * i}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
+    kept = [F.col(c) for c in docs.columns if c not in ADDED]
+    docs = docs.select(*kept, train.alias(flag), held_out.alias(HELD))
     chunks = C.write_chunks(docs, text_col, name="katz")
 
     # -- unigrams ---------------------------------------------------------
     def words_of(cid: int, rows: pa.Table) -> Iterator[dict]:
-        t = _Tokens(rows, text_col)
+        t = _Tokens(rows, text_col, flag)
         c = np.bincount(t.which[t.in_train], minlength=len(t.hash))
         order, bounds = t.buckets(n)
         for b in range(n):
@@ -198,7 +201,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # -- pairs ------------------------------------------------------------
     def ask(cid: int, rows: pa.Table, answer: dict) -> Iterator[dict]:
-        p = pairs_of(_Tokens(rows, text_col), answer)
+        p = pairs_of(_Tokens(rows, text_col, flag), answer)
         for b in range(n):
             k = p.of(b)
             if len(k):
@@ -276,7 +279,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # -- scores -----------------------------------------------------------
     def evaluate(cid: int, rows: pa.Table, uni_answer: dict, bi_answer: dict) -> Iterator[pa.Table]:
-        t = _Tokens(rows, text_col)
+        t = _Tokens(rows, text_col, flag)
         p = pairs_of(t, uni_answer)
         logp = np.empty(len(p.context))
         for b, x in bi_answer.items():
@@ -306,7 +309,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             logp[k] = np.log10(np.where(seen, p_seen, p_back))
         c = p.counts[t.which]
         m = len(t.counts)
-        out = rows.drop_columns([text_col, TRAIN])
+        out = rows.drop_columns([text_col, flag])
         for name, value in (("n_tokens", t.counts.astype(np.int64)),
                             ("n_known", np.bincount(t.doc, weights=c > 0, minlength=m).astype(np.int64)),
                             ("train_tokens", np.full(m, total_tokens, dtype=np.int64)),
@@ -317,7 +320,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     total_tokens = total
     discounted = int(((d2[1:K + 1] < 1) << np.arange(K)).sum())
-    keep = [f for f in docs.schema if f.name not in (text_col, TRAIN)]
+    keep = [f for f in docs.schema if f.name not in (text_col, flag)]
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in keep),
                            *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")),
                            *(T.StructField(x, T.DoubleType()) for x in ("base_score", "score"))])

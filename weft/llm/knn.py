@@ -19,8 +19,10 @@ integers; ties go to the smaller id.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take
 no part, nor do rows without an id; vectors of another length than a query's are
-not its candidates; a query with fewer than k candidates gets all of them; equal
-ids are equal rows (never each other's candidates).
+not its candidates; a query with fewer than k candidates gets all of them.  Rows of one id are never
+each other's candidates; they are one query (its smallest vector) and, for other queries,
+as many candidates as there are rows.  Components are integers below 2^53 in absolute value
+(``whole`` leaves out what is larger); a score beyond a long is the nearest long.
 """
 
 from __future__ import annotations
@@ -45,6 +47,14 @@ def valid(vec: str) -> Column:
     return F.col(vec).isNotNull() & (F.size(vec) > 0) & ok
 
 
+def whole(vec: str, scale: float) -> Column:
+    """floor(scale * x) of every component; null where one is 2^53 or more, which a double
+    no longer holds exactly."""
+    scaled = F.transform(vec, lambda x: F.floor(F.lit(scale) * x.cast("double")))
+    fits = F.forall(F.col(vec), lambda x: F.abs(F.lit(scale) * x.cast("double")) < float(1 << 53))
+    return F.when(fits, scaled.cast("array<long>"))
+
+
 def matrix(col: pa.Array | pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -74,11 +84,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), is_query.alias("q")) \
         .where(F.col("id").isNotNull() & (F.size("v") > 0)) \
         .withColumn("dim", F.size("v")) \
-        .withColumn("len2", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x))
+        .withColumn("len2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     rows = stored(rows.select("id", "v", "dim", "len2", F.coalesce("q", F.lit(False)).alias("q")), "knn-rows")
     parts = []
     for r in rows.groupBy("dim").agg(F.max("len2").alias("m")).orderBy("dim").collect():
-        parts.append(_join(rows.where(F.col("dim") == r["dim"]), r["dim"], int(r["m"]), k, pivots))
+        parts.append(_join(rows.where(F.col("dim") == r["dim"]), r["dim"], r["m"], k, pivots))
     if not parts:
         out = spark.createDataFrame([], "query_id long, id long, score long")
     else:
@@ -96,7 +106,7 @@ def ranked(found: DataFrame, k: int, order: Column, id_col: str) -> DataFrame:
             .select("query_id", "rank", F.col("id").alias(id_col), "score"))
 
 
-def _lift(v: np.ndarray, m: int, query: np.ndarray) -> np.ndarray:
+def _lift(v: np.ndarray, m: float, query: np.ndarray) -> np.ndarray:
     rest = np.sqrt(np.maximum(float(m) - (v * v).sum(axis=1), 0.0))
     return np.concatenate([v, np.where(query, 0.0, rest)[:, None]], axis=1)
 
@@ -106,7 +116,7 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
-def _join(rows: DataFrame, dim: int, m: int, k: int, n_pivots: int) -> DataFrame:
+def _join(rows: DataFrame, dim: int, m: float, k: int, n_pivots: int) -> DataFrame:
     spark = rows.sparkSession
     # pivots: a fixed number of points and of queries, smallest by a hash
     def some(df, n):
@@ -135,25 +145,39 @@ def _join(rows: DataFrame, dim: int, m: int, k: int, n_pivots: int) -> DataFrame
     placed = stored(rows.select("id", "v", "q").mapInArrow(
         assign, "id long, v array<bigint>, q boolean, cell int, d double, qcell int, qd double"), "knn-cells")
 
-    # summaries: one row a cell, k + 1 distances (a query is not its own candidate)
+    # one row a query id
+    asked = stored(placed.where("q").groupBy("id").agg(F.min(F.struct("v", "qcell", "qd")).alias("x"))
+                   .select("id", "x.*"), "knn-asked")
+
+    # summaries: one row a cell, the least distances of k + 1 ids (a query's id is not its own candidate)
+    def nearest(ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by = np.lexsort((ids, d))
+        _, first = np.unique(ids[by], return_index=True)
+        by = by[np.sort(first)][:k + 1]
+        return ids[by], d[by]
+
     def summary(batches):
-        near: dict[int, np.ndarray] = {}
+        near: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            cell, d = batch.column("cell").to_numpy(), batch.column("d").to_numpy()
+            cell, d, ids = (batch.column(c).to_numpy() for c in ("cell", "d", "id"))
             for c in np.unique(cell):
-                near[c] = np.sort(np.concatenate([near.get(c, np.zeros(0)), d[cell == c]]))[:k + 1]
+                old = near.get(c, (np.zeros(0, np.int64), np.zeros(0)))
+                near[c] = nearest(np.concatenate([old[0], ids[cell == c]]), np.concatenate([old[1], d[cell == c]]))
         yield pa.RecordBatch.from_pydict({
-            "cell": pa.array([c for c, x in near.items() for _ in x], pa.int32()),
-            "d": pa.array([float(y) for x in near.values() for y in x], pa.float64())})
-
-    least = placed.select("cell", "d").mapInArrow(summary, "cell int, d double")
-    least = least.groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("d")), 1, k + 1).alias("near")).collect()
-    radius = {r[0]: (r[1], r[2]) for r in placed.where("q").groupBy("qcell").agg(F.max("qd"), F.count("*")).collect()}
+            "cell": pa.array([c for c, x in near.items() for _ in x[0]], pa.int32()),
+            "id": pa.array([int(y) for x in near.values() for y in x[0]], pa.int64()),
+            "d": pa.array([float(y) for x in near.values() for y in x[1]], pa.float64())})
+
+    least = placed.select("cell", "id", "d").mapInArrow(summary, "cell int, id long, d double")
+    least = least.groupBy("cell", "id").agg(F.min("d").alias("d")).groupBy("cell").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("d", "id"))), 1, k + 1).alias("near")).collect()
+    radius = {r[0]: (r[1], r[2]) for r in asked.groupBy("qcell").agg(F.max("qd"), F.count("*")).collect()}
     sizes = {r[0]: r[1] for r in placed.groupBy("cell").count().collect()}
     apart = _distances(p, p)
     reach: dict[int, float] = {}  # query cell -> radius + theta
     for i, (r, _) in radius.items():
-        upper = np.sort(np.concatenate([r + apart[i, row["cell"]] + np.array(row["near"]) for row in least]))
+        upper = np.concatenate([r + apart[i, row["cell"]] + np.array([x["d"] for x in row["near"]]) for row in least])
+        _, upper = nearest(np.array([x["id"] for row in least for x in row["near"]], dtype=np.int64), upper)
         theta = upper[k] if len(upper) > k else np.inf
         reach[i] = r + theta + slack
     # a point of cell j goes to query cell i if its distance to pivot j is at least this
@@ -193,7 +217,7 @@ def _join(rows: DataFrame, dim: int, m: int, k: int, n_pivots: int) -> DataFrame
     schema = "qcell int, split int, block int, id long, v array<bigint>"
     keys = ["qcell", "split", "block"]
     points = placed.select("id", "v", "cell", "d").mapInArrow(spread, schema)
-    queries = placed.where("q").select("id", "v", "qcell").mapInArrow(copies, schema)
+    queries = asked.select("id", "v", "qcell").mapInArrow(copies, schema)
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -201,13 +225,16 @@ def _join(rows: DataFrame, dim: int, m: int, k: int, n_pivots: int) -> DataFrame
             qid, rid = left.column("id").to_numpy(), right.column("id").to_numpy()
             q, v = matrix(left.column("v"), np.int64), matrix(right.column("v"), np.int64)
             # exact in double where every partial sum stays below 2^53
-            small = float(np.abs(q).max()) * float(np.abs(v).max()) * dim < 2.0 ** 53
+            most = float(np.abs(q).max()) * float(np.abs(v).max()) * dim
+            small = most < 2.0 ** 53
             step = max(1, (1 << 22) // len(v))
             for lo in range(0, len(q), step):
                 if small:
                     s = (q[lo:lo + step].astype(float) @ v.T.astype(float)).astype(np.int64)
-                else:
+                elif most < 2.0 ** 63:
                     s = q[lo:lo + step] @ v.T
+                else:  # beyond a long: exact integers, cut to its range
+                    s = np.clip(q[lo:lo + step].astype(object) @ v.T.astype(object), -2 ** 63 + 1, 2 ** 63 - 1).astype(np.int64)
                 own = qid[lo:lo + step][:, None] == rid[None]
                 a, b = np.nonzero(~own & (s >= _kth(np.where(own, np.iinfo(np.int64).min, s), k)[:, None]))
                 keep = best(a, rid[b], s[a, b], k)

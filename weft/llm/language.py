@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.operators.ops_tables import tail_per_key
 from weft.llm.words import mix
 
 N = 3
@@ -142,8 +143,8 @@ def fit(names: list[str], labels: np.ndarray, bits: np.ndarray) -> Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           learn: Column | None = None, sample: int = SAMPLE) -> Model:
     """Fit on a bounded sample of the rows that ``learn`` selects and that have a
-    language.  Texts stay on the executors; their presence bits (2 KB a text)
-    come to the driver."""
+    language: at most ``sample`` distinct rows, an equal number a language, copies once.  Texts stay
+    on the executors; the sample's presence bits (2 KB a text) come to the driver."""
     rows = docs.where(F.col(lang_col).isNotNull())
     if learn is not None:
         rows = rows.where(learn)
@@ -152,22 +153,30 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return fit([], np.zeros(0, int), np.zeros((0, 1 << GRAM_BITS), bool))
     names = [name for name, _ in counts]
     per = max(1, sample // len(names))
-    # a share of each language by hash, so about ``per`` rows of each are read
-    unit = F.pmod(F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*(F.lit(x) for name, n in counts for x in (name, min(1.0, 1.1 * per / n))))
-    picked = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), unit.alias("u")) \
-        .where(F.col("u") <= share[F.col("lang")])
+    # of each language the ``per`` distinct rows (id and text) of the smallest 128-bit hashes
+    hashed = rows.where(F.col(text_col).rlike(r"\p{L}")).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("f1"),
+        F.xxhash64(F.lit(2), F.col(text_col), F.col(id_col)).alias("f2"))
+    keys = tail_per_key(hashed.select("lang", "f1", "f2").distinct(), "lang", [F.col("f1"), F.col("f2")], per)
+    picked = hashed.join(F.broadcast(keys.select("lang", "f1", "f2")), ["lang", "f1", "f2"], "left_semi")  # ``sample`` rows
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # at most ``sample``
         for batch in batches:
+            fresh = []
+            for k in zip(*(batch.column(c).to_pylist() for c in ("lang", "f1", "f2")), strict=True):
+                fresh.append(k not in seen)
+                seen.add(k)
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 bits, some = presence(part.column("text").to_pylist())
                 packed = np.packbits(bits, axis=1)
                 col = pa.array([p.tobytes() if s else None for p, s in zip(packed, some, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("u"), col], ["lang", "u", "bits"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("lang", "f1", "f2")), col], ["lang", "u", "f2", "bits"])
 
-    got = picked.mapInArrow(pack, "lang string, u double, bits binary").where("bits IS NOT NULL").collect()
+    got = (picked.mapInArrow(pack, "lang string, u long, f2 long, bits binary").where("bits IS NOT NULL")
+           .groupBy("lang", "u", "f2").agg(F.first("bits").alias("bits")).collect())
     got.sort(key=lambda r: (r["lang"], r["u"], bytes(r["bits"])))
     number = {name: i for i, name in enumerate(names)}
     taken = dict.fromkeys(names, 0)

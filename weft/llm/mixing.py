@@ -3,25 +3,28 @@
 1. Every source gets a target: its weight's part of ``share`` times all words,
    never above ``cap`` times its own words; what a stopped target leaves over is
    shared again by weight until none is above.
-2. The words are dealt out in blocks of equal size.  The sources' blocks are
-   seats given to the highest quotients target / (2 s + 1); a source's blocks are
-   given to its shards the same way, by the shards' words.
+2. The words are seats given to the sources of highest quotients target / (2 s + 1), then
+   gathered into blocks of equal size (``block_words``; smaller for a source whose target is
+   only a few of them); a source's blocks are given to its shards the same way, by the
+   shards' words.
 3. In each shard documents stand in a seeded order on a line of words, cut into
    blocks.  A quota of q blocks takes every block ``q // blocks`` times and the
    rest by a seeded permutation, so no block is taken more than ``cap`` times (rounded
    up) and a document never more than that.
 
-``taken`` counts the words of a document in taken blocks, repeats counted;
-``copies`` is how often its middle word is taken -- a plan in whole documents.
-Both are the same in every run (the order is a hash of seed, id and text).
+``taken`` counts the words of a document in taken blocks, repeats counted.
+``copies`` is a plan in whole documents: with the documents of a shard in order of size, the running
+sum of taken / size is rounded, so a shard's copies hold its taken words to within its largest
+document.  Both are the same in every run (the order is a hash of seed, id and text).
 
 Shards: a source has as many as its words need at ``SHARD_WORDS`` each (more
 words a shard if there would be over ``MAX_SHARDS``), so a source with a third of
 all rows is spread over many tasks.
 
 Cases: null or empty text has size 0 and takes nothing; a null source is a
-source of its own, last in order; equal rows are interchangeable; an empty table
-gives an empty result.
+source of its own, last in order; equal rows are interchangeable (they share a shard, whatever the
+partitions, so that reruns agree); an empty table gives an empty result; columns named like
+the added ones are replaced, others keep any name.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ from pyspark.sql import functions as F
 
 #: Words of a block; least words of a shard; most shards of a mix (about).
 BLOCK_WORDS = 64
+#: Blocks that a source's target holds at least (down to blocks of one word).
+LEAST_BLOCKS = 32
 SHARD_WORDS = 1 << 16
 MAX_SHARDS = 1 << 20
 
@@ -112,71 +117,79 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: float =
     spark = docs.sparkSession
     added = ("size", "source_size", "target", "taken", "copies")
     docs = docs.drop(*added)
-    sized = docs.withColumns({"size": n_words(text_col), "_source": F.col(source_col),
-                              "_order": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))})
-    per_source = sized.groupBy("_source").agg(F.sum("size").alias("size")).collect()
-    per_source = sorted(((r["_source"], int(r["size"])) for r in per_source), key=lambda r: (r[0] is None, r[0] or ""))
+    sized = docs.select(F.struct(*docs.columns).alias("row"), n_words(text_col).alias("size"), F.col(source_col).alias("source"),
+                        F.col(id_col).alias("id"),
+                        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("order"))
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    per_source = sorted(((r["source"], int(r["size"])) for r in per_source), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [s for _, s in per_source]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, cap)
+    blocks_of = [int(max(1, min(block_words, g // LEAST_BLOCKS))) for g in goal]
     shard_words = max(SHARD_WORDS, -(-sum(sizes) // MAX_SHARDS))
     shards = [max(1, -(-s // shard_words)) for s in sizes]
-    plan = spark.createDataFrame([(name, s, t, k, i) for i, ((name, s), t, k) in
-                                  enumerate(zip(per_source, goal, shards, strict=True))],
-                                 "_source string, source_size long, target double, _shards int, _number int")
+    plan = spark.createDataFrame([(name, s, t, k, b, i) for i, ((name, s), t, k, b) in
+                                  enumerate(zip(per_source, goal, shards, blocks_of, strict=True))],
+                                 "name string, source_size long, target double, shards int, block int, number int")
     # a few columns a source: joined by hash, broadcast by Spark while it is small
-    line = sized.join(plan.withColumnRenamed("_source", "_name"), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
-    line = line.withColumn("_shard", F.pmod(F.xxhash64("_order"), F.col("_shards")).cast("int"))
+    line = sized.join(plan, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
+    line = line.withColumn("shard", F.pmod(F.xxhash64("order"), F.col("shards")).cast("int"))
 
-    quotas = _quotas(line, goal, block_words, cap)
-    w = Window.partitionBy("_number", "_shard").orderBy("_order", F.col(id_col))
-    line = line.withColumn("_end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    line = line.join(quotas, ["_number", "_shard"])
-    begin, end = F.col("_end") - F.col("size"), F.col("_end")
+    quotas = _quotas(line, goal, blocks_of, cap)
+    w = Window.partitionBy("number", "shard")
+    line = line.withColumn("end", F.sum("size").over(
+        w.orderBy("order", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    line = line.join(quotas, ["number", "shard"])
+    begin, end, width = F.col("end") - F.col("size"), F.col("end"), F.col("block")
 
     def once_more(block):  # a seeded permutation of the shard's blocks puts this one among the drawn
-        return F.pmod(F.col("_a") * block + F.col("_b"), F.col("_blocks")) < F.col("_rest")
+        return F.pmod(F.col("a") * block + F.col("b"), F.col("blocks")) < F.col("rest")
 
     def overlap(block):
-        words = F.least(end, (block + 1) * block_words) - F.greatest(begin, block * block_words)
+        words = F.least(end, (block + 1) * width) - F.greatest(begin, block * width)
         return F.when(once_more(block), words).otherwise(0).cast("long")
 
-    blocks = F.sequence(F.floor(begin / block_words), F.floor((end - 1) / block_words))
-    drawn = F.aggregate(F.transform(blocks, overlap), F.lit(0).cast("long"), lambda x, y: x + y)
-    middle = F.floor((begin + F.floor(F.col("size") / 2)) / block_words)
     some = F.col("size") > 0
-    return (line.withColumn("taken", F.when(some, F.col("_each") * F.col("size") + drawn).otherwise(0).cast("long"))
-            .withColumn("copies", F.when(some, F.col("_each") + once_more(middle).cast("int")).otherwise(0).cast("int"))
-            .select(*docs.columns, *added))
-
-
-def _quotas(line: DataFrame, goal: list[float], block_words: int, cap: float) -> DataFrame:
-    """(_number, _shard, _blocks, _each, _rest, _a, _b) of every shard: each
-    block is taken ``_each`` times, and those with ``(_a * block + _b) mod
-    _blocks < _rest`` once more.
+    hit = F.sequence(F.floor(begin / width), F.floor((end - 1) / width))
+    drawn = F.aggregate(F.transform(hit, overlap), F.lit(0).cast("long"), lambda x, y: x + y)
+    line = line.withColumn("taken", F.when(some, F.col("each") * F.col("size") + drawn).otherwise(0).cast("long"))
+    part = F.when(some, F.col("taken") / F.col("size")).otherwise(0.0)
+    upto = F.sum(part).over(w.orderBy("size", "order", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # rounded first: sums of the same parts must not differ by their order
+    rounded = F.floor(F.round(upto, 6) + 0.5)
+    before = F.floor(F.round(upto - part, 6) + 0.5)
+    line = line.withColumn("copies", F.when(some, F.least(rounded - before, F.ceil(part))).otherwise(0).cast("int"))
+    return line.select("row.*", *added)
+
+
+def _quotas(line: DataFrame, goal: list[float], blocks_of: list[int], cap: float) -> DataFrame:
+    """(number, shard, blocks, each, rest, a, b) of every shard: each
+    block is taken ``each`` times, and those with ``(a * block + b) mod
+    blocks < rest`` once more.
 
     A source's seats are known here; its shards' are computed where its shard
     sizes meet, one group a source of at most MAX_SHARDS rows.
     """
-    seats = sainte_lague(np.array(goal), int(round(sum(goal) / block_words)))
+    words_of = sainte_lague(np.array(goal), int(round(sum(goal))))
 
     def allot(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(key[0])
-        pdf = pdf.sort_values("_shard")
+        pdf = pdf.sort_values("shard")
         words = pdf["words"].to_numpy()
-        blocks = -(-words // block_words)
-        quota = sainte_lague(words, int(seats[number]), np.floor(blocks * cap).astype(np.int64))
+        width = blocks_of[number]
+        blocks = -(-words // width)
+        quota = sainte_lague(words, int(round(words_of[number] / width)), np.floor(blocks * cap).astype(np.int64))
         n = np.maximum(blocks, 1)
         steps, shifts = [], []
-        for shard, k in zip(pdf["_shard"], n, strict=True):
+        for shard, k in zip(pdf["shard"], n, strict=True):
             rng = np.random.default_rng([number, int(shard)])
             step = int(rng.integers(1, k + 1))
             while gcd(step, int(k)) != 1:
                 step += 1
             steps.append(step)
             shifts.append(int(rng.integers(0, k)))
-        return pd.DataFrame({"_number": number, "_shard": pdf["_shard"], "_blocks": n, "_each": quota // n,
-                             "_rest": quota % n, "_a": steps, "_b": shifts})
+        return pd.DataFrame({"number": number, "shard": pdf["shard"], "blocks": n, "each": quota // n,
+                             "rest": quota % n, "a": steps, "b": shifts})
 
-    return (line.groupBy("_number", "_shard").agg(F.sum("size").alias("words"))
-            .groupBy("_number").applyInPandas(
-                allot, "_number int, _shard int, _blocks long, _each long, _rest long, _a long, _b long"))
+    return (line.groupBy("number", "shard").agg(F.sum("size").alias("words"))
+            .groupBy("number").applyInPandas(
+                allot, "number int, shard int, blocks long, each long, rest long, a long, b long"))

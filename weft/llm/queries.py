@@ -146,8 +146,7 @@ def op2_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm import knn
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(knn.valid("embedding"))
-    whole = F.transform("embedding", lambda x: F.floor(F.lit(1024.0) * x.cast("double")).cast("long"))
-    return knn.top_k(rows.select("vec_id", whole.alias("vec")), F.col("vec_id") % 100 == 0, k=10)
+    return knn.top_k(rows.select("vec_id", knn.whole("embedding", 1024.0).alias("vec")), F.col("vec_id") % 100 == 0, k=10)
 
 
 @query("op5_vp_trees")

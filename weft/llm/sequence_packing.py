@@ -20,6 +20,7 @@ result; only the id and text columns are read, so other columns cannot clash.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -189,10 +190,11 @@ def library_pieces(spec: str):
     size = byte_lengths(t)
     starts = {a.content[0] for a in t.get_added_tokens_decoder().values()}
     marked = marked_words(spec)
+    special = re.compile("[" + re.escape("".join(sorted(starts))) + "]").search if starts else lambda x: None
 
     def encode_pieces(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = np.array([x[0] in " \t\n\v\f\r" and not x[-1].isspace() and not any(c in x for c in starts)
-                          for x in batch], dtype=bool)
+        plain = np.array([x[0] in " \t\n\v\f\r" and not x[-1].isspace() and special(x) is None for x in batch],
+                         dtype=bool)
         got = encode_runs(t, size, [x for x, p in zip(batch, plain, strict=True) if p], "") if plain.any() else None
         if got is None:
             return marked(batch)

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -222,10 +223,11 @@ def library_words(spec: str):
     t = library_tokenizer(spec)
     size = byte_lengths(t, suffix)
     starts = {a.content[0] for a in t.get_added_tokens_decoder().values()}
-    other = ("\x85", "\xa0", *starts)  # white space inside a word, special tokens
+    # white space inside a word, special tokens
+    other = re.compile("[" + re.escape("".join(sorted({"\x85", "\xa0", *starts}))) + "]").search
 
     def encode_words(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = np.array([(w.isascii() or max(w) <= "\xff") and not any(c in w for c in other) for w in batch], dtype=bool)
+        plain = np.array([(w.isascii() or max(w) <= "\xff") and other(w) is None for w in batch], dtype=bool)
         got = encode_runs(t, size, [w for w, x in zip(batch, plain, strict=True) if x], " ") if plain.any() else None
         if got is None:
             return marked(batch)

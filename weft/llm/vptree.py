@@ -12,8 +12,9 @@ original vectors; ties go to the smaller id.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components
 take no part, nor do rows without an id; only vectors of a query's length are its
-candidates; a query with fewer than k candidates gets all of them; equal ids are
-equal rows; many equal vectors make one large leaf.
+candidates; a query with fewer than k candidates gets all of them; rows of one id are one
+query (its smallest vector), never each other's candidates, and one candidate each for others;
+many equal vectors make one large leaf.
 """
 
 from __future__ import annotations
@@ -152,7 +153,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, factor: float = FA
            vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, <id>, score): each query's k nearest rows found, without
     the row of its own id.  Queries go to every shard in blocks."""
-    q = stored(_rows(queries, id_col, vec_col).withColumn("dim", F.size("v")), "vp-queries")
+    asked = _rows(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
+    q = stored(asked.withColumn("dim", F.size("v")), "vp-queries")
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
     trees = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     last = index.agg(F.max("shard")).first()[0]

@@ -185,6 +185,22 @@ def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
         [None, pa.py_buffer(np.ascontiguousarray(offsets, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def value_hashes(values: pa.Array) -> np.ndarray:
+    """A hash of every value of a large binary array; equal bytes have equal hashes."""
+    _, off, raw = values.buffers()
+    offsets = np.frombuffer(off, dtype=np.int64)[values.offset:values.offset + len(values) + 1]
+    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    out = np.empty(len(values), dtype=np.uint64)
+    lo = 0
+    while lo < len(values):  # about PIECE bytes at a time, one value at least
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + PIECE, side="right")) - 1)
+        part = offsets[lo:hi + 1] - offsets[lo]
+        h = _span_hashes(IDENTITY[data[offsets[lo]:offsets[hi]]], part[:-1], part[1:], False)
+        out[lo:hi] = mix(h + np.diff(part).astype(np.uint64) * LENGTH_STEP)
+        lo = hi
+    return out
+
+
 def column_words(col: pa.Array, table: np.ndarray = IDENTITY) -> Words:
     return words(*text_buffer(col), table)
 
