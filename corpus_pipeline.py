@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``.  Stages are written as Parquet and reread.
+
+Cases: a null or empty text, or one without words, is rejected by the first stage; null ids, sources
+and languages pass (a null source is a source of its own in the mix); of exactly repeated rows one
+stays after near-duplicates; an empty table, or one whose rows are all rejected, gives an
+empty result; further columns of ``documents`` are carried along.
 """
 
 from __future__ import annotations

@@ -261,6 +261,59 @@ def test_blank_only_file_has_no_records(spark, tmp):
         read_jsonl(spark, f"{tmp}/blank.jsonl")
 
 
+def test_csv_records_across_splits(spark, tmp):
+    """Nasty rows in tiny splits equal Python's csv module and Spark's one-task reader."""
+    import csv
+    import os
+    import random
+
+    from weft.sources.csv_records import csv_lines, read_csv_records
+
+    rng = random.Random(4)
+    pool = ["a", "b", " ", ",", '"', "\n", "é", "x y", "\r\n", "", "", "\n\n"]
+    rows = [["".join(rng.choice(pool) for _ in range(rng.randrange(9))) for _ in range(3)] for _ in range(1500)]
+    rows[700][1] = "long\n" * 400  # a record over many splits
+    os.makedirs(f"{tmp}/c")
+    for k, end in enumerate(("\n", "\r\n")):
+        with open(f"{tmp}/c/f{k}.csv", "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator=end)
+            w.writerow(["f1", "f2", "lab"])
+            w.writerows(rows[k::2])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert read_csv_records(spark, f"{tmp}/c").count() == 1500
+        assert csv_lines(spark, f"{tmp}/c").select("block").distinct().count() > 20
+        got = read_csv_records(spark, f"{tmp}/c", keep_order=True).orderBy("_file", "_block", "_row").collect()
+        assert [[r[c] or "" for c in ("f1", "f2", "lab")] for r in got] == rows[0::2] + rows[1::2]
+        whole = read_csv(spark, f"{tmp}/c", "lab", multiline="whole").collect()
+        assert sorted(map(tuple, whole)) == sorted(map(tuple, read_csv(spark, f"{tmp}/c", "lab").collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_csv_with_a_stray_quote_says_so(spark, tmp):
+    with open(f"{tmp}/s.csv", "w", encoding="utf-8") as f:
+        f.write('a,lab\n5" pipe,x\n6" pipe,y\n')
+    with pytest.raises(Exception, match="quote inside an unquoted field"):
+        read_csv(spark, f"{tmp}/s.csv", "lab").collect()
+    rows = read_csv(spark, f"{tmp}/s.csv", "lab", multiline="whole").collect()
+    assert [(r.input, r.output) for r in rows] == [('a=5" pipe', "x"), ('a=6" pipe', "y")]
+
+
+def test_prepare_csv_with_a_limit(spark, tmp):
+    from weft.sources.files import prepare_csv
+
+    with open(f"{tmp}/p.csv", "w", encoding="utf-8") as f:
+        f.write("a;lab\n" + "".join(f'"v;{i}\n";L{i} \n' for i in range(50)))
+    counters = prepare_csv(spark, f"{tmp}/p.csv", f"{tmp}/o", "lab", delimiter=";", instruction="Label it.", limit=7)
+    assert (counters["n_written"], counters["n_read"]) == (7, 50)
+    got = sorted((json.loads(r.value) for r in spark.read.text(f"{tmp}/o/mapped=true").collect()), key=lambda r: r["output"])
+    assert got == [{"instruction": "Label it.", "input": f"a=v;{i}\n", "output": f"L{i}"} for i in range(7)]
+    with pytest.raises(ValueError, match="label"):
+        prepare_csv(spark, f"{tmp}/p.csv", f"{tmp}/o2", "nope", delimiter=";")
+
+
 def test_csv_rows_match_python_csv_on_random_files(spark, tmp):
     import csv
     import io

@@ -111,3 +111,85 @@ def test_job_status_per_tick(spark, tmp):
     q.awaitTermination()
     snaps = spark.read.parquet(out).orderBy("batch").collect()
     assert [(r.n_lines, r.last_line) for r in snaps] == [(3, "l2"), (4, "[exit 0]")]
+
+
+def test_stream_counters_survive_a_restart_with_the_default_checkpoint(spark, tmp):
+    from weft.streaming.streams import stream_counters
+
+    for i in range(3):
+        _write_lines(f"{tmp}/land/{i}.jsonl", ['{"text":"%d"}' % i, '{"n":%d}' % i, ""])
+    for extra in (None, '{"text":"late"}', None):
+        if extra:
+            _write_lines(f"{tmp}/land/late.jsonl", [extra])
+        landing_to_prepared(spark, f"{tmp}/land", f"{tmp}/out", f"{tmp}/quar", max_files_per_trigger=1).awaitTermination()
+    got = [tuple(r)[1:] for r in stream_counters(spark, f"{tmp}/out").orderBy("batch").collect()]
+    assert sorted(got) == [(1, 1, 0)] + [(2, 1, 1)] * 3
+    assert sorted(r.text for r in spark.read.parquet(f"{tmp}/out").collect()) == ["0", "1", "2", "late"]
+    assert spark.read.parquet(f"{tmp}/quar").count() == 3
+
+
+def test_approvals_stream_of_a_hot_session_keeps_linear_state(spark, tmp):
+    """A third of all rows in one session, null sessions, ties; splits change nothing."""
+    import random
+
+    rng = random.Random(6)
+    t0 = dt.datetime(2024, 3, 1)
+    s = lambda k: t0 + dt.timedelta(seconds=k)
+    session = lambda i: 0 if i % 3 == 0 else None if i % 10 == 1 else rng.randint(1, 4)
+    calls = [(session(i), i, s(rng.randint(0, 4000))) for i in range(500)]
+    decs = [(session(i), 1000 + i, s(rng.randint(0, 4000)), rng.choice([True, False, None])) for i in range(500)]
+    cs = "session_id LONG, call_id LONG, ts TIMESTAMP"
+    ds = "session_id LONG, decision_id LONG, ts TIMESTAMP, decision BOOLEAN"
+    want = {}
+    for k, i, ts in calls:
+        hits = [(d[2], d[1], bool(d[3])) for d in decs if k is not None and d[0] == k and 0 <= (d[2] - ts).total_seconds() <= 300]
+        want[i] = (min(hits)[1], "approved" if min(hits)[2] else "rejected") if hits else (None, "timed_out")
+    spark.createDataFrame(calls + [(99, -1, s(100_000))], cs).write.parquet(f"{tmp}/c")
+    spark.createDataFrame(decs + [(99, -2, s(100_000), True)], ds).write.parquet(f"{tmp}/d")
+    for splits in (1, 3):
+        out_df = approvals_stream(spark.readStream.schema(cs).parquet(f"{tmp}/c"),
+                                  spark.readStream.schema(ds).parquet(f"{tmp}/d"), timeout_s=300, delay="1 minute", splits=splits)
+        q, out = run_to_table(out_df, spark, "hot", "append", checkpoint=f"{tmp}/ck{splits}")
+        q.awaitTermination()
+        got = {r.call_id: (r.decision_id, r.outcome) for r in spark.read.parquet(out).collect()}
+        got.pop(-1, None)
+        assert got == want
+        # one row a call and splits + 1 a decision at most, never a pair
+        state = sum(op["customMetrics"].get("rocksdbPutCount", 0) for p in q.recentProgress for op in p["stateOperators"])
+        rows = max(p["numInputRows"] for p in q.recentProgress)
+        assert rows == len(calls) + len(decs) + 2 and state < 40 * rows
+
+
+def test_log_tail_cuts_a_hot_job_before_its_task(spark, tmp):
+    from weft.streaming import streams
+
+    table = __import__("pyarrow").table({"job_id": ["a"] * 6 + [None] * 3 + ["b"], "seq": [*range(6), 1, 2, 3, 7],
+                                         "line": ["x"] * 10})
+    cut = streams.last_per_job(table, 2).to_pylist()
+    assert [(r["job_id"], r["seq"]) for r in cut] == [("a", 5), ("a", 4), ("b", 7), (None, 3), (None, 2)]
+    big = spark.range(0, 60_000, numPartitions=6).select(F.lit("hot").alias("job_id"), F.col("id").alias("seq"),
+                                                         F.col("id").cast("string").alias("line"))
+    big.write.json(f"{tmp}/logs")
+    seen = f"{tmp}/seen"
+    tail = log_tail(stream_log(spark, f"{tmp}/logs"), 5, salts=4)
+    plan = tail._jdf.queryExecution().logical().toString()
+    assert plan.count("MapInArrow") == 2 and plan.index("MapInArrow") > 0
+    q, out = run_to_table(tail, spark, "hot", "update", checkpoint=f"{tmp}/ck")
+    q.awaitTermination()
+    assert sorted(r.seq for r in spark.read.parquet(out).collect()) == list(range(59_995, 60_000))
+    rows_in = [op["numRowsUpdated"] for p in q.recentProgress for op in p["stateOperators"]]
+    assert max(rows_in) <= 10 and not os.path.exists(seen)
+
+
+def test_log_tail_of_idle_jobs_expires(spark, tmp):
+    import time
+
+    _write_lines(f"{tmp}/logs/0.json", [json.dumps({"job_id": "j", "seq": 1, "line": "old"})])
+    for k in (1, 2):
+        tail = log_tail(stream_log(spark, f"{tmp}/logs"), 3, ttl_ms=500)
+        q, out = run_to_table(tail, spark, f"ttl{k}", "update", checkpoint=f"{tmp}/ck")
+        q.awaitTermination()
+        if k == 1:
+            time.sleep(1.5)
+            _write_lines(f"{tmp}/logs/1.json", [json.dumps({"job_id": "j", "seq": 2, "line": "new"})])
+    assert [r.line for r in spark.read.parquet(out).collect()] == ["new"]

@@ -37,6 +37,7 @@ def _load() -> None:
     # Importing the binding modules fills the registry.
     from weft.plans import (  # noqa: F401
         agent_queries,
+        file_queries,
         ops_queries,
         record_queries,
         sequence_queries,

@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.plans.ops_queries import LINE_SQL, _SAMPLES_SQL
+from weft.plans.file_queries import write_files
 from weft.plans.record_queries import _LINES_SQL, jsonl_lines
 from weft.plans.registry import query
 from weft.plans.tables import table
 from weft.session import scratch_dir
+from weft.sources.log_source import follow_log
 from weft.streaming.streams import (
+    COUNTERS,
     approvals_stream,
     landing_to_prepared,
     latest_samples,
     log_tail,
     run_to_table,
+    stream_counters,
     stream_log,
 )
 
@@ -29,6 +33,39 @@ def _last_snapshot(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return snaps.withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r", "batch")
 
 
+@query("stream_counters", "ST1 A1 SNK3", sql=_LINES_SQL + """
+SELECT CAST(count(*) AS BIGINT) AS n_read, CAST(count(format) AS BIGINT) AS n_written,
+       CAST(count(*) - count(format) AS BIGINT) AS n_skipped FROM t
+""")
+def stream_counters_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of several micro-batches and a restart, beside the output."""
+    base = scratch_dir(spark, "st1c")
+    lines = jsonl_lines(spark, sf_dir)
+    for part in (F.col("rec_id") % 2 == 0, F.col("rec_id") % 2 != 0):  # the second half after the first run
+        lines.where(part).select("value").write.mode("append").text(f"{base}/landing")
+        q = landing_to_prepared(spark, f"{base}/landing", f"{base}/out", f"{base}/quarantine", glob="*.txt",
+                                max_files_per_trigger=3)
+        q.awaitTermination()
+    return stream_counters(spark, f"{base}/out").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+
+
+@query("stream_log_follow", "SRC5", sql="""
+SELECT event_type || '.log' AS file, 'event ' || event_id || ' of ' || user_id AS line FROM events WHERE event_id % 3 <> 0
+UNION ALL SELECT event_type || '-2.log', 'event ' || event_id || ' of ' || user_id FROM events WHERE event_id % 3 = 0
+""")
+def stream_log_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of a follower with one checkpoint; more logs come in between."""
+    base = scratch_dir(spark, "src5")
+    ev = table(spark, sf_dir, "events")
+    line = F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(" of "), F.col("user_id").cast("string"))
+    for part, end in ((F.col("event_id") % 3 != 0, ".log"), (F.col("event_id") % 3 == 0, "-2.log")):
+        write_files(ev.where(part).select(F.concat("event_type", F.lit(end)).alias("name"), line.alias("line")), f"{base}/logs")
+        q = (follow_log(spark, f"{base}/logs", glob="*.log", range_bytes=1 << 16).writeStream.format("parquet")
+             .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("file", "line")
+
+
 @query("stream_prepared", "ST1 SRC4 P1 F2", sql=_LINES_SQL + """
 SELECT format, text FROM t WHERE format IS NOT NULL
 """)
