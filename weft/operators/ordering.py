@@ -8,7 +8,7 @@ steps and one shuffle:
 1. contiguous *range shards* of the order key: boundaries are approximate
    quantiles of the key (one small driver round trip, ``n_shards`` numbers),
    and each row finds its shard by binary search (``Bucketizer``);
-2. rows are hash-partitioned by shard once; per-shard totals are summed on that
+2. rows are partitioned by shard number once; per-shard totals are summed on that
    partitioning, and their exclusive prefix sums (one row per shard, a proven
    bound) are broadcast back;
 3. inside each shard a running sum in key order, plus the shard's offset.
@@ -20,9 +20,12 @@ ids and hashes the callers use.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.session import scratch_dir
 
@@ -52,8 +55,6 @@ def with_range_shards(df: DataFrame, key: str, n_shards: int | None = None,
     One shuffle.  Later ``groupBy(_shard, ...)`` and
     ``Window.partitionBy(_shard)`` reuse this partitioning without another.
     """
-    from pyspark.sql import types as T
-
     dtype = df.schema[key].dataType
     if not isinstance(dtype, T.NumericType):
         raise TypeError(f"range shards need a numeric order key; {key} is {dtype.simpleString()} "
@@ -67,8 +68,18 @@ def with_range_shards(df: DataFrame, key: str, n_shards: int | None = None,
     tmp = f"{SHARD}_key"
     keyed = df.withColumn(tmp, F.col(key).cast("double"))
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=SHARD, handleInvalid="keep")
-    out = b.transform(keyed).withColumn(SHARD, F.col(SHARD).cast("int")).drop(tmp)
-    return out.repartition(SHARD)
+    out = b.transform(keyed).withColumn(SHARD, F.coalesce(F.col(SHARD).cast("int"), F.lit(0))).drop(tmp)
+    # shard i is partition i (the last one takes NaN): no two shards meet by hash
+    return out.repartitionById(len(bounds) + 2, F.col(SHARD))
+
+
+def _measure(field: T.StructField) -> Column:
+    c, t = F.col(field.name), field.dataType
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return F.octet_length(c)
+    if isinstance(t, (T.ArrayType, T.MapType)):
+        return F.size(c)
+    return c if isinstance(t, T.AtomicType) else F.when(c.isNotNull(), 1)
 
 
 def running_offsets(sharded: DataFrame, order: list, weight: str | Column,
@@ -81,17 +92,15 @@ def running_offsets(sharded: DataFrame, order: list, weight: str | Column,
     """
     w = weight if isinstance(weight, Column) else F.col(weight)
     rows = sharded.withColumn("_w", w.cast("long"))
-    # The totals read the same columns as the main branch (the shard's last
-    # row, ``_last``, keeps column pruning from narrowing their side), so both
-    # sides plan the identical shard exchange and Spark reuses it: one scan,
-    # one shuffle.
-    names = [o for o in order if isinstance(o, str)]
-    cols = names + [c for c in sharded.columns if c not in names]
-    totals = rows.groupBy(SHARD).agg(F.sum("_w").alias("_tot"),
-                                     F.max(F.struct(*cols)).alias("_last"))
+    # The totals read the same columns as the main branch (``_seen`` looks at each,
+    # which keeps column pruning from narrowing their side), so both sides plan the
+    # identical shard exchange and Spark reuses it: one scan, one shuffle.  The
+    # aggregate holds numbers only: of strings and arrays their sizes.
+    seen = [F.coalesce(F.max(_measure(f)).isNotNull().cast("int"), F.lit(0)) for f in sharded.schema if f.name != SHARD]
+    totals = rows.groupBy(SHARD).agg(F.sum("_w").alias("_tot"), reduce(Column.__add__, seen).alias("_seen"))
     # One row per shard: a single-partition window here is bounded by n_shards.
-    # (every listed shard has a last row; the filter keeps ``_last`` in the plan)
-    offsets = totals.where(F.col("_last").isNotNull()).select(
+    # (always true; the filter keeps ``_seen`` in the plan)
+    offsets = totals.where(F.col("_seen") >= 0).select(
         SHARD,
         (F.sum("_tot").over(Window.orderBy(SHARD).rowsBetween(Window.unboundedPreceding, 0))
          - F.col("_tot")).alias("_off"),
