@@ -37,7 +37,7 @@ from weft.llm.words import ranges, slices, text_buffer, value_hashes, word_piece
 
 LONG = 256
 #: Distinct words, and their bytes, whose ids a Python worker keeps at a time.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 3 << 17
 CACHE_BYTES = 1 << 26
 NONE = np.int64(1) << np.int64(40)
 
@@ -73,8 +73,9 @@ class Bpe:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split, regex.ASCII)
         self.byte_of = {c: b for b, c in enumerate(symbols)}
-        # the library's normaliser and splitter: their Unicode tables are of its version
-        rules = Tokenizer.from_str(json.dumps(spec))
+        # the library's normaliser and splitter (without the vocabulary): their Unicode
+        # tables are of its version
+        rules = Tokenizer.from_str(json.dumps({**spec, "added_tokens": [], "model": {**model, "vocab": {}, "merges": []}}))
         self.normalise, self.split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         text = [""] * self.size
@@ -335,7 +336,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_to_ids = _encoder(spec.value)
         for batch in batches:
-            for s in slices(batch, text_col, 2 << 20):
+            for s in slices(batch, text_col, 1 << 20):
                 ids, offsets = words_to_ids.encode(s.column(text_col))
                 col = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), col], [*keep, out])

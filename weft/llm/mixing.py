@@ -158,7 +158,8 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: float =
     rounded = F.floor(F.round(upto, 6) + 0.5)
     before = F.floor(F.round(upto - part, 6) + 0.5)
     line = line.withColumn("copies", F.when(some, F.least(rounded - before, F.ceil(part))).otherwise(0).cast("int"))
-    return line.select("row.*", *added)
+    # documents of one size side by side would make batches of very different weight
+    return line.sortWithinPartitions("number", "shard", "order", "id").select("row.*", *added)
 
 
 def _quotas(line: DataFrame, goal: list[float], blocks_of: list[int], cap: float) -> DataFrame:
