@@ -83,23 +83,23 @@ def test_rules_of_any_number_have_one_schema(spark, n):
 def test_python_patterns_are_written_for_java(spark):
     import re
 
-    from weft.operators.rules import check_pattern, java_pattern, required_literal
+    from weft.operators.rules import check_pattern, java_pattern, required_literals
 
     cases = {  # pattern: texts that match, texts that don't, a string every match holds
-        r"(?P<my_name>ls)\s+-l": (["ls -l", "x ls  -l"], ["ls-l"], "ls"),
-        r"(?P<q>['\"]).*?(?P=q)1": (["'a'1", '""1'], ["'a\"1"], "1"),
-        r"a{,2}b$": (["b", "aab"], ["ba"], "b"),
-        r"end\Z": (["the end"], ["end\n"], "end"),
-        r"[[a]x": (["[x", "ax"], ["x"], "x"),
-        r"[]a]b": (["]b", "ab"], ["b"], "b"),
-        r"[^]a]b": (["xb"], ["]b", "ab"], "b"),
-        r"[a&&b]c": (["&c", "ac"], ["c"], "c"),
-        r"foo(?#note)bar": (["foobar"], ["foo bar"], "foobar"),
-        r"(?i)Rm": (["rm", "RM"], ["r"], None),
-        r"rm\b -rf": (["rm -rf"], ["rmx -rf"], "rm -rf"),
-        r"(abc|xyz)e?": (["abc", "xyze"], ["abe"], None),
-        r"(abc|abd)e?": (["abc", "abd"], ["abe"], "ab"),
-        r"(?:xyz)+q": (["xyzxyzq"], ["xyq"], "xyz"),
+        r"(?P<my_name>ls)\s+-l": (["ls -l", "x ls  -l"], ["ls-l"], ["-l", "ls"]),
+        r"(?P<q>['\"]).*?(?P=q)1": (["'a'1", '""1'], ["'a\"1"], ["1"]),
+        r"a{,2}b$": (["b", "aab"], ["ba"], ["b"]),
+        r"end\Z": (["the end"], ["end\n"], ["end"]),
+        r"[[a]x": (["[x", "ax"], ["x"], ["x"]),
+        r"[]a]b": (["]b", "ab"], ["b"], ["b"]),
+        r"[^]a]b": (["xb"], ["]b", "ab"], ["b"]),
+        r"[a&&b]c": (["&c", "ac"], ["c"], ["c"]),
+        r"foo(?#note)bar": (["foobar"], ["foo bar"], ["foobar"]),
+        r"(?i)Rm": (["rm", "RM"], ["r"], []),
+        r"rm\b -rf": (["rm -rf"], ["rmx -rf"], ["rm -rf"]),
+        r"(abc|xyz)e?": (["abc", "xyze"], ["abe"], []),
+        r"(abc|abd)e?": (["abc", "abd"], ["abe"], ["ab"]),
+        r"(?:xyz)+q": (["xyzxyzq"], ["xyq"], ["xyz", "q"]),
     }
     for p, (yes, no, literal) in cases.items():
         check_pattern(spark, p)
@@ -107,7 +107,7 @@ def test_python_patterns_are_written_for_java(spark):
         got = [r[0] for r in df.select(F.rlike("t", F.lit("(?d)" + java_pattern(p)))).collect()]
         assert got == [True] * len(yes) + [False] * len(no), p
         assert got == [re.search(p, t) is not None for t in yes + no], p
-        assert required_literal(p) == literal, p
+        assert required_literals(p) == literal, p
     for bad in ("(", "a{2,1}", r"(a)(?(1)b|c)", "[z-a]"):
         with pytest.raises(ValueError):
             check_pattern(spark, bad)

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from weft.functions.chat import ChatTemplate, render_chat
-from weft.operators import records
+from weft.operators import agent_log
 from weft.operators.agent_log import match_approvals
 from weft.operators.ops_tables import first_wins, group_value_stats
 from weft.operators.ordering import keyed_running_sum
@@ -31,6 +31,7 @@ def test_limit_written_keys_of_any_type_and_ties(spark):
 def test_keyed_running_sum_with_hot_key(spark):
     base = dt.datetime(2024, 1, 1)
     rows = [(0 if i % 3 == 0 else i % 7, base + dt.timedelta(hours=i), i, 1) for i in range(600)]
+    rows += [(None, base + dt.timedelta(hours=7 * i), 1000 + i, 1) for i in range(20)]  # a null key is a key
     df = spark.createDataFrame(rows, "k LONG, ts TIMESTAMP, id LONG, w INT")
     out = keyed_running_sum(df, "k", F.to_date("ts"), [F.col("ts"), F.col("id")], F.col("w"), "c")
     got = {r.id: r.c for r in out.collect()}
@@ -40,7 +41,7 @@ def test_keyed_running_sum_with_hot_key(spark):
         assert got[i] == seen[k]
 
 
-def test_approvals_hot_session_matches_pairs(spark):
+def test_approvals_hot_session_matches_pairs(spark, monkeypatch):
     rng = random.Random(11)
     t0 = dt.datetime(2024, 1, 1)
     calls, decs = [], []
@@ -53,6 +54,10 @@ def test_approvals_hot_session_matches_pairs(spark):
     got = {r.event_id: r.decision_id for r in match_approvals(c, d, timeout_s=300).collect()}
     finer = {r.event_id: r.decision_id for r in match_approvals(c, d, timeout_s=300, splits=4).collect()}
     assert finer == got
+    monkeypatch.setattr(agent_log, "BUCKET_ROWS", 3)  # splits follow from the largest bucket
+    both = c.selectExpr("session_id _k", "ts _ts").unionByName(d.selectExpr("session_id _k", "ts _ts"))
+    assert agent_log._splits(both, 300) > 1
+    assert {r.event_id: r.decision_id for r in match_approvals(c, d, timeout_s=300).collect()} == got
     for i, s, ts, _ in calls:
         cands = [(dts, j) for j, ds, dts, _ in decs
                  if ds == s and ts <= dts <= ts + dt.timedelta(seconds=300)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions.text import col_, is_ascii
-from weft.operators.rules import java_pattern, required_literal
+from weft.operators.rules import java_pattern, required_literals
 from weft.operators.substring_index import candidates
 
 # The tool-call tag pattern (dot matches newline; first call only).
@@ -173,13 +173,13 @@ def classify_commands(df: DataFrame, cmd_col: str, rules: DataFrame, id_col: str
 def _indexed_matches(cmds: DataFrame, rules: list[tuple]) -> DataFrame:
     """(_cmd, _rid) of matching rules, the first at least, of distinct commands."""
     spark = cmds.sparkSession
-    literal = [(int(i), java, required_literal(p)) for i, java, p in rules]
+    literal = [(int(i), java, required_literals(p)) for i, java, p in rules]
     keyed = [r for r in literal if r[2]]
     free = [r[:2] for r in literal if not r[2]]
     out = cmds.select("_cmd", F.lit(None).cast("long").alias("_rid")).limit(0)
     if keyed:
-        needles = spark.createDataFrame(keyed, "_rid LONG, _pat STRING, _lit STRING")
-        pairs = candidates(cmds, needles, "_cmd", "_lit", []).where(F.col("_cmd").contains(F.col("_lit")))
+        needles = spark.createDataFrame(keyed, "_rid LONG, _pat STRING, _lit ARRAY<STRING>")
+        pairs = candidates(cmds, needles, "_cmd", "_lit", []).where(F.forall("_lit", lambda x: F.col("_cmd").contains(x)))
         # equal patterns one after the other: each is compiled once a run, not once a row
         pairs = pairs.sortWithinPartitions("_pat")
         hit = F.when(is_ascii("_cmd"), F.rlike("_cmd", F.concat(F.lit(PY_RE_FLAGS_ASCII), F.col("_pat")))) \
@@ -222,7 +222,7 @@ def command_decision(block_rule, allowed, mode) -> Column:
 def match_approvals(calls: DataFrame, decisions: DataFrame, key: str = "session_id",
                     ts: str = "ts", call_id: str = "event_id", decision_id: str = "event_id",
                     decision_col: str = "decision",
-                    timeout_s: int = APPROVAL_TIMEOUT_S, splits: int = 1) -> DataFrame:
+                    timeout_s: int = APPROVAL_TIMEOUT_S, splits: int | None = None) -> DataFrame:
     """Each pending call gets the first decision for the same key with
     ``call.ts <= decision.ts <= call.ts + timeout``; none -> denied.
 
@@ -233,7 +233,8 @@ def match_approvals(calls: DataFrame, decisions: DataFrame, key: str = "session_
     holding a third of all rows is still split into buckets of bounded time.
     ``splits`` > 1 narrows the buckets to ``timeout / splits`` (each decision
     is then copied into ``splits + 1`` buckets) for keys that are hot even
-    within one time-out.
+    within one time-out; by default it follows from the largest bucket, which one
+    aggregate over key and time finds, so that about BUCKET_ROWS rows meet.
 
     Output: the call columns plus ``decision_id``, ``decided_at``,
     ``approved`` and ``outcome`` (approved / rejected / timed_out).  When
@@ -254,7 +255,7 @@ def match_approvals(calls: DataFrame, decisions: DataFrame, key: str = "session_
 def match_approvals_in(events: DataFrame, is_call: Column, is_decision: Column,
                        decision: Column, key: str = "session_id", ts: str = "ts",
                        id_col: str = "event_id", call_cols: list[str] | None = None,
-                       timeout_s: int = APPROVAL_TIMEOUT_S, splits: int = 1) -> DataFrame:
+                       timeout_s: int = APPROVAL_TIMEOUT_S, splits: int | None = None) -> DataFrame:
     """J3 over one event table holding both calls (``is_call``) and
     decisions (``is_decision``): one scan, one shuffle.  Output columns are
     ``call_cols`` (default: key, ts, id) of each call plus the decision
@@ -269,12 +270,25 @@ def match_approvals_in(events: DataFrame, is_call: Column, is_decision: Column,
     return _first_decision(both, timeout_s, splits)
 
 
-def _first_decision(both: DataFrame, timeout_s: int, splits: int = 1) -> DataFrame:
+#: Rows of one (key, time bucket) that J3 aims at; most splits of a time-out.
+BUCKET_ROWS = 100_000
+MAX_SPLITS = 256
+
+
+def _splits(both: DataFrame, timeout_s: int) -> int:
+    width = max(1, int(timeout_s) * 1_000_000)
+    bucket = F.floor(F.unix_micros(F.col("_ts").cast("timestamp")) / F.lit(width))
+    largest = (both.where(F.col("_k").isNotNull()).groupBy("_k", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+               .agg(F.max("n")).first()[0])
+    return max(1, min(MAX_SPLITS, -(-(largest or 0) // BUCKET_ROWS)))
+
+
+def _first_decision(both: DataFrame, timeout_s: int, splits: int | None = None) -> DataFrame:
     """Shared core: rows ``_k, _ts, _id, _kind (0 call / 1 decision), _dec,
     _call``.  Buckets are ``timeout / splits`` wide; a decision goes to its
     own bucket and the ``splits`` before it, which covers every call that can
     reach it."""
-    splits = max(1, int(splits))
+    splits = _splits(both, timeout_s) if splits is None else max(1, int(splits))
     width = max(1, int(timeout_s) * 1_000_000 // splits)
     b = F.floor(F.unix_micros(F.col("_ts").cast("timestamp")) / F.lit(width))
     buckets = F.when(F.col("_kind") == 1, F.array(*[b - i for i in range(splits + 1)])).otherwise(F.array(b))

@@ -161,10 +161,12 @@ def keyed_running_sum(df: DataFrame, key: str, bucket: Column, order: list,
     d = (df.withColumn("_b", bucket).withColumn("_w", weight.cast("long"))
          .repartition(key, "_b"))
     tot = d.groupBy(key, "_b").agg(F.sum("_w").alias("_tot"))
-    offs = tot.select(key, "_b", (F.sum("_tot").over(
+    offs = tot.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), (F.sum("_tot").over(
         Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
         - F.col("_tot")).alias("_off"))
     inner = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (d.join(offs, [key, "_b"], "left")
+    # null keys are a key of their own
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_kb"))
+    return (d.join(offs, same, "left")
             .withColumn(out_col, F.col("_off") + F.sum("_w").over(inner))
-            .drop("_b", "_w", "_off"))
+            .drop("_b", "_w", "_off", "_k", "_kb"))

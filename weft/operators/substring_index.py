@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GRAM = 3
 
@@ -27,16 +28,19 @@ def candidates(texts: DataFrame, needles: DataFrame, text: str, needle: str, by:
     """All columns of both sides for pairs, equal in ``by``, whose text holds the needle's
     rarest gram: every pair whose text contains the needle, and some more.
 
+    ``needle`` is a string, or a list of strings that a text must all contain.
     ``needles`` are distinct rows; the sides share no other column names.  Null texts
     and needles meet nothing; an empty needle meets every text."""
     needles = needles.where(F.col(needle).isNotNull())
-    size = F.least(F.length(needle), F.lit(GRAM))
-    sizes = sorted(r[0] for r in needles.select(size.alias("g")).distinct().collect())  # at most four numbers
+    many = isinstance(needles.schema[needle].dataType, T.ArrayType)
+    parts = needles.withColumn("_part", F.explode(needle) if many else F.col(needle))
+    size = F.least(F.length("_part"), F.lit(GRAM))
+    sizes = sorted(r[0] for r in parts.select(size.alias("g")).distinct().collect())  # at most four numbers
     keys = [*by, "_gram"]
     if not sizes:
         return texts.limit(0).join(needles, by) if by else texts.limit(0).join(needles, F.lit(True))
-    own = F.coalesce(*[F.when(size == g, grams(needle, g)) for g in sizes])
-    wanted = needles.withColumn("_gram", F.explode(own))
+    own = F.coalesce(*[F.when(size == g, grams("_part", g)) for g in sizes])
+    wanted = parts.withColumn("_gram", F.explode(own)).drop("_part")
     held = F.concat(*[grams(text, g) for g in sizes])
     posts = (texts.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(held))
              .join(wanted.select(*keys).distinct(), keys, "left_semi"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from weft.functions.text import py_strip, split_list
 from weft.functions.time import display_time
 from weft.operators.ops_tables import first_wins
-from weft.operators.records import drop_blank, normalize_lines, row_to_alpaca
+from weft.operators.records import drop_blank, normalize_lines, row_to_alpaca, to_record
 from weft.operators.rules import check_pattern
 from weft.sources.csv_records import read_csv_records
 from weft.sources.listing import listing
@@ -105,8 +105,7 @@ def prepare_csv(spark: SparkSession, path: str, out_path: str, label_col: str, f
     """SRC2 + P7 + L1 + SNK1 + A1: CSV files to canonical JSONL under ``out_path``, the first ``limit``
     records in file order (0 / None: all); returns the counters."""
     rows = read_csv(spark, path, label_col, feature_cols, delimiter, instruction, keep_order=bool(limit))
-    rows = rows.withColumn("format", F.lit("alpaca"))
-    return prepare_records(rows, out_path, limit, order=file_order() if limit else None)
+    return prepare_records(to_record(rows), out_path, limit, order=file_order() if limit else None)
 
 
 def read_table(spark: SparkSession, root: str, split: str = "train", fmt: str = "parquet") -> DataFrame:
