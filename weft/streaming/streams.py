@@ -215,7 +215,7 @@ def job_status(logs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- ST3
 
 class ApprovalProcessor(StatefulProcessor):
-    """The calls of one (key, time bucket) and the decisions that can reach them.
+    """The calls of one (has_key, key, bucket, spread) and the decisions that can reach them.
 
     Rows wait in list state; a timer at the end of the bucket's reach hands every call its
     earliest decision.  No pair is ever made: one sweep over the bucket's rows in time order.
@@ -234,7 +234,7 @@ class ApprovalProcessor(StatefulProcessor):
             self.rows.appendList(list(zip(pdf["is_call"].tolist(), pdf["id"].tolist(), pdf["us"].tolist(), decision,
                                           strict=True)))
         # a call of this bucket is decided until timeout after the bucket's end
-        end_us = (int(key[1]) + 1) * self.width_us + self.timeout_us
+        end_us = (int(key[2]) + 1) * self.width_us + self.timeout_us
         self.handle.registerTimer(-(-end_us // 1000))
         return iter(())
 
@@ -246,8 +246,8 @@ class ApprovalProcessor(StatefulProcessor):
             if not is_call:
                 following = (number, us, decision)
                 continue
-            hit = following if key[0] is not None and following and following[1] <= us + self.timeout_us else None
-            out.append((key[0], number, us, *(hit or (None, None, None))))
+            hit = following if key[0] and following and following[1] <= us + self.timeout_us else None
+            out.append((key[1] if key[0] else None, number, us, *(hit or (None, None, None))))
         self.rows.clear()
         cols = ["key", "call_id", "us", "decision_id", "decided_us", "decision"]
         pdf = pd.DataFrame(out, columns=cols)
@@ -290,13 +290,14 @@ def approvals_stream(calls: DataFrame, decisions: DataFrame, key: str = "session
         "bucket", F.explode(F.when(F.col("is_call"), F.array(own)).otherwise(F.array(*[own - i for i in range(splits + 1)]))))
     # null sessions match nothing and are spread by their ids
     rows = rows.withColumn("spread", F.when(F.col("key").isNull(), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(0))
-    schema = T.StructType([T.StructField("key", key_type), *T._parse_datatype_string(
-        "call_id LONG, us LONG, decision_id LONG, decided_us LONG, decision BOOLEAN").fields])
-    out = rows.groupBy("key", "bucket", "spread").transformWithStateInPandas(
-        ApprovalProcessor(width, timeout_us), schema, "Append", "EventTime")
+    # group columns without nulls, which pandas would turn into floats
+    rows = rows.withColumns({"has_key": F.col("key").isNotNull(), "key": F.coalesce(F.col("key").cast("string"), F.lit(""))})
+    out = rows.groupBy("has_key", "key", "bucket", "spread").transformWithStateInPandas(
+        ApprovalProcessor(width, timeout_us),
+        "key STRING, call_id LONG, us LONG, decision_id LONG, decided_us LONG, decision BOOLEAN", "Append", "EventTime")
     found = F.col("decision_id").isNotNull()
     return out.select(
-        F.col("key").alias(key), "call_id", F.timestamp_micros("us").alias("ts"), "decision_id",
+        F.col("key").cast(key_type).alias(key), "call_id", F.timestamp_micros("us").alias("ts"), "decision_id",
         F.timestamp_micros("decided_us").alias("decided_at"), F.coalesce("decision", F.lit(False)).alias("approved"),
         F.when(~found, F.lit("timed_out")).when(F.col("decision"), F.lit("approved"))
          .otherwise(F.lit("rejected")).alias("outcome"))
