@@ -184,12 +184,26 @@ def test_log_tail_cuts_a_hot_job_before_its_task(spark, tmp):
 def test_log_tail_of_idle_jobs_expires(spark, tmp):
     import time
 
+    def seen(out, line, seconds=40):
+        end = time.time() + seconds
+        while time.time() < end:
+            try:
+                rows = spark.read.parquet(out).collect()
+            except Exception:  # noqa: BLE001  (no batch written yet)
+                rows = []
+            hit = [r.batch for r in rows if r.line == line]
+            if hit:
+                return sorted(r.line for r in rows if r.batch == hit[0])
+            time.sleep(0.5)
+        return None
+
     _write_lines(f"{tmp}/logs/0.json", [json.dumps({"job_id": "j", "seq": 1, "line": "old"})])
-    for k in (1, 2):
-        tail = log_tail(stream_log(spark, f"{tmp}/logs"), 3, ttl_ms=500)
-        q, out = run_to_table(tail, spark, f"ttl{k}", "update", checkpoint=f"{tmp}/ck")
-        q.awaitTermination()
-        if k == 1:
-            time.sleep(1.5)
-            _write_lines(f"{tmp}/logs/1.json", [json.dumps({"job_id": "j", "seq": 2, "line": "new"})])
-    assert [r.line for r in spark.read.parquet(out).collect()] == ["new"]
+    tail = log_tail(stream_log(spark, f"{tmp}/logs"), 3, ttl_ms=500)
+    q, out = run_to_table(tail, spark, "ttl", "update", trigger="200 milliseconds", checkpoint=f"{tmp}/ck")
+    try:
+        assert seen(out, "old") == ["old"]
+        time.sleep(1.5)
+        _write_lines(f"{tmp}/logs/1.json", [json.dumps({"job_id": "j", "seq": 2, "line": "new"})])
+        assert seen(out, "new") == ["new"]
+    finally:
+        q.stop()

@@ -192,7 +192,8 @@ def log_tail(logs: DataFrame, n: int = LOG_RING_LINES, salts: int = TAIL_SALTS,
     Three levels, so that no task receives a hot job's whole batch: where lines are read, at
     most n a job leave a task; these meet in ``salts`` parts a job, which leave n each; the
     job's state merges those.  With ``ttl_ms`` the state of a job that gets no lines for so long
-    is dropped (its next line starts a new tail).
+    is dropped (its next line starts a new tail); such a query has a batch to run at any time, so it
+    needs a processing-time trigger: ``available_now`` would not end.
 
     Unlike a ring compared by length, new lines keep arriving after the tail
     is full: the cursor is the source offset, not a list length."""
