@@ -33,12 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from weft.llm.chunks import release
 from weft.llm.words import ranges, slices, text_buffer, value_hashes, word_pieces
 
 LONG = 256
 #: Distinct words, and their bytes, whose ids a Python worker keeps at a time.
 CACHE_WORDS = 3 << 17
 CACHE_BYTES = 1 << 26
+#: The same for ``encode``, whose workers share an executor with those of ``decode``.
+RANKED_WORDS = 1 << 18
 NONE = np.int64(1) << np.int64(40)
 
 
@@ -232,8 +235,8 @@ class WordIds:
     a binary array and the first piece of each row.
     """
 
-    def __init__(self, encode_words, cut=word_pieces):
-        self.encode_words, self.cut = encode_words, cut
+    def __init__(self, encode_words, cut=word_pieces, most: int = CACHE_WORDS):
+        self.encode_words, self.cut, self.most = encode_words, cut, most
         self.known = pa.array([], pa.large_binary())
         self.hash = np.zeros(0, np.uint64)  # ascending, and the place in ``known`` of each
         self.place = np.zeros(0, np.int64)
@@ -245,7 +248,7 @@ class WordIds:
     def _thin(self) -> None:
         keep = np.flatnonzero(self.met)
         size = pc.binary_length(self.known).to_numpy()
-        if 2 * len(keep) > CACHE_WORDS or 2 * int(size[keep].sum()) > CACHE_BYTES:
+        if 2 * len(keep) > self.most or 2 * int(size[keep].sum()) > CACHE_BYTES:
             keep = keep[:0]
         self.known = self.known.take(pa.array(keep))
         self._index()
@@ -276,7 +279,7 @@ class WordIds:
         pieces, doc = self.cut(*text_buffer(col))
         if not len(pieces):
             return np.zeros(0, np.int32), np.zeros(len(doc), np.int64)
-        if len(self.known) > CACHE_WORDS or self.known.nbytes > CACHE_BYTES:
+        if len(self.known) > self.most or self.known.nbytes > CACHE_BYTES:
             self._thin()
         coded = pieces.dictionary_encode()
         which = coded.indices.to_numpy()
@@ -319,7 +322,7 @@ def _model(spec: str) -> Bpe:
 
 @lru_cache(maxsize=4)
 def _encoder(spec: str) -> WordIds:
-    return WordIds(_model(spec).encode_words)
+    return WordIds(_model(spec).encode_words, most=RANKED_WORDS)
 
 
 def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
@@ -336,7 +339,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_to_ids = _encoder(spec.value)
         for batch in batches:
-            for s in slices(batch, text_col, 1 << 20):
+            release()
+            for s in slices(batch, text_col, 1 << 19):
                 ids, offsets = words_to_ids.encode(s.column(text_col))
                 col = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), col], [*keep, out])
@@ -357,6 +361,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
         begin = np.cumsum(size) - size
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
         for batch in batches:
+            release()
             lo = 0
             col = batch.column(ids_col)
             n_ids = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False))
