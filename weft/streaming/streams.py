@@ -215,47 +215,32 @@ def job_status(logs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- ST3
 
-class ApprovalProcessor(StatefulProcessor):
-    """The calls of one (has_key, key, bucket, spread) and the decisions that can reach them.
-
-    Rows wait in list state; a timer at the end of the bucket's reach hands every call its
-    earliest decision.  No pair is ever made: one sweep over the bucket's rows in time order.
-    """
-
-    def __init__(self, width_us: int, timeout_us: int):
-        self.width_us, self.timeout_us = width_us, timeout_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", "is_call BOOLEAN, id LONG, us LONG, decision BOOLEAN")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            decision = [None if x is None or x != x else bool(x) for x in pdf["decision"].tolist()]
-            self.rows.appendList(list(zip(pdf["is_call"].tolist(), pdf["id"].tolist(), pdf["us"].tolist(), decision,
-                                          strict=True)))
-        # a call of this bucket is decided until timeout after the bucket's end
-        end_us = (int(key[2]) + 1) * self.width_us + self.timeout_us
-        self.handle.registerTimer(-(-end_us // 1000))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # latest first; at equal times decisions before calls, smaller ids last
-        rows = sorted(self.rows.get(), key=lambda r: (r[2], not r[0], r[1]), reverse=True)
-        out, following = [], None
-        for is_call, number, us, decision in rows:
-            if not is_call:
-                following = (number, us, decision)
-                continue
-            hit = following if key[0] and following and following[1] <= us + self.timeout_us else None
-            out.append((key[1] if key[0] else None, number, us, *(hit or (None, None, None))))
-        self.rows.clear()
-        cols = ["key", "call_id", "us", "decision_id", "decided_us", "decision"]
-        pdf = pd.DataFrame(out, columns=cols)
-        yield pdf.astype({"decision_id": "Int64", "decided_us": "Int64", "decision": "boolean"})
-
-    def close(self) -> None:
-        pass
+def _first_decisions(timeout_us: int):
+    """An Arrow stage: rows of a settled bucket (``key``, list ``rows``) -> its calls, each with
+    its earliest decision.  One sorted sweep over all buckets of a batch; no pair is made."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("rows")
+            bucket = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            is_call, number, us, decision = lists.flatten().flatten()
+            call, at = is_call.to_numpy(zero_copy_only=False), us.to_numpy()
+            said = decision.fill_null(False).to_numpy(zero_copy_only=False)
+            ids, no_id = number.fill_null(0).to_numpy(), number.is_null().to_numpy(zero_copy_only=False)
+            # at equal times calls before decisions, smaller ids first
+            order = np.lexsort((said, ids, no_id, ~call, at, bucket))
+            call, at, bucket = call[order], at[order], bucket[order]
+            n = len(order)
+            following = np.minimum.accumulate(np.where(call, n, np.arange(n))[::-1])[::-1][call]
+            calls = np.flatnonzero(call)
+            hit = np.minimum(following, n - 1)
+            found = (following < n) & (bucket[hit] == bucket[calls]) & (at[hit] <= at[calls] + timeout_us)
+            keys = batch.column("key").take(pa.array(bucket[calls]))
+            found &= keys.is_valid().to_numpy(zero_copy_only=False)
+            hits = pa.array(order[hit], mask=~found)
+            out = [keys, number.take(pa.array(order[calls])), pa.array(at[calls]),
+                   number.take(hits), us.take(hits), decision.take(hits)]
+            yield pa.RecordBatch.from_arrays(out, ["key", "call_id", "us", "decision_id", "decided_us", "decision"])
+    return run
 
 
 def approvals_stream(calls: DataFrame, decisions: DataFrame, key: str = "session_id",
@@ -263,12 +248,14 @@ def approvals_stream(calls: DataFrame, decisions: DataFrame, key: str = "session
     """ST3: pending calls and decisions as two streams; each call gets its earliest decision with
     ``call.ts <= d.ts <= call.ts + timeout`` (ties: the smaller id).
 
-    Both streams are dealt by (key, bucket of time-out / ``splits``), a decision to its own
-    bucket and the ``splits`` before it, so state is linear in the rows -- one row a call,
-    ``splits`` + 1 a decision -- and a hot session is many groups.  A bucket is settled by an
-    event-time timer once the watermark (of both streams) has passed all that can reach it,
-    and its state is dropped.  A call without a decision, or of a null session, is
-    ``timed_out``; a null decision counts as rejected.
+    Both streams are dealt by (key, sliding window that starts every time-out / ``splits`` and
+    reaches a time-out further), a call to its own window and a decision to that and the
+    ``splits`` before it, so state is linear in the rows -- one row a call, ``splits`` + 1 a
+    decision -- and a hot session is many groups.  A group's rows are one aggregate of Spark's own
+    (no Python call a group); when the watermark (of both streams) has passed the window's end they
+    leave the state and one sweep hands every call its decision.  A row is late once its window is
+    settled.  A call without a decision, or of a null session, is ``timed_out``; a null decision
+    counts as rejected.
 
     ``calls``: key, ``call_id``, ``ts``; ``decisions``: key, ``decision_id``,
     ``ts``, ``decision``.  Rows with a null ``ts`` take no part.
@@ -276,7 +263,7 @@ def approvals_stream(calls: DataFrame, decisions: DataFrame, key: str = "session
     use_rocksdb(calls.sparkSession)
     splits = max(1, int(splits))
     timeout_us = int(timeout_s) * 1_000_000
-    width = max(1, timeout_us // splits)
+    width = max(1, -(-timeout_us // splits))
     key_type = calls.schema[key].dataType
     c = calls.withWatermark("ts", delay).where(F.col("ts").isNotNull()).select(
         F.col(key).alias("key"), F.lit(True).alias("is_call"), F.col("call_id").cast("long").alias("id"), "ts",
@@ -285,20 +272,21 @@ def approvals_stream(calls: DataFrame, decisions: DataFrame, key: str = "session
         F.col(key).cast(key_type).alias("key"), F.lit(False).alias("is_call"),
         F.col("decision_id").cast("long").alias("id"), "ts",
         F.coalesce(F.col("decision").cast("boolean"), F.lit(False)).alias("decision"))
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    own = F.floor(us / F.lit(width)).cast("long")
-    rows = c.unionByName(d).withColumn("us", us).withColumn(
-        "bucket", F.explode(F.when(F.col("is_call"), F.array(own)).otherwise(F.array(*[own - i for i in range(splits + 1)]))))
     # null sessions match nothing and are spread by their ids
-    rows = rows.withColumn("spread", F.when(F.col("key").isNull(), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(0))
-    # group columns without nulls, which pandas would turn into floats
-    rows = rows.withColumns({"has_key": F.col("key").isNotNull(), "key": F.coalesce(F.col("key").cast("string"), F.lit(""))})
-    out = rows.groupBy("has_key", "key", "bucket", "spread").transformWithStateInPandas(
-        ApprovalProcessor(width, timeout_us),
-        "key STRING, call_id LONG, us LONG, decision_id LONG, decided_us LONG, decision BOOLEAN", "Append", "EventTime")
+    rows = c.unionByName(d).withColumns({
+        "us": F.unix_micros(F.col("ts").cast("timestamp")),
+        "spread": F.when(F.col("key").isNull(), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(0)})
+    rows = rows.withColumn("span", F.window("ts", f"{(splits + 1) * width} microseconds", f"{width} microseconds"))
+    own = F.col("ts") < F.col("span.start") + F.expr(f"INTERVAL '{width // 1_000_000}.{width % 1_000_000:06d}' SECOND")
+    groups = rows.where(~F.col("is_call") | own).groupBy("key", "span", "spread").agg(
+        F.collect_list(F.struct("is_call", "id", "us", "decision")).alias("rows"), F.max("is_call").alias("has_call"))
+    result = T.StructType([T.StructField("key", key_type)] + [
+        T.StructField(n, T.LongType()) for n in ("call_id", "us", "decision_id", "decided_us")]
+        + [T.StructField("decision", T.BooleanType())])
+    out = groups.where("has_call").select("key", "rows").mapInArrow(_first_decisions(timeout_us), result)
     found = F.col("decision_id").isNotNull()
     return out.select(
-        F.col("key").cast(key_type).alias(key), "call_id", F.timestamp_micros("us").alias("ts"), "decision_id",
+        F.col("key").alias(key), "call_id", F.timestamp_micros("us").alias("ts"), "decision_id",
         F.timestamp_micros("decided_us").alias("decided_at"), F.coalesce("decision", F.lit(False)).alias("approved"),
         F.when(~found, F.lit("timed_out")).when(F.col("decision"), F.lit("approved"))
          .otherwise(F.lit("rejected")).alias("outcome"))
