@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions.text import col_, is_ascii
-from weft.operators.rules import java_pattern, required_literals
+from weft.operators.rules import NOT_WORD, java_pattern, read_rules
 from weft.operators.substring_index import candidates
+from weft.session import scratch_dir
 
 # The tool-call tag pattern (dot matches newline; first call only).
 TOOL_CALL_PATTERN = r"<tool_call>\s*(\{.*?\})\s*</tool_call>"
@@ -145,10 +146,13 @@ def default_block_rules() -> list[tuple[int, str]]:
     return [(i + 1, p) for i, p in enumerate(HARD_BLOCKED)]
 
 
-def _rules_list(rules: DataFrame, id_col: str, pattern_col: str) -> list[tuple]:
-    """Rules are configuration: read whole, first by id."""
-    rows = rules.select(id_col, pattern_col).where(F.col(pattern_col).isNotNull()).collect()
-    return sorted(((r[0], java_pattern(str(r[1])), str(r[1])) for r in rows), key=lambda r: (r[0], r[2]))
+def _few_rules(rules: DataFrame, id_col: str, pattern_col: str) -> list[tuple] | None:
+    """Up to MAX_INLINE_RULES rules, first by id; None if there are more."""
+    rows = (rules.select(id_col, pattern_col).where(F.col(pattern_col).isNotNull())
+            .limit(MAX_INLINE_RULES + 1).collect())
+    if len(rows) > MAX_INLINE_RULES:
+        return None
+    return [(r[0], java_pattern(str(r[1]))) for r in sorted(rows, key=lambda r: (r[0], str(r[1])))]
 
 
 def classify_commands(df: DataFrame, cmd_col: str, rules: DataFrame, id_col: str = "rule_id",
@@ -158,33 +162,34 @@ def classify_commands(df: DataFrame, cmd_col: str, rules: DataFrame, id_col: str
 
     Up to MAX_INLINE_RULES rules are one CASE expression (no join, no shuffle).  More are
     looked up (same rows): each *distinct* command meets the rules whose rarest required
-    gram it holds (:mod:`substring_index`) and is matched against those alone; rules without
-    a required string are CASE expressions of MAX_INLINE_RULES rules over the distinct commands."""
+    word or gram it holds (:mod:`substring_index`) and is matched against those alone; rules without
+    a required string are CASE expressions of MAX_INLINE_RULES rules over the distinct commands.
+    Only those and the few go through the driver; the others are read in tasks."""
     kind = rules.schema[id_col].dataType
-    found = _rules_list(rules, id_col, pattern_col)
-    if len(found) <= MAX_INLINE_RULES:
-        return df.withColumn(out_col, first_match_rule(cmd_col, [r[:2] for r in found]).cast(kind))
+    few = _few_rules(rules, id_col, pattern_col)
+    if few is not None:
+        return df.withColumn(out_col, first_match_rule(cmd_col, few).cast(kind))
     cmds = df.select(F.col(cmd_col).alias("_cmd")).where("_cmd IS NOT NULL").distinct()
-    hits = (_indexed_matches(cmds, found).groupBy("_cmd").agg(F.min("_rid").alias("_rid"))
+    hits = (_indexed_matches(cmds, read_rules(rules, id_col, pattern_col)).groupBy("_cmd").agg(F.min("_rid").alias("_rid"))
             .select("_cmd", F.col("_rid").cast(kind).alias(out_col)))
     return df.drop(out_col).join(hits, F.col(cmd_col) == F.col("_cmd"), "left").drop("_cmd")
 
 
-def _indexed_matches(cmds: DataFrame, rules: list[tuple]) -> DataFrame:
-    """(_cmd, _rid) of matching rules, the first at least, of distinct commands."""
+def _indexed_matches(cmds: DataFrame, rules: DataFrame) -> DataFrame:
+    """(_cmd, _rid) of matching rules (:func:`read_rules`), the first at least, of distinct commands."""
     spark = cmds.sparkSession
-    literal = [(int(i), java, required_literals(p)) for i, java, p in rules]
-    keyed = [r for r in literal if r[2]]
-    free = [r[:2] for r in literal if not r[2]]
-    out = cmds.select("_cmd", F.lit(None).cast("long").alias("_rid")).limit(0)
-    if keyed:
-        needles = spark.createDataFrame(keyed, "_rid LONG, _pat STRING, _lit ARRAY<STRING>")
-        pairs = candidates(cmds, needles, "_cmd", "_lit", []).where(F.forall("_lit", lambda x: F.col("_cmd").contains(x)))
-        # equal patterns one after the other: each is compiled once a run, not once a row
-        pairs = pairs.sortWithinPartitions("_pat")
-        hit = F.when(is_ascii("_cmd"), F.rlike("_cmd", F.concat(F.lit(PY_RE_FLAGS_ASCII), F.col("_pat")))) \
-            .otherwise(F.rlike("_cmd", F.concat(F.lit(PY_RE_FLAGS), F.col("_pat"))))
-        out = out.unionByName(pairs.where(hit).select("_cmd", "_rid"))
+    folder = scratch_dir(spark, "rules")
+    rules.write.parquet(folder)  # patterns are parsed once
+    rules = spark.read.parquet(folder)
+    keyed = rules.where(F.size("_lit") > 0).distinct()
+    free = sorted((r[0], r[1]) for r in rules.where(F.size("_lit") == 0).select("_rid", "_pat").distinct().collect())
+    pairs = candidates(cmds, keyed, "_cmd", "_parts", [], "_words", NOT_WORD) \
+        .where(F.forall("_lit", lambda x: F.col("_cmd").contains(x)))
+    # equal patterns one after the other: each is compiled once a run, not once a row
+    pairs = pairs.sortWithinPartitions("_pat")
+    hit = F.when(is_ascii("_cmd"), F.rlike("_cmd", F.concat(F.lit(PY_RE_FLAGS_ASCII), F.col("_pat")))) \
+        .otherwise(F.rlike("_cmd", F.concat(F.lit(PY_RE_FLAGS), F.col("_pat"))))
+    out = pairs.where(hit).select("_cmd", "_rid")
     for lo in range(0, len(free), MAX_INLINE_RULES):
         block = first_match_rule("_cmd", free[lo:lo + MAX_INLINE_RULES])
         out = out.unionByName(cmds.select("_cmd", block.cast("long").alias("_rid")).where("_rid IS NOT NULL"))
@@ -194,11 +199,12 @@ def _indexed_matches(cmds: DataFrame, rules: list[tuple]) -> DataFrame:
 def flag_allowed(df: DataFrame, cmd_col: str, allow: DataFrame, pattern_col: str = "pattern",
                  out_col: str = "allowed") -> DataFrame:
     """Allow-list flag, by the same means as :func:`classify_commands`."""
-    found = _rules_list(allow.select(F.lit(0).alias("_id"), pattern_col), "_id", pattern_col)
-    if len(found) <= MAX_INLINE_RULES:
-        return df.withColumn(out_col, any_match(cmd_col, [r[1] for r in found]))
+    allow = allow.select(F.lit(0).alias("_id"), pattern_col)
+    few = _few_rules(allow, "_id", pattern_col)
+    if few is not None:
+        return df.withColumn(out_col, any_match(cmd_col, [r[1] for r in few]))
     cmds = df.select(F.col(cmd_col).alias("_cmd")).where("_cmd IS NOT NULL").distinct()
-    ok = _indexed_matches(cmds, found).select("_cmd").distinct().withColumn("_ok", F.lit(True))
+    ok = _indexed_matches(cmds, read_rules(allow, "_id", pattern_col)).select("_cmd").distinct().withColumn("_ok", F.lit(True))
     return (df.join(ok, F.col(cmd_col) == F.col("_cmd"), "left")
             .withColumn(out_col, F.coalesce("_ok", F.lit(False))).drop("_cmd", "_ok"))
 

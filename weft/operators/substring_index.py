@@ -1,19 +1,22 @@
-"""Substring joins through an inverted index of n-grams.
+"""Substring joins through an inverted index of n-grams and words.
 
 "Which texts contain which needles" has no equi-key.  Here a needle stands for
-one of its grams (three characters, or the whole needle if it is shorter): the
-one that fewest texts hold.  Texts list their grams, only grams that some needle
-has are kept, and a needle meets the texts of its rarest gram alone; the exact
-test follows on those pairs.  Everything is a shuffle on (group, gram).
+one of its grams (six characters, three, or the whole needle if it is shorter) or of the
+whole words that its texts must hold: the one that fewest texts hold.  Texts list
+their grams and words, only those that some needle has are kept, and a needle
+meets the texts of its rarest one alone; the exact test follows on those pairs.
+Everything is a shuffle on (group, gram).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GRAM = 3
+GRAM, LONG_GRAM = 3, 6
 
 
 def grams(text: str, size: int) -> Column:
@@ -24,26 +27,35 @@ def grams(text: str, size: int) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(all_)).otherwise(F.array().cast("array<string>"))
 
 
-def candidates(texts: DataFrame, needles: DataFrame, text: str, needle: str, by: list[str]) -> DataFrame:
+def candidates(texts: DataFrame, needles: DataFrame, text: str, needle: str, by: list[str],
+               words: str | None = None, not_word: str = "") -> DataFrame:
     """All columns of both sides for pairs, equal in ``by``, whose text holds the needle's
     rarest gram: every pair whose text contains the needle, and some more.
 
-    ``needle`` is a string, or a list of strings that a text must all contain.
+    ``needle`` is a string, or a list of strings that a text must all contain; ``words`` is a
+    list of words that it must hold too, as they are between matches of ``not_word``.
     ``needles`` are distinct rows; the sides share no other column names.  Null texts
     and needles meet nothing; an empty needle meets every text."""
     needles = needles.where(F.col(needle).isNotNull())
     many = isinstance(needles.schema[needle].dataType, T.ArrayType)
     parts = needles.withColumn("_part", F.explode(needle) if many else F.col(needle))
-    size = F.least(F.length("_part"), F.lit(GRAM))
-    sizes = sorted(r[0] for r in parts.select(size.alias("g")).distinct().collect())  # at most four numbers
+    size = F.when(F.length("_part") >= LONG_GRAM, F.lit(LONG_GRAM)).otherwise(F.least(F.length("_part"), F.lit(GRAM)))
+    sizes = sorted(r[0] for r in parts.select(size.alias("g")).distinct().collect())  # at most five numbers
     keys = [*by, "_gram"]
-    if not sizes:
+    marked = lambda c, mark: F.transform(c, lambda x: F.concat(F.lit(mark), x))
+    own, held = [], []
+    if sizes:
+        own.append(parts.withColumn("_gram", F.explode(marked(F.coalesce(
+            *[F.when(size == g, grams("_part", g)) for g in sizes]), "g"))).drop("_part"))
+        held.append(marked(F.concat(*[grams(text, g) for g in sizes]), "g"))
+    if words:
+        own.append(needles.withColumn("_gram", F.explode(marked(F.col(words), "w"))))
+        held.append(marked(F.array_distinct(F.split(text, not_word)), "w"))
+    if not own:
         return texts.limit(0).join(needles, by) if by else texts.limit(0).join(needles, F.lit(True))
-    own = F.coalesce(*[F.when(size == g, grams("_part", g)) for g in sizes])
-    wanted = parts.withColumn("_gram", F.explode(own)).drop("_part")
-    held = F.concat(*[grams(text, g) for g in sizes])
-    posts = (texts.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(held))
-             .join(wanted.select(*keys).distinct(), keys, "left_semi"))
+    wanted = reduce(DataFrame.unionByName, own)
+    posts = texts.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(F.concat(*held)))
+    # counted where texts are read: a gram that most texts hold sends one row a task
     counts = posts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     rarest = (wanted.join(counts, keys, "left").groupBy(*needles.columns)
               .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r"))
