@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from weft.operators.agent_log import APPROVAL_TIMEOUT_S
 from weft.operators.ops_tables import LOG_RING_LINES, usage_band, usage_pct
@@ -112,6 +112,8 @@ TAIL_SCHEMA = "job_id STRING, seq LONG, line STRING, pos INT"
 #: Salts of a job's second cut; rows a task holds before it hands cut rows on.
 TAIL_SALTS = 16
 CUT_ROWS = 1 << 17
+#: Groups of jobs that share state and a call of Python (fixed: a restart must find its state).
+JOB_GROUPS = 1 << 14
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -150,35 +152,44 @@ def _cut(n: int):
     return run
 
 
-class TailProcessor(StatefulProcessor):
-    """A job's last ``n`` lines as list state, oldest first; idle jobs expire after ``ttl_ms``."""
-
-    def __init__(self, n: int, ttl_ms: int | None):
-        self.n, self.ttl_ms = n, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getListState("tail", "seq LONG, line STRING", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        lines = [tuple(r) for r in self.tail.get()]
-        for pdf in rows:
-            lines.extend(zip(pdf["seq"].tolist(), pdf["line"].tolist(), strict=True))
-            if len(lines) > 4 * self.n:
-                lines = self._last(lines)
-        lines = self._last(lines)
-        self.tail.put(lines)
-        yield pd.DataFrame({"job_id": key[0], "seq": [s for s, _ in lines], "line": [x for _, x in lines],
-                            "pos": range(len(lines), 0, -1)}, index=range(len(lines)))
-
-    def _last(self, lines: list[tuple]) -> list[tuple]:
-        return sorted(lines, key=lambda r: (r[0], r[1] is not None, r[1] or ""))[-self.n:]
-
-    def close(self) -> None:
-        pass
+LINE_COLUMNS = ["job_id", "seq", "line"]
+LINE_TYPES = [pa.string(), pa.int64(), pa.string()]
+
+
+def _merge_tail(n: int, ttl_ms: int | None):
+    """The last ``n`` lines of a group's jobs, newest first, as its state; idle groups expire after
+    ``ttl_ms``.  State comes and goes with the rows' Arrow batches: no request a job."""
+    def run(key, pdfs, state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = pa.table([pa.array([], t) for t in LINE_TYPES], LINE_COLUMNS)
+        for pdf in pdfs:
+            columns = [pa.array(pdf["job"], pa.string(), mask=~pdf["named"].to_numpy(bool)),
+                       pa.array(pdf["seq"].to_numpy(), pa.int64(), mask=~pdf["counted"].to_numpy(bool)),
+                       pa.array(pdf["line"], pa.string())]
+            held = pa.concat_tables([held, pa.table(columns, LINE_COLUMNS)])
+            if held.num_rows > CUT_ROWS:
+                held = last_per_job(held, n)
+        touched = set(held.column("job_id").to_pylist())
+        if state.exists:
+            old = [pa.array(list(c), t) for c, t in zip(state.get, LINE_TYPES, strict=True)]
+            held = pa.concat_tables([held, pa.table(old, LINE_COLUMNS)])
+        job, seq, line = (c.to_pylist() for c in last_per_job(held, n).columns)
+        state.update((job, seq, line))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+        pos, place = [], 0
+        for i, j in enumerate(job):
+            place = place + 1 if i and j == job[i - 1] else 1
+            pos.append(place)
+        out = pd.DataFrame({"job_id": job, "seq": pd.array(seq, "Int64"), "line": line, "pos": pos})
+        yield out[[j in touched for j in job]]
+    return run
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Queries with ``transformWithState`` need this state store."""
+    """State off the JVM heap."""
     key = "spark.sql.streaming.stateStore.providerClass"
     if spark.conf.get(key, "") != ROCKSDB:
         spark.conf.set(key, ROCKSDB)
@@ -191,7 +202,8 @@ def log_tail(logs: DataFrame, n: int = LOG_RING_LINES, salts: int = TAIL_SALTS,
 
     Three levels, so that no task receives a hot job's whole batch: where lines are read, at
     most n a job leave a task; these meet in ``salts`` parts a job, which leave n each; the
-    job's state merges those.  With ``ttl_ms`` the state of a job that gets no lines for so long
+    state merges those.  Jobs are dealt to JOB_GROUPS groups (with ``ttl_ms``, each to its own), whose
+    tails are one state: a trigger calls Python once a group that received lines.  With ``ttl_ms`` the state of a job that gets no lines for so long
     is dropped (its next line starts a new tail); such a query has a batch to run at any time, so it
     needs a processing-time trigger: ``available_now`` would not end.
 
@@ -202,8 +214,13 @@ def log_tail(logs: DataFrame, n: int = LOG_RING_LINES, salts: int = TAIL_SALTS,
     parts = int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = rows.mapInArrow(_cut(n), rows.schema)
     cut = cut.repartition(parts, "job_id", F.pmod(F.xxhash64("seq", "line"), F.lit(salts))).mapInArrow(_cut(n), rows.schema)
-    return cut.groupBy("job_id").transformWithStateInPandas(
-        TailProcessor(n, ttl_ms), TAIL_SCHEMA, "Update", "ProcessingTime" if ttl_ms else "None")
+    # columns without nulls, which pandas would turn into floats
+    cut = cut.select(F.pmod(F.xxhash64("job_id"), F.lit(JOB_GROUPS)).alias("part"), F.col("job_id").isNotNull().alias("named"),
+                     F.coalesce("job_id", F.lit("")).alias("job"), F.col("seq").isNotNull().alias("counted"),
+                     F.coalesce("seq", F.lit(0)).alias("seq"), "line")
+    return cut.groupBy(*(("part", "named", "job") if ttl_ms else ("part",))).applyInPandasWithState(
+        _merge_tail(n, ttl_ms), TAIL_SCHEMA, "jobs ARRAY<STRING>, seqs ARRAY<LONG>, lines ARRAY<STRING>", "Update",
+        "ProcessingTimeTimeout" if ttl_ms else "NoTimeout")
 
 
 def job_status(logs: DataFrame) -> DataFrame:
