@@ -61,11 +61,15 @@ def landing_to_prepared(spark: SparkSession, landing_dir: str, out_dir: str,
     norm = normalize_lines(stream_landing(spark, landing_dir, glob, max_files_per_trigger), "value", policy="per_row")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        # only what is written is kept between the two writes, not the parsed record and its fields
+        fits = F.col("format").isNotNull()
+        batch = batch.select("format", F.when(fits, F.col("text")).alias("text"),
+                             F.when(fits, record_json("format", SOURCE)).alias("record"),
+                             F.when(~fits, F.col("value")).alias("value")).persist()
         try:
             observed, seen = observe_counters(batch, f"prepared-{batch_id}")
             (observed.where(F.col("format").isNotNull())
-             .select("format", "text", record_json("format", SOURCE).alias("record"))
+             .select("format", "text", "record")
              .write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}"))
             (batch.where(F.col("format").isNull()).select("value")
              .write.mode("overwrite").parquet(f"{quarantine_dir}/batch={batch_id}"))
