@@ -10,7 +10,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators.records import SOURCE, canonical_json, limit_written, observe_counters, record_json
+from weft.operators.records import SOURCE, canonical_json, limit_written, observe_counters, prep_counters, record_json
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -66,22 +66,22 @@ def prepare_records(df: DataFrame, out_path: str, limit: int | None = None,
     """
     if limit and not order:
         raise ValueError("a limit needs an order")
-    observed, obs = observe_counters(df, fmt=fmt)
     from_lines = "value" in df.columns
     line = record_json(fmt, SOURCE) if from_lines and SOURCE in df.columns else canonical_json(fmt)
     raw = F.col("value") if from_lines else F.to_json(SOURCE) if SOURCE in df.columns else F.to_json(
         F.struct(*df.columns), {"ignoreNullFields": "false"})
     mapped = F.col(fmt).isNotNull()
     if not limit:
+        observed, obs = observe_counters(df, fmt=fmt)
         (observed.select(mapped.alias("mapped"), F.when(mapped, line).otherwise(raw).alias("value"))
          .write.mode("overwrite").partitionBy("mapped").text(out_path))
     else:
-        cut = limit_written(observed, limit, order, fmt=fmt)
+        cut = limit_written(df, limit, order, fmt=fmt)
         cut.select(line.alias("value")).write.mode("overwrite").text(f"{out_path}/{RECORDS_DIR}")
         df.where(~mapped).select(raw.alias("value")).write.mode("overwrite").text(
             f"{out_path}/{QUARANTINE_DIR}")
-    counters = {k: int(v) for k, v in obs.get.items()}
-    if limit:
+        # counted apart: the jobs of the cut read the input more than once
+        counters = prep_counters(df, fmt).first().asDict()
         counters["n_written"] = min(int(limit), counters["n_written"])
     if counters.get("n_skipped", 0):
         sample = (df.sparkSession.read.text(f"{out_path}/{QUARANTINE_DIR}").limit(3)
