@@ -254,6 +254,15 @@ def test_whole_values_reach_the_canonical_lines_and_the_quarantine(spark, tmp):
         prepare_records(rows, f"{tmp}/typed", limit=1)
 
 
+def test_prepared_chat_keeps_more_keys(spark, tmp):
+    chats = [{"messages": [{"role": "user", "content": f"c{i}", "turn": i, "meta": {"even": i % 2 == 0}}]} for i in range(3)]
+    with open(f"{tmp}/in.jsonl", "w", encoding="utf-8") as f:
+        f.write("\n".join(map(json.dumps, chats)))
+    counters = prepare_records(read_jsonl(spark, f"{tmp}/in.jsonl"), f"{tmp}/out")
+    assert counters == {"n_read": 3, "n_written": 3, "n_skipped": 0, "unmapped_keys": []}
+    assert sorted((json.loads(r.value) for r in spark.read.text(f"{tmp}/out/mapped=true").collect()), key=str) == chats
+
+
 def test_blank_only_file_has_no_records(spark, tmp):
     with open(f"{tmp}/blank.jsonl", "w", encoding="utf-8") as f:
         f.write("\n  \n\t\n")
