@@ -263,6 +263,17 @@ def test_prepared_chat_keeps_more_keys(spark, tmp):
     assert sorted((json.loads(r.value) for r in spark.read.text(f"{tmp}/out/mapped=true").collect()), key=str) == chats
 
 
+def test_prepare_csv_without_a_limit(spark, tmp):
+    from weft.sources.files import prepare_csv
+
+    with open(f"{tmp}/p.csv", "w", encoding="utf-8") as f:
+        f.write("a,lab\n" + "".join(f'"v,{i}\n",L{i} \n' for i in range(50)))
+    counters = prepare_csv(spark, f"{tmp}/p.csv", f"{tmp}/o", "lab")
+    assert counters == {"n_read": 50, "n_written": 50, "n_skipped": 0, "unmapped_keys": []}
+    got = sorted((json.loads(r.value) for r in spark.read.text(f"{tmp}/o/mapped=true").collect()), key=lambda r: int(r["output"][1:]))
+    assert [(r["input"], r["output"]) for r in got] == [(f"a=v,{i}\n", f"L{i}") for i in range(50)]
+
+
 def test_blank_only_file_has_no_records(spark, tmp):
     with open(f"{tmp}/blank.jsonl", "w", encoding="utf-8") as f:
         f.write("\n  \n\t\n")
