@@ -356,7 +356,8 @@ def match_files(requests: DataFrame, files: DataFrame, repo: str = "repo_id",
             .groupBy(repo, "_needle").agg(F.min_by("_file", "_ord").alias("_sub_file"),
                                           F.count(F.lit(1)).alias("n_matches")))
     same = fl.select(repo, F.col("_file").alias(hint)).distinct().withColumn("_exact", F.col(hint))
-    found = req.join(hits, [repo, "_needle"], "left").join(same, [repo, hint], "left")
+    # merge: a listing of many files may look small enough for a broadcast, by its size on disk
+    found = req.join(hits.hint("merge"), [repo, "_needle"], "left").join(same.hint("merge"), [repo, hint], "left")
     return found.select(
         repo, hint,
         F.coalesce("_sub_file", "_exact").alias("file"),
