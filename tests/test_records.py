@@ -13,7 +13,7 @@ from weft.operators.records import (
     to_record,
 )
 from weft.sources.files import read_csv, read_jsonl
-from weft.sources.sinks import prepare_records
+from weft.sources.sinks import prepare_records, write_run_meta
 
 
 def _fmt(spark, lines):
@@ -274,6 +274,18 @@ def test_prepare_csv_without_a_limit(spark, tmp):
     assert [(r["input"], r["output"]) for r in got] == [(f"a=v,{i}\n", f"L{i}") for i in range(50)]
 
 
+def test_counters_of_many_files_count_every_row_once(spark, tmp):
+    rows = [(f'{{"text":"{i}"}}' if i % 3 else f'{{"n":{i}}}',) for i in range(90)]
+    spark.createDataFrame(rows * 2, "value STRING").repartition(6).write.text(f"{tmp}/in")
+    counters = prepare_records(read_jsonl(spark, f"{tmp}/in"), f"{tmp}/out")
+    assert counters == {"n_read": 180, "n_written": 120, "n_skipped": 60, "unmapped_keys": [["n"]] * 3}
+    write_run_meta(spark, f"{tmp}/runs", {}, counters)
+    assert json.loads(spark.read.parquet(f"{tmp}/runs").first().counters) == counters
+    spark.createDataFrame(rows[:1], "value STRING").write.text(f"{tmp}/none")
+    with pytest.raises(RuntimeError, match="0 records"):
+        prepare_records(read_jsonl(spark, f"{tmp}/none"), f"{tmp}/out2")
+
+
 def test_blank_only_file_has_no_records(spark, tmp):
     with open(f"{tmp}/blank.jsonl", "w", encoding="utf-8") as f:
         f.write("\n  \n\t\n")

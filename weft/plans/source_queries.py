@@ -73,7 +73,7 @@ def table_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _prepare(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     base = scratch_dir(spark, "prepare")
     raw, out, txt, runs = (f"{base}/{x}" for x in ("raw", "prepared", "text", "runs"))
-    jsonl_lines(spark, sf_dir).select("value").write.text(raw)
+    jsonl_lines(spark, sf_dir).select("value").write.option("compression", "gzip").text(raw)  # the input, only read here
     normalized = read_jsonl(spark, raw)
     counters = prepare_records(normalized, out)
     write_text_dataset(read_jsonl(spark, f"{out}/{RECORDS_DIR}"), txt)
