@@ -13,7 +13,7 @@ from weft.operators.records import (
     to_record,
 )
 from weft.sources.files import read_csv, read_jsonl
-from weft.sources.sinks import prepare_records, write_run_meta
+from weft.sources.sinks import prepare_records, write_run_meta, write_text_dataset
 
 
 def _fmt(spark, lines):
@@ -286,6 +286,17 @@ def test_counters_of_many_files_count_every_row_once(spark, tmp):
         prepare_records(read_jsonl(spark, f"{tmp}/none"), f"{tmp}/out2")
 
 
+def test_prepared_records_become_the_text_column(spark, tmp):
+    lines = ['{"text":"é\\n1"}', '{"prompt":"p","completion":"c"}', '{"n":1}', '{"instruction":"i","output":"o"}', '{"text":"é\\n1"}']
+    with open(f"{tmp}/in.jsonl", "w", encoding="utf-8") as f:
+        f.write("\n".join(lines))
+    prepare_records(read_jsonl(spark, f"{tmp}/in.jsonl"), f"{tmp}/out")
+    write_text_dataset(read_jsonl(spark, f"{tmp}/out/mapped=true"), f"{tmp}/text")
+    got = spark.read.parquet(f"{tmp}/text")
+    assert got.columns == ["text"] and sorted(r.text for r in got.collect()) == sorted(
+        ["é\n1", "é\n1", "pc", "### Instruction:\ni\n\n### Response:\no"])
+
+
 def test_blank_only_file_has_no_records(spark, tmp):
     with open(f"{tmp}/blank.jsonl", "w", encoding="utf-8") as f:
         f.write("\n  \n\t\n")
