@@ -297,6 +297,16 @@ def test_prepared_records_become_the_text_column(spark, tmp):
         ["é\n1", "é\n1", "pc", "### Instruction:\ni\n\n### Response:\no"])
 
 
+def test_quarantine_of_joined_rows_is_whole(spark, tmp):
+    left = spark.createDataFrame([(1, "t"), (2, None), (3, ""), (3, "")], "rec_id INT, text STRING")
+    right = spark.createDataFrame([(1, "p1", 0.5), (2, "p2", 1.5), (3, None, None)], "rec_id INT, prompt STRING, half DOUBLE")
+    counters = prepare_records(to_record(left.join(right, "rec_id")), f"{tmp}/out")
+    assert {k: counters[k] for k in ("n_read", "n_written", "n_skipped")} == {"n_read": 4, "n_written": 1, "n_skipped": 3}
+    got = [json.loads(r.value) for r in spark.read.text(f"{tmp}/out/mapped=false").collect()]
+    empty = {"rec_id": 3, "text": "", "prompt": None, "half": None}
+    assert sorted(got, key=str) == sorted([{"rec_id": 2, "text": None, "prompt": "p2", "half": 1.5}, empty, empty], key=str)
+
+
 def test_blank_only_file_has_no_records(spark, tmp):
     with open(f"{tmp}/blank.jsonl", "w", encoding="utf-8") as f:
         f.write("\n  \n\t\n")
